@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import extraction, media, mixing, packing, quality, secrets, toxicity
+from foliospark.llm import extraction, lm, media, mixing, packing, quality, secrets, toxicity
 from foliospark.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,7 +41,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_mixing, op3_toxicity, op5_packing, op7_extraction, op8_quality, op9_media, op10_secrets]
+    found = [op1_mixing, op2_ppm, op3_toxicity, op5_packing, op7_extraction, op8_quality, op9_media, op10_secrets]
     return {f.__name__: f for f in found}
 
 
