@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import extraction, lm, media, mixing, packing, quality, secrets, toxicity
+from foliospark.llm import ann, extraction, lm, media, mixing, packing, quality, secrets, toxicity
 from foliospark.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_mixing, op2_ppm, op3_toxicity, op5_packing, op7_extraction, op8_quality, op9_media, op10_secrets]
+    found = [op1_mixing, op2_ppm, op3_toxicity, op4_ann, op5_packing, op7_extraction, op8_quality, op9_media, op10_secrets]
     return {f.__name__: f for f in found}
 
 
