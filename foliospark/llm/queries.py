@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import ann, extraction, lm, media, mixing, packing, quality, secrets, toxicity
+from foliospark.llm import ann, extraction, jaccard, lm, media, mixing, packing, quality, secrets, toxicity
 from foliospark.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
@@ -45,7 +49,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_mixing, op2_ppm, op3_toxicity, op4_ann, op5_packing, op7_extraction, op8_quality, op9_media, op10_secrets]
+    found = [op1_mixing, op2_ppm, op3_toxicity, op4_ann, op5_packing, op6_jaccard, op7_extraction, op8_quality, op9_media, op10_secrets]
     return {f.__name__: f for f in found}
 
 
