@@ -11,14 +11,17 @@ with, and d the greatest symmetric difference it can have with a set it links wi
   combinations of k neighbouring frequent tokens are indexed - a linear number, and no link is lost.
 * a set too small to share l tokens has all its prefix indexed singly; sets that need equality are found as copies.
 
-The class only orders tokens, so it needn't be exact: a token is frequent when tasks that see it in several documents'
-prefixes count it in a fixed share of all documents, which bounds how many there are.
+The class only orders tokens, so it needn't be exact: a token is frequent when it repeats within spans of a few thousand
+documents and those repeats make up a fixed share of all documents, which bounds how many there are.
 
 Equal sets are one node. Buckets of one node drop out in an aggregation. In each bucket the node that shares most is its
 leader; (leader, member) pairs are verified on the texts' whole sets, and components contracted. Then every pair of a
-bucket that still lies in different components is verified too, so no link is lost, while a group of mutual copies
-costs a pair for each member and not all pairs. A node is known by 64 bits of its set's digest (two different sets of
-n meet by chance with probability n^2 / 2^65).
+bucket that still lies in different components is a candidate too, so no link is lost, while a group of mutual copies
+costs a pair for each member and not all pairs. Of those candidates only pairs whose sketches allow a link leave the
+join: a sketch has a bit for each residue of the hash, the parity of the tokens there, so the bits in which two sketches
+differ are at most the tokens in which the sets do. A sixteenth of the buckets goes first, so that most groups are one
+component before the others are looked at. A node is known by 64 bits of its set's digest (two different sets of n meet
+by chance with probability n^2 / 2^65).
 """
 
 from __future__ import annotations
@@ -90,27 +93,36 @@ def linked(a: np.ndarray, b: np.ndarray, limits: Limits) -> bool:
     return limits.den * both >= limits.num * (len(a) + len(b) - both)
 
 
-def frequent_tokens(rows: DataFrame, size: int, limits: Limits, least: int, share: int) -> np.ndarray:
-    """Tokens of the frequent class, ascending: in at least 1 / ``share`` of the documents and in ``least``, as counted from tasks that saw them twice."""
+SKETCH = 512
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the tokens by the top bits of their hash, as eight signed 64-bit numbers."""
+    bits = np.bincount((tokens >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def frequent_tokens(rows: DataFrame, size: int, limits: Limits, least: int, share: int, span: int = 4_000_000) -> np.ndarray:
+    """Tokens of the frequent class, ascending: those that repeat within spans of ``span`` tokens, where the repeats come to ``least`` documents and to 1 / ``share`` of all."""
 
     def run(batches):
-        documents, parts = 0, []
+        documents, held, parts = 0, 0, []
 
-        def counted():
-            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+        def repeats():
+            keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+            keys, n = keys[n > 1], n[n > 1]
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["token", "n"])
 
         for whole in batches:
             for piece in slices(whole, "text", 1_500_000):
-                data, offsets = raw_bytes(piece.column(0))
                 documents += piece.num_rows
-                heads = [s[: limits.prefix(len(s))] for s in shingle_sets(data, offsets, size) if len(s)]
-                parts.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *heads]), return_counts=True))
-                if sum(len(k) for k, _ in parts) > 2_000_000:
-                    parts = [counted()]
-        keys, n = counted() if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        keys, n = keys[n > 1], n[n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["token", "n"])
+                sets = [s for s in shingle_sets(*raw_bytes(piece.column(0)), size) if not limits.lonely(len(s))]
+                parts += sets
+                held += sum(map(len, sets))
+                if held > span:
+                    yield repeats()
+                    held, parts = 0, []
+        yield repeats()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([documents], pa.int64())], names=["token", "n"])
 
     counts = written(rows.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "jaccard-counts")
@@ -152,7 +164,7 @@ def needed_texts(pairs: DataFrame, members: DataFrame, rows: DataFrame) -> DataF
     return written(found.dropDuplicates(["node"]), "jaccard-texts")
 
 
-def components(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85, den=100, k=2, least=64, share=10_000) -> DataFrame:
+def components(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85, den=100, k=2, least=8, share=10_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     A null or wordless text has the empty set, links with nothing and is a component of its own (its doc_id). A component's
@@ -168,15 +180,18 @@ def components(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85,
             for piece in slices(whole, "text", 1_500_000):
                 sets = shingle_sets(*raw_bytes(piece.column(1)), size)
                 nodes = [digest(s) if len(s) else None for s in sets]
-                keys = []
+                keys, marks = [], []
                 for s, node in zip(sets, nodes):
-                    keys.append(None if node is None or node in seen else index_keys(s, frequent, limits).view(np.int64))
+                    again = node is None or node in seen
+                    keys.append(None if again else index_keys(s, frequent, limits).view(np.int64))
+                    marks.append(None if again else sketch(s))
                     if len(seen) < 200_000:
                         seen.add(node)
                 n = pa.array(list(map(len, sets)), pa.int64())
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(nodes, pa.int64()), n, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "mark", "node", "n", "keys"])
+                long = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(nodes, pa.int64()), n, pa.array(keys, long), pa.array(marks, long)], names=["doc_id", "mark", "node", "n", "keys", "sketch"])
 
-    entries = written(rows.select("doc_id", "text", "mark").mapInArrow(index, "doc_id long, mark long, node long, n long, keys array<long>"), "jaccard-index")
+    entries = written(rows.select("doc_id", "text", "mark").mapInArrow(index, "doc_id long, mark long, node long, n long, keys array<long>, sketch array<long>"), "jaccard-index")
     members = entries.select("doc_id", "mark", "node", "n")
     keyed = entries.where("keys is not null").select("node", "n", F.explode("keys").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("c")).where("low <> high").select("bucket", "c")
@@ -187,21 +202,30 @@ def components(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85,
     fits = lambda x, y: (den * F.least(x, y) >= num * F.greatest(x, y))
     led = meeting.join(leaders, "bucket").where((F.col("node") != F.col("leader")) & fits(F.col("n"), F.col("leader_n")))
     stars = written(led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-pairs")
-    links = verified(stars, needed_texts(stars, members, rows), size, limits)
+    links: DataFrame = verified(stars, needed_texts(stars, members, rows), size, limits)
     labels = connected(links)
 
-    # what still lies apart in a bucket
-    parts = meeting.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("part"))
-    apart = parts.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-    parts = written(parts.join(apart, "bucket", "left_semi"), "jaccard-apart")
-    other = parts.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-    rest = parts.withColumnRenamed("node", "a").join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("part") != F.col("part_b")) & fits(F.col("n"), F.col("n_b"))).select("a", "b").distinct()
-    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(known, ["a", "b"], "left_anti"), "jaccard-pairs")
-    if rest.limit(1).count():
-        more = verified(rest, needed_texts(rest, members, rows), size, limits)
-        if more.limit(1).count():
-            labels = connected(links.union(more))
+    # what still lies apart in a bucket, and may link by its sketches
+    words = [f"s{i}" for i in range(SKETCH // 64)]
+    sketches = entries.where("keys is not null").select("node", *[F.col("sketch")[i].alias(w) for i, w in enumerate(words)])
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for part in (F.pmod(F.xxhash64("bucket"), F.lit(16)) == 0, F.lit(True)):
+        parts = meeting.where(part).join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("part"))
+        apart = parts.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
+        parts = written(parts.join(apart, "bucket", "left_semi"), "jaccard-apart")
+        parts = written(parts.join(sketches.join(parts.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node"), "jaccard-apart")
+        other = parts.select("bucket", *[F.col(c).alias(f"{c}_b") for c in parts.columns if c != "bucket"])
+        differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
+        may = (den + num) * differ <= (den - num) * (F.col("n") + F.col("n_b"))
+        rest = parts.join(other, (parts["bucket"] == other["bucket"]) & (F.col("node") < F.col("node_b")) & (F.col("part") != F.col("part_b")) & fits(F.col("n"), F.col("n_b")) & may)
+        rest = rest.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+        rest = written(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        if rest.limit(1).count():
+            more = verified(rest, needed_texts(rest, members, rows), size, limits)
+            tried = tried.union(rest)
+            if more.limit(1).count():
+                links = links.union(more)
+                labels = connected(links)
 
     placed = members.join(labels, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("part"))
     full, empty = placed.where("part is not null"), placed.where("part is null")

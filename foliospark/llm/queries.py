@@ -48,10 +48,36 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_rows(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    found = [op1_mixing, op2_ppm, op3_toxicity, op4_ann, op5_packing, op6_jaccard, op7_extraction, op8_quality, op9_media, op10_secrets]
+    found = [op1_mixing, op2_ppm, op3_toxicity, op4_ann, op5_packing, op6_jaccard, op7_extraction, op8_quality, op9_media, op10_secrets, pipeline]
     return {f.__name__: f for f in found}
 
 
+JACCARD_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower_ascii, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM documents)),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: list_aggregate(w[i:i + 3], 'string_agg', ' '))
+                                    WHEN len(w) > 0 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE [] END) AS s
+  FROM words),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) AS nx, any_value(b.n) AS ny
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs WHERE 100 * c >= 85 * (nx + ny - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS component_id
+FROM sets d LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id, d.s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_jaccard": JACCARD_SQL}
