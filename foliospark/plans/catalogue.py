@@ -1,11 +1,14 @@
-"""The query catalogue: every registered query and its SQL oracle."""
+"""The query catalogue: every registered query and its SQL."""
 
 from __future__ import annotations
 
+from foliospark.plans import text  # noqa: F401
+from foliospark.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
