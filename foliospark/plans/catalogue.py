@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.plans import text  # noqa: F401
+from foliospark.plans import hygiene, structure, text  # noqa: F401
 from foliospark.plans.registry import ORACLES, QUERIES
 
 

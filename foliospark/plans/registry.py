@@ -13,9 +13,10 @@ ORACLES: dict[str, str] = {}
 def _counts(sql: str) -> str:
     """``count_if(c)`` of the SQL as ``count(CASE WHEN c THEN 1 END)``, which is a BIGINT and 0 where c is null."""
     while (at := sql.find("count_if(")) >= 0:
-        depth, end = 1, at + 9
+        depth, end, quoted = 1, at + 9, False
         while depth:
-            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            quoted ^= sql[end] == "'"
+            depth += 0 if quoted else {"(": 1, ")": -1}.get(sql[end], 0)
             end += 1
         sql = f"{sql[:at]}count(CASE WHEN {sql[at + 9 : end - 1]} THEN 1 END){sql[end:]}"
     return sql
