@@ -150,21 +150,31 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, limits: Limits) -> D
                 keep = [i for i, g in enumerate(good) if g]
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
-    right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(small(pairs), "b")
+    leaders = small(written(pairs.select("a").distinct(), "jaccard-leaders"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(leaders, "a")
+    both = right.join(left, "a")
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
-def needed_texts(pairs: DataFrame, members: DataFrame, rows: DataFrame) -> DataFrame:
-    """node and text of one document for each node in ``pairs``."""
+#: Rows of a few numbers that may be broadcast: some 16 MB of hash table at most. Beyond that the join shuffles.
+SMALL = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def needed_texts(pairs: DataFrame, members: DataFrame, rows: DataFrame, repeats: bool) -> DataFrame:
+    """node and text of one document for each node in ``pairs``. ``repeats``: some rows have the same id and text."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     chosen = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("one"))
-    chosen = chosen.select("node", F.col("one.doc_id").alias("id"), F.col("one.mark").alias("its_mark"))
+    chosen = small(written(chosen.select("node", F.col("one.doc_id").alias("id"), F.col("one.mark").alias("its_mark")), "jaccard-chosen"))
     found = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("its_mark"))).select("node", "text")
-    return written(found.dropDuplicates(["node"]), "jaccard-texts")
+    return written(found.dropDuplicates(["node"]) if repeats else found, "jaccard-texts")
 
 
-def components(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85, den=100, k=2, least=8, share=10_000) -> DataFrame:
+def components(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85, den=100, k=2, least=8, share=30_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     A null or wordless text has the empty set, links with nothing and is a component of its own (its doc_id). A component's
@@ -193,6 +203,7 @@ def components(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85,
 
     entries = written(rows.select("doc_id", "text", "mark").mapInArrow(index, "doc_id long, mark long, node long, n long, keys array<long>, sketch array<long>"), "jaccard-index")
     members = entries.select("doc_id", "mark", "node", "n")
+    repeats = members.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count() > 0
     keyed = entries.where("keys is not null").select("node", "n", F.explode("keys").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("c")).where("low <> high").select("bucket", "c")
     meeting = written(keyed.join(shared, "bucket").distinct(), "jaccard-buckets")
@@ -202,7 +213,7 @@ def components(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85,
     fits = lambda x, y: (den * F.least(x, y) >= num * F.greatest(x, y))
     led = meeting.join(leaders, "bucket").where((F.col("node") != F.col("leader")) & fits(F.col("n"), F.col("leader_n")))
     stars = written(led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-pairs")
-    links: DataFrame = verified(stars, needed_texts(stars, members, rows), size, limits)
+    links: DataFrame = verified(stars, needed_texts(stars, members, rows, repeats), size, limits)
     labels = connected(links)
 
     # what still lies apart in a bucket, and may link by its sketches
@@ -221,7 +232,7 @@ def components(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85,
         rest = rest.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
         rest = written(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         if rest.limit(1).count():
-            more = verified(rest, needed_texts(rest, members, rows), size, limits)
+            more = verified(rest, needed_texts(rest, members, rows, repeats), size, limits)
             tried = tried.union(rest)
             if more.limit(1).count():
                 links = links.union(more)
