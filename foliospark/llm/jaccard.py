@@ -96,10 +96,41 @@ def linked(a: np.ndarray, b: np.ndarray, limits: Limits) -> bool:
 SKETCH = 512
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parities of the tokens by the top bits of their hash, as eight signed 64-bit numbers."""
-    bits = np.bincount((tokens >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+#: Bits of a wide sketch, for sets of over WIDE_FROM tokens: eight bits to each of the narrow one's.
+WIDE, WIDE_FROM = 8 * SKETCH, 300
+
+
+def sketch(tokens: np.ndarray, size: int = SKETCH) -> np.ndarray:
+    """Parities of the tokens by the top bits of their hash, packed."""
+    bits = np.bincount((tokens >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8))
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ: no more than the tokens in which the sets do. A wide one is folded for a narrow one."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) != len(y):
+        fold = lambda z: np.packbits(np.bitwise_xor.reduce(np.unpackbits(z).reshape(SKETCH, -1), axis=1))
+        x, y = (fold(z) if len(z) * 8 > SKETCH else z for z in (x, y))
+    return int(np.unpackbits(x ^ y).sum())
+
+
+def plausible(pairs: DataFrame, entries: DataFrame, limits: Limits) -> DataFrame:
+    """The pairs (a, b) whose wide sketches allow a link, written out: what must be compared as texts."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+            num, den = limits.num, limits.den
+            keep = [i for i in range(len(a)) if (den + num) * least_difference(x[i], y[i]) <= (den - num) * (n[i] + m[i])]
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+
+    nodes = small(written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-nodes"))
+    marks = entries.where("wide is not null").join(nodes, "node", "left_semi").select("node", "n", "wide").dropDuplicates(["node"])
+    marks = written(marks, "jaccard-sketches")
+    right = marks.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y")).join(small(pairs), "b")
+    both = right.join(marks.select(F.col("node").alias("a"), "n", F.col("wide").alias("x")), "a")
+    return written(both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-pairs")
 
 
 def frequent_tokens(rows: DataFrame, size: int, limits: Limits, least: int, share: int, span: int = 4_000_000) -> np.ndarray:
@@ -190,18 +221,19 @@ def components(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85,
             for piece in slices(whole, "text", 1_500_000):
                 sets = shingle_sets(*raw_bytes(piece.column(1)), size)
                 nodes = [digest(s) if len(s) else None for s in sets]
-                keys, marks = [], []
+                keys, marks, wide = [], [], []
                 for s, node in zip(sets, nodes):
                     again = node is None or node in seen
                     keys.append(None if again else index_keys(s, frequent, limits).view(np.int64))
-                    marks.append(None if again else sketch(s))
+                    marks.append(None if again else sketch(s).view(np.int64))
+                    wide.append(None if again else sketch(s, WIDE if len(s) > WIDE_FROM else SKETCH).tobytes())
                     if len(seen) < 200_000:
                         seen.add(node)
                 n = pa.array(list(map(len, sets)), pa.int64())
                 long = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(nodes, pa.int64()), n, pa.array(keys, long), pa.array(marks, long)], names=["doc_id", "mark", "node", "n", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(nodes, pa.int64()), n, pa.array(keys, long), pa.array(marks, long), pa.array(wide, pa.binary())], names=["doc_id", "mark", "node", "n", "keys", "sketch", "wide"])
 
-    entries = written(rows.select("doc_id", "text", "mark").mapInArrow(index, "doc_id long, mark long, node long, n long, keys array<long>, sketch array<long>"), "jaccard-index")
+    entries = written(rows.select("doc_id", "text", "mark").mapInArrow(index, "doc_id long, mark long, node long, n long, keys array<long>, sketch array<long>, wide binary"), "jaccard-index")
     members = entries.select("doc_id", "mark", "node", "n")
     repeats = members.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count() > 0
     keyed = entries.where("keys is not null").select("node", "n", F.explode("keys").alias("bucket"))
@@ -213,7 +245,8 @@ def components(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85,
     fits = lambda x, y: (den * F.least(x, y) >= num * F.greatest(x, y))
     led = meeting.join(leaders, "bucket").where((F.col("node") != F.col("leader")) & fits(F.col("n"), F.col("leader_n")))
     stars = written(led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-pairs")
-    links: DataFrame = verified(stars, needed_texts(stars, members, rows, repeats), size, limits)
+    near = plausible(stars, entries, limits)
+    links: DataFrame = verified(near, needed_texts(near, members, rows, repeats), size, limits)
     labels = connected(links)
 
     # what still lies apart in a bucket, and may link by its sketches
@@ -232,7 +265,8 @@ def components(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85,
         rest = rest.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
         rest = written(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         if rest.limit(1).count():
-            more = verified(rest, needed_texts(rest, members, rows, repeats), size, limits)
+            near = plausible(rest, entries, limits)
+            more = verified(near, needed_texts(near, members, rows, repeats), size, limits)
             tried = tried.union(rest)
             if more.limit(1).count():
                 links = links.union(more)
