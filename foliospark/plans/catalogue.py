@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.plans import evidence, gate, hygiene, notes, package, relational, streams, structure, terms, text  # noqa: F401
+from foliospark.plans import documents, evidence, gate, hygiene, notes, package, relational, streams, structure, terms, text  # noqa: F401
 from foliospark.plans.registry import ORACLES, QUERIES
 
 
