@@ -27,7 +27,7 @@ def page_number_evidence(spark, d):
 
 @query(f"""WITH {LINES}, w AS (SELECT work, unit AS page, line, text, min(line) OVER (PARTITION BY work, unit) AS f, max(line) OVER (PARTITION BY work, unit) AS l FROM lines)
 SELECT work, page, line, CASE WHEN regexp_full_match(text, '(?:第\\s*\\d{{1,4}}\\s*页|\\d{{1,4}}\\s*页|[pP]\\d{{1,4}})') THEN 'label' WHEN regexp_full_match(text, '[\\s\\-—–·]*\\d{{1,4}}[\\s\\-—–·]*') AND regexp_matches(text, '[-—–·•]') THEN 'decorated' ELSE 'candidate' END AS kind
-FROM w WHERE regexp_full_match(text, '(?:第\\s*\\d{{1,4}}\\s*页|\\d{{1,4}}\\s*页|[pP]\\d{{1,4}})') OR (regexp_full_match(text, '[\\s\\-—–·]*\\d{{1,4}}[\\s\\-—–·]*') AND regexp_matches(text, '[-—–·•]')) OR (regexp_full_match(text, '\\d{{1,4}}') AND line IN (f, l))""", name="empty_page_number_evidence_documents")
+FROM w WHERE regexp_full_match(text, '(?:第\\s*\\d{{1,4}}\\s*页|\\d{{1,4}}\\s*页|[pP]\\d{{1,4}})') OR (regexp_full_match(text, '[\\s\\-—–·]*\\d{{1,4}}[\\s\\-—–·]*') AND regexp_matches(text, '[-—–·•]')) OR (regexp_full_match(text, '\\d{{1,4}}') AND line IN (f, l))""")
 def page_number_evidence_documents(spark, d):
     return e.page_numbers(lines(spark, d).withColumnRenamed("unit", "page"))
 

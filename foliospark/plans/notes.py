@@ -79,7 +79,7 @@ def note_candidates(spark, d):
     return n.candidates(CAND_LINES.frame(spark))
 
 
-@query(f"""WITH {LINES}, c AS (SELECT unit, line, text, regexp_extract_all(text, '^(\\d{{1,3}})\\s+\\S.{{7,}}$', 1) AS l FROM lines) SELECT unit, line, 'numbered_paragraph' AS kind, l[1] AS label FROM c WHERE len(l) > 0""", name="empty_note_candidates_documents")
+@query(f"""WITH {LINES}, c AS (SELECT unit, line, text, regexp_extract_all(text, '^(\\d{{1,3}})\\s+\\S.{{7,}}$', 1) AS l FROM lines) SELECT unit, line, 'numbered_paragraph' AS kind, l[1] AS label FROM c WHERE len(l) > 0""")
 def note_candidates_documents(spark, d):
     return n.candidates(lines(spark, d)).where("kind = 'numbered_paragraph'").select("unit", "line", "kind", "label")
 

@@ -39,9 +39,9 @@ def returned_orders(spark, d):
     return read(spark, d, "orders").join(l, "o_orderkey", "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_brand, p_size, grouping(p_brand)::BIGINT AS g_brand, grouping(p_size)::BIGINT AS g_size, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM part GROUP BY CUBE (p_brand, p_size)")
+@query("SELECT p_brand, p_size, grouping(p_brand)::BIGINT AS g_brand, grouping(p_size)::BIGINT AS g_size, count(*) AS n, sum(CAST(round(p_retailprice * 100) AS BIGINT))::BIGINT AS cents FROM part GROUP BY CUBE (p_brand, p_size)")
 def part_cube(spark, d):
-    return read(spark, d, "part").cube("p_brand", "p_size").agg(F.grouping("p_brand").cast("long").alias("g_brand"), F.grouping("p_size").cast("long").alias("g_size"), F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 4).alias("price"))
+    return read(spark, d, "part").cube("p_brand", "p_size").agg(F.grouping("p_brand").cast("long").alias("g_brand"), F.grouping("p_size").cast("long").alias("g_size"), F.count("*").alias("n"), F.sum(F.round(F.col("p_retailprice") * 100).cast("long")).alias("cents"))
 
 
 @query("""SELECT * FROM (SELECT c_nationkey, c_custkey, c_acctbal, rank() OVER w AS place, round(sum(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC)) WHERE place <= 3""")

@@ -61,7 +61,7 @@ PAGES = Literal(
 )
 
 
-@query(f"WITH {LINES}, {FURNITURE} SELECT work, page, line, text, CASE WHEN line = f THEN 'repeated_header' ELSE 'repeated_footer' END AS role FROM edge JOIN often USING (work, text)", name="empty_repeated_furniture_documents")
+@query(f"WITH {LINES}, {FURNITURE} SELECT work, page, line, text, CASE WHEN line = f THEN 'repeated_header' ELSE 'repeated_footer' END AS role FROM edge JOIN often USING (work, text)")
 def repeated_furniture_documents(spark, d):
     return s.repeated_furniture(lines(spark, d).withColumnRenamed("unit", "page"))
 
