@@ -200,6 +200,7 @@ def interleaved_pages(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataF
 
 def media_columns(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
     """Each document's payload figures, by way of its page's reference. Equal texts have equal values; repeated rows and null ids stay rows of their own."""
-    figures = media_figures(store_media(docs, doc_id=doc_id, text=text))
+    # written, so that the join has a plain shuffle on either side and a digest with very many references can be split
+    figures = written(media_figures(store_media(docs, doc_id=doc_id, text=text)), "media-figures")
     pages = sequences(interleaved_pages(docs, doc_id=doc_id, text=text))
     return resolved(pages, figures).select(F.col("page_id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
