@@ -111,7 +111,7 @@ KINDS = [k + m for k in ("insult", "threat") for m in MARKS]
 class Scorer:
     """Features of a text under a lexicon (feature -> weight). Its memory is bounded: the cache of tokens is emptied when full."""
 
-    CACHE = 400_000
+    CACHE = 150_000
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.cache, self.machine = lexicon, {}, grammar()
@@ -183,7 +183,7 @@ def count_words(batches):
         for text, y in zip(piece.column(0), piece.column(1).to_pylist()):
             words = {bare(t) for t in set((text.as_py() or "").lower().split())} - {""}
             counts[y].update({f for w in words for f in features_of_word(w)})
-            if len(counts[0]) + len(counts[1]) > 500_000:
+            if len(counts[0]) + len(counts[1]) > 300_000:
                 yield batch(counts)
     yield batch(counts)
 
@@ -219,9 +219,9 @@ def _vectors(batches, lexicon):
 
 def scores_of(texts, model: dict, scorer: Scorer) -> np.ndarray:
     if model["weights"] is None:
-        return np.full(len(texts), model["prior"])
+        return np.array([model["prior"] for _ in texts])
     w = np.array(model["weights"])
-    x = np.array([scorer.features(t) for t in texts], float).reshape(len(texts), len(w) - 1)
+    x = np.array([scorer.features(t) for t in texts], float).reshape(-1, len(w) - 1)
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
@@ -232,8 +232,8 @@ def score(docs: DataFrame, model: dict, *, text="text", keep=("doc_id",)) -> Dat
     def run(batches):
         scorer = Scorer(model["lexicon"])
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores_of(texts, model, scorer), pa.float64())], names=names)
+            found = scores_of((t.as_py() or "" for t in batch.column(len(keep))), model, scorer)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], names=names)
 
     rows = docs.select(*keep, F.col(text).alias("text_to_score"))
     return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", score double")
@@ -247,6 +247,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, *, cut=0.5, **options) -> DataFrame:
-    """The documents that score under ``cut``; columns stay."""
+    """The documents that score under ``cut``; columns stay, whatever they are called."""
     model = fit(docs, labels, **options)
-    return score(docs, model, keep=docs.columns).where(F.col("score") < cut).select(*docs.columns)
+
+    def run(batches):
+        scorer = Scorer(model["lexicon"])
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            found = scores_of((t.as_py() or "" for t in texts), model, scorer)
+            yield batch.filter(pa.array(found < cut, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
