@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm import jaccard, mixing, packing, secrets, toxicity
-from foliospark.llm.common import shared_dir, table
+from foliospark.llm.common import SESSION, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/foliospark/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/{SESSION}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
