@@ -44,9 +44,9 @@ def terms_in_texts(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     wanted = wanted.withColumn("word", F.when(first == "", F.substr("name", F.lit(1), F.lit(1))).otherwise(first)).withColumn("pattern", pattern(F.col("name")))
     body = texts.select("id", normal("text").alias("body"))
     words = F.array_distinct(F.regexp_extract_all(F.col("body"), F.lit(f"({WORD})"), F.lit(1)))
-    held = body.select("id", "body", F.explode(words).alias("word"))
-    met = held.join(wanted, "word").where(F.expr("body rlike pattern"))
-    return met.select("id", "ord", "source").distinct()
+    # texts stay out of the first join, which the words multiply
+    near = body.select("id", F.explode(words).alias("word")).join(wanted, "word").select("id", "ord", "source", "pattern")
+    return body.join(near, "id").where(F.expr("body rlike pattern")).select("id", "ord", "source").distinct()
 
 
 def missing_targets(rows: DataFrame, glossary: DataFrame) -> DataFrame:

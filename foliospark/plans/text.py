@@ -201,16 +201,19 @@ SELECT item_id, count(doc_id) AS n_documents, min(doc_id) AS first_document FROM
 def fidelity_forward(spark, d):
     """Passages and the documents that hold them, white space apart.
 
-    The plan is an equi-join, not a nested loop: a passage is looked for by its first word's hash among the words of the
-    documents, and only such pairs are compared as texts."""
-    words = lambda c: F.array_distinct(F.split(F.lower(c), rf"{t.BLANK}+"))
+    The plan is an equi-join, not a nested loop: a passage is looked for by the hash of its longest inner word among the
+    words of the documents, without their texts; only the pairs that meet are compared as texts. So a passage needs three words, and its
+    inner ones must be words of the document too."""
+    words = lambda c: F.split(F.lower(c), rf"{t.BLANK}+")
     p = read(spark, d, "benchmark").select("item_id", t.stripped(t.text_of("text")).alias("passage"))
-    p = p.withColumn("inner_words", F.filter(F.slice(F.split("passage", rf"{t.BLANK}+"), 2, 10_000), lambda w: w != ""))
-    p = p.withColumn("probe", F.when(F.size("inner_words") >= 2, F.xxhash64(F.lower(F.element_at("inner_words", 1)))))
+    inner = F.filter(F.slice(words(F.col("passage")), F.lit(2), F.greatest(F.lit(0), F.size(words(F.col("passage"))) - 2)), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+    p = p.withColumn("probe", F.xxhash64(longest)).withColumn("has_probe", longest.isNotNull())
     docs = read(spark, d, "documents").select("doc_id", t.text_of("text").alias("text"))
-    probes = p.where("probe is not null").select("item_id", "probe", "passage")
-    held = docs.select("doc_id", F.explode(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).alias("probe"), "text").join(probes, "probe")
-    found = held.where(F.contains(t.without_blanks(F.col("text")), t.without_blanks(F.col("passage")))).select("item_id", "doc_id").distinct()
+    held = docs.select("doc_id", F.explode(F.array_distinct(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))).alias("probe"))
+    pairs = held.join(p.where("has_probe").select("item_id", "probe"), "probe").select("item_id", "doc_id")
+    met = docs.join(pairs, "doc_id").join(p.select("item_id", "passage"), "item_id")
+    found = met.where(F.contains(t.without_blanks(F.col("text")), t.without_blanks(F.col("passage")))).select("item_id", "doc_id").distinct()
     return p.select("item_id").join(found, "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("n_documents"), F.min("doc_id").alias("first_document"))
 
 
