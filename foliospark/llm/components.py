@@ -28,4 +28,4 @@ def connected(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return found.select(F.col("a").alias("node"), F.col("b").alias("component")).union(found.select("b", "b")).distinct()
+    return written(found.select(F.col("a").alias("node"), F.col("b").alias("component")).union(found.select("b", "b")).distinct(), "components")

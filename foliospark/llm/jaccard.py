@@ -198,7 +198,7 @@ def small(df: DataFrame) -> DataFrame:
 
 def needed_texts(pairs: DataFrame, members: DataFrame, rows: DataFrame, repeats: bool) -> DataFrame:
     """node and text of one document for each node in ``pairs``. ``repeats``: some rows have the same id and text."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes = small(written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-nodes"))
     chosen = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("one"))
     chosen = small(written(chosen.select("node", F.col("one.doc_id").alias("id"), F.col("one.mark").alias("its_mark")), "jaccard-chosen"))
     found = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("its_mark"))).select("node", "text")
@@ -274,7 +274,8 @@ def components(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85,
 
     placed = members.join(labels, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("part"))
     full, empty = placed.where("part is not null"), placed.where("part is null")
-    least_id = full.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join has a plain shuffle on either side and a component of very many rows can be split
+    least_id = written(full.groupBy("part").agg(F.min("doc_id").alias("component_id")), "jaccard-ids")
     out = full.join(least_id, "part").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(empty.select("doc_id", "n", "doc_id"))
 
