@@ -52,3 +52,13 @@ def drift_key(md: Column) -> Column:
     x = F.regexp_replace(x, r"(?m)^\[\^[^\]]+\]:\s*", "")
     x = F.regexp_replace(x, r"\[\^[^\]]+\]|\{\w+:\d+\}", "")
     return t.without_blanks(x)
+
+
+def without_inline_code(x: Column) -> Column:
+    """Code spans taken out: a run of backticks up to the next run of the same length."""
+    return F.regexp_replace(x, r"(?s)(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", "")
+
+
+def file_stem(x: Column) -> Column:
+    """A unit's id as a file name: letters, digits, points, dashes and underscores; others become dashes."""
+    return F.regexp_replace(F.regexp_replace(x, r"[^\w.-]+", "-"), "^-+|-+$", "")

@@ -136,3 +136,21 @@ FORMULAS = Literal("formulas", "id long, s string, x0 double, x1 double, want bo
 @query(with_tables(FORMULAS) + " SELECT id, want AS formula FROM formulas")
 def formula_blocks(spark, d):
     return FORMULAS.frame(spark).select("id", markup.is_formula(F.col("s"), F.col("x1") - F.col("x0"), F.col("x0"), F.col("x1"), F.lit(600.0)).alias("formula"))
+
+
+CODE = Literal("code_spans", "id long, s string, want string, stem string", (1, "a `b` c", "a  c", "a-b-c"), (2, "a ``b ` c`` d", "a  d", "a-b-c-d"), (3, "open ` only", "open ` only", "open-only"), (4, "`x``y`", "", "x-y"), (5, "ch01", "ch01", "ch01"))
+
+
+@query(with_tables(CODE) + " SELECT id, want AS prose, stem FROM code_spans")
+def inline_code(spark, d):
+    """Worked by hand: a run only closes with one of its own length."""
+    return CODE.frame(spark).select("id", markup.without_inline_code(F.col("s")).alias("prose"), markup.file_stem(F.col("s")).alias("stem"))
+
+
+@query("SELECT work, '{\"work\":\"' || work || '\",\"reason\":\"' || reason || '\",\"released\":' || (reason = 'ok') || '}' AS report FROM (" + "SELECT * FROM (VALUES ('w00', 'ok'), ('w01', 'terminology_open')) v(work, reason))")
+def release_report(spark, d):
+    """The release decision of a work as JSON."""
+    from foliospark.operators.gate import release
+    from foliospark.plans.gate import FACTS
+
+    return release(FACTS.frame(spark).where("work in ('w00', 'w01')")).select("work", F.to_json(F.struct("work", "reason", "released")).alias("report"))
