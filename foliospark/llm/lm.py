@@ -2,11 +2,14 @@
 
 Training. Every task counts the byte strings of length ``order + 1`` in its training documents (lower-cased A-Z, led by
 ``order`` start marks, closed by an end mark) and its words; the counts meet in one shuffle that grows with the corpus.
-Shorter strings are suffix sums. The context trie keeps a node when it holds at least a ``nodes``-th part of all training
-bytes, so a level has at most ``nodes`` nodes whatever the corpus - a bound by proof, the same rule at every size - and
-what falls below it stays in its context's escape.
-
-Probabilities. A context with T occurrences and D kept symbols gives a kept symbol n / (T + D) and escapes with what is
+Shorter strings are suffix sums.
+Every counted string is a node of the trie, which grows with the corpus: nodes of up to three bytes (2 ** 24 at most) are
+sent to every task, longer ones are dealt to shards by the three bytes before the last one. All that a cost needs of a
+longer string - its context's symbols, its shorter contexts - lies in the same shard. Strings with at least a ``nodes``-th
+part of all training bytes have their costs looked up in place (at most ``nodes`` of them); all others, new strings too, go
+to their shard, and what they cost comes back summed by document. So ``nodes`` moves work and changes no probability.
+
+Probabilities. A context with T occurrences and D symbols gives a known symbol n / (T + D) and escapes with what is
 left (method C). The escape goes to the next shorter context with the symbols already seen there excluded and the rest
 made to sum to one, down to a uniform byte. So a symbol's cost is that of the longest context that knows it plus the
 escapes on the way, and all of it can be looked up: documents are scored many bytes at a time.
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import id_bucket, raw_bytes, slices, written
 
 START, END = 0xFF, 0xFE  # neither occurs in UTF-8
+SHARED = 2  # longest context whose level every task has
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -99,6 +103,34 @@ def suffixes(batches, order: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys), pa.array(n)], names=["k", "g", "n"])
 
 
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """By the three bytes before the last one."""
+    return ((((keys >> 8) & 0xFFFFFF) * 10368889 & 0xFFFFFF) * shards) >> 24
+
+
+def packed(x: np.ndarray) -> bytes:
+    """64-bit numbers as planes of bytes, which compress well."""
+    return x.astype(">i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(">i8").ravel().astype(np.int64)
+
+
+def parts(keys: np.ndarray, values: np.ndarray, base: int, shards: int) -> list[dict]:
+    """Keys and their values by shard; ``base`` is -1 for counts and the first uid for strings looked up."""
+    shard = shard_of(keys, shards)
+    at = np.lexsort((keys, shard))
+    keys, values, shard = keys[at], values[at], shard[at]
+    found, first = np.unique(shard, return_index=True)
+    ends = [*first[1:].tolist(), len(keys)]
+    return [{"shard": s, "base": base, "grams": packed(keys[a:b]), "numbers": packed(values[a:b])} for s, a, b in zip(found.tolist(), first.tolist(), ends)]
+
+
+PART = "struct<shard:int,base:long,grams:binary,numbers:binary>"
+PART_KIND = pa.struct([("shard", pa.int32()), ("base", pa.int64()), ("grams", pa.binary()), ("numbers", pa.binary())])
+
+
 class Table:
     """Numbers looked up by 64-bit keys, many at a time: open addressing, at most half full."""
 
@@ -139,12 +171,12 @@ class Table:
         return known, out
 
 
-def trie(levels: list[tuple[np.ndarray, np.ndarray]], documents: int) -> list[dict]:
+def trie(levels: list[tuple[np.ndarray, np.ndarray]], documents: int, shorter=()) -> list[dict]:
     """For each context length: sorted keys and log10 probabilities of kept grams, keys and log10 back-off weights of contexts.
 
-    ``levels[k]``: sorted grams of k + 1 bytes and their counts."""
-    out: list[dict] = []
-    for k, (keys, n) in enumerate(levels):
+    ``levels[k]``: sorted grams of k + 1 bytes and their counts; ``shorter``: what is known of the first levels."""
+    out: list[dict] = list(shorter)
+    for k, (keys, n) in list(enumerate(levels))[len(out) :]:
         n = n.astype(float)
         if not len(keys):
             out.append({"grams": keys, "log_p": n, "contexts": keys, "log_back": n})
@@ -170,10 +202,12 @@ def trie(levels: list[tuple[np.ndarray, np.ndarray]], documents: int) -> list[di
 
 
 class Model:
-    def __init__(self, levels: list[dict]):
+    def __init__(self, levels: list[dict], shorter: Model | None = None):
         self.order = len(levels) - 1
-        self.log_p = [Table(x["grams"], x["log_p"]) for x in levels]
-        self.log_back = [Table(x["contexts"], x["log_back"]) for x in levels]
+        self.log_p, self.log_back = (list(shorter.log_p), list(shorter.log_back)) if shorter else ([], [])
+        own = levels[len(self.log_p) :]
+        self.log_p += [Table(x["grams"], x["log_p"]) for x in own]
+        self.log_back += [Table(x["contexts"], x["log_back"]) for x in own]
 
     def costs(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's last byte after the others."""
@@ -201,59 +235,127 @@ class Model:
         return np.add.reduceat(self.costs(keys), offsets[:-1] + np.arange(len(offsets) - 1))
 
 
-def fit(docs: DataFrame, train, *, text="text", order=6, nodes=4_000_000, words=2_000_000) -> dict:
-    """The trie's levels, the words' counts and totals, from the rows where ``train`` holds. ``counts`` stays a table."""
+def levels_of(keys: np.ndarray, n: np.ndarray, order: int, first: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Levels ``first`` to ``order`` of counted grams."""
+    out = []
+    for k in range(order, first - 1, -1):
+        found, at = np.unique(keys & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        keys, n = found, np.bincount(at, n, len(found)).astype(np.int64)
+        out.append((keys, n))
+    return out[::-1]
+
+
+def fit(docs: DataFrame, train, *, text="text", order=6, nodes=8_000_000, words=2_000_000, shard=400_000) -> dict:
+    """The shared levels, the costs of frequent grams, the words' counts and totals, from the rows where ``train`` holds.
+
+    ``counts`` (of words) and ``grams`` stay tables; a shard has about ``shard`` grams."""
     rows = docs.where(train).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts = rows.mapInArrow(lambda batches: count(batches, order), "gram long, word binary, n long")
     counts = written(counts.groupBy("gram", "word").agg(F.sum("n").alias("n")), "lm-counts")
-    ends, tokens, different, size = counts.select(
+    ends, tokens, different, size, distinct = counts.select(
         F.coalesce(F.sum(F.when(F.col("gram").isNull() & F.col("word").isNull(), F.col("n"))), F.lit(0)),
         F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0)),
         F.count("word"),
         F.coalesce(F.sum(F.when(F.col("gram").isNotNull(), F.col("n"))), F.lit(0)),
+        F.count("gram"),
     ).first()
-    kept = counts.where("gram is not null").select("gram", "n").mapInArrow(lambda batches: suffixes(batches, order), "k int, g long, n long")
-    kept = kept.groupBy("k", "g").agg(F.sum("n").alias("n")).where(F.col("n") * nodes >= size).toArrow()
+    every = counts.where("gram is not null").select("gram", "n")
+    low = min(order, SHARED)
+    kept = every.mapInArrow(lambda batches: suffixes(batches, low), "k int, g long, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toArrow()
     level, gram, n = (kept[c].to_numpy() for c in ("k", "g", "n"))
     levels = []
-    for k in range(order + 1):
+    for k in range(low + 1):
         own = level == k
         by_key = np.argsort(gram[own])
         levels.append((gram[own][by_key].astype(np.int64), n[own][by_key].astype(np.int64)))
+    every = every.withColumn("context", F.shiftright("gram", 8))
+    contexts = every.groupBy("context").agg((F.sum("n") + F.count("*")).alias("base"), F.sum("n").alias("total")).where(F.col("total") * nodes >= size)
+    often = every.where(F.col("n") * nodes >= size).join(contexts, "context").select("gram", F.log10(F.col("n") / F.col("base")).cast("float").alias("log_p")).toArrow()
     total = tokens + ends
     heavy = counts.where(F.col("word").isNotNull() & (F.col("n") * words >= total)).select("word", "n").toArrow()
-    return {"levels": trie(levels, ends), "heavy": (heavy["word"], heavy["n"]), "counts": counts.where("word is not null").select("word", F.col("n").alias("c")), "ends": ends, "tokens": total, "vocabulary": different + (ends > 0)}
+    return {
+        "order": order, "levels": levels, "trie": trie(levels, ends), "often": (often["gram"].to_numpy().astype(np.int64), often["log_p"].to_numpy()), "shards": max(12, -(-distinct // shard)), "grams": every.select("gram", "n"),
+        "heavy": (heavy["word"], heavy["n"]), "counts": counts.where("word is not null").select("word", F.col("n").alias("c")), "ends": ends, "tokens": total, "vocabulary": different + (ends > 0),
+    }
+
+
+def count_parts(batches, shards: int):
+    """Counted grams by shard, many at a time."""
+    keys, n = [], []
+
+    def batch():
+        found = parts(np.concatenate(keys), np.concatenate(n), -1, shards)
+        keys.clear()
+        n.clear()
+        return pa.RecordBatch.from_struct_array(pa.array(found, PART_KIND))
+
+    for b in batches:
+        keys.append(b.column(0).to_numpy())
+        n.append(b.column(1).to_numpy())
+        if sum(map(len, keys)) > 500_000:
+            yield batch()
+    if sum(map(len, keys)):
+        yield batch()
+
+
+def shard_costs(batches, levels, lower: list[dict], documents: int, order: int):
+    """(uid, part): costs by document of the looked-up strings of each shard, whose counts come first."""
+    shorter = Model(lower)
+    shard, model, keys, n = None, None, [], []
+    for b in batches:
+        for i in range(b.num_rows):
+            own, base, grams_, numbers = (c[i].as_py() for c in b.columns)
+            if own != shard:
+                shard, model, keys, n = own, None, [], []
+            if base < 0:
+                keys.append(unpacked(grams_))
+                n.append(unpacked(numbers))
+                continue
+            if model is None:
+                none = np.zeros(0, np.int64)
+                longer = levels_of(np.concatenate([none, *keys]), np.concatenate([none, *n]), order, len(lower))
+                model, keys, n = Model(trie([*levels, *longer], documents, lower), shorter), [], []
+            found, at = np.unique(unpacked(numbers), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found + base), pa.array(np.bincount(at, model.costs(unpacked(grams_))))], names=["uid", "part"])
 
 
 def score(docs: DataFrame, held_out, model: dict, *, doc_id="doc_id", text="text") -> DataFrame:
     """See ``lm_scores``."""
-    levels = [{k: v.astype(np.float32) if k.startswith("log") else v for k, v in x.items()} for x in model["levels"]]
-    shared = docs.sparkSession.sparkContext.broadcast((levels, model["heavy"]))
-    ends = float(model["ends"])
-    names = ["uid", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"]
+    spark, order, shards, documents = docs.sparkSession, model["order"], model["shards"], model["ends"]
+    shared = spark.sparkContext.broadcast((model["often"], model["heavy"]))
+    low = spark.sparkContext.broadcast((model["levels"], model["trie"]))
+    ends = float(documents)
+    names = ["uid", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare", "parts"]
 
     def run(batches):
-        levels, (word, n) = shared.value
-        ppm = Model(levels)
+        often, (word, n) = shared.value
+        often = Table(*often)
         log = dict(zip(word.to_pylist(), np.log10(n.to_numpy() + 1.0).tolist()))
         uid = TaskContext.get().partitionId() << 33
         end = math.log10(ends + 1)
         rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
-        ids, outs, scores, tokens, known, logs, rare = ([] for _ in range(7))
+        ids, outs, scores, tokens, known, logs, rare, left, of = ([] for _ in range(9))
 
         def batch():
             nonlocal uid
             m = len(tokens)
-            columns = [np.arange(uid, uid + m), pa.concat_arrays(ids), pa.concat_arrays(outs), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(logs), np.concatenate(scores), pa.array(rare, rare_kind)]
+            looked_up = [parts(np.concatenate(left), np.concatenate(of), uid, shards)] + [[]] * (m - 1)
+            columns = [np.arange(uid, uid + m), pa.concat_arrays(ids), pa.concat_arrays(outs), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(logs), np.concatenate(scores), pa.array(rare, rare_kind), pa.array(looked_up, pa.list_(PART_KIND))]
             uid += m
-            for x in (ids, outs, scores, tokens, known, logs, rare):
+            for x in (ids, outs, scores, tokens, known, logs, rare, left, of):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=names)
 
         for whole in batches:
             for piece in slices(whole, "text", 400_000):
                 data, offsets = raw_bytes(piece.column(2))
-                scores.append(ppm.scores(data, offsets))
+                keys = grams(data, offsets, order)
+                found_gram, cost = often.find(keys)
+                starts = offsets[:-1] + np.arange(piece.num_rows)
+                scores.append(np.add.reduceat(cost.astype(float), starts))
+                rest = np.flatnonzero(~found_gram)
+                left.append(keys[rest])
+                of.append(np.searchsorted(starts, rest, side="right") - 1 + len(tokens))
                 ids.append(piece.column(0))
                 outs.append(piece.column(1))
                 lowered, at = LOWER[data].tobytes(), offsets.tolist()
@@ -265,20 +367,23 @@ def score(docs: DataFrame, held_out, model: dict, *, doc_id="doc_id", text="text
                     logs.append(math.fsum(found) + end)
                     rest = Counter(w for w in words if w not in log) if len(found) < len(words) else {}
                     rare.append([{"word": w, "times": t} for w, t in rest.items()])
-                if len(tokens) >= 1_000:
+                if len(tokens) >= 1_000 or sum(map(len, left)) > 1_000_000:
                     yield batch()
         if tokens:
             yield batch()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = written(rows.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<word:binary,times:int>>"), "lm-scores")
+    rows = written(rows.mapInArrow(run, f"uid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<word:binary,times:int>>, parts array<{PART}>"), "lm-scores")
+    counted = model["grams"].mapInArrow(lambda batches: count_parts(batches, shards), "shard int, base long, grams binary, numbers binary")
+    dealt = counted.unionByName(rows.select(F.explode("parts").alias("x")).select("x.*")).repartition(shards, "shard").sortWithinPartitions("shard", "base")
+    costs = dealt.mapInArrow(lambda batches: shard_costs(batches, *low.value, documents, order), "uid long, part double").groupBy("uid").agg(F.sum("part").alias("part"))
     rare = rows.select("uid", F.explode("rare").alias("x")).select("uid", "x.word", "x.times").join(model["counts"], "word")
     rare = rare.groupBy("uid").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
     base = math.log10(model["tokens"] + model["vocabulary"] + 1)
-    out = rows.drop("rare").join(rare, "uid", "left")
+    out = rows.drop("rare", "parts").join(rare, "uid", "left").join(costs, "uid", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(model["tokens"]).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * base).alias("base_score"), "score",
+        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * base).alias("base_score"), (F.col("score") + F.coalesce("part", F.lit(0.0))).alias("score"),
     )
 
 

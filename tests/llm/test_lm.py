@@ -83,3 +83,14 @@ def test_scores_and_base(docs, empty):
         want.append((-1 if i is None else i, held(i), len(words) + 1, sum(counts[w] > 0 for w in words) + 1, total, round(base, 5)))
     assert sorted(want) == sorted((-1 if r[0] is None else r[0], *r[1:5], round(r[5], 5)) for r in got)
     assert all(r["score"] < 0 for r in got)
+
+
+def test_every_gram_is_known_whatever_is_looked_up_in_place(docs):
+    rows = docs.select("doc_id", "text").collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    model = lm.Model(model_of([t or "" for i, t in rows if not held(i)], 6))
+    want = sorted((-1 if i is None else i, round(float(model.scores(*arrays(t or ""))[0]), 1)) for i, t in rows)
+    for nodes in (1, 2_000, 8_000_000):  # nearly nothing, some and all of it in place
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"], round(r["score"], 1)) for r in lm.lm_scores(docs, nodes=nodes, shard=50).collect())
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert all(abs(a - b) <= 1e-4 * abs(b) + 0.11 for (_, a), (_, b) in zip(got, want))
