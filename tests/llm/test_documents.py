@@ -1,7 +1,9 @@
 """Extraction, media and secrets."""
 
 import hashlib
+import random
 import re
+import string
 import wave
 import io
 import zlib
@@ -80,3 +82,24 @@ def test_secret_rows(docs, empty):
     out = {r["doc_id"]: r for r in secrets.redacted(docs).collect()}
     assert out[11]["text"] == "[SECRET]\" and [SECRET]" and out[11]["n_chars"] == len(out[11]["text"]) and out[3]["text"] is None
     assert not re.search("f4a8|AKIA", out[11]["text"]) and out[1]["text"] == rows and False or out[1]["text"].startswith("alpha")
+
+
+def test_random_strings_of_every_shape_are_found():
+    rnd, encode = random.Random(3), tokens.encoder(tokens.vocabulary())
+
+    def share(letters, size):
+        drawn = ["".join(rnd.choices(letters, k=size)) for _ in range(300)]
+        return sum(secrets.joined(secrets.spans(f"a {x} b", encode, ratio=2.1, known=frozenset())) == f"random:2:{2 + size}" for x in drawn) / 300
+
+    lower, upper = string.ascii_lowercase, string.ascii_uppercase
+    for letters, size in ((lower, 24), (lower + upper, 24), (lower + upper + "_", 32), (lower + upper + string.digits, 16), ("0123456789ABCDEF", 32), ("0123456789ABCDEF", 40)):
+        assert share(letters, size) > 0.95, (letters, size)
+    for name in ("to_be_or_not_to_be_that_is", "internationalization", "ThisIsAClassName2", "path/to/some/other/file", "Geschwindigkeitsbegrenzung", "----------------------"):
+        assert not secrets.spans(name, encode, ratio=2.1, known=frozenset()), name
+
+
+def test_random_string_beyond_a_base_span():
+    run = "deadbeef" * 3
+    text = f"x Zk9Qx7Lw2Vb8Nt4Rj6Hs1Pd3/{run} y"
+    found = secrets.spans(text, tokens.encoder(tokens.vocabulary()), ratio=2.1, known=frozenset())
+    assert secrets.joined(found) == "random:2:51,hex:27:51"
