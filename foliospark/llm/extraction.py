@@ -3,8 +3,9 @@
 Events are read in one stream. A line is a block's text with the container it stands in and the tags it holds. Each line
 has a text-to-tag ratio: its characters over its tags plus one. The ratios are smoothed with a Gaussian over the lines of
 the page; two clusters of the logarithms (a one-dimensional 2-means, so the threshold is the page's own) part content
-from the rest, and the container with the most content characters above the threshold is the content region. Inside the
-region every line stays, short ones too. What HTML marks as not the article - scripts, styles, forms, menus, headers,
+from the rest. Content regions are the innermost container with nearly all content characters and every article or main
+element; inside them every line stays, short ones too. Elsewhere the lines above the threshold stay, with the
+other lines of a container whose own text is mostly above it. What HTML marks as not the article - scripts, styles, forms, menus, headers,
 footers, asides, adverts, notices, comments - makes no lines.
 """
 
@@ -165,13 +166,19 @@ def main_text(html: str | None, *, sigma=1.0) -> str:
             weight[at] = weight.get(at, 0.0) + size * good
             at = parser.parents[at]
     best = max(weight.values())
-    # the innermost container that holds nearly all content; an article or main element wins where it holds most of it
+    own: dict[int, list[float]] = {}
+    for (_, _, container), size, good in zip(lines, sizes, content):
+        sums = own.setdefault(container, [0.0, 0.0])
+        sums[0] += size
+        sums[1] += size * good
+    mostly = {c for c, (every, good) in own.items() if 2 * good >= every}
+    # the innermost container that holds nearly all content; article or main elements win where one holds most of it
     marked = [c for c in named if weight[c] >= 0.5 * best]
     if marked:
-        region = set(marked)
+        region = set(named)
     else:
-        region = {max((c for c in weight if weight[c] >= 0.9 * best), key=lambda c: (len(_path(parser.parents, c)), weight[c]))}
-    kept = [text for text, _, container in lines if region & set(_path(parser.parents, container))]
+        region = named | {max((c for c in weight if weight[c] >= 0.9 * best), key=lambda c: (len(_path(parser.parents, c)), weight[c]))}
+    kept = [text for (text, _, container), good in zip(lines, content) if good or container in mostly or region & set(_path(parser.parents, container))]
     return " ".join(kept)
 
 

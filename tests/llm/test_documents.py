@@ -103,3 +103,13 @@ def test_random_string_beyond_a_base_span():
     text = f"x Zk9Qx7Lw2Vb8Nt4Rj6Hs1Pd3/{run} y"
     found = secrets.spans(text, tokens.encoder(tokens.vocabulary()), ratio=2.1, known=frozenset())
     assert secrets.joined(found) == "random:2:51,hex:27:51"
+
+
+def test_content_beside_the_largest_container_stays():
+    long = "body words of the story " * 30
+    part = "a last part that goes on for a while " * 3
+    page = f"<body><div><a>1</a><a>2</a></div><div><p>{long}</p><p>{long}</p></div><div><p>{part}</p></div></body>"
+    assert part.strip() in extraction.main_text(page) and long.strip() in extraction.main_text(page)
+    two = f"<body><p>{part}</p><article><p>{long}</p><p>short.</p></article><article><p>{part} second</p><p>end.</p></article></body>"
+    got = extraction.main_text(two)
+    assert got.count(part.strip()) == 2 and got.endswith("second end.") and "short." in got
