@@ -5,8 +5,9 @@ has a text-to-tag ratio: its characters over its tags plus one. The ratios are s
 the page; two clusters of the logarithms (a one-dimensional 2-means, so the threshold is the page's own) part content
 from the rest. Content regions are the innermost container with nearly all content characters and every article or main
 element; inside them every line stays, short ones too. Elsewhere the lines above the threshold stay, with the
-other lines of a container whose own text is mostly above it. What HTML marks as not the article - scripts, styles, forms, menus, headers,
-footers, asides, adverts, notices, comments - makes no lines.
+other lines of a container whose own text is mostly above it. What HTML marks as not the article - scripts, styles, menus, headers, footers,
+asides - makes no lines. Forms and what a class or id calls an advert, notice, comment and the like go too, but only where
+they hold no article, main or h1 element and less than half of the page's text; else they are plain containers.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("head script style template noscript nav footer aside form button select textarea option iframe object svg math canvas dialog menu".split())
+SKIPPED = frozenset("head script style template noscript nav footer aside button select textarea option iframe object svg math canvas dialog menu".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article main section div td body".split())
 #: Elements whose start ends an open paragraph, and list or table parts that end their like.
@@ -31,30 +32,47 @@ MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, container) for every visible block, in page order."""
+    """Collects (pieces of text, tags, container) for every visible block, in page order; pieces and tags with the doubtful element they lie in."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, skipped, container
-        self.lines: list[tuple[str, int, int]] = []
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, skipped, container, doubt
+        self.lines: list[tuple[list[tuple[str, int]], list[int], int]] = []
         self.parents: list[int] = [-1]  # of containers; 0 is the page
         self.names: list[str] = ["page"]
+        self.doubts: list[int] = [-1]  # parents of doubtful elements; 0 is none
+        self.article: list[bool] = [True]  # do they hold an article, main or h1 element?
+        self.chars: list[int] = [0]
         self.skip = 0
         self.container = 0
-        self.words: list[str] = []
-        self.tags = 0
+        self.doubt = 0
+        self.words: list[tuple[str, int]] = []
+        self.tags: list[int] = []
 
     def end_line(self):
-        text = " ".join("".join(self.words).split())
-        if text:
-            self.lines.append((text, self.tags, self.container))
-        self.words.clear()
-        self.tags = 0
+        if any(text and not text.isspace() for text, _ in self.words):
+            self.lines.append((self.words, self.tags, self.container))
+        self.words, self.tags = [], []
+
+    def visible(self) -> list[tuple[str, int, int]]:
+        """(text, tags, container) of the lines without the doubtful elements that are to be skipped."""
+        total = self.chars[:]
+        for i in range(len(total) - 1, 0, -1):
+            total[self.doubts[i]] += total[i]
+        gone = [False] * len(total)
+        for i in range(1, len(total)):
+            gone[i] = gone[self.doubts[i]] or not self.article[i] and 2 * total[i] < total[0]
+        out = []
+        for words, tags, container in self.lines:
+            text = " ".join("".join(x for x, doubt in words if not gone[doubt]).split())
+            if text:
+                out.append((text, sum(not gone[doubt] for doubt in tags), container))
+        return out
 
     def marked(self, tag, attrs) -> bool:
         if tag in SKIPPED:
             return True
-        inside = any(name in ("article", "main") for name, _, _ in self.open)
+        inside = any(name in ("article", "main") for name, *_ in self.open)
         if tag == "header":
             return not inside  # an article's own header holds its title
         if not attrs or tag in ("html", "body", "article", "main", "p", "h1"):
@@ -62,23 +80,32 @@ class Lines(HTMLParser):
         given = dict(attrs)
         if "hidden" in given or given.get("aria-hidden") == "true" or (given.get("role") or "") in ROLES:
             return True
+        return False
+
+    def doubtful(self, tag, attrs) -> bool:
+        if tag == "form":
+            return True
+        if not attrs or tag in ("html", "body", "article", "main", "p", "h1"):
+            return False
+        given = dict(attrs)
         return any(MARKED.search(given.get(k) or "") for k in ("class", "id"))
 
     def close_one(self):
-        tag, skipped, container = self.open.pop()
+        tag, skipped, container, doubt = self.open.pop()
         if tag in BLOCKS:
             self.end_line()
         self.skip -= skipped
         self.container = container
+        self.doubt = doubt
         return tag
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS and not self.skip:
             self.end_line()
         if tag == "br":
-            self.words.append(" ")
+            self.words.append((" ", self.doubt))
         if tag in VOID:
-            self.tags += 1
+            self.tags.append(self.doubt)
             return
         if tag in BLOCKS or tag in ENDS:
             like = ENDS.get(tag, frozenset()) | ({"p"} if tag in BLOCKS else frozenset())
@@ -92,14 +119,24 @@ class Lines(HTMLParser):
                 elif name in BLOCKS or name in SKIPPED:
                     break
         skipped = self.marked(tag, attrs)
-        self.open.append((tag, skipped, self.container))
+        self.open.append((tag, skipped, self.container, self.doubt))
         self.skip += skipped
+        if not self.skip and self.doubtful(tag, attrs):
+            self.doubts.append(self.doubt)
+            self.article.append(False)
+            self.chars.append(0)
+            self.doubt = len(self.doubts) - 1
+        if not self.skip and tag in ("article", "main", "h1"):
+            at = self.doubt
+            while not self.article[at]:
+                self.article[at] = True
+                at = self.doubts[at]
         if tag in CONTAINERS and not self.skip:
             self.parents.append(self.container)
             self.names.append(tag)
             self.container = len(self.parents) - 1
         elif not self.skip:
-            self.tags += 1
+            self.tags.append(self.doubt)
 
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
@@ -114,7 +151,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         if not self.skip:
-            self.words.append(data)
+            self.words.append((data, self.doubt))
+            self.chars[self.doubt] += len("".join(data.split()))
 
 
 def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -150,7 +188,7 @@ def main_text(html: str | None, *, sigma=1.0) -> str:
     while parser.open:
         parser.close_one()
     parser.end_line()
-    lines = parser.lines
+    lines = parser.visible()
     if not lines:
         return ""
     sizes = np.array([len(text) for text, _, _ in lines], float)

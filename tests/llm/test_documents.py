@@ -113,3 +113,13 @@ def test_content_beside_the_largest_container_stays():
     two = f"<body><p>{part}</p><article><p>{long}</p><p>short.</p></article><article><p>{part} second</p><p>end.</p></article></body>"
     got = extraction.main_text(two)
     assert got.count(part.strip()) == 2 and got.endswith("second end.") and "short." in got
+
+
+@pytest.mark.parametrize("start, end", [('<div class="page has-sidebar">', "</div>"), ('<div id="content" class="no-sidebar">', "</div>"), ('<div class="post comments-open">', "</div>"), ("<form>", "</form>")])
+def test_marked_wrappers_of_the_page_are_read(start, end):
+    text = "words of the article " * 20
+    inner = f'<p>{text}</p><div class="sidebar">Side</div><form>Name</form>'
+    assert extraction.main_text(f"<body>{start}{inner}{end}</body>") == text.strip()
+    few = f"<body>{start}<article><p>Few words.</p></article>{end}<div><p>{text}</p></div></body>"
+    assert "Few words." in extraction.main_text(few)
+    assert "Buy" not in extraction.main_text(f'<p>{text} <span class="ad">Buy</span> on</p>')
