@@ -201,20 +201,24 @@ SELECT item_id, count(doc_id) AS n_documents, min(doc_id) AS first_document FROM
 def fidelity_forward(spark, d):
     """Passages and the documents that hold them, white space apart.
 
-    The plan is an equi-join, not a nested loop: a passage is looked for by the hash of its longest inner word among the
-    words of the documents, without their texts; only the pairs that meet are compared as texts. So a passage needs three words, and its
-    inner ones must be words of the document too."""
-    words = lambda c: F.split(F.lower(c), rf"{t.BLANK}+")
-    p = read(spark, d, "benchmark").select("item_id", t.stripped(t.text_of("text")).alias("passage"))
-    inner = F.filter(F.slice(words(F.col("passage")), F.lit(2), F.greatest(F.lit(0), F.size(words(F.col("passage"))) - 2)), lambda w: w != "")
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
-    p = p.withColumn("probe", F.xxhash64(longest)).withColumn("has_probe", longest.isNotNull())
-    docs = read(spark, d, "documents").select("doc_id", t.text_of("text").alias("text"))
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))).alias("probe"))
-    pairs = held.join(p.where("has_probe").select("item_id", "probe"), "probe").select("item_id", "doc_id")
-    met = docs.join(pairs, "doc_id").join(p.select("item_id", "passage"), "item_id")
-    found = met.where(F.contains(t.without_blanks(F.col("text")), t.without_blanks(F.col("passage")))).select("item_id", "doc_id").distinct()
-    return p.select("item_id").join(found, "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("n_documents"), F.min("doc_id").alias("first_document"))
+    The plan is an equi-join, not a nested loop: the hash of a passage's first bytes (all of a short one) is looked for among
+    the windows of as many bytes of each document, by a table of bits first, of one size for any number of passages; only
+    the pairs that meet are compared as texts. The empty passage lies in every document."""
+    p = read(spark, d, "benchmark").select("item_id", t.without_blanks(t.text_of("text")).alias("passage"))
+    docs = read(spark, d, "documents").select("doc_id", t.without_blanks(t.text_of("text")).alias("whole"))
+    p = p.mapInArrow(align.probes, "item_id long, passage string, size int, probe long")
+    bits = F.shiftrightunsigned("probe", 64 - align.PROBE_BITS).alias("bit")
+    wanted: dict = {}
+    for size, bit in p.where("size > 0").select("size", bits).distinct().collect():
+        wanted.setdefault(size, []).append(bit)
+    shared = spark.sparkContext.broadcast(wanted)
+    held = docs.mapInArrow(lambda batches: align.windows_held(batches, shared.value), "doc_id long, whole string, size int, probe long")
+    found = held.join(p.where("size > 0"), ["size", "probe"]).where(F.contains("whole", "passage")).groupBy("item_id").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("first"))
+    every, first = docs.agg(F.count("doc_id"), F.min("doc_id")).first()
+    empty = p.where("size = 0").groupBy("item_id").agg((F.count("*") * every).alias("n"), F.lit(first).cast("long").alias("first"))
+    found = found.unionByName(empty).groupBy("item_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    items = p.select("item_id").distinct().join(found.withColumnRenamed("item_id", "found_id"), F.col("item_id").eqNullSafe(F.col("found_id")), "left")
+    return items.select("item_id", F.coalesce("n", F.lit(0)).alias("n_documents"), F.col("first").alias("first_document"))
 
 
 @query(f"""WITH {LINES}, w AS (SELECT work, unit, {NOSPACE.format('text')} AS whole FROM units), x AS (SELECT l.unit, l.line, contains(whole, {NOSPACE.format('l.text')}) AS inside FROM lines l JOIN w USING (unit))
