@@ -10,14 +10,19 @@ from foliospark.llm.common import id_bucket, written
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, modulus: int, held_out: int, most: int, doc_id="doc_id", text="text") -> DataFrame:
-    """text and label (0 or 1) of the labelled documents outside the held-out fold, at most ``most`` labelled ids in seeded order.
+    """text and label (0 or 1) of labelled documents outside the held-out fold: different texts, at most ``most`` of them in seeded order.
 
-    The bound makes the id side small by proof, so it may be broadcast. Null ids and null labels don't take part; an id
-    with several labels has the greatest."""
+    At most ``most`` ids are looked for, so the id side is small by proof and may be broadcast; rows that repeat an id don't
+    add to the sample beyond the bound either. Null ids and null labels don't take part; an id with several labels has the
+    greatest, and so has a text."""
     ids = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("y")).where("id is not null and y in (0, 1)").where(id_bucket(F.col("id"), modulus) != held_out)
     ids = ids.groupBy("id").agg(F.max("y").cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return written(rows.join(F.broadcast(ids), "id").select("text", "y"), "labelled")
+    found = written(rows.join(F.broadcast(ids), "id").groupBy("text").agg(F.max("y").alias("y")), "labelled")
+    if found.count() > most:
+        mark = F.xxhash64("text")
+        found = found.where(mark <= found.select(mark.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0])
+    return found
 
 
 def logistic(x: np.ndarray, y: np.ndarray, *, ridge=1.0, rounds=50) -> np.ndarray:

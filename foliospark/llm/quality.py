@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import id_bucket
+from foliospark.llm.common import id_bucket, slices
 from foliospark.llm.labelled import labelled_sample, logistic
 
 UPPER = np.zeros(256, bool)
@@ -117,9 +117,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label="quality", modulus=3, held_
 
 
 def _vectors(batches):
-    for batch in batches:
-        x = [statistics((t.as_py() or "").encode()) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["x", "y"])
+    for whole in batches:
+        for piece in slices(whole, "text"):
+            x = [statistics((t.as_py() or "").encode()) for t in piece.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), piece.column(1).cast(pa.int32())], names=["x", "y"])
 
 
 def scores_of(texts: list[bytes], model: dict) -> np.ndarray:
@@ -136,14 +137,19 @@ def score(docs: DataFrame, model: dict, *, doc_id="doc_id", text="text") -> Data
     """doc_id and score (0 to 1) of every whole text; a null text counts as empty."""
 
     def run(batches):
-        for batch in batches:
-            found = scores_of([(t.as_py() or "").encode() for t in batch.column(1)], model)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
+        for whole in batches:
+            for piece in slices(whole, "text"):
+                found = scores_of([(t.as_py() or "").encode() for t in piece.column(1)], model)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row, nulls and repeats too."""
+    """doc_id, held_out, score, predicted for every row.
+
+    Null ids, null texts (as empty ones) and repeated rows are scored like others; equal texts have equal scores. An empty
+    table gives no rows, a table without labels of both kinds one score for all. Texts are read whole, however long, and
+    columns that clash with names used here are ignored."""
     scored = score(docs, fit(docs, labels, **options))
     return scored.select("doc_id", (id_bucket(F.col("doc_id"), options.get("modulus", 3)) == options.get("held_out", 1)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
