@@ -1,19 +1,25 @@
 """HTML main-text extraction from standard-library parser events.
 
-Events are read in one stream. A line is a block's text with the container it stands in and the tags it holds. Each line
-has a text-to-tag ratio: its characters over its tags plus one. The ratios are smoothed with a Gaussian over the lines of
-the page; two clusters of the logarithms (a one-dimensional 2-means, so the threshold is the page's own) part content
-from the rest. Content regions are the innermost container with nearly all content characters and every article or main
-element; inside them every line stays, short ones too. Elsewhere the lines above the threshold stay, with the
-other lines of a container whose own text is mostly above it. What HTML marks as not the article - scripts, styles, menus, headers, footers,
-asides - makes no lines. Forms and what a class or id calls an advert, notice, comment and the like go too, but only where
-they hold no article, main or h1 element and less than half of the page's text; else they are plain containers.
+Events are read in one stream. A line is a block's text with the container it stands in, the tags it holds and the part of
+the page that its markup names: the article, boilerplate, or neither. Every line has a text-to-tag ratio: its characters
+over its tags plus one. The logarithms are smoothed with a Gaussian over the lines of the page, and two clusters of the
+smoothed values (a one-dimensional 2-means, so the threshold is the page's own) part content from the rest. What markup
+names only shifts a line against that threshold: article and main elements by ``FOR``, menus, headers, footers, asides,
+and elements whose class or id says advert, notice, comment and the like by ``AGAINST``. A class or id and a form count
+only where they hold no article, main or h1 element and less than half of the page's text.
+
+Content regions are then the containers that content fills: the innermost container with nearly all content characters,
+article and main elements that are mostly content, and containers whose own text mostly is. Inside a region every line
+that isn't boilerplate stays, short ones too; elsewhere the lines above the threshold stay. Work is linear in the page:
+containers are numbered after their parents, so weights are summed in one pass backwards and regions passed down in one
+pass forwards.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -21,41 +27,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import slices
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("head script style template noscript nav footer aside button select textarea option iframe object svg math canvas dialog menu".split())
-BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTAINERS = frozenset("article main section div td body".split())
-#: Elements whose start ends an open paragraph, and list or table parts that end their like.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Never shown as text.
+UNSEEN = frozenset("head script style template noscript button select textarea option iframe object svg math canvas".split())
+#: Shown, but by their element not the article.
+ASIDE = frozenset("nav footer aside dialog menu".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+CONTAINERS = frozenset("article main section div td body nav footer aside header menu form".split())
+#: List or table parts that end their like; any block ends an open paragraph.
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar tablist".split())
 MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|widget|footer|masthead|site-?header|related|recommended|share|sharing|social|comments?|disqus|respond|reply|replies|tags|pagination|pager|toolbar)(?:$|[\s_-])", re.IGNORECASE)
+#: By how much (in logarithms of the ratio) markup shifts a line against the threshold.
+FOR, AGAINST = 2.0, 12.0
 
 
 class Lines(HTMLParser):
-    """Collects (pieces of text, tags, container) for every visible block, in page order; pieces and tags with the doubtful element they lie in."""
+    """Collects (pieces of text, tags, container, shift) for every block, in page order; pieces and tags with the doubtful element they lie in."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, skipped, container, doubt
-        self.lines: list[tuple[list[tuple[str, int]], list[int], int]] = []
+        self.open: list[tuple[str, bool, int, int, bool, bool]] = []  # tag, unseen, container, doubt, in the article, aside
+        self.blocks: list[int] = []  # places of the open blocks
+        self.inline: list[Counter] = [Counter()]  # open inline elements above each open block
+        self.names_open: Counter = Counter()
+        self.lines: list[tuple[list[tuple[str, int]], list[int], int, bool, bool]] = []
         self.parents: list[int] = [-1]  # of containers; 0 is the page
         self.names: list[str] = ["page"]
         self.doubts: list[int] = [-1]  # parents of doubtful elements; 0 is none
         self.article: list[bool] = [True]  # do they hold an article, main or h1 element?
         self.chars: list[int] = [0]
-        self.skip = 0
-        self.container = 0
-        self.doubt = 0
+        self.unseen = 0
+        self.container = self.doubt = 0
+        self.inside = self.aside = False
         self.words: list[tuple[str, int]] = []
         self.tags: list[int] = []
 
     def end_line(self):
         if any(text and not text.isspace() for text, _ in self.words):
-            self.lines.append((self.words, self.tags, self.container))
+            self.lines.append((self.words, self.tags, self.container, self.inside, self.aside))
         self.words, self.tags = [], []
 
-    def visible(self) -> list[tuple[str, int, int]]:
-        """(text, tags, container) of the lines without the doubtful elements that are to be skipped."""
+    def visible(self) -> list[tuple[str, int, int, float]]:
+        """(text, tags, container, shift) of the lines; what lies in a doubtful element that counts as boilerplate is a line of its own."""
         total = self.chars[:]
         for i in range(len(total) - 1, 0, -1):
             total[self.doubts[i]] += total[i]
@@ -63,24 +79,23 @@ class Lines(HTMLParser):
         for i in range(1, len(total)):
             gone[i] = gone[self.doubts[i]] or not self.article[i] and 2 * total[i] < total[0]
         out = []
-        for words, tags, container in self.lines:
-            text = " ".join("".join(x for x, doubt in words if not gone[doubt]).split())
-            if text:
-                out.append((text, sum(not gone[doubt] for doubt in tags), container))
+        kinds = (False, True) if any(gone) else (False,)
+        for words, tags, container, inside, aside in self.lines:
+            for bad in kinds:
+                text = " ".join("".join(x for x, doubt in words if gone[doubt] == bad).split())
+                if text:
+                    out.append((text, sum(gone[doubt] == bad for doubt in tags), container, -AGAINST if bad or aside else FOR if inside else 0.0))
         return out
 
-    def marked(self, tag, attrs) -> bool:
-        if tag in SKIPPED:
+    def names_aside(self, tag, attrs) -> bool:
+        if tag in ASIDE:
             return True
-        inside = any(name in ("article", "main") for name, *_ in self.open)
         if tag == "header":
-            return not inside  # an article's own header holds its title
+            return not self.inside  # an article's own header holds its title
         if not attrs or tag in ("html", "body", "article", "main", "p", "h1"):
             return False
         given = dict(attrs)
-        if "hidden" in given or given.get("aria-hidden") == "true" or (given.get("role") or "") in ROLES:
-            return True
-        return False
+        return (given.get("role") or "") in ROLES
 
     def doubtful(self, tag, attrs) -> bool:
         if tag == "form":
@@ -91,66 +106,83 @@ class Lines(HTMLParser):
         return any(MARKED.search(given.get(k) or "") for k in ("class", "id"))
 
     def close_one(self):
-        tag, skipped, container, doubt = self.open.pop()
+        tag, unseen, container, doubt, inside, aside = self.open.pop()
+        self.names_open[tag] -= 1
         if tag in BLOCKS:
             self.end_line()
-        self.skip -= skipped
-        self.container = container
-        self.doubt = doubt
-        return tag
+            self.blocks.pop()
+            self.inline.pop()
+        else:
+            self.inline[-1][tag] -= 1
+        self.unseen -= unseen
+        self.container, self.doubt, self.inside, self.aside = container, doubt, inside, aside
+
+    def close_to(self, place: int):
+        while len(self.open) > place:
+            self.close_one()
 
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS and not self.skip:
+        block = tag in BLOCKS
+        if block and not self.unseen:
             self.end_line()
         if tag == "br":
             self.words.append((" ", self.doubt))
         if tag in VOID:
             self.tags.append(self.doubt)
             return
-        if tag in BLOCKS or tag in ENDS:
-            like = ENDS.get(tag, frozenset()) | ({"p"} if tag in BLOCKS else frozenset())
-            for i in range(len(self.open) - 1, -1, -1):
-                name = self.open[i][0]
-                if name in like:
-                    while len(self.open) > i:
-                        self.close_one()
-                    if not tag in ("tr",):
-                        break
-                elif name in BLOCKS or name in SKIPPED:
+        if block:
+            like = ENDS.get(tag, frozenset()) | {"p"}
+            while self.blocks and self.open[self.blocks[-1]][0] in like:
+                self.close_to(self.blocks[-1])
+                if tag != "tr":
                     break
-        skipped = self.marked(tag, attrs)
-        self.open.append((tag, skipped, self.container, self.doubt))
-        self.skip += skipped
-        if not self.skip and self.doubtful(tag, attrs):
+        unseen = tag in UNSEEN or bool(attrs) and tag not in ("html", "body") and any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+        self.open.append((tag, unseen, self.container, self.doubt, self.inside, self.aside))
+        self.names_open[tag] += 1
+        if block:
+            self.blocks.append(len(self.open) - 1)
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][tag] += 1
+        self.unseen += unseen
+        if self.unseen:
+            return
+        if self.names_aside(tag, attrs):
+            self.aside = True
+        elif self.doubtful(tag, attrs):
             self.doubts.append(self.doubt)
             self.article.append(False)
             self.chars.append(0)
             self.doubt = len(self.doubts) - 1
-        if not self.skip and tag in ("article", "main", "h1"):
+        if tag in ("article", "main", "h1"):
             at = self.doubt
             while not self.article[at]:
                 self.article[at] = True
                 at = self.doubts[at]
-        if tag in CONTAINERS and not self.skip:
+            self.inside = self.inside or tag != "h1"
+        if tag in CONTAINERS:
             self.parents.append(self.container)
             self.names.append(tag)
             self.container = len(self.parents) - 1
-        elif not self.skip:
+        else:
             self.tags.append(self.doubt)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                while len(self.open) > i:
-                    self.close_one()
-                return
-            if tag not in BLOCKS and self.open[i][0] in BLOCKS:
-                break  # an inline end tag doesn't close blocks
-        if tag in BLOCKS and not self.skip:
-            self.end_line()
+        if tag in BLOCKS:
+            if self.names_open[tag]:
+                place = len(self.blocks) - 1
+                while self.open[self.blocks[place]][0] != tag:
+                    place -= 1
+                self.close_to(self.blocks[place])
+            elif not self.unseen:
+                self.end_line()
+        elif self.inline[-1][tag]:  # an inline end tag doesn't close blocks
+            while self.open[-1][0] != tag:
+                self.close_one()
+            self.close_one()
 
     def handle_data(self, data):
-        if not self.skip:
+        if not self.unseen:
             self.words.append((data, self.doubt))
             self.chars[self.doubt] += len("".join(data.split()))
 
@@ -178,62 +210,59 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str | None, *, sigma=1.0) -> str:
-    """Blocks of the content region joined by one space; empty for a null, empty or textless page."""
-    if not html:
-        return ""
+def lines_of(html: str) -> tuple[list[tuple[str, int, int, float]], list[int], list[str]]:
+    """(text, tags, container, shift) of each line, the containers' parents and their names."""
     parser = Lines()
     parser.feed(html)
     parser.close()
-    while parser.open:
-        parser.close_one()
+    parser.close_to(0)
     parser.end_line()
-    lines = parser.visible()
+    return parser.visible(), parser.parents, parser.names
+
+
+def main_text(html: str | None, *, sigma=1.0) -> str:
+    """The kept lines joined by one space; empty for a null, empty or textless page."""
+    lines, parents, names = lines_of(html) if html else ([], [], [])
     if not lines:
         return ""
-    sizes = np.array([len(text) for text, _, _ in lines], float)
-    ratio = smoothed(np.log(sizes / (1 + np.array([tags for _, tags, _ in lines], float)) + 1), sigma)
-    content = ratio >= threshold(ratio)
-    weight: dict[int, float] = {}
-    named: set[int] = set()
-    for (_, _, container), size, good in zip(lines, sizes, content):
-        at = container
-        while at >= 0:
-            if parser.names[at] in ("article", "main"):
-                named.add(at)
-            weight[at] = weight.get(at, 0.0) + size * good
-            at = parser.parents[at]
-    best = max(weight.values())
-    own: dict[int, list[float]] = {}
-    for (_, _, container), size, good in zip(lines, sizes, content):
-        sums = own.setdefault(container, [0.0, 0.0])
-        sums[0] += size
-        sums[1] += size * good
-    mostly = {c for c, (every, good) in own.items() if 2 * good >= every}
-    # the innermost container that holds nearly all content; article or main elements win where one holds most of it
-    marked = [c for c in named if weight[c] >= 0.5 * best]
-    if marked:
-        region = set(named)
-    else:
-        region = named | {max((c for c in weight if weight[c] >= 0.9 * best), key=lambda c: (len(_path(parser.parents, c)), weight[c]))}
-    kept = [text for (text, _, container), good in zip(lines, content) if good or container in mostly or region & set(_path(parser.parents, container))]
-    return " ".join(kept)
-
-
-def _path(parents: list[int], at: int) -> list[int]:
-    out = []
-    while at >= 0:
-        out.append(at)
-        at = parents[at]
-    return out
+    sizes = np.array([len(text) for text, *_ in lines], float)
+    shift = np.array([x for *_, x in lines])
+    ratio = smoothed(np.log(sizes / (1 + np.array([tags for _, tags, *_ in lines], float)) + 1), sigma)
+    content = ratio + shift >= threshold(ratio)
+    # characters of each container by itself and with what it holds: all that may be content, and content
+    own, own_good = np.zeros(len(parents)), np.zeros(len(parents))
+    at = np.array([container for _, _, container, _ in lines])
+    np.add.at(own, at, sizes * (shift > -AGAINST))
+    np.add.at(own_good, at, sizes * content)
+    every, good = own.tolist(), own_good.tolist()
+    for i in range(len(parents) - 1, 0, -1):
+        every[parents[i]] += every[i]
+        good[parents[i]] += good[i]
+    # numbered after their parents: the last with nearly all content is the innermost; the page itself where there is none
+    whole = max(i for i in range(len(parents)) if good[i] >= 0.9 * good[0]) if good[0] else 0
+    articles = [i for i, name in enumerate(names) if name in ("article", "main") and 2 * good[i] >= every[i] > 0]
+    region = [False] * len(parents)
+    for i in articles:
+        region[i] = True
+    if not articles or 2 * sum(good[i] for i in articles) < good[0]:
+        region[whole] = True
+    for i in range(1, len(parents)):
+        region[i] = region[i] or region[parents[i]]
+    mostly = 2 * own_good >= own
+    return " ".join(text for (text, _, container, x), kept in zip(lines, content) if kept or x > -AGAINST and (region[container] or own_good[container] and mostly[container]))
 
 
 def extract(pages: DataFrame, *, page_id="page_id", url="url", html="html", sigma=1.0) -> DataFrame:
-    """page_id, url, text and n_chars (code points) of every page, null and repeated ones too."""
+    """page_id, url, text and n_chars (code points) of every page.
+
+    A null, empty or textless page has the empty text; null ids and urls pass; repeated pages are rows of their own with
+    equal texts; an empty table gives no rows. Pages are read whole in time linear in their length, and columns that clash
+    with names used here are ignored."""
 
     def run(batches):
-        for batch in batches:
-            found = [main_text(x.as_py(), sigma=sigma) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for whole in batches:
+            for batch in slices(whole, "html"):
+                found = [main_text(x.as_py(), sigma=sigma) for x in batch.column(2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
