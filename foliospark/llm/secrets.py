@@ -14,7 +14,9 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from foliospark.llm.common import slices
 from foliospark.llm.tokens import encoder, vocabulary
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -48,11 +50,14 @@ def spans(text: str, encode, *, ratio: float, known: frozenset[str]) -> list[tup
     # a run under 24 characters is dropped and cuts nothing off its neighbours, so only the long runs need looking for
     found += [("hex", m.start(), m.end()) for m in LONG_HEX.finditer(text)]
     taken = sorted((a, b) for _, a, b in found)
+    # both lists ascend: a candidate lies in a base span if one that starts no later reaches as far
+    at, reached = 0, 0
     for m in CANDIDATE.finditer(text):
+        while at < len(taken) and taken[at][0] <= m.start():
+            reached = max(reached, taken[at][1])
+            at += 1
         word = m[0]
-        if word in known or IDENTIFIER.fullmatch(word):
-            continue
-        if any(a <= m.start() and m.end() <= b for a, b in taken):
+        if m.end() <= reached or word in known or IDENTIFIER.fullmatch(word):
             continue
         if is_random(word, encode, ratio):
             found.append(("random", m.start(), m.end()))
@@ -68,23 +73,26 @@ def _options(path, ratio, known):
 
 
 def scan(docs: DataFrame, *, doc_id="doc_id", text="text", path: str | None = None, ratio=2.1, known=()) -> DataFrame:
-    """doc_id and ``found``, the spans of every text as structs (kind, start, end). ``ratio``: characters a token below which a string is random."""
+    """doc_id and ``found``, the spans of every text as structs (kind, start, end). ``ratio``: characters a token below which a string is random.
+
+    A null or empty text has no spans; null ids pass; repeated rows are rows of their own with equal spans; an empty table
+    gives no rows. Texts are read whole in time linear in their length, and columns that clash with names used here are
+    ignored. Of base spans of one kind and place there is one; where kinds overlap, all stay."""
     options = _options(path, ratio, known)
 
     def run(batches):
         encode = encoder(options["path"])
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            rows = [[dict(zip(("kind", "start", "end"), x)) for x in spans(t.as_py() or "", encode, ratio=options["ratio"], known=options["known"])] for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "found"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                rows = [[dict(zip(("kind", "start", "end"), x)) for x in spans(t.as_py() or "", encode, ratio=options["ratio"], known=options["known"])] for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "found"])
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, found array<struct<kind:string,start:long,end:long>>")
 
 
 def digest_rows(docs: DataFrame, **options) -> DataFrame:
-    """Counts of each kind and the spans as text; see ``scan``."""
-    from pyspark.sql import functions as F
-
+    """Counts of each kind and the spans as text; see ``scan`` for nulls, repeats, empty tables and long texts."""
     found = scan(docs, **options)
 
     def number(kind):

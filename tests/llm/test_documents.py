@@ -109,6 +109,56 @@ def test_random_string_beyond_a_base_span():
     assert secrets.joined(found) == "random:2:51,hex:27:51"
 
 
+def slow_spans(text, encode, ratio):
+    """Every candidate against every base span, and base spans by plain search of each start."""
+    found = []
+    at = 0
+    while m := re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""").search(text, at):
+        found += [("assign", m.start(), m.end())] if len(m[1]) >= 6 else []
+        at = m.end()
+    for kind, letters, lead, least in (("access", string.ascii_uppercase + string.digits, "AKIA", 20), ("hex", "0123456789abcdef", "", 24)):
+        at = 0
+        while at < len(text):
+            end = at + len(lead)
+            while text.startswith(lead, at) and end < len(text) and text[end] in letters:
+                end += 1
+            if text.startswith(lead, at) and end > at + len(lead):
+                found += [(kind, at, end)] if end - at >= least else []
+                at = end
+            else:
+                at += 1
+    base = list(found)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+        inside = any(a <= m.start() and m.end() <= b for _, a, b in base)
+        if not inside and not secrets.IDENTIFIER.fullmatch(m[0]) and secrets.is_random(m[0], encode, ratio):
+            found.append(("random", m.start(), m.end()))
+    return sorted(found, key=lambda x: (x[1], ("assign", "access", "hex", "random").index(x[0]), x[2]))
+
+
+def test_spans_against_brute_force():
+    rnd, encode = random.Random(12), tokens.encoder(tokens.vocabulary())
+    hexes = "0123456789abcdef"
+    for _ in range(300):
+        parts = []
+        for _ in range(rnd.randrange(8)):
+            parts.append(rnd.choice([
+                lambda: rnd.choice(["password", "Token", "API_KEY", "secret"]) + rnd.choice(["=", " : ", '"= "']) + "".join(rnd.choices(string.ascii_letters + "/=.-", k=rnd.randrange(1, 30))),
+                lambda: "AKIA" + "".join(rnd.choices(string.ascii_uppercase + string.digits, k=rnd.randrange(1, 30))), lambda: "".join(rnd.choices(hexes, k=rnd.randrange(10, 60))),
+                lambda: "".join(rnd.choices(string.ascii_letters + string.digits + "_/", k=rnd.randrange(5, 50))), lambda: rnd.choice(["plain words", "päss wörter", "some_long_identifier_name", "2024-01-01T00-00"]),
+            ])())
+            parts.append(rnd.choice([" ", "", "/", "\n", "é"]))
+        text = "".join(parts)
+        assert secrets.spans(text, encode, ratio=2.1, known=frozenset()) == slow_spans(text, encode, 2.1), text
+
+
+def test_many_spans_take_linear_time():
+    encode = tokens.encoder(tokens.vocabulary())
+    text = "token=Zk9Qx7Lw2Vb8 Zk9Qx7Lw2Vb8Nt4Rj6Hs1Pd3 " * 24_000  # about a megabyte
+    start = time.process_time()
+    found = secrets.spans(text, encode, ratio=2.1, known=frozenset())
+    assert len(found) == 48_000 and time.process_time() - start < 5
+
+
 def slow_main_text(html):
     """The same rules from the definition: direct sums, and each line's path to the root walked for every question."""
     lines, parents, names = extraction.lines_of(html)
