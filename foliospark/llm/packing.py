@@ -106,9 +106,10 @@ def packed(batches, *, path, sizes, separator, round_tokens, step_tokens, first_
     def emit(size, window):
         nonlocal sequence
         offset = 0
-        done = steps.get(size, 0)
-        steps[size] = done + 1
-        group = first_sequence + done // max(1, step_tokens // size)
+        group, left = steps.get(size, (0, 0))
+        if not left:  # a step group holds sequences of one tier, step_tokens together; its number is its first sequence's
+            group, left = sequence, max(1, step_tokens // size)
+        steps[size] = (group, left - 1)
         for doc, start, length, ids in window:
             crc = zlib.crc32(ids[start : start + length].tobytes())
             out.append((doc, start, length, crc, len(ids), sequence, offset, size, group))

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
+import re
 
 
 def vocabulary() -> str:
@@ -17,9 +19,15 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Strings that the vocabulary file gives an id of their own, outside its merges."""
+    with open(path, encoding="utf-8") as file:
+        return {x["content"]: x["id"] for x in json.load(file).get("added_tokens", [])}
+
+
 @functools.cache
 def encoder(path: str):
-    """A function from a text to its list of ids. Strings of special tokens are ordinary text."""
+    """A function from a text to its list of ids, those that the library ``tokenizers`` gives by default without special tokens around the text: an added token inside the text has its own id."""
     ranks = os.path.splitext(path)[0] + ".tiktoken"
     if os.path.exists(ranks):
         import public_tokenizers
@@ -27,10 +35,23 @@ def encoder(path: str):
 
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-        return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        plain = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        added = added_tokens(path)
+        if not added:
+            return plain
+        cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+        def encode(text: str) -> list[int]:
+            if not any(x in text for x in added):
+                return plain(text)
+            ids: list[int] = []
+            for i, part in enumerate(cut.split(text)):
+                ids += [added[part]] if i % 2 else plain(part)
+            return ids
+
+        return encode
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids

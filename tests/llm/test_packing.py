@@ -10,7 +10,6 @@ from foliospark.llm import packing, tokens
 
 def ids_of(texts):
     tokenizer = Tokenizer.from_file(tokens.vocabulary())
-    tokenizer.encode_special_tokens = True
     return [np.array([*e.ids, 0], "<u4") for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -54,6 +53,7 @@ def test_rounds_and_windows():
     groups = {}
     for s in {r["sequence_id"]: r for r in rows}.values():
         groups.setdefault((s["tier"], s["step_group"]), []).append(s["tier"])
+    assert len({g for _, g in groups}) == len(groups)
     for tier in (512, 1024):
         sizes = [sum(v) for (t, g), v in sorted(groups.items()) if t == tier]
         assert all(x == 4096 for x in sizes[:-1])
