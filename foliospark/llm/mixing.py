@@ -12,6 +12,9 @@
    the quota is a run of blocks from a seeded start, round the end if need be. A document's ``taken`` words are its
    overlap with that, so whole documents are taken but for the two at the run's ends.
 
+A block has ``block_words`` words, but a fiftieth of the smallest target where that is less, so that rounding to blocks
+stays small against every target; the rule is the same at every size.
+
 What stays on one task is a row for each source, and a row for each shard of one source - never the documents.
 """
 
@@ -85,7 +88,13 @@ def plan(sized: DataFrame, *, weights=(5, 2, 1), budget=1.5, cap=2.0, block_word
     sources = written(sources, "mix-sources")
     shards = dealt(sized, sources).groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"), F.first("block").alias("block"))
     shards = sainte_lague(shards, ["key"], "shard", "shard_size", "blocks", "shard_blocks")
-    quota = F.least(F.col("shard_blocks") * F.col("block"), (F.lit(cap) * F.col("shard_size")).cast("long"))
+    # a shard takes no more than cap times its words; what rounding to blocks puts above that goes to the source's next shards with room
+    shards = shards.withColumn("most", (F.lit(cap) * F.col("shard_size")).cast("long")).withColumn("due", F.col("shard_blocks") * F.col("block"))
+    own = Window.partitionBy("key")
+    before = own.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.greatest(F.lit(0).cast("long"), F.col("most") - F.col("due"))
+    lost = F.sum(F.greatest(F.lit(0).cast("long"), F.col("due") - F.col("most"))).over(own) - F.coalesce(F.sum(room).over(before), F.lit(0))
+    quota = F.least("due", "most") + F.greatest(F.lit(0).cast("long"), F.least(room, lost))
     start = F.when(F.col("shard_size") > 0, F.col("block") * F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.ceil(F.col("shard_size") / F.col("block")))).otherwise(0)
     return sources, shards.select("key", "shard", "shard_size", quota.alias("quota"), start.cast("long").alias("run_start"))
 
@@ -111,16 +120,23 @@ def select_blocks(sized: DataFrame, sources: DataFrame, quotas: DataFrame) -> Da
     return rows.withColumn("taken", F.col("passes") * F.col("size") + run).drop("shard", "shard_size", "quota", "run_start", "run_end", "passes", "to", "from", "key", "spread")
 
 
+def spread_of(doc_id: Column, text: Column, seed: int) -> Column:
+    """A row's seeded place: rows that share it are equal in id and text, so that any order among them gives the same mix."""
+    return F.xxhash64(doc_id, text, F.lit(seed))
+
+
 def sized_rows(docs: DataFrame, *, doc_id="doc_id", text="text", source="source", seed=17) -> DataFrame:
     size = word_count(F.col(text))
-    return docs.select(F.col(doc_id).alias("doc_id"), source_key(F.col(source)).alias("key"), size.alias("size")).withColumn("spread", F.xxhash64("doc_id", "size", F.lit(seed)))
+    return docs.select(F.col(doc_id).alias("doc_id"), source_key(F.col(source)).alias("key"), size.alias("size"), spread_of(F.col(doc_id), F.col(text), seed).alias("spread"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row.
 
     Null or empty texts have size 0 and are never taken; a null source is a source of its own, the last one; repeated rows
-    are separate documents; a null doc_id is an id like others. The same table gives the same mix again (``seed``)."""
+    are separate documents; a null doc_id is an id like others; an empty table gives no rows; other columns are ignored,
+    whatever they are called. The same table gives the same mix again (``seed``), ties included: rows in the same place are
+    equal."""
     names = {k: options.pop(k) for k in ("doc_id", "text", "source") if k in options}
     sized = written(sized_rows(docs, seed=options.get("seed", 17), **names), "mix-sizes")
     sources, quotas = plan(sized, **options)
@@ -133,8 +149,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     seed = options.get("seed", 17)
     sized = written(sized_rows(docs, seed=seed), "mix-sizes")
     sources, quotas = plan(sized, **options)
-    whole = docs.select(F.struct(*columns).alias("row"), source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"))
-    whole = whole.withColumn("spread", F.xxhash64("row.doc_id", "size", F.lit(seed)))
+    whole = docs.select(F.struct(*columns).alias("row"), source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), spread_of(F.col("doc_id"), F.col("text"), seed).alias("spread"))
     rows = select_blocks(whole, sources, quotas)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
     return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
