@@ -28,9 +28,11 @@ SESSION = f"foliospark-{uuid.uuid4().hex}"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session; a temporary one, removed at the end, only where it is unset (tests on one machine)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session. Where it is unset a local session gets a temporary one, removed at the end; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: set it to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="foliospark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own
