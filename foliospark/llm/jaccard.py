@@ -205,11 +205,39 @@ def needed_texts(pairs: DataFrame, members: DataFrame, rows: DataFrame, repeats:
     return written(found.dropDuplicates(["node"]) if repeats else found, "jaccard-texts")
 
 
-def components(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85, den=100, k=2, least=8, share=30_000) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
+#: Rows of a bucket that meet in one task; larger buckets are cut into blocks of about so many, and pairs of blocks meet.
+BLOCK = 256
+
+
+def paired_blocks(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the self join within a bucket, as rows with ``bucket`` and ``meet``: two rows of a bucket have exactly one meeting in common, whatever blocks they are in, so a hot bucket's pairs spread over tasks."""
+    sizes = parts.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cut = parts.join(small(sizes.where("blocks > 1")), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # the one side meets all blocks from its own on, the other all up to its own; each meeting is (lower block, higher block)
+    lower = cut.withColumn("with", F.explode(F.filter(others, lambda b: b >= F.col("own")))).withColumn("meet", F.col("own") * F.col("blocks") + F.col("with"))
+    higher = cut.withColumn("with", F.explode(F.filter(others, lambda b: b <= F.col("own")))).withColumn("meet", F.col("with") * F.col("blocks") + F.col("own"))
+    return lower.drop("blocks", "with"), higher.drop("blocks", "with")
+
+
+def components(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; options as in ``placed``.
 
     A null or wordless text has the empty set, links with nothing and is a component of its own (its doc_id). A component's
-    id is its smallest doc_id that isn't null. Repeated rows are equal sets and so one component."""
+    id is its smallest doc_id that isn't null. Repeated rows are equal sets and so one component; rows that repeat an id
+    with other texts are documents of their own. An empty table gives no rows, texts are read whole, and columns that clash
+    with names used here are ignored."""
+    found = placed(docs, **options)
+    full, empty = found.where("part is not null"), found.where("part is null")
+    # written, so that the join has a plain shuffle on either side and a component of very many rows can be split
+    least_id = written(full.groupBy("part").agg(F.min("doc_id").alias("component_id")), "jaccard-ids")
+    out = full.join(least_id, "part").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.union(empty.select("doc_id", "n", "doc_id"))
+
+
+def placed(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85, den=100, k=2, least=8, share=30_000) -> DataFrame:
+    """doc_id, mark (a hash of the text), n and part of every row: rows of one component share ``part``, which is null for the empty set."""
     limits = Limits(num, den, k)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     frequent = frequent_tokens(rows, size, limits, least, share)
@@ -258,11 +286,14 @@ def components(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85,
         apart = parts.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
         parts = written(parts.join(apart, "bucket", "left_semi"), "jaccard-apart")
         parts = written(parts.join(sketches.join(parts.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node"), "jaccard-apart")
-        other = parts.select("bucket", *[F.col(c).alias(f"{c}_b") for c in parts.columns if c != "bucket"])
+        mine, other = paired_blocks(parts)
+        other = other.select("bucket", "meet", *[F.col(c).alias(f"{c}_b") for c in other.columns if c not in ("bucket", "meet")])
         differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
         may = (den + num) * differ <= (den - num) * (F.col("n") + F.col("n_b"))
-        rest = parts.join(other, (parts["bucket"] == other["bucket"]) & (F.col("node") < F.col("node_b")) & (F.col("part") != F.col("part_b")) & fits(F.col("n"), F.col("n_b")) & may)
-        rest = rest.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+        # within a block each pair meets twice and is taken once; between blocks it meets once
+        once = (F.col("own") < F.col("own_b")) | (F.col("node") < F.col("node_b"))
+        rest = mine.join(other, ["bucket", "meet"]).where(once & (F.col("node") != F.col("node_b")) & (F.col("part") != F.col("part_b")) & fits(F.col("n"), F.col("n_b")) & may)
+        rest = rest.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
         rest = written(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         if rest.limit(1).count():
             near = plausible(rest, entries, limits)
@@ -272,15 +303,22 @@ def components(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85,
                 links = links.union(more)
                 labels = connected(links)
 
-    placed = members.join(labels, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("part"))
-    full, empty = placed.where("part is not null"), placed.where("part is null")
-    # written, so that the join has a plain shuffle on either side and a component of very many rows can be split
-    least_id = written(full.groupBy("part").agg(F.min("doc_id").alias("component_id")), "jaccard-ids")
-    out = full.join(least_id, "part").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.union(empty.select("doc_id", "n", "doc_id"))
-
-
-def one_of_each(docs: DataFrame, *, doc_id="doc_id", **options) -> DataFrame:
-    """The documents whose id is their component's: one of each group. Columns stay; of rows that repeat an id, one stays for each distinct row."""
-    found = components(docs, doc_id=doc_id, **options).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(found, docs[doc_id].eqNullSafe(found["doc_id"]), "left_semi").distinct()
+    return written(members.join(labels, "node", "left").select("doc_id", "mark", "n", F.coalesce("component", "node").alias("part")), "jaccard-placed")
+
+
+def one_of_each(docs: DataFrame, *, doc_id="doc_id", text="text", **options) -> DataFrame:
+    """One document of each component, that of the smallest id (null last), then of the smallest hash of its text; columns stay, of any type.
+
+    Documents without words are in no component, and all their rows stay. Rows that repeat an id with other texts are
+    documents of their own; of rows equal in id and text one stays."""
+    found = placed(docs, doc_id=doc_id, text=text, **options)
+    best = found.where("part is not null").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("one"), F.count("*").alias("c"))
+    chosen = written(best.select(F.col("one.doc_id").alias("__id"), F.col("one.mark").alias("__mark"), F.col("c").alias("__rows")), "jaccard-kept")
+    wordless = found.where("part is null").select("doc_id", "mark", F.lit(0).cast("long")).distinct()
+    keys = small(written(chosen.union(wordless), "jaccard-keys"))
+    rows = docs.withColumn("__its_mark", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.join(keys, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__its_mark") == F.col("__mark")))
+    # the rows of a chosen document may repeat only where its component has more rows than one
+    alone = rows.where("__rows <= 1").select(*docs.columns)
+    many = rows.where("__rows > 1").dropDuplicates(["__id", "__mark"]).select(*docs.columns)
+    return alone.union(many)

@@ -64,6 +64,32 @@ def test_components_against_brute_force(spark, rows, size, num, den, least):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, size, num, den)
 
 
+def test_hot_buckets_meet_in_blocks(spark, rows, monkeypatch):
+    """Buckets cut into blocks of three rows find the same links; leaders are kept apart so that the last step has work."""
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    assert sorted((tuple(r) for r in jaccard.components(df, size=2, num=60, den=100, least=2, share=10**9).collect()), key=repr) == brute(rows, 2, 60, 100)
+
+
+def test_pairs_of_blocks_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    parts = spark.createDataFrame([(b, n) for b, size in ((1, 30), (2, 3), (3, 9)) for n in range(size)], "bucket long, node long")
+    mine, other = jaccard.paired_blocks(parts)
+    met = [(r[0], *sorted(r[1:3])) for r in mine.alias("x").join(other.alias("y"), ["bucket", "meet"]).where("x.own < y.own or x.node < y.node").where("x.node <> y.node").select("bucket", "x.node", "y.node").collect()]
+    assert len(met) == len(set(met)) == 30 * 29 // 2 + 3 + 36
+
+
+def test_one_of_each_against_brute_force(spark):
+    """Ids that repeat, in one component and in several, null ids, repeated rows, wordless rows, and a column that can't be compared."""
+    a, b, c = ("w%d " * 12 % tuple(range(k, k + 12)) for k in (0, 100, 200))
+    rows = [(3, a), (7, a), (7, b), (9, b), (None, c), (None, c), (None, c + "more"), (None, a), (4, None), (4, None), (4, ""), (None, " "), (11, "one two"), (11, "one two"), (12, b.upper())]
+    df = spark.createDataFrame([(i, t, "x", {"k": 1}) for i, t in rows], "doc_id long, text string, mark string, extra map<string, int>").repartition(4)
+    kept = jaccard.one_of_each(df, size=5, num=80, den=100)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], (r["text"] or "").lower().split()[:1]) for r in kept.collect()), key=repr)
+    assert got == sorted([(3, ["w0"]), (7, ["w100"]), (None, ["w200"]), (4, []), (4, []), (4, []), (None, []), (11, ["one"])], key=repr)
+
+
 def test_edge_cases(spark, docs, empty):
     assert jaccard.components(empty).count() == 0
     rows = [(r[0], r[1]) for r in docs.select("doc_id", "text").collect()]
