@@ -55,8 +55,9 @@ def drift_key(md: Column) -> Column:
 
 
 def without_inline_code(x: Column) -> Column:
-    """Code spans taken out: a run of backticks up to the next run of the same length."""
-    return F.regexp_replace(x, r"(?s)(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", "")
+    """Code spans taken out: a run of backticks up to the next run of the same length. A span marked ``{=html}`` is markup and stays."""
+    span = lambda n: rf"(?<!`)(`+)(?!`)(?:(?!(?<!`)\{n}(?!`)).)*(?<!`)\{n}(?!`)"
+    return F.regexp_replace(x, rf"(?s)({span(2)}(?=\s*\{{\s*=\s*html\s*\}}))|{span(3)}", "$1")
 
 
 def file_stem(x: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 BLANK = r"(?U)[\s\x1c-\x1f]"
 SENTENCE_END = r"[。！？!?；;.؟؛۔]"
+#: The same blanks as characters, for trimming without a pattern.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 # What the rules below look for, in the order in which the rules look.
 ACADEMIC_MARKERS = ("参考文献", "references", "bibliography", "bibliography", "appendix", "abstract", "footnote", "citation", "et al.", "doi")
@@ -27,11 +29,11 @@ def text_of(x) -> Column:
 
 def stripped(x: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def right_stripped(x: Column) -> Column:
-    return F.regexp_replace(x, rf"{BLANK}+$", "")
+    return F.rtrim(x, F.lit(BLANKS))
 
 
 def without_blanks(x: Column) -> Column:
@@ -41,7 +43,7 @@ def without_blanks(x: Column) -> Column:
 
 def sentences(x: Column) -> Column:
     """Trimmed, non-empty sentences: cut after terminal marks and at line ends."""
-    parts = F.split(stripped(x), rf"(?<={SENTENCE_END})(?U)[\s\x1c-\x1f]*|\n+")
+    parts = F.split(x, rf"(?<={SENTENCE_END})|\n")
     return F.filter(F.transform(parts, stripped), lambda s: s != "")
 
 
@@ -64,8 +66,8 @@ def count_char(x: Column, literal: str) -> Column:
 
 
 def word_count(x: Column) -> Column:
-    """Ideographs one by one, Latin and Arabic runs as words."""
-    return count_of(x, r"[㐀-䶿一-鿿぀-ヿ]") + count_of(x, r"[A-Za-zÀ-ÿ0-9]+") + count_of(x, r"[؀-ۿ]+")
+    """Ideographs, kana and Hangul one by one, runs of ASCII letters and of the Arabic blocks as words; numbers are none."""
+    return count_of(x, r"[\u3400-\u4dbf\u4e00-\u9fff\u3040-\u30ff\uac00-\ud7af]") + count_of(x, "[A-Za-z]+") + count_of(x, r"[\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb50-\ufdff\ufe70-\ufeff]+")
 
 
 def language(x: Column) -> Column:

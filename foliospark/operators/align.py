@@ -47,17 +47,24 @@ def zipped(pairs: DataFrame) -> DataFrame:
 def block_spans(blocks: DataFrame, rows: DataFrame, side="tgt") -> DataFrame:
     """unit, block, seq_start, seq_end, ok: the sentences that rebuild each block exactly, in order.
 
-    Both sides get running lengths of their text without white space. A block is rebuilt when its bounds are bounds of
-    sentences and the texts agree; the first block of a unit that isn't ends the mapping there."""
+    Both sides get running lengths of their text without white space, and every sentence goes to the block within whose
+    bounds it starts: both sides' starts are one sorted stream in which the last block seen is the sentence's. A block is
+    rebuilt when its sentences, none of which reaches beyond it, are its text; the first block of a unit that isn't ends
+    the mapping there. Work is a sort of each unit's blocks and sentences, however many there are."""
     order = Window.partitionBy("unit").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     b = blocks.select("unit", "block", t.without_blanks(t.text_of("text")).alias("body")).where("body <> ''")
     b = b.withColumn("stop", F.sum(F.char_length("body")).over(order)).withColumn("start", F.col("stop") - F.char_length("body"))
     turn = Window.partitionBy("unit").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     r = rows.select("unit", "seq", t.without_blanks(t.text_of(side)).alias("part")).where("part <> ''")
     r = r.withColumn("r_stop", F.sum(F.char_length("part")).over(turn)).withColumn("r_start", F.col("r_stop") - F.char_length("part"))
-    met = b.join(r, "unit", "left").where(F.col("r_start").isNull() | ((F.col("r_start") >= F.col("start")) & (F.col("r_stop") <= F.col("stop"))))
+    none = F.lit(None)
+    stream = b.select("unit", F.col("start").alias("at"), F.lit(0).alias("kind"), F.struct("block", "stop").alias("b"), none.cast("long").alias("seq"), none.cast("string").alias("part"), F.lit(0).cast("long").alias("r_stop"))
+    stream = stream.union(r.select("unit", "r_start", F.lit(1), none.cast(stream.schema["b"].dataType), F.col("seq").cast("long"), "part", "r_stop"))
+    seen = F.last("b", ignorenulls=True).over(Window.partitionBy("unit").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    met = stream.withColumn("b", seen).where("kind = 1 and b is not null").select("unit", "b.block", "b.stop", "seq", "part", "r_stop")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda x: x["part"]), "")
-    found = met.groupBy("unit", "block").agg(F.min("seq").alias("seq_start"), F.max("seq").alias("seq_end"), joined.alias("joined"))
+    inside = met.where("r_stop <= stop")
+    found = inside.groupBy("unit", "block").agg(F.min("seq").alias("seq_start"), F.max("seq").alias("seq_end"), joined.alias("joined"))
     spans = b.join(found, ["unit", "block"], "left").withColumn("fits", F.coalesce(F.col("joined") == F.col("body"), F.lit(False)))
     first_bad = F.min(F.when(~F.col("fits"), F.col("block"))).over(Window.partitionBy("unit"))
     ok = F.coalesce(F.col("block") < first_bad, F.lit(True))
@@ -75,11 +82,21 @@ def proposal(src_spans: DataFrame, tgt_spans: DataFrame) -> DataFrame:
     """unit, block, status, n_source: target blocks against the source blocks whose sentence intervals overlap theirs.
 
     propose: the target block has no interval; unmatched: no source interval meets it; merge: several do; split: one does,
-    and it meets other target blocks too; exact: one, and only this one."""
-    s = src_spans.where("ok").select("unit", F.col("block").alias("s_block"), F.col("seq_start").alias("s_lo"), F.col("seq_end").alias("s_hi"))
-    meet = tgt_spans.where("ok").join(s, "unit").where("seq_start <= s_hi and s_lo <= seq_end")
-    meet = meet.select("unit", "block", "s_block").withColumn("targets", F.count("*").over(Window.partitionBy("unit", "s_block")))
-    found = meet.groupBy("unit", "block").agg(F.count("*").alias("n_source"), F.max("targets").alias("targets"))
+    and it meets other target blocks too; exact: one, and only this one. Intervals of one side follow each other, so those
+    that meet an interval are as many as start no later than it ends, less those that end before it starts: two running
+    counts in one sorted stream, not a join."""
+    sides = [x.where("ok").select("unit", F.lit(side).alias("side"), "block", "seq_start", "seq_end") for side, x in (("s", src_spans), ("t", tgt_spans))]
+    # at one place starts come before ends, so an interval that only touches another meets it
+    edge = F.explode(F.array(F.struct((F.col("seq_start") * 2).alias("place"), F.lit(0).alias("end")), F.struct((F.col("seq_end") * 2 + 1).alias("place"), F.lit(1).alias("end"))))
+    edges = sides[0].union(sides[1]).select("unit", "side", "block", edge.alias("e")).select("unit", "side", "block", "e.place", "e.end")
+    upto = Window.partitionBy("unit").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
+    seen = {f"{side}{end}": F.count_if((F.col("side") == side) & (F.col("end") == end)).over(upto) for side in "st" for end in (0, 1)}
+    edges = edges.withColumns(seen | {"source": F.last(F.when((F.col("side") == "s") & (F.col("end") == 0), F.col("block")), ignorenulls=True).over(upto)})
+    started = F.when(F.col("side") == "t", F.col("s0")).otherwise(F.col("t0"))
+    ended = F.when(F.col("side") == "t", F.col("s1")).otherwise(F.col("t1"))
+    met = edges.groupBy("unit", "side", "block").agg((F.max(F.when(F.col("end") == 1, started)) - F.max(F.when(F.col("end") == 0, ended))).alias("n"), F.max_by("source", "end").alias("source"))
+    targets = met.where("side = 's'").select("unit", F.col("block").alias("source"), F.col("n").alias("targets"))
+    found = met.where("side = 't'").select("unit", "block", "source", F.col("n").alias("n_source")).join(targets, ["unit", "source"], "left").drop("source")
     all_ = tgt_spans.select("unit", "block", "ok").join(found, ["unit", "block"], "left").withColumn("n_source", F.coalesce("n_source", F.lit(0)).cast("long"))
     status = F.when(~F.col("ok"), "propose").when(F.col("n_source") == 0, "unmatched").when(F.col("n_source") > 1, "merge").when(F.col("targets") > 1, "split").otherwise("exact")
     return all_.select("unit", "block", status.alias("status"), "n_source")

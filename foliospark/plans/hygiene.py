@@ -13,6 +13,7 @@ BLOCKS = Literal(
     "blocks", "unit string, block long, text string",
     ("a", 1, "He said “come here, and the the dog came"), ("a", 2, "and went on without an end"), ("a", 3, "A list follows:"), ("a", 4, "- item one"), ("a", 5, "It ended.”"), ("a", 6, "She left the House house early,"),
     ("b", 1, "「你好，世界 hello NATO (gloss) 。"), ("b", 2, "中文里留下 word 和 Another 词 epub"), ("b", 3, "x" * 1300 + "."), ("b", 4, 'An "open quote runs —'), ("b", 5, "New Paragraph starts"), ("c", 1, "Balanced “inside” fine."),
+    ("e", 1, "One clause; and another;"), ("e", 2, "It cites Smith et al., vol."), ("e", 3, "Ends with the"), ("e", 4, "Capital starts [bracketed]"), ("e", 5, "重复重复的词 left-over state's abc"), ("e", 6, 'An odd " mark.'), ("e", 7, "(open bracket"), ("e", 8, "’"),
 )
 
 
@@ -51,46 +52,54 @@ SELECT unit, CAST(CASE WHEN prose THEN len(list_filter(ls[:-2], lambda x: NOT re
   0::BIGINT AS duplicate_paras, CAST(len(regexp_extract_all(text, '""" + h.GARBLED + r"""')) AS BIGINT) AS garbled_marks, CAST(len(regexp_extract_all(text, '[一-鿿]["'',.;:!?]|["'',.;:!?][一-鿿]')) AS BIGINT) AS ascii_punct_cjk, CAST(len(regexp_extract_all(text, '[A-Za-z]{20,}')) AS BIGINT) AS long_latin_run FROM p""")(repair_signals_documents)
 
 
-@query(ALL + r""", w AS (SELECT unit, block, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS tok FROM (SELECT unit, block, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS t FROM x)),
+DUPLICATES = r"""w AS (SELECT unit, block, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS tok FROM (SELECT unit, block, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS t FROM x)),
 p AS (SELECT *, lead(tok, 1) OVER o AS gap, lead(tok, 2) OVER o AS nxt FROM w WINDOW o AS (PARTITION BY unit, block ORDER BY i)),
 m AS (SELECT unit, block, i, tok FROM p WHERE tok = nxt AND regexp_full_match(gap, '\s+') AND regexp_full_match(tok, '[a-z]{2,}')),
-g AS (SELECT unit, block, i, tok, i - 2 * row_number() OVER (PARTITION BY unit, block, tok ORDER BY i) AS isl FROM m), r AS (SELECT unit, block, tok, isl, count(*) + 1 AS run FROM g GROUP BY ALL)
-SELECT unit, block, tok AS word, CAST(sum(run // 2) AS BIGINT) AS n FROM r GROUP BY ALL""")
+g AS (SELECT unit, block, i, tok, i - 2 * row_number() OVER (PARTITION BY unit, block, tok ORDER BY i) AS isl FROM m), r AS (SELECT unit, block, tok, isl, count(*) + 1 AS run FROM g GROUP BY ALL),
+han AS (SELECT unit, block, unnest(range(1, length(text) + 1)) AS i, text FROM x WHERE regexp_matches(text, '[一-鿿]{4}')),
+pairs AS (SELECT unit, block, i, k, substr(text, i, k) AS word FROM han, (VALUES (4), (3), (2)) AS n(k) WHERE substr(text, i, k) = substr(text, i + k, k) AND regexp_full_match(substr(text, i, k), '[一-鿿]+')),
+duplicates AS (SELECT unit, block, tok AS word, CAST(sum(run // 2) AS BIGINT) AS n FROM r GROUP BY ALL UNION ALL SELECT unit, block, arg_max(word, k) AS word, 1 FROM pairs GROUP BY unit, block)"""
+
+
+@query(ALL + ", " + DUPLICATES + " SELECT * FROM duplicates")
 def hygiene_duplicate_words(spark, d):
+    """No literal block has two doubled groups of ideographs, so that the SQL may take the longest one at a place."""
     return h.duplicate_words(spark_blocks(spark, d))
 
 
-QUOTES = ", ".join(f"('{a}', '{b}')" for a, b in t.QUOTE_PAIRS)
+QUOTES = ", ".join(f"('{a}', '{b}')" for a, b in h.PAIRS)
 
 
 @query(ALL + f""", q(a, b) AS (VALUES {QUOTES}), e AS (SELECT unit, block, a || b AS pair, length(text) - length(replace(text, a, '')) AS o, length(text) - length(replace(text, b, '')) AS c FROM x, q),
-s AS (SELECT *, sum(o - c) OVER (PARTITION BY unit, pair) AS bal FROM e WHERE o > 0 OR c > 0) SELECT unit, block, pair, CAST(o AS BIGINT) AS open, CAST(c AS BIGINT) AS close FROM s WHERE bal <> 0 AND o <> c""")
+s AS (SELECT *, sum(o - c) OVER (PARTITION BY unit, pair) AS bal FROM e WHERE o > 0 OR c > 0), k AS (SELECT unit, block, length(text) - length(replace(text, '"', '')) AS n FROM x), z AS (SELECT *, sum(n) OVER (PARTITION BY unit) AS total FROM k)
+SELECT unit, block, pair, CAST(o AS BIGINT) AS open, CAST(c AS BIGINT) AS close FROM s WHERE bal <> 0 AND o <> c UNION ALL SELECT unit, block, '""', 1, 0 FROM z WHERE total % 2 = 1 AND n % 2 = 1""")
 def hygiene_quotes(spark, d):
     return h.unbalanced_quotes(spark_blocks(spark, d))
 
 
-ENDS = (t.TERMINAL + t.CLOSERS).replace("'", "''")
-OPEN = " + ".join(f"greatest(0, (length(text) - length(replace(text, '{a}', ''))) - (length(text) - length(replace(text, '{b}', ''))))" for a, b in t.QUOTE_PAIRS)
+ENDS = h.TERMINAL + h.CLOSERS
+OPEN = " + ".join(f"greatest(0, (length(text) - length(replace(text, '{a}', ''))) - (length(text) - length(replace(text, '{b}', ''))))" for a, b in h.PAIRS)
 
 
 @query(ALL + rf""", r AS (SELECT unit, block, regexp_replace(text, '[\s\p{{Z}}]+$', '') AS text, lead(text) OVER (PARTITION BY unit ORDER BY block) AS next FROM x), n AS (SELECT *, right(text, 1) AS tail FROM r WHERE text <> ''),
 f AS (SELECT *, NOT contains('{ENDS}', tail) AND NOT (tail IN (':', '：') AND next IS NOT NULL) AND NOT regexp_matches(text, '^\s*(?:[-*+]|\d+[.)])\s') AS half, coalesce(regexp_matches(next, '{h.CONTINUES}'), false) AS goes,
   {OPEN} + (length(text) - length(replace(text, '"', ''))) % 2 AS depth FROM n)
-SELECT unit, block, 'long_paragraph' AS code FROM f WHERE length(text) >= 1200 UNION ALL SELECT unit, block, 'cross_page_fragment' FROM f WHERE half AND goes UNION ALL SELECT unit, block, 'half_sentence' FROM f WHERE half AND NOT goes
+SELECT unit, block, 'long_paragraph' AS code FROM f WHERE length(text) >= 1200 UNION ALL SELECT unit, block, 'cross_page_fragment' FROM f WHERE half AND goes UNION ALL SELECT unit, block, 'half_sentence' FROM f WHERE half AND NOT goes AND NOT regexp_matches(text, '{h.ABBREVIATED}')
+UNION ALL SELECT unit, block, 'tail_loss' FROM f WHERE half AND NOT goes AND regexp_matches(text, '{h.TAIL}')
 UNION ALL SELECT unit, block, 'quote_tail_dropped' FROM f WHERE half AND depth > 0 AND contains('，,、—–-:：', tail)""")
 def hygiene_tails(spark, d):
     return h.tail_findings(spark_blocks(spark, d))
 
 
-@query(ALL + r""", p AS (SELECT unit, block, unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '[（(][^）)]*[）)]', '', 'g'), '《[^》]*》|“[^”]*”|『[^』]*』', '', 'g'), '[A-Za-z]{3,}')) AS word FROM x WHERE regexp_matches(text, '[一-鿿]'))
-SELECT unit, block, word FROM p WHERE lower(word) NOT IN ('epub', 'html', 'pdf') AND NOT (upper(word) = word AND length(word) <= 6)""")
+@query(ALL + r""", p AS (SELECT unit, block, unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '[（(][^）)]*[）)]', '', 'g'), '《[^》]*》|“[^”]*”|『[^』]*』', '', 'g'), '[A-Za-z][A-Za-z''-]{3,}')) AS word FROM x WHERE regexp_matches(text, '[一-鿿]'))
+SELECT unit, block, word FROM p WHERE lower(word) NOT IN (""" + ", ".join(f"'{w}'" for w in h.LATIN_IN_PROSE) + r""") AND NOT (upper(word) = word AND length(word) <= 6)""")
 def hygiene_untranslated(spark, d):
-    return h.untranslated_words(spark_blocks(spark, d), ["epub", "html", "pdf"])
+    return h.untranslated_words(spark_blocks(spark, d))
 
 
 @query(ALL + rf""", r AS (SELECT unit, block, regexp_replace(text, '[\s\p{{Z}}]+$', '') AS text FROM x), c AS (SELECT unit, count(*) AS blocks, count_if(length(text) >= 1200) AS long_blocks, count_if(NOT contains('{ENDS}', right(text, 1))) AS open_ends FROM r GROUP BY unit)
 SELECT count(*) AS units, CAST(sum(blocks) AS BIGINT) AS blocks, CAST(sum(long_blocks) AS BIGINT) AS long_blocks, CAST(sum(open_ends) AS BIGINT) AS open_ends, count_if(open_ends > 0) AS units_with_open_ends FROM c""")
 def hygiene_summary(spark, d):
     x = spark_blocks(spark, d).select("unit", t.right_stripped(F.col("text")).alias("text"))
-    c = x.groupBy("unit").agg(F.count("*").alias("blocks"), F.count_if(F.char_length("text") >= 1200).alias("long_blocks"), F.count_if(~F.right("text", F.lit(1)).isin(*(t.TERMINAL + t.CLOSERS))).alias("open_ends"))
+    c = x.groupBy("unit").agg(F.count("*").alias("blocks"), F.count_if(F.char_length("text") >= 1200).alias("long_blocks"), F.count_if(~F.right("text", F.lit(1)).isin(*(h.TERMINAL + h.CLOSERS))).alias("open_ends"))
     return c.agg(F.count("*").alias("units"), F.sum("blocks").alias("blocks"), F.sum("long_blocks").alias("long_blocks"), F.sum("open_ends").alias("open_ends"), F.count_if(F.col("open_ends") > 0).alias("units_with_open_ends"))

@@ -74,8 +74,8 @@ def sentence_split(spark, d):
 
 @query(f"WITH {UNITS}, {SENTENCES} SELECT unit, CAST(len(s) AS BIGINT) AS n_sentences, CAST(coalesce(list_max(list_transform(s, lambda p: length(p))), 0) AS BIGINT) AS longest FROM trimmed")
 def sentence_counts(spark, d):
-    s = t.sentences(F.col("text"))
-    return units(spark, d).select("unit", F.size(s).cast("long").alias("n_sentences"), F.coalesce(F.array_max(F.transform(s, F.char_length)), F.lit(0)).cast("long").alias("longest"))
+    s = F.col("s")
+    return units(spark, d).select("unit", t.sentences(F.col("text")).alias("s")).select("unit", F.size(s).cast("long").alias("n_sentences"), F.coalesce(F.array_max(F.transform(s, F.char_length)), F.lit(0)).cast("long").alias("longest"))
 
 
 @query(rf"""WITH {ALIGNED}, s AS (SELECT unit, seq AS pair,
@@ -87,7 +87,7 @@ def align_rows(spark, d):
     return align.zipped(aligned(spark, d).select(F.concat_ws("/", F.col("unit").cast("string"), F.col("seq").cast("string")).alias("unit"), "src", "tgt"))
 
 
-WORDS = r"CAST(len(regexp_extract_all(text, '[㐀-䶿一-鿿぀-ヿ]')) + len(regexp_extract_all(text, '[A-Za-zÀ-ÿ0-9]+')) + len(regexp_extract_all(text, '[؀-ۿ]+')) AS BIGINT)"
+WORDS = r"CAST(len(regexp_extract_all(text, '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]')) + len(regexp_extract_all(text, '[A-Za-z]+')) + len(regexp_extract_all(text, '[\x{600}-\x{6ff}\x{750}-\x{77f}\x{8a0}-\x{8ff}\x{fb50}-\x{fdff}\x{fe70}-\x{feff}]+')) AS BIGINT)"
 PARAGRAPHS = rf"CAST(len(list_filter(string_split_regex(text, '\n\s*\n'), lambda p: {STRIP.format('p')} <> '')) AS BIGINT)"
 FACTS = f"""{UNITS}, {SENTENCES}, facts AS (SELECT work, unit, CAST(length(text) AS BIGINT) AS chars, {WORDS} AS words, {PARAGRAPHS} AS paragraphs, CAST(len(s) AS BIGINT) AS sentences FROM units JOIN trimmed USING (unit))"""
 
