@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliospark.operators import align, gate as g, ledger as k
+from foliospark.operators import checks as c, gate as g, ledger as k
 from foliospark.plans.registry import Literal, query, with_tables
-from foliospark.plans.text import LENGTHS, NOSPACE
-from foliospark.sources.adapters import ALIGNED, UNITS, aligned, units
+from foliospark.plans.text import NOSPACE, STRIP
+from foliospark.sources.adapters import GATE, UNITS, gate_tables, units
 
 ROWS = Literal(
     "md_rows", "unit string, seq long, src string, tgt string",
@@ -56,24 +56,61 @@ def table_shapes(spark, d):
     return g.table_shapes(DOCS.frame(spark))
 
 
-FINDINGS = f"""{ALIGNED}, {LENGTHS}, same AS (SELECT unit, seq FROM (SELECT unit, seq, {NOSPACE.format('src')} AS a, {NOSPACE.format('tgt')} AS b FROM aligned) WHERE a = b AND length(a) >= 20 AND regexp_matches(a, '\\p{{L}}')),
-findings AS (SELECT unit, seq, 'length' AS "check", code = 'empty' AS blocking FROM found WHERE code IS NOT NULL UNION ALL SELECT unit, seq, 'language', true FROM same
-  UNION ALL SELECT unit, seq, 'length_review', true FROM aligned WHERE length(regexp_replace(src, '\\P{{L}}+', '', 'g')) >= 80 AND trim(tgt) <> '' AND length(regexp_replace(tgt, '\\P{{L}}+', '', 'g')) <= 4)"""
+def _nospace(x):
+    return NOSPACE.format(x)
+
+
+SENTENCE_NOTES = "list_transform(regexp_extract_all({}, '[^0-9][.!?]([0-9]{{1,3}})(?:[^0-9%.)]|$)', 1), lambda x: CAST(x AS BIGINT))"
+ANY_NOTES = "list_concat(" + SENTENCE_NOTES + ", list_transform(regexp_extract_all({}, '[)]([0-9]{{1,3}})(?:\\s|$)', 1), lambda x: CAST(x AS BIGINT)))"
+LETTERS = "length(regexp_replace(regexp_replace({}, '\\[\\^[^\\]\\s]+\\]', '', 'g'), '[^\\p{{L}}]+', '', 'g'))"
+WHOLE_WORD = "len(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_-]+'))"
+
+#: The thirteen checks from their rules. The tables hold no code, no abbreviation and no measure before a number, so notes are plain patterns here.
+FINDINGS = GATE + f""", measured AS (SELECT r.*, u.kind, u.source_md, u.target_md, coalesce(u.kind IN ('toc', 'index'), false) AS listed, length({STRIP.format('src')}) AS n, length({STRIP.format('tgt')}) AS m_, {LETTERS.format('src')} AS spoken, {LETTERS.format('tgt')} AS kept,
+  {_nospace('src')} AS a, {_nospace('tgt')} AS b, {_nospace('u.source_md')} AS doc, st.reason AS style, st.pattern FROM rows_ r JOIN gate_units u USING (unit) LEFT JOIN styles st ON st.unit = r.unit AND regexp_matches(r.src, st.pattern)),
+words AS (SELECT DISTINCT unit, seq, unnest(regexp_extract_all(src, '[\\p{{L}}\\p{{N}}_-]+')) AS source FROM rows_ WHERE tgt <> ''),
+hits AS (SELECT w.unit, w.seq, w.source, arg_min(g.target, g.ord) AS expected FROM words w JOIN glossary g USING (source) GROUP BY ALL),
+counted AS (SELECT h.*, r.note_id, sha256(nfc_normalize(r.src)) AS digest, len(list_filter(regexp_extract_all(r.src, '[\\p{{L}}\\p{{N}}_-]+'), lambda x: x = h.source)) AS n, len(list_filter(regexp_extract_all(r.tgt, '[\\p{{L}}\\p{{N}}_-]+'), lambda x: x = h.expected)) AS kept FROM hits h JOIN rows_ r ON r.unit = h.unit AND r.seq = h.seq),
+told AS (SELECT c.unit, c.seq, c.source, c.expected, c.n, c.kept, count_if(e.reason = 'whole') AS whole, count_if(e.reason IN ('placed', 'note', 'stale') AND (e.digest IS NULL OR e.digest = c.digest)) AS matched, count_if(e.digest <> c.digest) AS stale
+  FROM counted c LEFT JOIN exemptions e ON e.unit = c.unit AND e.source = c.source AND (e.seq IS NULL OR e.seq = c.seq) AND (e.note_id IS NULL OR e.note_id = c.note_id) WHERE c.kept = 0 GROUP BY ALL),
+per AS (SELECT unit, any_value(listed) AS listed, any_value(source_md) AS source_md, any_value(target_md) AS target_md, list(seq ORDER BY pos) AS seqs, count(*) AS n, bool_or(n = 0) AS no_src, bool_or(m_ = 0) AS no_tgt,
+  sum(len(regexp_extract_all(src, '\\{{\\w+:\\d+\\}}'))) AS m_src, sum(len(regexp_extract_all(tgt, '\\{{\\w+:\\d+\\}}'))) AS m_tgt, sum(len({SENTENCE_NOTES.format('src')}) + len(regexp_extract_all(src, '\\[\\^[^\\]]+\\]'))) AS n_src, sum(len({SENTENCE_NOTES.format('tgt')}) + len(regexp_extract_all(tgt, '\\[\\^[^\\]]+\\]'))) AS n_tgt,
+  flatten(list({ANY_NOTES.format('src', 'src')})) AS f_src, flatten(list({ANY_NOTES.format('tgt', 'tgt')})) AS f_tgt, string_agg(a, '' ORDER BY pos) AS rows_body FROM measured GROUP BY unit),
+lost AS (SELECT unit, listed, number FROM (SELECT *, unnest(list_distinct(f_src)) AS number FROM per) WHERE NOT list_contains(f_tgt, number)),
+ranged AS (SELECT DISTINCT l.unit, l.listed, l.number FROM lost l JOIN per p USING (unit) JOIN registered g ON g.unit = l.unit AND g.number = l.number WHERE p.target_md IS NOT NULL AND NOT list_contains({SENTENCE_NOTES.format('p.source_md')}, l.number)
+  AND NOT (list_contains(regexp_extract_all(p.target_md, '\\[\\^([^\\]]+)\\]', 1), coalesce(g.ref, '')) OR list_contains(regexp_extract_all(p.target_md, '\\[\\^([^\\]]+)\\]', 1), CAST(l.number AS VARCHAR)))),
+md_lines AS (SELECT unit, unnest(string_split(source_md, chr(10))) AS line, 's' AS side FROM gate_units WHERE target_md IS NOT NULL UNION ALL SELECT unit, unnest(string_split(target_md, chr(10))), 't' FROM gate_units WHERE target_md IS NOT NULL),
+heads AS (SELECT unit, side, length(regexp_extract(line, '^(#{{1,6}})[ \\t]+\\S', 1)) AS level, count(*) AS n FROM md_lines WHERE regexp_matches(line, '^#{{1,6}}[ \\t]+\\S') GROUP BY ALL),
+headed AS (SELECT unit, side, string_agg(level || ':' || n, ',' ORDER BY level) AS counts FROM heads GROUP BY ALL),
+tabled AS (SELECT unit, side, count(*) AS n_rows, length(regexp_replace(any_value(line), '[^|]', '', 'g')) - 1 AS n_cols FROM md_lines WHERE starts_with(line, '|') GROUP BY ALL),
+md_blocks AS (SELECT unit, unnest(range(1, len(bs) + 1)) AS i, unnest(bs) AS block FROM (SELECT unit, list_filter(list_transform(string_split_regex(source_md, '\\n\\s*\\n'), lambda x: {STRIP.format('x')}), lambda x: x <> '' AND NOT starts_with(x, '# ')) AS bs FROM gate_units)),
+findings AS (
+  SELECT unit, seq, 'length' AS "check", m_ = 0 AS blocking, CASE WHEN m_ = 0 THEN 'empty' WHEN m_ / n < 0.3 THEN 'too_short' ELSE 'too_long' END AS detail FROM measured WHERE m_ = 0 OR (n >= 20 AND (m_ / n < 0.3 OR m_ / n > 3.0))
+  UNION ALL SELECT unit, seq, CASE WHEN coalesce(pattern, '') = '' THEN 'length_review' ELSE 'length_review_exempt' END, coalesce(pattern, '') = '', kept || CASE WHEN coalesce(pattern, '') = '' THEN '' ELSE ':' || style END FROM measured WHERE spoken >= 80 AND m_ > 0 AND kept <= 4
+  UNION ALL SELECT unit, seq, CASE WHEN style IS NOT NULL THEN 'language_exempt' WHEN kind = 'bibliography' THEN 'bibliography_identical' ELSE 'language' END, style IS NULL AND kind <> 'bibliography', coalesce(style, '') FROM measured WHERE a = b AND length(a) >= 20 AND spoken > 0
+  UNION ALL SELECT unit, seq, CASE WHEN whole > 0 OR (matched > 0 AND n <= least(matched, n)) THEN 'terminology_exempt' ELSE 'terminology' END, NOT (whole > 0 OR (matched > 0 AND n <= least(matched, n))), source || ' ' || expected || CASE WHEN matched > 0 THEN ' ' || (n - least(matched, n)) ELSE '' END FROM told
+  UNION ALL SELECT unit, seq, 'terminology_exempt_stale', false, source || ' ' || expected FROM told WHERE stale > 0 AND whole = 0
+  UNION ALL SELECT unit, NULL, 'align', true, 'seq' FROM per WHERE seqs <> range(1, n + 1)
+  UNION ALL SELECT unit, NULL, 'align', true, 'src_blank' FROM per WHERE no_src UNION ALL SELECT unit, NULL, 'align', true, 'tgt_blank' FROM per WHERE no_tgt
+  UNION ALL SELECT unit, NULL, 'align', true, 'empty' FROM gate_units WHERE unit NOT IN (SELECT unit FROM rows_) AND NOT (starts_with(source_md, '#') AND starts_with(target_md, '#'))
+  UNION ALL SELECT unit, NULL, 'marker', true, m_src || '/' || m_tgt FROM per WHERE m_src <> m_tgt
+  UNION ALL SELECT unit, NULL, 'footnote', NOT listed, n_src || '/' || n_tgt FROM per WHERE n_tgt < n_src
+  UNION ALL SELECT unit, NULL, 'footnote_suspect', false, string_agg(number, '/' ORDER BY number) FROM lost GROUP BY unit
+  UNION ALL SELECT unit, NULL, 'footnote_range', NOT any_value(listed), string_agg(number, '/' ORDER BY number) FROM ranged GROUP BY unit
+  UNION ALL SELECT unit, NULL, 'heading', true, coalesce(s.counts, '') || '/' || coalesce(t.counts, '') FROM (SELECT * FROM headed WHERE side = 's') s FULL JOIN (SELECT * FROM headed WHERE side = 't') t USING (unit) WHERE s.counts IS DISTINCT FROM t.counts
+  UNION ALL SELECT unit, NULL, 'table', true, '1 ' || s.n_rows || 'x' || s.n_cols || '/' || t.n_rows || 'x' || t.n_cols FROM (SELECT * FROM tabled WHERE side = 's') s JOIN (SELECT * FROM tabled WHERE side = 't') t USING (unit) WHERE s.n_cols <> t.n_cols
+  UNION ALL SELECT unit, NULL, 'fidelity', false, 'block ' || i FROM md_blocks LEFT JOIN per USING (unit) WHERE NOT contains(coalesce(rows_body, ''), {_nospace('block')})
+  UNION ALL SELECT unit, seq, 'fidelity', true, 'row' FROM measured WHERE NOT contains(doc, a))"""
 
 
 def findings(spark, d):
-    rows = aligned(spark, d)
-    letters = lambda c: F.regexp_count(c, F.lit(r"\p{L}"))
-    parts = [
-        align.length_findings(rows).select("unit", "seq", F.lit("length").alias("check"), "blocking"),
-        g.same_language(rows, "en").select("unit", "seq", F.lit("language").alias("check"), F.lit(True).alias("blocking")),
-        rows.where((letters("src") >= 80) & (F.trim("tgt") != "") & (letters("tgt") <= 4)).select("unit", "seq", F.lit("length_review").alias("check"), F.lit(True).alias("blocking")),
-    ]
-    return g.union(*parts)
+    tables = gate_tables(spark, d)
+    return c.unit_flags(tables["rows"], tables["units"], tables["glossary"], tables["exemptions"], tables["styles"], tables["registered"])
 
 
 @query(f"WITH {FINDINGS} SELECT * FROM findings")
 def g0_findings(spark, d):
+    """All thirteen checks with their exemptions and severities."""
     return findings(spark, d)
 
 
@@ -82,6 +119,17 @@ def g0_summary(spark, d):
     return g.summary(findings(spark, d))
 
 
+@query(f"""WITH {FINDINGS}, open AS (SELECT u.unit AS work, count_if("check" = 'terminology' AND blocking) AS terminology_open, count_if(blocking AND "check" NOT LIKE 'terminology%') AS structure_open, count_if(NOT blocking) AS advisory FROM gate_units u LEFT JOIN findings f ON f.unit = u.unit GROUP BY ALL)
+SELECT *, CASE WHEN terminology_open > 0 THEN 'terminology_open' WHEN structure_open > 0 THEN 'structure_open' ELSE 'ok' END AS reason FROM open""")
+def release_by_work(spark, d):
+    """The release decision from the gate's findings, each conversation a work of its own; what other stages report is in order."""
+    works = gate_tables(spark, d)["units"].select(F.col("unit").alias("work"), "unit")
+    counts = c.release_counts(findings(spark, d), works)
+    rest = {k: v for k, v in BASE.items() if k not in ("terminology_open", "structure_open")}
+    facts = counts.select("*", *[F.lit(v).alias(k) for k, v in rest.items()])
+    return facts.select("work", "terminology_open", "structure_open", "advisory", F.expr(g.RELEASE_SQL).alias("reason"))
+
+
 BASE = dict(terminology_open=0, conflicts_open=0, structure_open=0, review_inconsistent=0, review_unknown=0, review_open=0, contract="v2", confirmed=0, patched=0, notes_open=0, notes_review_open=0, audit_ok=True, catalog_open=0, coverage=1.0, provenance_errors=0, check_ran=True, check_code=0, check_errors=0)
 CASES = [{}, {"terminology_open": 2, "structure_open": 1}, {"conflicts_open": 1, "structure_open": 1}, {"structure_open": 1, "review_unknown": 1}, {"review_inconsistent": 1, "review_unknown": 1}, {"review_unknown": 3}, {"review_open": 1}, {"contract": "none", "confirmed": 3, "patched": 2}, {"contract": "none", "confirmed": 3, "patched": 3, "review_open": 5}, {"notes_open": 1, "audit_ok": False}, {"notes_review_open": 1}, {"audit_ok": False}, {"catalog_open": 1, "coverage": 0.5}, {"coverage": 0.9998}, {"coverage": None}, {"provenance_errors": 1}, {"check_ran": False}, {"check_code": 1}, {"check_code": None}, {"check_errors": 2}]
 FACTS = Literal(
