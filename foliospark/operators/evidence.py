@@ -21,37 +21,37 @@ def page_numbers(segments: DataFrame) -> DataFrame:
 
 
 def body_sizes(blocks: DataFrame) -> DataFrame:
-    """page, body: the median font size by length of text, a block of n characters counting n / 20 times, once at least."""
+    """work, page, body: the median font size by length of text, a block of n characters counting n / 20 times, once at least."""
     b = blocks.where("size is not null and coalesce(text, '') <> ''").withColumn("weight", F.greatest(F.lit(1), F.floor(F.char_length("text") / 20)).cast("long"))
-    return b.groupBy("page").agg(F.expr("percentile(size, 0.5, weight)").alias("body"))
+    return b.groupBy("work", "page").agg(F.expr("percentile(size, 0.5, weight)").alias("body"))
 
 
 def artefacts(blocks: DataFrame, pages: int = 3) -> DataFrame:
-    """key, pages: small texts in the lower part of several pages that bear no note number: furniture."""
-    b = blocks.join(body_sizes(blocks), "page").withColumn("bottom", F.max("y1").over(Window.partitionBy("page")))
+    """work, key, pages: small texts in the lower part of several pages of a work that bear no note number: furniture."""
+    b = blocks.join(body_sizes(blocks), ["work", "page"]).withColumn("bottom", F.max("y1").over(Window.partitionBy("work", "page")))
     key = F.lower(F.regexp_replace("text", r"(?U)\W+", ""))
     low = b.where((F.char_length("text") >= 12) & ~F.col("text").rlike(r"^\s*\d{1,3}[\s.]") & (F.col("size") <= F.col("body") - 1.2) & (F.col("y0") >= F.col("bottom") * 0.55)).withColumn("key", key)
-    return low.groupBy("key").agg(F.countDistinct("page").alias("pages")).where((F.col("pages") >= pages) & (F.col("key") != ""))
+    return low.groupBy("work", "key").agg(F.countDistinct("page").alias("pages")).where((F.col("pages") >= pages) & (F.col("key") != ""))
 
 
 def note_blocks(blocks: DataFrame) -> DataFrame:
-    """page, block: blocks that look like notes: of twenty characters, clearly smaller than the body, low on the page or labelled; not furniture, capitals or leaders."""
-    b = blocks.join(body_sizes(blocks), "page").withColumn("bottom", F.max("y1").over(Window.partitionBy("page"))).withColumn("key", F.lower(F.regexp_replace("text", r"(?U)\W+", "")))
-    b = b.join(artefacts(blocks).select("key"), "key", "left_anti")
+    """work, page, block: blocks that look like notes: of twenty characters, clearly smaller than the body, low on the page or labelled; not furniture, capitals or leaders."""
+    b = blocks.join(body_sizes(blocks), ["work", "page"]).withColumn("bottom", F.max("y1").over(Window.partitionBy("work", "page"))).withColumn("key", F.lower(F.regexp_replace("text", r"(?U)\W+", "")))
+    b = b.join(artefacts(blocks).select("work", "key"), ["work", "key"], "left_anti")
     labelled = F.col("text").rlike(r"(?m)^\s*(?:\d{1,3}[\s.)]|\[\d{1,3}\]|[*†‡])")
     shouting = (F.upper("text") == F.col("text")) & F.col("text").rlike(r"\p{L}") & (F.char_length("text") < 100)
     leaders = F.regexp_count("text", F.lit(r"\.\s*\.")) >= 5
-    return b.where((F.char_length("text") >= 20) & ~shouting & ~leaders & (F.col("size") <= F.col("body") - 1.2) & ((F.col("y0") >= F.col("bottom") * 0.55) | labelled)).select("page", "block")
+    return b.where((F.char_length("text") >= 20) & ~shouting & ~leaders & (F.col("size") <= F.col("body") - 1.2) & ((F.col("y0") >= F.col("bottom") * 0.55) | labelled)).select("work", "page", "block")
 
 
 def continued_notes(blocks: DataFrame) -> DataFrame:
-    """page, block, from_page: a page's first note block without a label, after a page whose last note block ends in no terminal mark."""
-    notes = blocks.join(note_blocks(blocks), ["page", "block"])
-    edge = notes.groupBy("page").agg(F.min_by(F.struct("block", "text"), "block").alias("first"), F.max_by("text", "block").alias("last"))
-    before = Window.orderBy("page")
+    """work, page, block, from_page: a page's first note block without a label, after a page of the work whose last note block ends in no terminal mark."""
+    notes = blocks.join(note_blocks(blocks), ["work", "page", "block"])
+    edge = notes.groupBy("work", "page").agg(F.min_by(F.struct("block", "text"), "block").alias("first"), F.max_by("text", "block").alias("last"))
+    before = Window.partitionBy("work").orderBy("page")
     e = edge.withColumn("prev_page", F.lag("page").over(before)).withColumn("prev_last", F.lag("last").over(before))
     open_ = ~F.right(t.right_stripped(F.col("prev_last")), F.lit(1)).isin(*(t.TERMINAL + t.CLOSERS))
-    return e.where((F.col("prev_page") == F.col("page") - 1) & open_ & ~F.col("first.text").rlike(r"^\s*(?:\d{1,3}[\s.)]|\[\d{1,3}\])")).select("page", F.col("first.block").alias("block"), F.col("prev_page").alias("from_page"))
+    return e.where((F.col("prev_page") == F.col("page") - 1) & open_ & ~F.col("first.text").rlike(r"^\s*(?:\d{1,3}[\s.)]|\[\d{1,3}\])")).select("work", "page", F.col("first.block").alias("block"), F.col("prev_page").alias("from_page"))
 
 
 def indented_paragraphs(lines: DataFrame) -> DataFrame:

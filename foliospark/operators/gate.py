@@ -59,14 +59,6 @@ def table_shapes(docs: DataFrame) -> DataFrame:
     return count.union(each.where("src <> tgt"))
 
 
-def same_language(rows: DataFrame, target_language: str) -> DataFrame:
-    """unit, seq: rows whose target is the source again, white space apart; twenty characters at least, a letter, and not half ideographs where the target is Chinese."""
-    a, b = t.without_blanks(t.text_of("src")), t.without_blanks(t.text_of("tgt"))
-    han = F.regexp_count(a, F.lit("[一-鿿]")) * 2 >= F.char_length(a)
-    copied = (a == b) & (F.char_length(a) >= 20) & a.rlike(r"\p{L}") & (F.lit(not target_language.startswith("zh")) | ~han)
-    return rows.where(copied).select("unit", "seq")
-
-
 def summary(findings: DataFrame) -> DataFrame:
     """check, total, blocking, advisory."""
     return findings.groupBy("check").agg(F.count("*").alias("total"), F.count_if("blocking").alias("blocking"), F.count_if(~F.col("blocking")).alias("advisory"))

@@ -133,9 +133,11 @@ def cell_marks(pages: DataFrame) -> DataFrame:
 
 
 def mixed_stops(paragraphs: DataFrame, most: int = 100) -> DataFrame:
-    """unit, ord, mark: full stops of one script after letters of the other, the first ``most`` in order: a report's length."""
+    """work, unit, ord, mark: full stops of one script after letters of the other, of each work the first ``most`` in order: the length of its report."""
     found = F.regexp_extract_all("text", F.lit(r"([一-鿿]\.(?!\d|\.)|[A-Za-z]。)"), F.lit(1))
-    return paragraphs.select("unit", "ord", F.explode(found).alias("mark")).orderBy("unit", "ord", "mark").limit(most)
+    each = paragraphs.select("work", "unit", "ord", F.posexplode(found).alias("at", "mark"))
+    n = F.row_number().over(Window.partitionBy("work").orderBy("unit", "ord", "at"))
+    return each.withColumn("n", n).where(F.col("n") <= most).select("work", "unit", "ord", "mark")
 
 
 def lists_of_units(units: DataFrame) -> DataFrame:

@@ -106,72 +106,89 @@ def fifo_matched(left: DataFrame, right: DataFrame, key: str, *, by: list[str],
     return numbered(left, "left").join(numbered(right, "right"), [*by, key, "n"], "full_outer")
 
 
+PAGE = ("work", "page")
+
+
 def bands(boxes: DataFrame) -> DataFrame:
-    """Adds ``band`` to page, x0, x1: intervals that overlap, directly or through others, are one band, from left to right."""
-    before = Window.partitionBy("page").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
-    order = Window.partitionBy("page").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, 0)
+    """Adds ``band`` to work, page, x0, x1: intervals that overlap, directly or through others, are one band, from left to right."""
+    before = Window.partitionBy(*PAGE).orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*PAGE).orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, 0)
     new = F.when(F.col("x0") <= F.max("x1").over(before), 0).otherwise(1)
     return boxes.withColumn("new", new).withColumn("band", (F.sum("new").over(order) - 1).cast("long")).drop("new")
 
 
 def reading_order(boxes: DataFrame, wide=0.6) -> DataFrame:
-    """page, block, place: wide blocks above all columns, then zone by zone (cut by the wide blocks in between) column by column, then wide blocks below.
+    """work, page, block, place: wide blocks above all columns, then zone by zone (cut by the wide blocks in between) column by column, then wide blocks below.
 
-    Takes page, block, x0, y0, x1, y1. A page with a block without a box keeps its order."""
-    p = Window.partitionBy("page")
+    Takes work, page, block, x0, y0, x1, y1. A page with a block without a box keeps its order."""
+    p = Window.partitionBy(*PAGE)
     df = boxes.withColumn("whole", F.bool_and(F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()).over(p))
     df = df.withColumn("wide", F.coalesce(F.col("x1") - F.col("x0") >= wide * F.max("x1").over(p), F.lit(False)))
-    narrow = bands(df.where("not wide and whole").select("page", "block", "x0", "x1")).select("page", "block", "band")
-    df = df.join(narrow, ["page", "block"], "left")
+    narrow = bands(df.where("not wide and whole").select(*PAGE, "block", "x0", "x1")).select(*PAGE, "block", "band")
+    df = df.join(narrow, [*PAGE, "block"], "left")
     top, bottom = F.min(F.when(~F.col("wide"), F.col("y0"))).over(p), F.max(F.when(~F.col("wide"), F.col("y1"))).over(p)
     df = df.withColumn("part", F.when(~F.col("wide"), 1).when(top.isNull() | (F.col("y1") <= top), 0).when(F.col("y0") >= bottom, 2).otherwise(1))
     df = df.withColumn("cut", F.col("wide") & (F.col("part") == 1))
-    upto = Window.partitionBy("page").orderBy("y0").rangeBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*PAGE).orderBy("y0").rangeBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("zone", F.when(F.col("part") == 1, F.sum(F.col("cut").cast("int")).over(upto)).otherwise(0))
     # a wide block in between opens its zone
-    order = Window.partitionBy("page").orderBy(F.when(~F.col("whole"), F.col("block")), "part", "zone", F.when(F.col("cut"), -1).otherwise(F.coalesce("band", F.lit(0))), "y0", "x0", "block")
-    return df.select("page", "block", F.row_number().over(order).cast("long").alias("place"))
+    order = Window.partitionBy(*PAGE).orderBy(F.when(~F.col("whole"), F.col("block")), "part", "zone", F.when(F.col("cut"), -1).otherwise(F.coalesce("band", F.lit(0))), "y0", "x0", "block")
+    return df.select(*PAGE, "block", F.row_number().over(order).cast("long").alias("place"))
 
 
 def columns_by_anchor(boxes: DataFrame, tolerance=0.08) -> DataFrame:
-    """page, block, column: centres from left to right; a centre further than the tolerance from its column's first one opens the next.
+    """work, page, block, column: centres from left to right; a centre further than the tolerance from its column's first one opens the next.
 
-    The anchor is the column's first centre and not the row before, so it is a fold over the page's sorted centres."""
-    width = F.greatest(F.lit(1.0), F.max("x1") * tolerance)
-    centers = F.array_sort(F.collect_list(F.struct(((F.col("x0") + F.col("x1")) / 2).alias("c"), F.col("block").alias("block"))))
-    page = boxes.groupBy("page").agg(centers.alias("centers"), width.alias("tolerance"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).cast("long").alias("column"), F.array().cast("array<struct<block:bigint,column:bigint>>").alias("out"))
+    The anchor is the column's first centre and not the row before, so a page's sorted centres are read with one number carried along."""
 
-    def step(a, x):
-        new = a["anchor"].isNull() | (x["c"] - a["anchor"] > F.col("tolerance"))
-        column = F.when(new, a["column"] + 1).otherwise(a["column"])
-        return F.struct(F.when(new, x["c"]).otherwise(a["anchor"]).alias("anchor"), column.alias("column"), F.concat(a["out"], F.array(F.struct(x["block"].alias("block"), column.alias("column")))).alias("out"))
+    def fold(rows: pa.Table) -> pa.Table:
+        centers = [(a + b) / 2 for a, b in zip(rows["x0"].to_pylist(), rows["x1"].to_pylist())]
+        reach = max(1.0, max(rows["x1"].to_pylist()) * tolerance)
+        blocks = rows["block"].to_pylist()
+        anchor, column, found = None, -1, [0] * len(centers)
+        for i in sorted(range(len(centers)), key=lambda i: (centers[i], blocks[i])):
+            if anchor is None or centers[i] - anchor > reach:
+                anchor, column = centers[i], column + 1
+            found[i] = column
+        return rows.select(["work", "page", "block"]).append_column("column", pa.array(found, pa.int64()))
 
-    return page.select("page", F.explode(F.aggregate("centers", start, step, lambda a: a["out"])).alias("x")).select("page", "x.block", "x.column")
+    kinds = boxes.select("work", "page", "block").schema
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds.fields) + ", column long"
+    return boxes.select("work", "page", "block", F.col("x0").cast("double"), F.col("x1").cast("double")).groupBy(*PAGE).applyInArrow(fold, schema)
 
 
 def page_chain(numbers: DataFrame, *, reach=3, least=5) -> DataFrame:
     """work, page, value: the longest run of page-edge numbers that follow the pages (0 to ``reach`` ahead of them) and rise by 1 to ``reach`` from one to the next; none under ``least`` pages.
 
-    The choice at a page depends on the one before and starts over at any page, so each work is folded by itself; its edge numbers, one or two a page, are what is held."""
+    How a run goes on depends only on the number it has reached, so one pass from the last page back gives the length of the
+    run from every number; the first of the longest that start with a page's smallest number is taken."""
     def fold(rows: pa.Table) -> pa.Table:
         by_page: dict[int, list[int]] = {}
         for page, value in sorted(zip(rows["page"].to_pylist(), rows["value"].to_pylist())):
             by_page.setdefault(page, []).append(value)
-        pages, best = list(by_page.items()), []
-        for start in range(len(pages)):
-            chain: list[tuple[int, int]] = []
-            for page, values in pages[start:]:
-                pick = next((v for v in values if not chain or chain[-1][1] < v <= chain[-1][1] + reach), None)
-                if pick is None:
-                    break
-                chain.append((page, pick))
-            best = max(best, chain, key=len)
+        pages = list(by_page.items())
+        length: list[dict[int, int]] = [{} for _ in pages]
+
+        def following(i: int, value: int) -> int | None:
+            return next((v for v in pages[i + 1][1] if value < v <= value + reach), None) if i + 1 < len(pages) else None
+
+        for i in range(len(pages) - 1, -1, -1):
+            for value in pages[i][1]:
+                after = following(i, value)
+                length[i][value] = 1 + (length[i + 1][after] if after is not None else 0)
+        best: list[tuple[int, int]] = []
+        if pages:
+            i = max(range(len(pages)), key=lambda i: length[i][pages[i][1][0]])
+            value: int | None = pages[i][1][0]
+            while value is not None:
+                best.append((pages[i][0], value))
+                value = following(i, value)
+                i += 1
         best = best if len(best) >= least else []
         work = rows["work"][0].as_py()
         return pa.table({"work": pa.array([work] * len(best), pa.string()), "page": pa.array([p for p, _ in best], pa.int64()), "value": pa.array([v for _, v in best], pa.int64())})
 
-    near = numbers.where(f"value - page between 0 and {reach}")
+    near = numbers.where(f"value - page between 0 and {reach}").distinct()
     return near.groupBy("work").applyInArrow(fold, "work string, page long, value long")
 
 
@@ -193,17 +210,21 @@ def rising_bookmarks(bookmarks: DataFrame) -> DataFrame:
 def packed_blocks(blocks: DataFrame, budget: int) -> DataFrame:
     """unit, block, chunk: blocks in order, a new chunk when the next would exceed the budget; an oversize block stands alone.
 
-    A fold over the ordered lengths of one unit, in the JVM."""
-    sizes = F.array_sort(F.collect_list(F.struct("block", F.char_length("text").alias("n"))))
-    start = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<block:bigint,chunk:bigint>>").alias("out"))
+    Only a unit's lengths are read, in order, with two numbers carried along."""
 
-    def step(a, x):
-        over = (a["used"] > 0) & (a["used"] + x["n"] > budget)
-        chunk = F.when(over | (F.size(a["out"]) == 0), a["chunk"] + 1).otherwise(a["chunk"])
-        used = F.when(over, x["n"].cast("long")).otherwise(a["used"] + x["n"])
-        return F.struct(chunk.alias("chunk"), used.alias("used"), F.concat(a["out"], F.array(F.struct(x["block"].alias("block"), chunk.alias("chunk")))).alias("out"))
-
-    return blocks.groupBy("unit").agg(sizes.alias("sizes")).select("unit", F.explode(F.aggregate("sizes", start, step, lambda a: a["out"])).alias("x")).select("unit", "x.block", "x.chunk")
+    def fold(rows: pa.Table) -> pa.Table:
+        blocks, sizes = rows["block"].to_pylist(), rows["n"].to_pylist()
+        found, chunk, used = [0] * len(blocks), 1, 0
+        for i in sorted(range(len(blocks)), key=blocks.__getitem__):
+            if used and used + sizes[i] > budget:
+                chunk, used = chunk + 1, 0
+            used += sizes[i]
+            found[i] = chunk
+        return rows.select(["unit", "block"]).append_column("chunk", pa.array(found, pa.int64()))
+
+    sizes = blocks.select("unit", "block", F.char_length("text").cast("long").alias("n"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sizes.schema.fields[:2]) + ", chunk long"
+    return sizes.groupBy("unit").applyInArrow(fold, schema)
 
 
 def numbered_runs(paragraphs: DataFrame) -> DataFrame:

@@ -17,28 +17,28 @@ def label_key(x):
 
 
 def printed_entries(lines: DataFrame) -> DataFrame:
-    """line, label, page: printed entries of lines (line, text). A page alone on a line belongs to the entry before it, where that has none."""
-    l = lines.select("line", F.trim("text").alias("text")).where("text <> '' and not startswith(text, '#')")
+    """work, line, label, page: printed entries of lines (work, line, text). A page alone on a line belongs to the entry before it, where that has none."""
+    l = lines.select("work", "line", F.trim("text").alias("text")).where("text <> '' and not startswith(text, '#')")
     l = l.withColumn("alone", F.col("text").rlike(r"(?i)^(?:[0-9]{1,4}|[ivxlcdm]{1,8})$"))
     l = l.withColumn("label", F.when(F.col("text").rlike(LABEL_PAGE), F.trim(F.regexp_extract("text", LABEL_PAGE, 1))).otherwise(F.col("text")))
     l = l.withColumn("page", F.nullif(F.regexp_extract("text", LABEL_PAGE, 2), F.lit("")))
-    order = Window.orderBy("line")
+    order = Window.partitionBy("work").orderBy("line")
     l = l.withColumn("entry", F.sum((~F.col("alone")).cast("int")).over(order))
     first_alone = F.min_by(F.when(F.col("alone"), F.col("text")), F.when(F.col("alone"), F.col("line")))
-    e = l.groupBy("entry").agg(F.max(F.when(~F.col("alone"), F.struct("line", "label", "page"))).alias("e"), first_alone.alias("extra")).where("e is not null")
-    return e.select("e.line", "e.label", F.coalesce("e.page", "extra").alias("page"))
+    e = l.groupBy("work", "entry").agg(F.max(F.when(~F.col("alone"), F.struct("line", "label", "page"))).alias("e"), first_alone.alias("extra")).where("e is not null")
+    return e.select("work", "e.line", "e.label", F.coalesce("e.page", "extra").alias("page"))
 
 
 def diff(printed: DataFrame, nav: DataFrame) -> DataFrame:
-    """side, label, match: printed entries are matched, ambiguous or printed_only; navigation entries not matched by a single one are nav_only."""
+    """work, side, place, label, match: printed entries are matched, ambiguous or printed_only by the navigation of their work; navigation entries not matched by a single one are nav_only."""
     p = printed.withColumn("key", label_key(F.col("label")))
     n = nav.withColumn("key", label_key(F.col("label")))
-    hits = n.where("key <> ''").groupBy("key").agg(F.count("*").alias("hits"))
-    both = p.join(hits, "key", "left")
+    hits = n.where("key <> ''").groupBy("work", "key").agg(F.count("*").alias("hits"))
+    both = p.join(hits, ["work", "key"], "left")
     match = F.when(F.col("hits") == 1, "matched").when(F.col("hits") > 1, "ambiguous").otherwise("printed_only")
-    single = both.where("hits = 1").select("key").distinct()
-    left = both.select(F.lit("printed").alias("side"), F.col("line").alias("place"), "label", match.alias("match"))
-    right = n.join(single, "key", "left_anti").select(F.lit("nav").alias("side"), F.col("place"), "label", F.lit("nav_only").alias("match"))
+    single = both.where("hits = 1").select("work", "key").distinct()
+    left = both.select("work", F.lit("printed").alias("side"), F.col("line").alias("place"), "label", match.alias("match"))
+    right = n.join(single, ["work", "key"], "left_anti").select("work", F.lit("nav").alias("side"), F.col("place"), "label", F.lit("nav_only").alias("match"))
     return left.union(right)
 
 

@@ -43,32 +43,40 @@ def work_states(spark, d):
     return c.work_states(works, table(spark, "work string, unit string, status string", ("a", "1", "reviewed"), ("a", "2", "built"), ("c", "1", "built"), ("d", "1", "aligned"), ("e", "1", "pending")))
 
 
-UNIT_DIGESTS = Literal("unit_digests", "work string, unit string, digest string", ("a", "1", "x"), ("a", "2", "y"), ("a", "3", "z"))
-PRODUCTS = Literal("products", "work string, unit string, digest string", ("a", "1", "x"), ("a", "2", "old"), ("a", "9", "q"))
+UNIT_DIGESTS = Literal("unit_digests", "work string, unit string, digest string", ("a", "1", "x"), ("a", "2", "y"), ("a", "3", "z")).also(
+    "SELECT concat('s', source), concat('u', doc_id), concat('d', doc_id % 9) FROM {documents} WHERE doc_id % 7 <> 0"
+)
+PRODUCTS = Literal("products", "work string, unit string, digest string", ("a", "1", "x"), ("a", "2", "old"), ("a", "9", "q")).also(
+    "SELECT concat('s', source), concat('u', doc_id), concat('d', doc_id % 9 % 8) FROM {documents} WHERE doc_id % 5 <> 0"
+)
 
 
 @query(with_tables(UNIT_DIGESTS, PRODUCTS) + " SELECT * FROM (SELECT coalesce(u.work, p.work) AS work, coalesce(u.unit, p.unit) AS unit, CASE WHEN u.unit IS NULL THEN 'orphan' WHEN p.unit IS NULL THEN 'missing' WHEN u.digest <> p.digest THEN 'stale' END AS code FROM unit_digests u FULL JOIN products p ON u.work = p.work AND u.unit = p.unit) WHERE code IS NOT NULL")
 def stale_units(spark, d):
-    return c.stale_units(UNIT_DIGESTS.frame(spark), PRODUCTS.frame(spark))
+    return c.stale_units(UNIT_DIGESTS.frame(spark, d), PRODUCTS.frame(spark, d))
 
 
-REG_NOTES = Literal("reg_notes", "work string, note_id string, scope_id string, source_label string", ("a", "n1", "s1", "1"), ("a", "n2", "s1", "12"), ("a", "n3", "s2", "*"), ("b", "n1", "s1", "7"))
-REG_REFS = Literal("reg_refs", "work string, note_id string, unit string", ("a", "n1", "u1"), ("a", "n2", "u1"), ("a", "n1", "u2"), ("c", "n1", "u1"))
+REG_NOTES = Literal("reg_notes", "work string, note_id string, scope_id string, source_label string", ("a", "n1", "s1", "1"), ("a", "n2", "s1", "12"), ("a", "n3", "s2", "*"), ("b", "n1", "s1", "7")).also(
+    "SELECT concat('s', source), concat('n', doc_id), concat('p', doc_id % 4), concat('', doc_id % 30) FROM {documents}"
+)
+REG_REFS = Literal("reg_refs", "work string, note_id string, unit string", ("a", "n1", "u1"), ("a", "n2", "u1"), ("a", "n1", "u2"), ("c", "n1", "u1")).also(
+    "SELECT concat('s', source), concat('n', doc_id), concat('u', doc_id % 6) FROM {documents} WHERE doc_id % 3 = 0"
+)
 
 
 @query(with_tables(REG_NOTES, REG_REFS) + ", a AS (SELECT work, count(*) AS n_notes, count(DISTINCT scope_id) AS n_scopes FROM reg_notes GROUP BY 1), b AS (SELECT work, count(*) AS n_refs, count(DISTINCT unit) AS n_units FROM reg_refs GROUP BY 1) SELECT work, coalesce(n_notes, 0) AS n_notes, coalesce(n_scopes, 0) AS n_scopes, coalesce(n_refs, 0) AS n_refs, coalesce(n_units, 0) AS n_units FROM a FULL JOIN b USING (work)")
 def note_registration(spark, d):
-    return c.note_registration(REG_NOTES.frame(spark), REG_REFS.frame(spark))
+    return c.note_registration(REG_NOTES.frame(spark, d), REG_REFS.frame(spark, d))
 
 
 @query(with_tables(REG_REFS) + " SELECT unit, string_agg(DISTINCT note_id, ',' ORDER BY note_id) AS notes FROM reg_refs WHERE work = 'a' GROUP BY unit")
 def required_notes(spark, d):
-    return c.required_notes(REG_REFS.frame(spark).where("work = 'a'"))
+    return c.required_notes(REG_REFS.frame(spark, d).where("work = 'a'"))
 
 
 @query(listed("expected", "unit string, numbers string", ("u1", "1,12"), ("u2", "1")))
 def registered_numbers(spark, d):
-    return p.registered_numbers(REG_REFS.frame(spark).where("work = 'a'").drop("work"), REG_NOTES.frame(spark).where("work = 'a'").drop("work"))
+    return p.registered_numbers(REG_REFS.frame(spark, d).where("work = 'a'").drop("work"), REG_NOTES.frame(spark, d).where("work = 'a'").drop("work"))
 
 
 @query(listed("expected", "entity string, code string", ("n2", "disposition"), ("n2", "reason_missing"), ("n3", "contradiction")))
@@ -121,17 +129,19 @@ def ordered_containment(spark, d):
     return p.ordered_containment(blocks, table(spark, "unit string, text string", ("a", "one  two\nthree"), ("b", "x y")))
 
 
-SIZED = Literal("sized", "page long, line long, text string, size double", (1, 1, "A Great Heading", 20.0), (1, 2, "body text of the page that is long", 10.0), (1, 3, "more of it, longer than the heading", 10.0), (1, 4, "Chapter 7", 10.0), (2, 1, "ab", 8.0), (2, 2, "cd", 9.0), (2, 3, "none", 0.0))
+SIZED = Literal("sized", "page long, line long, text string, size double", (1, 1, "A Great Heading", 20.0), (1, 2, "body text of the page that is long", 10.0), (1, 3, "more of it, longer than the heading", 10.0), (1, 4, "Chapter 7", 10.0), (2, 1, "ab", 8.0), (2, 2, "cd", 9.0), (2, 3, "none", 0.0)).also(
+    "SELECT o_orderkey % 200 + 10, o_orderkey, substr(o_orderpriority, 1, 8), CAST(8 + o_custkey % 5 AS DOUBLE) FROM {orders} WHERE o_orderkey < 8000"
+)
 
 
 @query(with_tables(SIZED) + ", u AS (SELECT page, size, sum(length(text)) AS c FROM sized WHERE size > 0 GROUP BY ALL) SELECT page, (SELECT median(size) FROM sized s WHERE s.page = u.page AND size > 0) AS median_size, arg_max(size, (c, -size)) AS usual_size FROM u GROUP BY page")
 def size_profile(spark, d):
-    return p.size_profile(SIZED.frame(spark))
+    return p.size_profile(SIZED.frame(spark, d))
 
 
 @query(listed("expected", "page long, line long", (1, 1), (1, 4)))
 def chapter_headings(spark, d):
-    return p.chapter_headings(SIZED.frame(spark))
+    return p.chapter_headings(SIZED.frame(spark, d))
 
 
 @query(listed("expected", "id long, verse boolean, hollow boolean", (1, True, False), (2, False, False), (3, False, False), (4, False, True), (5, False, False)))
@@ -172,9 +182,15 @@ def cell_marks(spark, d):
     return p.cell_marks(table(spark, "page_id long, html string", (1, "<table><tr><td> ## Cell</td><td># b</td></tr></table>"), (2, "<td>plain</td><p># no</p>")))
 
 
-@query(with_tables(Literal("stops", "unit string, ord long, text string", ("a", 1, "中文. 和 word。"), ("a", 2, "3.14 中文.5 ok."))) + " SELECT unit, ord, unnest(regexp_extract_all(replace(text, '文.5', ''), '[一-鿿]\\.|[A-Za-z]。')) AS mark FROM stops")
+STOPS = Literal("stops", "work string, unit string, ord long, text string", ("w", "a", 1, "中文. 和 word。"), ("w", "a", 2, "3.14 中文.5 ok."))
+STOPS.also("SELECT concat('s', source), 'u', doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, '.', '。') ELSE replace(text, 'e.', '中.') END FROM {documents} WHERE doc_id % 8 < 2")
+
+
+@query(with_tables(STOPS) + r""", cut AS (SELECT *, unnest(range(2, length(text) + 1)) AS i FROM stops WHERE contains(text, '.') OR contains(text, '。')),
+found AS (SELECT work, unit, ord, i, substr(text, i - 1, 2) AS mark FROM cut WHERE (substr(text, i, 1) = '.' AND regexp_matches(substr(text, i - 1, 1), '[一-鿿]') AND NOT regexp_matches(substr(text, i + 1, 1), '[0-9.]')) OR (substr(text, i, 1) = '。' AND regexp_matches(substr(text, i - 1, 1), '[A-Za-z]')))
+SELECT work, unit, ord, mark FROM (SELECT *, row_number() OVER (PARTITION BY work ORDER BY unit, ord, i) AS n FROM found) WHERE n <= 100""")
 def mixed_stops(spark, d):
-    return p.mixed_stops(table(spark, "unit string, ord long, text string", ("a", 1, "中文. 和 word。"), ("a", 2, "3.14 中文.5 ok.")))
+    return p.mixed_stops(STOPS.frame(spark, d))
 
 
 @query(listed("expected", "work string, units string", ("a", "u1,u3")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliospark.functions import text as t
 from foliospark.operators import evidence as e
 from foliospark.plans.registry import Literal, query, with_tables
 from foliospark.plans.text import NOSPACE
@@ -17,48 +18,58 @@ def listed(name: str, schema: str, *rows: tuple) -> str:
     return with_tables(table).replace('check', '"check"') + f" SELECT {columns} FROM {name}"
 
 
-SEGMENTS = Literal("segments", "work string, page long, line long, text string", ("a", 1, 1, "12"), ("a", 1, 2, "text 12"), ("a", 1, 3, "- 13 -"), ("a", 2, 1, "body"), ("a", 2, 2, "1968"), ("a", 2, 3, "more"), ("a", 3, 1, "第 3 页"), ("a", 3, 2, "p12"), ("a", 4, 1, "x"), ("a", 4, 2, "4"))
+SEGMENTS = Literal("segments", "work string, page long, line long, text string", ("a", 1, 1, "12"), ("a", 1, 2, "text 12"), ("a", 1, 3, "- 13 -"), ("a", 2, 1, "body"), ("a", 2, 2, "1968"), ("a", 2, 3, "more"), ("a", 3, 1, "第 3 页"), ("a", 3, 2, "p12"), ("a", 4, 1, "x"), ("a", 4, 2, "4")).also(
+    "SELECT concat('s', source), doc_id, n, CASE WHEN n = 2 THEN substr(text, 1, 40) WHEN n = 1 THEN CASE doc_id % 5 WHEN 0 THEN concat('', doc_id % 3000) WHEN 1 THEN concat('- ', doc_id % 500, ' -') WHEN 2 THEN concat('p', doc_id % 900) ELSE substr(text, 1, 4) END ELSE CASE doc_id % 3 WHEN 0 THEN concat('第 ', doc_id % 90, ' 页') WHEN 1 THEN concat('', doc_id) ELSE 'end' END END FROM {documents} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) m"
+)
 
 
-@query(listed("expected", "work string, page long, line long, kind string", ("a", 1, 1, "candidate"), ("a", 1, 3, "decorated"), ("a", 3, 1, "label"), ("a", 3, 2, "label"), ("a", 4, 2, "candidate")))
-def page_number_evidence(spark, d):
-    return e.page_numbers(SEGMENTS.frame(spark))
+KINDS = """edged AS (SELECT work, page, line, trim(text) AS text, line IN (min(line) OVER p, max(line) OVER p) AS edge FROM segments WINDOW p AS (PARTITION BY work, page)),
+kinds AS (SELECT work, page, line, CASE WHEN regexp_full_match(text, '第\\s*\\d{1,4}\\s*页|\\d{1,4}\\s*页|[pP]\\d{1,4}') THEN 'label' WHEN regexp_full_match(text, '[\\s\\-—–·]*\\d{1,4}[\\s\\-—–·]*') AND regexp_matches(text, '[-—–·•]') THEN 'decorated' WHEN edge AND regexp_full_match(text, '\\d{1,4}') THEN 'candidate' END AS kind FROM edged)"""
 
 
-@query(f"""WITH {LINES}, w AS (SELECT work, unit AS page, line, text, min(line) OVER (PARTITION BY work, unit) AS f, max(line) OVER (PARTITION BY work, unit) AS l FROM lines)
-SELECT work, page, line, CASE WHEN regexp_full_match(text, '(?:第\\s*\\d{{1,4}}\\s*页|\\d{{1,4}}\\s*页|[pP]\\d{{1,4}})') THEN 'label' WHEN regexp_full_match(text, '[\\s\\-—–·]*\\d{{1,4}}[\\s\\-—–·]*') AND regexp_matches(text, '[-—–·•]') THEN 'decorated' ELSE 'candidate' END AS kind
-FROM w WHERE regexp_full_match(text, '(?:第\\s*\\d{{1,4}}\\s*页|\\d{{1,4}}\\s*页|[pP]\\d{{1,4}})') OR (regexp_full_match(text, '[\\s\\-—–·]*\\d{{1,4}}[\\s\\-—–·]*') AND regexp_matches(text, '[-—–·•]')) OR (regexp_full_match(text, '\\d{{1,4}}') AND line IN (f, l))""")
-def page_number_evidence_documents(spark, d):
-    return e.page_numbers(lines(spark, d).withColumnRenamed("unit", "page"))
+@query(with_tables(SEGMENTS) + ", " + KINDS + " SELECT * FROM kinds WHERE kind IS NOT NULL")
+def page_number_evidence(spark, d):
+    return e.page_numbers(SEGMENTS.frame(spark, d))
 
 
 BODY = "The body text of this page goes on for well over sixty characters, as bodies do."
 BLOCKS = Literal(
-    "page_blocks", "page long, block long, text string, size double, y0 double, y1 double",
-    *[(p, 1, BODY, 11.0, 50.0, 400.0) for p in (1, 2, 3, 4)], *[(p, 9, "The Journal of Examples", 8.0, 780.0, 790.0) for p in (1, 2, 3)],
-    (1, 2, "1 See the first volume for the rest of", 8.0, 700.0, 740.0), (2, 2, "this long argument, which ends here.", 8.0, 690.0, 700.0), (2, 3, "2 Another note of decent length.", 8.0, 710.0, 740.0), (3, 2, "ALL CAPITALS SHOUTING HERE TOO", 8.0, 700.0, 740.0), (3, 3, "small but high up on the page", 8.0, 60.0, 70.0),
-    (4, 2, "too short", 8.0, 700.0, 740.0), (4, 3, "a . . . . . . . . . . . . leader line 9", 8.0, 700.0, 740.0),
+    "page_blocks", "work string, page long, block long, text string, size double, y0 double, y1 double",
+    *[("w", p, 1, BODY, 11.0, 50.0, 400.0) for p in (1, 2, 3, 4)], *[("w", p, 9, "The Journal of Examples", 8.0, 780.0, 790.0) for p in (1, 2, 3)],
+    ("w", 1, 2, "1 See the first volume for the rest of", 8.0, 700.0, 740.0), ("w", 2, 2, "this long argument, which ends here.", 8.0, 690.0, 700.0), ("w", 2, 3, "2 Another note of decent length.", 8.0, 710.0, 740.0), ("w", 3, 2, "ALL CAPITALS SHOUTING HERE TOO", 8.0, 700.0, 740.0), ("w", 3, 3, "small but high up on the page", 8.0, 60.0, 70.0),
+    ("w", 4, 2, "too short", 8.0, 700.0, 740.0), ("w", 4, 3, "a . . . . . . . . . . . . leader line 9", 8.0, 700.0, 740.0),
+).also(
+    "SELECT concat('s', source), CAST(floor(doc_id / 20) AS BIGINT), n, CASE n WHEN 9 THEN CASE WHEN doc_id % 3 = 0 THEN concat('The journal of ', source) ELSE concat(doc_id % 90, ' ', substr(replace(text, chr(10), ' '), 1, 60)) END WHEN 8 THEN substr(replace(text, chr(10), ' '), 61, 50) ELSE substr(replace(text, chr(10), ' '), 1, 300) END, CASE WHEN n > 7 THEN 8.0 ELSE 11.0 END, CASE n WHEN 1 THEN 50.0 ELSE 600.0 + 10 * n END, CASE n WHEN 1 THEN 500.0 ELSE 608.0 + 10 * n END FROM {documents} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 8 UNION ALL SELECT 9) m WHERE length(text) > 120"
 )
 
 
-@query(with_tables(BLOCKS) + ", w AS (SELECT page, size, unnest(range(0, greatest(1, length(text) // 20))) FROM page_blocks) SELECT page, median(size) AS body FROM w GROUP BY page")
+BODIES = r"""weighed AS (SELECT work, page, size, unnest(range(0, greatest(1, length(text) // 20))) FROM page_blocks WHERE text <> ''), bodies AS (SELECT work, page, median(size) AS body FROM weighed GROUP BY ALL),
+placed AS (SELECT p.*, body, max(y1) OVER (PARTITION BY p.work, p.page) AS bottom, lower(regexp_replace(text, '[^\p{L}\p{M}\p{Nd}\p{Pc}]+', '', 'g')) AS key FROM page_blocks p JOIN bodies USING (work, page)),
+furniture AS (SELECT work, key, count(DISTINCT page) AS pages FROM placed WHERE length(text) >= 12 AND NOT regexp_matches(text, '^\s*\d{1,3}[\s.]') AND size <= body - 1.2 AND y0 >= bottom * 0.55 AND key <> '' GROUP BY ALL HAVING count(DISTINCT page) >= 3),
+noted AS (SELECT p.* FROM placed p LEFT JOIN furniture f USING (work, key) WHERE f.key IS NULL AND length(text) >= 20 AND NOT (upper(text) = text AND regexp_matches(text, '\p{L}') AND length(text) < 100) AND len(regexp_extract_all(text, '\.\s*\.')) < 5
+  AND size <= body - 1.2 AND (y0 >= bottom * 0.55 OR regexp_matches(text, '(?m)^\s*(?:\d{1,3}[\s.)]|\[\d{1,3}\]|[*†‡])')))"""
+
+
+@query(with_tables(BLOCKS) + ", " + BODIES + " SELECT work, page, body FROM bodies")
 def body_font_sizes(spark, d):
-    return e.body_sizes(BLOCKS.frame(spark))
+    return e.body_sizes(BLOCKS.frame(spark, d))
 
 
-@query(listed("expected", "key string, pages long", ("thejournalofexamples", 3)))
+@query(with_tables(BLOCKS) + ", " + BODIES + " SELECT work, key, pages FROM furniture")
 def footer_artefacts(spark, d):
-    return e.artefacts(BLOCKS.frame(spark))
+    return e.artefacts(BLOCKS.frame(spark, d))
 
 
-@query(listed("expected", "page long, block long", (1, 2), (2, 2), (2, 3)))
+@query(with_tables(BLOCKS) + ", " + BODIES + " SELECT work, page, block FROM noted")
 def note_blocks(spark, d):
-    return e.note_blocks(BLOCKS.frame(spark))
+    return e.note_blocks(BLOCKS.frame(spark, d))
 
 
-@query(listed("expected", "page long, block long, from_page long", (2, 2, 1)))
+@query(with_tables(BLOCKS) + ", " + BODIES + rf""", edges AS (SELECT work, page, min(block) AS block, arg_min(text, block) AS head, arg_max(text, block) AS tail FROM noted GROUP BY ALL),
+after AS (SELECT *, lag(page) OVER (PARTITION BY work ORDER BY page) AS from_page, lag(tail) OVER (PARTITION BY work ORDER BY page) AS before FROM edges)
+SELECT work, page, block, from_page FROM after WHERE from_page = page - 1 AND NOT contains('{(t.TERMINAL + t.CLOSERS).replace("'", "''")}', right(regexp_replace(before, '[\s\p{{Z}}]+$', ''), 1)) AND NOT regexp_matches(head, '^\s*(?:\d{{1,3}}[\s.)]|\[\d{{1,3}}\])')""")
 def continued_notes(spark, d):
-    return e.continued_notes(BLOCKS.frame(spark))
+    return e.continued_notes(BLOCKS.frame(spark, d))
 
 
 BLOCK_LINES = Literal(
@@ -92,13 +103,15 @@ def heading_units(spark, d):
     return e.heading_units(e.content_segments(ITEMS.frame(spark)).withColumn("work", F.lit("w")))
 
 
-MARKED = Literal("marked", "work string, line long, text string", ("w", 1, "front"), ("w", 2, "[]{#one.xhtml}"), ("w", 3, "a"), ("w", 4, " []{#two.xhtml} "), ("w", 5, "b"), ("v", 1, "none"))
+MARKED = Literal("marked", "work string, line long, text string", ("w", 1, "front"), ("w", 2, "[]{#one.xhtml}"), ("w", 3, "a"), ("w", 4, " []{#two.xhtml} "), ("w", 5, "b"), ("v", 1, "none")).also(
+    "SELECT concat('s', source), doc_id, CASE WHEN doc_id % 6 = 0 THEN concat('[]', chr(123), '#a', doc_id, '.xhtml', chr(125)) ELSE substr(text, 1, 30) END FROM {documents}"
+)
 
 
 @query(with_tables(MARKED) + r""", m AS (SELECT *, nullif(regexp_extract(text, '^\s*\[\]\{#([^}]+)\}\s*$', 1), '') AS mark FROM marked)
 SELECT work, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY work ORDER BY line), first_value(mark IGNORE NULLS) OVER (PARTITION BY work ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS anchor, line, text FROM m""")
 def spine_anchors(spark, d):
-    return e.anchored(MARKED.frame(spark))
+    return e.anchored(MARKED.frame(spark, d))
 
 
 PUNCT = Literal("punct", "id long, s string, want string", (1, 'He «said» "yes" and "no', "He 《said》 「yes」 and 「no」"), (2, "wait... \"", "wait… 「」"), (3, "", ""), (4, "plain", "plain"), (5, '""', "「」"))
@@ -173,14 +186,18 @@ def import_admission(spark, d):
     return e.admission(IMPORTED.frame(spark), IMPORT_FINDINGS.frame(spark))
 
 
-FOUND = Literal("found_findings", "unit string, block long, code string, digest string", ("a", 1, "x", "d1"), ("a", None, "y", "d2"), ("a", 2, "x", "d3"), ("b", 1, "z", "d4"))
-DECIDED = Literal("decided", "unit string, block long, code string, digest string, disposition string", ("a", 1, "x", "d1", "accepted"), ("a", None, "y", "old", "accepted"), ("c", None, "x", "d", "fixed"))
+FOUND = Literal("found_findings", "unit string, block long, code string, digest string", ("a", 1, "x", "d1"), ("a", None, "y", "d2"), ("a", 2, "x", "d3"), ("b", 1, "z", "d4")).also(
+    "SELECT concat('s', source), doc_id, concat('c', doc_id % 3), concat('d', doc_id % 7) FROM {documents}"
+)
+DECIDED = Literal("decided", "unit string, block long, code string, digest string, disposition string", ("a", 1, "x", "d1", "accepted"), ("a", None, "y", "old", "accepted"), ("c", None, "x", "d", "fixed")).also(
+    "SELECT concat('s', source), doc_id + doc_id % 2, concat('c', doc_id % 3), concat('d', doc_id % 7 + doc_id % 2), CASE WHEN doc_id % 4 < 2 THEN 'accepted' ELSE 'fixed' END FROM {documents} WHERE doc_id % 3 <> 2"
+)
 
 
 @query(with_tables(FOUND, DECIDED) + """ SELECT f.unit, f.block, f.code, CASE WHEN disposition IS NULL THEN 'open' WHEN f.digest = d.digest THEN disposition ELSE 'stale' END AS status FROM found_findings f LEFT JOIN decided d ON f.unit = d.unit AND f.block IS NOT DISTINCT FROM d.block AND f.code = d.code
 UNION ALL SELECT unit, block, code, 'gone' FROM decided d WHERE NOT EXISTS (SELECT 1 FROM found_findings f WHERE f.unit = d.unit AND f.block IS NOT DISTINCT FROM d.block AND f.code = d.code)""")
 def hygiene_dispositions(spark, d):
-    return e.dispositions(FOUND.frame(spark), DECIDED.frame(spark))
+    return e.dispositions(FOUND.frame(spark, d), DECIDED.frame(spark, d))
 
 
 @query(f"WITH {UNITS}, x AS (SELECT work, unit, sha256(text) AS digest FROM units) SELECT work, unit::VARCHAR AS unit, digest FROM x UNION ALL SELECT work, '*', sha256(string_agg(concat_ws(':', unit, digest), chr(10) ORDER BY unit)) FROM x GROUP BY work")
@@ -215,8 +232,6 @@ def provenance(spark, d):
 @query(f"""WITH {LINES}, k AS (SELECT work, unit % 2 AS side, {NOSPACE.format('text')} AS norm FROM lines), a AS (SELECT work, norm, count(*) AS a FROM k WHERE side = 0 GROUP BY ALL), b AS (SELECT work, norm, count(*) AS b FROM k WHERE side = 1 GROUP BY ALL)
 SELECT work, norm, a - coalesce(b, 0) AS lost FROM a LEFT JOIN b USING (work, norm) WHERE a - coalesce(b, 0) > 0""")
 def lines_lost(spark, d):
-    from foliospark.functions import text as t
-
     x = lines(spark, d).select("work", "unit", t.without_blanks(F.col("text")).alias("norm"))
     return e.multiset_difference(x.where("unit % 2 = 0"), x.where("unit % 2 = 1"), ["work", "norm"])
 

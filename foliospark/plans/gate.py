@@ -9,53 +9,6 @@ from foliospark.plans.registry import Literal, query, with_tables
 from foliospark.plans.text import NOSPACE, STRIP
 from foliospark.sources.adapters import GATE, UNITS, gate_tables, units
 
-ROWS = Literal(
-    "md_rows", "unit string, seq long, src string, tgt string",
-    ("a", 1, "See {fig:1} and {table:2}.", "Siehe {fig:1}."), ("a", 2, "It ended.12 More[^x].", "Ende.12 Mehr."), ("b", 1, "Plain.3", "Schlicht"), ("c", 1, "{fig:1}", "{fig:1}"), ("c", 2, "Note.4 Next", "Anm.4 [^q] Next"),
-    ("d", 1, "The very same sentence again", "The very same  sentence again"), ("d", 2, "short same", "short same"), ("e", 1, "Raised (x)14 here and.7 Then", "Nur.7 Das"),
-)
-KINDS = Literal("kinds", "unit string, kind string", ("a", "chapter"), ("b", "index"), ("c", "chapter"), ("d", "chapter"), ("e", "chapter"))
-CONSERVED = Literal("expected_conservation", "unit string, check string, src long, tgt long, blocking boolean", ("a", "marker", 2, 1, True), ("a", "footnote", 2, 1, True), ("b", "footnote", 1, 0, False))
-
-
-@query(with_tables(CONSERVED).replace("check", '"check"') + " SELECT * FROM expected_conservation")
-def conservation(spark, d):
-    """Worked by hand."""
-    return g.conservation(ROWS.frame(spark), KINDS.frame(spark))
-
-
-SUSPECTS = Literal("expected_suspects", "unit string, numbers string", ("b", "3"), ("e", "14"))
-
-
-@query(with_tables(SUSPECTS) + " SELECT * FROM expected_suspects")
-def footnote_suspects(spark, d):
-    return g.suspects(ROWS.frame(spark))
-
-
-@query(with_tables(ROWS) + f""", n AS (SELECT unit, seq, {NOSPACE.format('src')} AS a, {NOSPACE.format('tgt')} AS b FROM md_rows) SELECT unit, seq FROM n WHERE a = b AND length(a) >= 20 AND regexp_matches(a, '\\p{{L}}')""")
-def same_language(spark, d):
-    return g.same_language(ROWS.frame(spark), "de")
-
-
-DOCS = Literal(
-    "md_docs", "unit string, source_md string, target_md string",
-    ("a", "# One\n\n## Two\n\n```\n# code\n```\n\n|a|b|\n|---|---|\n|1|2|\n", "# Eins\n\n### Drei\n\n|a|b|c|\n|---|---|---|\n|1|2|3|\n"), ("b", "|a|b|\n|---|---|\n", ""), ("c", "## x\n## y", "## x\n## y"), ("d", "|a \\| z|b|\n|:---|---:|\n|1|2|\n\n|x|\n|---|\n", "|a|b|\n|---|---|\n|1|2|\n\n|x|\n|---|\n|y|\n"),
-)
-HEADS = Literal("expected_heads", "unit string, level long, src long, tgt long", ("a", 2, 1, 0), ("a", 3, 0, 1))
-SHAPES = Literal("expected_shapes", "unit string, place long, src string, tgt string", ("a", 1, "3x2", "3x3"), ("b", 0, "1", "0"))
-
-
-@query(with_tables(HEADS) + " SELECT * FROM expected_heads")
-def heading_conservation(spark, d):
-    return g.headings(DOCS.frame(spark))
-
-
-@query(with_tables(SHAPES) + " SELECT * FROM expected_shapes UNION ALL SELECT 'd', 2, '2x1', '3x1'")
-def table_shapes(spark, d):
-    """Worked by hand; an escaped pipe is no column, and a table may be its head alone."""
-    return g.table_shapes(DOCS.frame(spark))
-
-
 def _nospace(x):
     return NOSPACE.format(x)
 
@@ -103,6 +56,35 @@ findings AS (
   UNION ALL SELECT unit, seq, 'fidelity', true, 'row' FROM measured WHERE NOT contains(doc, a))"""
 
 
+@query(f"""WITH {FINDINGS} SELECT unit, 'marker' AS "check", m_src AS src, m_tgt AS tgt, true AS blocking FROM per WHERE m_src <> m_tgt UNION ALL SELECT unit, 'footnote', n_src, n_tgt, NOT listed FROM per WHERE n_tgt < n_src""".replace("m_src AS src, m_tgt AS tgt", "m_src::BIGINT AS src, m_tgt::BIGINT AS tgt"))
+def conservation(spark, d):
+    tables = gate_tables(spark, d)
+    return g.conservation(tables["rows"], tables["units"])
+
+
+@query(f"WITH {FINDINGS} SELECT unit, string_agg(number, ',' ORDER BY number) AS numbers FROM lost GROUP BY unit")
+def footnote_suspects(spark, d):
+    return g.suspects(gate_tables(spark, d)["rows"])
+
+
+@query(f"""WITH {FINDINGS}, s AS (SELECT * FROM heads WHERE side = 's'), t AS (SELECT * FROM heads WHERE side = 't') SELECT unit, level, coalesce(s.n, 0) AS src, coalesce(t.n, 0) AS tgt FROM s FULL JOIN t USING (unit, level) WHERE s.n IS DISTINCT FROM t.n""")
+def heading_conservation(spark, d):
+    return g.headings(gate_tables(spark, d)["units"].where("target_md is not null"))
+
+
+@query(f"""WITH {FINDINGS} SELECT unit, 1::BIGINT AS place, s.n_rows || 'x' || s.n_cols AS src, t.n_rows || 'x' || t.n_cols AS tgt FROM (SELECT * FROM tabled WHERE side = 's') s JOIN (SELECT * FROM tabled WHERE side = 't') t USING (unit) WHERE s.n_cols <> t.n_cols""")
+def table_shapes(spark, d):
+    """Hand cases with several tables, escaped pipes and lone heads are in the tests."""
+    return g.table_shapes(gate_tables(spark, d)["units"].where("target_md is not null"))
+
+
+@query(f"""WITH {FINDINGS} SELECT unit, seq, "check", detail FROM findings WHERE "check" IN ('language', 'language_exempt', 'bibliography_identical')""")
+def same_language(spark, d):
+    tables = gate_tables(spark, d)
+    found = c.row_findings(tables["rows"], tables["units"], tables["styles"], same_language=False, target_language="zh-CN")
+    return found.where(F.col("check").isin("language", "language_exempt", "bibliography_identical")).select("unit", "seq", "check", "detail")
+
+
 def findings(spark, d):
     tables = gate_tables(spark, d)
     return c.unit_flags(tables["rows"], tables["units"], tables["glossary"], tables["exemptions"], tables["styles"], tables["registered"])
@@ -212,18 +194,24 @@ def duplicate_units(spark, d):
     return g.duplicate_units(units(spark, d))
 
 
-OLD = Literal("old_units", "work string, unit string, status string", ("a", "u1", "built"), ("a", "u2", "pending"), ("a", "u3", "reviewed"))
-NEW = Literal("new_units", "work string, unit string, status string", ("a", "u1", "pending"), ("a", "u3", "pending"), ("a", "u4", "pending"))
+OLD = Literal("old_units", "work string, unit string, status string", ("a", "u1", "built"), ("a", "u2", "pending"), ("a", "u3", "reviewed")).also(
+    "SELECT concat('s', source), concat('u', doc_id), CASE doc_id % 3 WHEN 0 THEN 'built' WHEN 1 THEN 'pending' ELSE 'reviewed' END FROM {documents} WHERE doc_id % 5 <> 0"
+)
+NEW = Literal("new_units", "work string, unit string, status string", ("a", "u1", "pending"), ("a", "u3", "pending"), ("a", "u4", "pending")).also(
+    "SELECT concat('s', source), concat('u', doc_id), 'pending' FROM {documents} WHERE doc_id % 7 <> 0"
+)
 
 
 @query(with_tables(OLD, NEW) + " SELECT coalesce(n.work, o.work) AS work, coalesce(n.unit, o.unit) AS unit, CASE WHEN n.unit IS NULL THEN 'gone' ELSE coalesce(o.status, n.status) END AS status FROM new_units n FULL JOIN old_units o ON n.work = o.work AND n.unit = o.unit")
 def carried_units(spark, d):
-    return g.carried_units(NEW.frame(spark), OLD.frame(spark))
+    return g.carried_units(NEW.frame(spark, d), OLD.frame(spark, d))
 
 
-TASKS = Literal("tasks", "work string, task string, priority long, applicable boolean", ("a", "import", 2, True), ("a", "preprocess", 1, False), ("a", "build", 3, True), ("b", "build", 3, True), ("c", "qa", 1, False))
+TASKS = Literal("tasks", "work string, task string, priority long, applicable boolean", ("a", "import", 2, True), ("a", "preprocess", 1, False), ("a", "build", 3, True), ("b", "build", 3, True), ("c", "qa", 1, False)).also(
+    "SELECT concat('s', source), concat('t', doc_id), (doc_id * 7919) % 100003, doc_id % 3 = 0 FROM {documents}"
+)
 
 
 @query(with_tables(TASKS) + " SELECT work, arg_min(task, priority) AS task FROM tasks WHERE applicable GROUP BY work")
 def next_task(spark, d):
-    return g.calibrate_priority(TASKS.frame(spark))
+    return g.calibrate_priority(TASKS.frame(spark, d))

@@ -13,10 +13,14 @@ NOTES = Literal(
     "notes", "note_id string, scope_id string, source_label string, source_markdown string, n_locations long, status string, note_type string, orphan_ok boolean",
     ("n-000001", "s1", "1", "first", 1, "confirmed", "footnote", None), ("n-000002", "s1", "01", "second", 1, "confirmed", "footnote", None), ("n-000002", "s2", "1", "again", 0, "odd", "", None),
     ("bad", "", " ", "", None, "unresolved", None, True), ("n-000003", "s2", "*", "star", 2, "candidate", "endnote", False), ("n-000004", "s2", "2", "two", 1, "confirmed", "endnote", True),
+).also(
+    "SELECT concat('n-', lpad(concat('', doc_id + 100), 6, '0')), concat('s', source), concat('', doc_id % 40), CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'note' END, doc_id % 5, CASE doc_id % 9 WHEN 0 THEN 'unresolved' WHEN 1 THEN 'odd' ELSE 'confirmed' END, 'footnote', doc_id % 2 = 0 FROM {documents}"
 )
 REFS = Literal(
     "refs", "ref_id string, note_id string, unit string, scope_id string, status string",
     ("ref-000001", "n-000001", "u1", "s1", "confirmed"), ("ref-000002", "n-000002", "u1", "s1", "confirmed"), ("ref-000002", "n-000009", "u9", "", "nope"), ("r3", "n-000002", "u2", "s2", "candidate"), ("ref-000004", "n-000001", "u3", "s1", "confirmed"),
+).also(
+    "SELECT concat('ref-', lpad(concat('', doc_id + 100 - doc_id % 13 % 2), 6, '0')), concat('n-', lpad(concat('', doc_id * 2), 6, '0')), CASE WHEN doc_id % 6 = 0 THEN 'u9' ELSE 'u1' END, CASE WHEN doc_id % 8 = 0 THEN '' ELSE 's' END, CASE WHEN doc_id % 10 = 0 THEN 'odd' ELSE 'candidate' END FROM {documents}"
 )
 UNITS = Literal("unit_md", "unit string, md string", ("u1", "Text[^ref-000001] and [^ref-000002] and [^ref-000002].\n```\n[^ref-000007]\n```\n"), ("u2", "Nothing here but [^ref-000009]"), ("u4", None))
 
@@ -30,7 +34,7 @@ UNION ALL SELECT 'note_id_twice', note_id FROM notes GROUP BY note_id HAVING cou
 UNION ALL SELECT 'ref_note_unknown', ref_id FROM refs WHERE note_id NOT IN (SELECT note_id FROM notes) UNION ALL SELECT 'ref_unit_unknown', ref_id FROM refs WHERE unit NOT IN (SELECT unit FROM unit_md)
 UNION ALL SELECT 'label_twice', scope || '/' || label FROM lab GROUP BY scope, label HAVING count(*) > 1 UNION ALL SELECT 'note_orphan', note_id FROM notes WHERE NOT coalesce(orphan_ok, false) AND note_id NOT IN (SELECT note_id FROM refs)""")
 def note_graph_violations(spark, d):
-    return n.graph_violations(NOTES.frame(spark), REFS.frame(spark), UNITS.frame(spark).select("unit"))
+    return n.graph_violations(NOTES.frame(spark, d), REFS.frame(spark, d), UNITS.frame(spark).select("unit"))
 
 
 BALANCE = Literal("expected_balance", "unit string, ref_id string, code string", ("u1", "ref-000002", "mark_repeated"), ("u2", "r3", "mark_missing"), ("u2", "ref-000009", "mark_unknown"), ("u9", "ref-000002", "unit_missing"), ("u3", "ref-000004", "unit_missing"))
@@ -42,25 +46,33 @@ def marker_balance(spark, d):
     return n.marker_balance(UNITS.frame(spark), REFS.frame(spark))
 
 
-SOURCE_NOTES = Literal("source_notes", "note_id string, src_digest string", ("n1", "a"), ("n2", "b"), ("n3", "c"), ("n4", "d"), ("n5", "e"))
-TARGET_NOTES = Literal("target_notes", "note_id string, target_markdown string, tgt_digest string", ("n1", "eins", "A"), ("n2", " ", "B"), ("n3", "drei", "C"), ("n3", "drei", "C"), ("n9", "neun", "N"), ("n5", "fünf", "E"))
-REQUIRED = Literal("required", "note_id string", ("n1",), ("n2",), ("n4",))
+SOURCE_NOTES = Literal("source_notes", "note_id string, src_digest string", ("n1", "a"), ("n2", "b"), ("n3", "c"), ("n4", "d"), ("n5", "e")).also(
+    "SELECT concat('m', doc_id), concat('a', doc_id % 5) FROM {documents} WHERE doc_id % 6 <> 1"
+)
+TARGET_NOTES = Literal("target_notes", "note_id string, target_markdown string, tgt_digest string", ("n1", "eins", "A"), ("n2", " ", "B"), ("n3", "drei", "C"), ("n3", "drei", "C"), ("n9", "neun", "N"), ("n5", "fünf", "E")).also(
+    "SELECT concat('m', doc_id - doc_id % 17 % 2), CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE 'note' END, concat('b', (doc_id - doc_id % 17 % 2) % 3) FROM {documents} WHERE doc_id % 5 <> 1"
+)
+REQUIRED = Literal("required", "note_id string", ("n1",), ("n2",), ("n4",)).also(
+    "SELECT concat('m', doc_id) FROM {documents} WHERE doc_id % 3 = 0"
+)
 
 
 @query(with_tables(SOURCE_NOTES, TARGET_NOTES, REQUIRED) + """, f AS (SELECT note_id FROM target_notes WHERE trim(coalesce(target_markdown, '')) <> '')
 SELECT note_id, 'repeated' AS code FROM target_notes GROUP BY note_id HAVING count(*) > 1 UNION ALL SELECT note_id, 'unknown' FROM target_notes WHERE note_id NOT IN (SELECT note_id FROM source_notes)
 UNION ALL SELECT DISTINCT note_id, 'blank' FROM target_notes WHERE note_id NOT IN (SELECT note_id FROM f) UNION ALL SELECT note_id, 'missing' FROM required WHERE note_id NOT IN (SELECT note_id FROM f)""")
 def translation_note_violations(spark, d):
-    return n.translation_violations(SOURCE_NOTES.frame(spark), TARGET_NOTES.frame(spark), REQUIRED.frame(spark))
+    return n.translation_violations(SOURCE_NOTES.frame(spark, d), TARGET_NOTES.frame(spark, d), REQUIRED.frame(spark, d))
 
 
-PREVIOUS = Literal("previous", "note_id string, disposition string, was_src string, was_tgt string", ("n1", "accepted", "a", "A"), ("n3", "accepted", "c", "old"), ("n4", "accepted", "d", "D"))
+PREVIOUS = Literal("previous", "note_id string, disposition string, was_src string, was_tgt string", ("n1", "accepted", "a", "A"), ("n3", "accepted", "c", "old"), ("n4", "accepted", "d", "D")).also(
+    "SELECT concat('m', doc_id), 'accepted', concat('a', doc_id % 5 % 4), concat('b', doc_id % 3 % 2) FROM {documents} WHERE doc_id % 2 = 0"
+)
 
 
 @query(with_tables(SOURCE_NOTES, TARGET_NOTES, PREVIOUS) + """, t AS (SELECT DISTINCT note_id, tgt_digest FROM target_notes)
 SELECT s.note_id, CASE WHEN tgt_digest IS NULL THEN 'untranslated' WHEN disposition IS NULL THEN 'open' WHEN src_digest = was_src AND tgt_digest = was_tgt THEN disposition ELSE 'stale' END AS status FROM source_notes s LEFT JOIN t USING (note_id) LEFT JOIN previous USING (note_id)""")
 def note_review(spark, d):
-    return n.review(SOURCE_NOTES.frame(spark), TARGET_NOTES.frame(spark).select("note_id", "tgt_digest").distinct(), PREVIOUS.frame(spark))
+    return n.review(SOURCE_NOTES.frame(spark, d), TARGET_NOTES.frame(spark, d).select("note_id", "tgt_digest").distinct(), PREVIOUS.frame(spark, d))
 
 
 CAND_LINES = Literal(
@@ -91,7 +103,7 @@ NUMBERED = Literal("expected_numbers", "note_id string, host string, number long
 
 @query(with_tables(NUMBERED) + " SELECT * FROM expected_numbers")
 def note_numbering(spark, d):
-    return n.numbering(NUM_NOTES.frame(spark), NUM_REFS.frame(spark))
+    return n.numbering(NUM_NOTES.frame(spark, d), NUM_REFS.frame(spark, d))
 
 
 NOTE_TEXTS = Literal(

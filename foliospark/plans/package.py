@@ -39,12 +39,14 @@ def html_headings(spark, d):
     return p.heading_entries(read(spark, d, "pages"))
 
 
-HEADINGS = Literal("headings", "page_id long, place long, level long", (1, 0, 1), (1, 1, 3), (1, 2, 2), (1, 3, 4), (2, 0, 1), (2, 1, 2), (2, 2, 2), (2, 3, 1), (3, 0, 4), (4, 0, 2), (4, 1, 6))
+HEADINGS = Literal("headings", "page_id long, place long, level long", (1, 0, 1), (1, 1, 3), (1, 2, 2), (1, 3, 4), (2, 0, 1), (2, 1, 2), (2, 2, 2), (2, 3, 1), (3, 0, 4), (4, 0, 2), (4, 1, 6)).also(
+    "SELECT CAST(floor(doc_id / 10) AS BIGINT) + 100, doc_id % 10, 1 + (doc_id * 7) % 5 FROM {documents}"
+)
 
 
 @query(with_tables(HEADINGS) + """, b AS (SELECT *, lag(level) OVER (PARTITION BY page_id ORDER BY place) AS before FROM headings), j AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place) AS n FROM b WHERE level > before + 1) SELECT page_id, place, level, before FROM j WHERE n = 1""")
 def html_heading_skip(spark, d):
-    return p.heading_skips(HEADINGS.frame(spark))
+    return p.heading_skips(HEADINGS.frame(spark, d))
 
 
 @query("""WITH b AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)<style\\b.*?</style\\s*>', '', 'g'), '<[^>]*>', ' ', 'g') AS bare FROM pages)
@@ -88,44 +90,63 @@ def archive_members(spark, d):
     return members(packed).select("work", "ord", "path", "stored", F.octet_length("body").cast("long").alias("size"))
 
 
-EXPECTED_TOC = Literal("expected_toc", "label string, place long", ("One", 1), ("Two", 2), ("Three", 3), ("Four", 4))
-ACTUAL_TOC = Literal("actual_toc", "label string, place long", ("One", 1), ("Three", 2), ("Five", 3), ("Four", 4))
+EXPECTED_TOC = Literal("expected_toc", "label string, place long", ("One", 1), ("Two", 2), ("Three", 3), ("Four", 4)).also(
+    "SELECT concat(p_name, p_partkey), p_partkey FROM {part} WHERE p_partkey % 5 <> 0"
+)
+ACTUAL_TOC = Literal("actual_toc", "label string, place long", ("One", 1), ("Three", 2), ("Five", 3), ("Four", 4)).also(
+    "SELECT concat(p_name, p_partkey), p_partkey + p_partkey % 11 % 2 FROM {part} WHERE p_partkey % 7 <> 0"
+)
 
 
 @query(with_tables(EXPECTED_TOC, ACTUAL_TOC) + """ SELECT label, e.place AS expected_place, a.place AS actual_place, CASE WHEN a.place IS NULL THEN 'missing' WHEN e.place IS NULL THEN 'extra' WHEN e.place <> a.place THEN 'moved' ELSE 'matched' END AS code FROM expected_toc e FULL JOIN actual_toc a USING (label)""")
 def generated_toc_check(spark, d):
-    return p.reconciled(EXPECTED_TOC.frame(spark), ACTUAL_TOC.frame(spark), ["label"])
+    return p.reconciled(EXPECTED_TOC.frame(spark, d), ACTUAL_TOC.frame(spark, d), ["label"])
 
 
 PRINTED = Literal(
-    "printed", "line long, text string",
-    (1, "# Contents"), (2, "1. First chapter ........ 12"), (3, "Second chapter"), (4, "  34 "), (5, "“Third” chapter\t56"), (6, "Fourth"), (7, ""), (8, "Preface ..... xii"), (9, "Doubled   7"), (10, "Lost one .... 9"),
+    "printed", "work string, line long, text string",
+    ("w", 1, "# Contents"), ("w", 2, "1. First chapter ........ 12"), ("w", 3, "Second chapter"), ("w", 4, "  34 "), ("w", 5, "“Third” chapter\t56"), ("w", 6, "Fourth"), ("w", 7, ""), ("w", 8, "Preface ..... xii"), ("w", 9, "Doubled   7"), ("w", 10, "Lost one .... 9"),
+).also(
+    "SELECT concat('c', o_custkey % 20), o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN concat(o_orderpriority, ' ', o_custkey, ' ....... ', o_orderkey % 400) WHEN 1 THEN concat('', o_orderkey % 300) WHEN 2 THEN concat('Chapter ', o_custkey, '   ', o_orderkey % 90) ELSE concat(o_orderstatus, 'art ', o_custkey) END FROM {orders} WHERE o_orderkey < 6000"
 )
-ENTRIES = Literal("expected_printed", "line long, label string, page string", (2, "1. First chapter", "12"), (3, "Second chapter", "34"), (5, "“Third” chapter", "56"), (6, "Fourth", None), (8, "Preface", "xii"), (9, "Doubled", "7"), (10, "Lost one", "9"))
-NAV = Literal("nav", "place long, label string", (1, "First Chapter"), (2, "second  chapter"), (3, "Third chapter"), (4, "Doubled"), (5, "DOUBLED"), (6, "Only in nav"), (7, "Preface"))
-
-
-@query(with_tables(ENTRIES) + " SELECT * FROM expected_printed")
+NAV = Literal("nav", "work string, place long, label string", *[(w, i, x) for w, names in (("w", ("First Chapter", "second  chapter", "Third chapter", "Doubled", "DOUBLED", "Only in nav", "Preface")), ("v", ("Second chapter", "First chapter"))) for i, x in enumerate(names, 1)]).also(
+    "SELECT concat('c', o_custkey % 20), o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN concat('CHAPTER ', o_custkey) ELSE concat(o_orderstatus, 'art ', o_custkey) END FROM {orders} WHERE o_orderkey % 5 < 3 AND o_orderkey < 6000"
+)
+#: Lines as printed: a page after leaders, a tab or two blanks, else alone on the next line; and the key of a label.
+ENTRIES = r"""raw AS (SELECT work, line, trim(text) AS text FROM printed WHERE trim(text) <> '' AND NOT starts_with(trim(text), '#')),
+told AS (SELECT *, regexp_full_match(lower(text), '[0-9]{1,4}|[ivxlcdm]{1,8}') AS alone, regexp_extract(text, '^(.*?\S)(?:[ \t]*[.．·…]{2,}[ \t]*|[ \t]{2,}|\t)([0-9]{1,4}|[ivxlcdm]{1,8})$', ['label', 'page']) AS m FROM raw),
+chained AS (SELECT *, lead(alone) OVER w AS next_alone, lead(text) OVER w AS next_text FROM told WINDOW w AS (PARTITION BY work ORDER BY line)),
+entries AS (SELECT work, line, CASE WHEN m.label <> '' THEN m.label ELSE text END AS label, coalesce(nullif(m.page, ''), CASE WHEN next_alone THEN next_text END) AS page FROM chained WHERE NOT alone),
+keyed AS (SELECT work, line AS place, label, 'printed' AS side FROM entries UNION ALL SELECT work, place, label, 'nav' FROM nav),
+keys AS (SELECT *, regexp_replace(lower(regexp_replace(regexp_replace(translate(label, '「」『』“”‘’"' || chr(39), ''), '^\s*\d{1,3}[.．、)]\s*', ''), '[ .…·•—–-]+$', '')), '\s+', '', 'g') AS key FROM keyed),
+hits AS (SELECT work, key, count(*) AS n FROM keys WHERE side = 'nav' AND key <> '' GROUP BY ALL), singles AS (SELECT DISTINCT work, key FROM hits JOIN keys USING (work, key) WHERE n = 1 AND side = 'printed')"""
+
+
+@query(with_tables(PRINTED) + ", nav AS (SELECT 'w' AS work, 1 AS place, '' AS label), " + ENTRIES + " SELECT work, line, label, page FROM entries")
 def toc_printed(spark, d):
-    """Worked by hand."""
-    return toc.printed_entries(PRINTED.frame(spark))
+    return toc.printed_entries(PRINTED.frame(spark, d))
 
 
-@query("""SELECT * FROM (VALUES ('printed', 2::BIGINT, '1. First chapter', 'matched'), ('printed', 3, 'Second chapter', 'matched'), ('printed', 5, '“Third” chapter', 'matched'), ('printed', 6, 'Fourth', 'printed_only'), ('printed', 8, 'Preface', 'matched'),
-  ('printed', 9, 'Doubled', 'ambiguous'), ('printed', 10, 'Lost one', 'printed_only'), ('nav', 4, 'Doubled', 'nav_only'), ('nav', 5, 'DOUBLED', 'nav_only'), ('nav', 6, 'Only in nav', 'nav_only')) v(side, place, label, "match")""")
+@query(with_tables(PRINTED, NAV) + ", " + ENTRIES + """ SELECT k.work, side, place, label, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'printed_only' END AS "match" FROM keys k LEFT JOIN hits h ON h.work = k.work AND h.key = k.key WHERE side = 'printed'
+UNION ALL SELECT k.work, side, place, label, 'nav_only' FROM keys k LEFT JOIN singles s ON s.work = k.work AND s.key = k.key WHERE side = 'nav' AND s.key IS NULL""")
 def toc_diff(spark, d):
-    """Worked by hand: entries under an ambiguous label stay nav_only."""
-    return toc.diff(toc.printed_entries(PRINTED.frame(spark)), NAV.frame(spark))
+    """Entries under an ambiguous label stay nav_only; two works with the same labels don't meet."""
+    return toc.diff(toc.printed_entries(PRINTED.frame(spark, d)), NAV.frame(spark, d))
 
 
-SRC_TITLES = Literal("src_titles", "work string, title string", ("a", "The First Chapter"), ("a", "Coda"), ("a", "Epilogue: after all"), ("a", "Lost"), ("b", "Coda"))
-LABELS = Literal("labels_of_units", "work string, label string", ("a", "the first chapter!"), ("a", "Epilogue"), ("a", "Cod"), ("b", "Intro"))
+SRC_TITLES = Literal("src_titles", "work string, title string", ("a", "The First Chapter"), ("a", "Coda"), ("a", "Epilogue: after all"), ("a", "Lost"), ("b", "Coda")).also(
+    "SELECT concat('s', source), substr(replace(text, chr(10), ' '), 1, 24) FROM {documents}"
+)
+LABELS = Literal("labels_of_units", "work string, label string", ("a", "the first chapter!"), ("a", "Epilogue"), ("a", "Cod"), ("b", "Intro")).also(
+    "SELECT concat('s', source), substr(replace(text, chr(10), ' '), 1 + doc_id % 7, 14) FROM {documents} WHERE doc_id % 3 = 0"
+)
 
 
-@query("SELECT * FROM (VALUES ('a', 'Coda'), ('a', 'Lost'), ('b', 'Coda')) v(work, title)")
+@query(with_tables(SRC_TITLES, LABELS) + r""", a AS (SELECT work, title, lower(regexp_replace(title, '[^\\p{L}\\p{N}]+', '', 'g')) AS k FROM src_titles), b AS (SELECT DISTINCT work, lower(regexp_replace(label, '[^\\p{L}\\p{N}]+', '', 'g')) AS k FROM labels_of_units)
+SELECT work, title FROM a WHERE k <> '' AND NOT EXISTS (SELECT 1 FROM b WHERE b.work = a.work AND b.k <> '' AND (a.k = b.k OR (least(length(a.k), length(b.k)) >= 4 AND (contains(a.k, b.k) OR contains(b.k, a.k)))))""".replace("\\\\", "\\"))
 def toc_missing(spark, d):
-    """Worked by hand: three characters are too few to match inside a longer title."""
-    return toc.missing_titles(SRC_TITLES.frame(spark), LABELS.frame(spark))
+    """Three characters are too few to match inside a longer title."""
+    return toc.missing_titles(SRC_TITLES.frame(spark, d), LABELS.frame(spark, d))
 
 
 INDEX = Literal(

@@ -28,9 +28,9 @@ def local_suppliers(spark, d):
     return j.groupBy("n_name").agg(money(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))).alias("revenue"), F.countDistinct("o_orderkey").alias("n_orders"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def customers_without_orders(spark, d):
-    return read(spark, d, "customer").join(read(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_anti").select("c_custkey")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")
+def customers_without_urgent_orders(spark, d):
+    return read(spark, d, "customer").join(read(spark, d, "orders").where("o_orderpriority LIKE '1%'").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY 1")

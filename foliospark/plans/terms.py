@@ -19,8 +19,14 @@ def benchmark_glossary(spark, d):
     return both.select("ord", "source", F.array().cast("array<string>").alias("aliases"), F.upper("source").alias("target"), F.lit("seed").alias("status"))
 
 
-@query(f"""WITH {GLOSSARY_SQL}, x AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations)
-SELECT DISTINCT id, ord, source FROM x JOIN glossary ON regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_-])' || source || '($|[^\\p{{L}}\\p{{N}}_-])')""")
+#: Texts are cut into words once, with what stands between them; an entry of one or two words is then met by equality.
+TOLD = r"""words AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w, string_split_regex(text, '[\p{L}\p{N}_]+') AS gaps FROM conversations),
+placed AS (SELECT id, unnest(range(1, len(w) + 1)) AS i, w, gaps FROM words),
+near AS (SELECT DISTINCT id, w[i] AS one, CASE WHEN gaps[i + 1] = ' ' THEN w[i] || ' ' || w[i + 1] END AS two, right(gaps[i], 1) IN ('-', '–', '—') AS joined_before, left(gaps[i + 1], 1) IN ('-', '–', '—') AS joined_after, left(gaps[i + 2], 1) IN ('-', '–', '—') AS two_joined_after FROM placed),
+told AS (SELECT DISTINCT id, ord, source FROM near JOIN glossary ON one = source WHERE NOT joined_before AND NOT joined_after UNION SELECT DISTINCT id, ord, source FROM near JOIN glossary ON two = source WHERE NOT joined_before AND NOT coalesce(two_joined_after, false))"""
+
+
+@query(f"WITH {GLOSSARY_SQL}, {TOLD} SELECT id, ord, source FROM told")
 def terms_in_texts(spark, d):
     texts = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return m.terms_in_texts(texts, benchmark_glossary(spark, d))
@@ -44,9 +50,8 @@ def terminology_hits(spark, d):
     return m.missing_targets(TERM_ROWS.frame(spark), TERMS.frame(spark))
 
 
-@query(f"""WITH {GLOSSARY_SQL}, x AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations),
-h AS (SELECT DISTINCT id, source FROM x JOIN glossary ON regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_-])' || source || '($|[^\\p{{L}}\\p{{N}}_-])') WHERE text <> '')
-SELECT h.id, source, upper(source) AS expected FROM h JOIN x USING (id) WHERE NOT regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_-])' || upper(source) || '($|[^\\p{{L}}\\p{{N}}_-])')""")
+@query(f"""WITH {GLOSSARY_SQL}, {TOLD}, wanted AS (SELECT DISTINCT id, source, upper(source) AS expected FROM told)
+SELECT id, source, expected FROM wanted b WHERE NOT EXISTS (SELECT 1 FROM words x WHERE x.id = b.id AND list_contains(x.w, split_part(expected, ' ', 1)) AND contains(array_to_string(x.w, ' '), expected))""")
 def terminology_hits_conversations(spark, d):
     rows = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("src"), F.col("text").alias("tgt"))
     return m.missing_targets(rows, benchmark_glossary(spark, d))
@@ -55,8 +60,12 @@ def terminology_hits_conversations(spark, d):
 EX_HITS = Literal(
     "ex_hits", "unit string, seq long, source string, occ_src long, occ_tgt long, digest string",
     ("a", 1, "guild", 2, 0, "d1"), ("a", 2, "guild", 1, 0, "d2"), ("a", 3, "moot", 1, 0, "d3"), ("b", 1, "guild", 3, 1, "d4"), ("b", 2, "guild", 1, 0, "d5"), ("c", 1, "moot", 1, 0, "d6"),
+).also(
+    "SELECT concat('u', conv_id), turn, concat('t', turn % 3), 1 + conv_id % 3, conv_id % 2, concat('d', conv_id % 5) FROM {conversations}"
 )
-EXEMPT = Literal("exemptions", "unit string, source string, seq long, digest string", ("a", "guild", 1, "d1"), ("a", "guild", 1, "d1"), ("a", "guild", 2, "old"), ("b", "guild", 1, "d4"), ("c", "moot", None, None))
+EXEMPT = Literal("exemptions", "unit string, source string, seq long, digest string", ("a", "guild", 1, "d1"), ("a", "guild", 1, "d1"), ("a", "guild", 2, "old"), ("b", "guild", 1, "d4"), ("c", "moot", None, None)).also(
+    "SELECT concat('u', conv_id), concat('t', turn % 3), CASE WHEN conv_id % 7 = 0 THEN NULL ELSE turn END, concat('d', conv_id % 10) FROM {conversations} WHERE conv_id % 3 < 2"
+)
 
 
 @query(with_tables(EX_HITS, EXEMPT) + """, whole AS (SELECT DISTINCT unit, source FROM exemptions WHERE seq IS NULL), placed AS (SELECT unit, source, seq, digest, count(*) AS times FROM exemptions WHERE seq IS NOT NULL GROUP BY ALL),
@@ -64,29 +73,33 @@ j AS (SELECT h.*, coalesce(p.times, 0) AS times, w.unit IS NOT NULL AS whole, EX
   FROM ex_hits h LEFT JOIN placed p USING (unit, source, seq, digest) LEFT JOIN whole w ON w.unit = h.unit AND w.source = h.source), k AS (SELECT *, greatest(0, occ_src - occ_tgt - least(times, occ_src)) AS missing FROM j)
 SELECT unit, seq, source, missing, CASE WHEN whole THEN 'exempt' WHEN missing = 0 THEN 'exempt_located' WHEN stale THEN 'stale_and_missing' ELSE 'missing' END AS verdict FROM k""")
 def occurrence_exemptions(spark, d):
-    return m.exempted(EX_HITS.frame(spark), EXEMPT.frame(spark))
+    return m.exempted(EX_HITS.frame(spark, d), EXEMPT.frame(spark, d))
 
 
 BOOK = Literal(
     "book", "ord long, source string, target string, status string",
     (1, "guild", "行会", "seed"), (2, "guild", "公会", "confirmed"), (3, "guild", "同业", "seed"), (4, "moot", "集会", "seed"), (5, "moot", "会议", "candidate"), (6, "hall", "厅", "confirmed"), (7, "hall", "厅", "seed"), (8, " guild ", "公会", "seed"), (9, "hall", "", "seed"), (10, "empty", "", "seed"),
+).also(
+    "SELECT 100 + p_partkey, concat(' ', p_name), CASE WHEN p_size < 3 THEN '' ELSE concat(p_type, p_size % 2) END, CASE p_partkey % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'candidate' ELSE 'seed' END FROM {part}"
 )
 
 
 @query(with_tables(BOOK) + """, g AS (SELECT *, trim(source) AS key FROM book), s AS (SELECT key, count(DISTINCT nullif(target, '')) AS n_targets, coalesce(arg_min(target, ord) FILTER (status = 'confirmed' AND target <> ''), arg_min(target, ord)) AS existing FROM g GROUP BY key)
 SELECT key, existing, target AS proposed, n_targets FROM g JOIN s USING (key) WHERE n_targets > 1 AND status <> 'confirmed' AND target <> '' AND target <> existing""")
 def glossary_conflicts(spark, d):
-    return m.conflicts(BOOK.frame(spark))
+    return m.conflicts(BOOK.frame(spark, d))
 
 
 @query(with_tables(BOOK) + " SELECT trim(source) AS key, arg_min(target, CASE WHEN status = 'confirmed' THEN 0 ELSE 1000000 END + ord) AS target FROM book WHERE target <> '' GROUP BY 1")
 def standing_targets(spark, d):
-    return m.standing_targets(BOOK.frame(spark))
+    return m.standing_targets(BOOK.frame(spark, d))
 
 
 STORE = Literal(
     "store", "src_lang string, tgt_lang string, source string, target string, status string, aliases array<string>, note string, book string, ord long",
     ("en", "zh", "guild", "行会", "confirmed", ["gild"], "", "b1", 1), ("en", "zh", "moot", "集会", "seed", [], "", "b1", 2), ("en", "zh", "moot", "会议", "conflict", [], "", "b2", 3), ("en", "fr", "guild", "guilde", "seed", [], "n", "b1", 4), ("en", "zh", "hall", "厅", "candidate", [], "", "b3", 5),
+).also(
+    "SELECT 'en', CASE WHEN p_size % 2 = 0 THEN 'zh' ELSE 'fr' END, p_name, concat(p_type, p_size % 3), CASE p_partkey % 5 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'conflict' WHEN 2 THEN 'candidate' ELSE 'seed' END, {list}(p_brand), '', p_brand, 100 + p_partkey FROM {part}"
 )
 INCOMING = Literal(
     "incoming", "src_lang string, tgt_lang string, source string, target string, status string, aliases array<string>, note string, book string, ord long",
@@ -109,23 +122,27 @@ def term_store_merge(spark, d):
 
 @query(with_tables(STORE) + """, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN status = 'confirmed' THEN 0 ELSE 1 END, ord) AS n FROM store WHERE src_lang = 'en' AND tgt_lang = 'zh' AND status IN ('confirmed', 'seed', 'candidate')) SELECT source AS key, source, target, status FROM r WHERE n = 1""")
 def term_export(spark, d):
-    return m.exported(STORE.frame(spark), "en", "zh", pending=True)
+    return m.exported(STORE.frame(spark, d), "en", "zh", pending=True)
 
 
 @query(with_tables(STORE) + ", s AS (SELECT src_lang || '>' || tgt_lang AS pair, * FROM store) SELECT pair, status, count(*) AS n, count(DISTINCT source) AS n_keys, count(DISTINCT book) AS n_books FROM s GROUP BY GROUPING SETS ((pair), (status), ())")
 def store_stats(spark, d):
-    return m.store_stats(STORE.frame(spark))
+    return m.store_stats(STORE.frame(spark, d))
 
 
 @query(with_tables(STORE) + " SELECT src_lang, tgt_lang, source AS key, count(DISTINCT target) AS n_targets FROM store WHERE target <> '' GROUP BY ALL HAVING count(DISTINCT target) > 1")
 def unresolved_keys(spark, d):
-    return m.unresolved_keys(STORE.frame(spark))
+    return m.unresolved_keys(STORE.frame(spark, d))
 
 
-STANDING = Literal("standing", "source string, existing string, proposed string", ("guild", "行会", "公会"), ("moot", "集会", "会议"))
-PROPOSED = Literal("proposed", "source string, existing string, proposed string", ("guild", "行会", "公会"), ("guild", "行会", "同业"), ("guild", "行会", "同业"), ("hall", "厅", "堂"))
+STANDING = Literal("standing", "source string, existing string, proposed string", ("guild", "行会", "公会"), ("moot", "集会", "会议")).also(
+    "SELECT DISTINCT p_name, p_type, p_brand FROM {part} WHERE p_partkey % 3 = 0"
+)
+PROPOSED = Literal("proposed", "source string, existing string, proposed string", ("guild", "行会", "公会"), ("guild", "行会", "同业"), ("guild", "行会", "同业"), ("hall", "厅", "堂")).also(
+    "SELECT p_name, p_type, p_brand FROM {part} WHERE p_partkey % 2 = 0"
+)
 
 
 @query(with_tables(STANDING, PROPOSED) + " SELECT DISTINCT * FROM proposed EXCEPT SELECT * FROM standing")
 def conflicts_append(spark, d):
-    return m.new_conflicts(STANDING.frame(spark), PROPOSED.frame(spark), ["source", "existing", "proposed"])
+    return m.new_conflicts(STANDING.frame(spark, d), PROPOSED.frame(spark, d), ["source", "existing", "proposed"])

@@ -52,6 +52,8 @@ ALIGN_ROWS = Literal(
     "align_rows", "unit string, file_pos long, seq long, src string, tgt string",
     ("a", 1, 1, "One line here.", "Eine Zeile hier."), ("a", 2, 3, "A gap.", "Eine Lücke."), ("a", 3, 3, "Twice the same.", "  "),
     ("b", 1, 1, "", "Ohne Quelle."), ("b", 2, 2, "Whole.", "Ganz."), ("c", 1, None, "No number.", None), ("c", 2, 2, " \t", "x"),
+).also(
+    "SELECT concat('c', conv_id), turn + 1, CASE WHEN conv_id % 7 = 0 AND turn = 1 THEN 9 ELSE turn + 1 END, CASE WHEN conv_id % 9 = 0 THEN '' ELSE text END, CASE WHEN turn % 5 = 3 THEN '  ' ELSE text END FROM {conversations}"
 )
 
 
@@ -60,7 +62,7 @@ SELECT unit, file_pos, seq, 'seq' AS code FROM p WHERE seq IS DISTINCT FROM plac
 UNION ALL SELECT unit, file_pos, seq, 'src_blank' FROM p WHERE {STRIP.format("coalesce(src, '')")} = ''
 UNION ALL SELECT unit, file_pos, seq, 'tgt_blank' FROM p WHERE {STRIP.format("coalesce(tgt, '')")} = ''""")
 def align_integrity(spark, d):
-    return align.integrity(ALIGN_ROWS.frame(spark))
+    return align.integrity(ALIGN_ROWS.frame(spark, d))
 
 
 SENTENCES = rf"""cut AS (SELECT unit, string_split_regex(regexp_replace(text, '([。！？!?；;.؟؛۔])', '\1' || chr(10), 'g'), '\n+') AS parts FROM units),
@@ -271,6 +273,8 @@ SIDE_SPANS = Literal(
     "side_spans", "side string, unit string, block long, seq_start long, seq_end long, ok boolean",
     ("s", "a", 1, 1, 2, True), ("s", "a", 2, 3, 3, True), ("s", "a", 3, 4, 6, True), ("s", "b", 1, 1, 1, True),
     ("t", "a", 1, 1, 2, True), ("t", "a", 2, 3, 4, True), ("t", "a", 3, 5, 5, True), ("t", "a", 4, 9, 9, True), ("t", "a", 5, None, None, False), ("t", "b", 1, 1, 1, True),
+).also(
+    "SELECT CASE WHEN turn % 2 = 0 THEN 's' ELSE 't' END, concat('c', conv_id), CAST(floor(turn / 2) AS BIGINT), CASE WHEN turn % 2 = 0 THEN turn * 3 + 1 ELSE turn * 2 + conv_id % 3 END, CASE WHEN turn % 2 = 0 THEN turn * 3 + 2 + conv_id % 4 ELSE turn * 2 + 2 + conv_id % 2 END, turn < 5 OR conv_id % 2 = 0 FROM {conversations}"
 )
 
 
@@ -279,5 +283,5 @@ m AS (SELECT t.unit, t.block, s.block AS s_block FROM t JOIN s ON t.unit = s.uni
 n AS (SELECT *, count(*) OVER (PARTITION BY unit, s_block) AS targets FROM m), c AS (SELECT unit, block, count(*) AS n_source, max(targets) AS targets FROM n GROUP BY ALL)
 SELECT t.unit, t.block, coalesce(n_source, 0) AS n_source, CASE WHEN NOT ok THEN 'propose' WHEN n_source IS NULL THEN 'unmatched' WHEN n_source > 1 THEN 'merge' WHEN targets > 1 THEN 'split' ELSE 'exact' END AS status FROM t LEFT JOIN c USING (unit, block)""")
 def align_proposal(spark, d):
-    both = SIDE_SPANS.frame(spark)
+    both = SIDE_SPANS.frame(spark, d)
     return align.proposal(both.where("side = 's'").drop("side"), both.where("side = 't'").drop("side"))

@@ -104,7 +104,8 @@ def text_units(docs: DataFrame) -> DataFrame:
 
 
 def merged_batches(parts: DataFrame) -> DataFrame:
-    """Items of batches (batch, page) with pages numbered through: each batch is offset by the pages before it."""
-    sizes = parts.groupBy("batch").agg(F.max("n_pages").alias("n_pages"))
-    offset = F.coalesce(F.sum("n_pages").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.drop("n_pages").join(sizes.withColumn("offset", offset), "batch").withColumn("page", F.col("page") + F.col("offset")).drop("offset", "n_pages")
+    """Items of a work's batches (work, batch, page) with pages numbered through: each batch is offset by the pages before it."""
+    sizes = parts.groupBy("work", "batch").agg(F.max("n_pages").alias("n_pages"))
+    before = Window.partitionBy("work").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("n_pages").over(before), F.lit(0))
+    return parts.drop("n_pages").join(sizes.withColumn("offset", offset), ["work", "batch"]).withColumn("page", F.col("page") + F.col("offset")).drop("offset", "n_pages")

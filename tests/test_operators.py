@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as t
 from foliospark.functions.udfs import content_blocks, image_dimensions, index_line, markdown_chunks, note_numbers, tables_of
-from foliospark.operators import align, gate, ledger, structure, toc
+from foliospark.operators import align, checks, evidence, gate, hygiene, ledger, pages, structure, toc
 from foliospark.streaming import events
 
 
@@ -160,5 +160,126 @@ def test_text_columns(spark):
 
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "unit string, seq long, src string, tgt string")
-    assert align.length_findings(none).count() == 0 and gate.same_language(none, "zh").count() == 0
+    assert align.length_findings(none).count() == 0
     assert toc.index_entries(spark.createDataFrame([], "unit string, line long, text string")).count() == 0
+
+
+def test_one_unit_of_many_blocks(spark):
+    """Block mapping sorts a unit and doesn't pair its blocks with its sentences."""
+    n = 100_000
+    blocks = spark.range(n).selectExpr("1L as unit", "id as block", "concat('block ', id, '. end.') as text")
+    parts = spark.range(2 * n).selectExpr("1L as unit", "id as seq", "case when id % 2 = 0 then concat('block ', cast(id / 2 as long), '.') else ' end.' end as tgt")
+    spans = align.block_spans(blocks, parts)
+    found = spans.selectExpr("count_if(ok) as ok", "count_if(seq_start = 2 * block and seq_end = 2 * block + 1) as placed").first()
+    assert (found["ok"], found["placed"]) == (n, n)
+    side = spans.select("unit", "block", "seq_start", "seq_end", "ok")
+    assert {(r["status"], r["n_source"]): r["count"] for r in align.proposal(side, side).groupBy("status", "n_source").count().collect()} == {("exact", 1): n}
+    packed = structure.packed_blocks(blocks, 1000)
+    assert packed.count() == n and packed.agg(F.max("chunk")).first()[0] > 1000
+
+
+def test_proposal_against_all_pairs(spark):
+    rnd = random.Random(4)
+    spans: dict = {"s": [], "t": []}
+    for unit in range(40):
+        for side, out in spans.items():
+            at = 1
+            for block in range(rnd.randrange(1, 8)):
+                start = at + rnd.randrange(0, 3)
+                end = start + rnd.randrange(0, 4)
+                out.append((unit, block, start, end, rnd.random() < 0.9))
+                at = end + 1
+    frames = {k: spark.createDataFrame(v, "unit long, block long, seq_start long, seq_end long, ok boolean") for k, v in spans.items()}
+    want = []
+    meets = lambda a, b: a[4] and b[4] and a[0] == b[0] and a[2] <= b[3] and b[2] <= a[3]
+    for t_ in spans["t"]:
+        near = [s_ for s_ in spans["s"] if meets(s_, t_)]
+        status = "propose" if not t_[4] else "unmatched" if not near else "merge" if len(near) > 1 else "split" if sum(meets(near[0], x) for x in spans["t"]) > 1 else "exact"
+        want.append((t_[0], t_[1], status, len(near)))
+    assert rows(align.proposal(frames["s"], frames["t"]), "unit", "block", "status", "n_source") == sorted(want, key=repr)
+
+
+def test_pages_of_two_works_do_not_meet(spark):
+    boxes = [(w, 1, b, x, 10.0 * b, x + 40.0, 10.0 * b + 5) for w, xs in (("a", (0.0, 30.0)), ("b", (100.0, 0.0))) for b, x in enumerate(xs)]
+    frame = spark.createDataFrame(boxes, "work string, page long, block long, x0 double, y0 double, x1 double, y1 double")
+    assert rows(structure.bands(frame.select("work", "page", "block", "x0", "x1")), "work", "block", "band") == [("a", 0, 0), ("a", 1, 0), ("b", 0, 1), ("b", 1, 0)]
+    assert rows(structure.reading_order(frame), "work", "block", "place") == [("a", 0, 1), ("a", 1, 2), ("b", 0, 2), ("b", 1, 1)]
+    assert rows(structure.columns_by_anchor(frame), "work", "block", "column") == [("a", 0, 0), ("a", 1, 1), ("b", 0, 1), ("b", 1, 0)]
+    lines = spark.createDataFrame([("a", 1, "One"), ("a", 2, "Two .... 9"), ("b", 1, "7"), ("b", 2, "Three"), ("b", 3, "8")], "work string, line long, text string")
+    assert rows(toc.printed_entries(lines), "work", "label", "page") == [("a", "One", None), ("a", "Two", "9"), ("b", "Three", "8")]
+    body = "The body of this page goes on for quite a while, as the bodies of pages do in most works."
+    small = [(w, p, b, t_, size, y, y + 10) for w in "ab" for p in (1, 2) for b, (t_, size, y) in enumerate([(body, 11.0, 50.0), (f"{p} note number {p} of the work that isn't over" if w == "a" or p == 2 else "1 this note is over.", 8.0, 700.0)])]
+    small[3] = ("a", 2, 1, "and so goes on over here to its end.", 8.0, 700.0, 710.0)
+    blocks = spark.createDataFrame(small, "work string, page long, block long, text string, size double, y0 double, y1 double")
+    assert rows(evidence.continued_notes(blocks), "work", "page", "block", "from_page") == [("a", 2, 1, 1)]
+    stops = spark.createDataFrame([(w, "u", i, "中." * 60) for w in "ab" for i in range(3)], "work string, unit string, ord long, text string")
+    assert {(r["work"], r["count"]) for r in pages.mixed_stops(stops).groupBy("work").count().collect()} == {("a", 100), ("b", 100)}
+
+
+def test_page_chain_against_every_start(spark):
+    rnd = random.Random(7)
+    data, want = [], []
+    for w in range(60):
+        numbers = sorted({(p, p + rnd.randrange(0, 4)) for p in range(1, 25) for _ in range(rnd.randrange(0, 3))})
+        data += [(f"w{w}", p, v) for p, v in numbers]
+        by_page: dict = {}
+        for p, v in numbers:
+            by_page.setdefault(p, []).append(v)
+        listed, best = list(by_page.items()), []
+        for start in range(len(listed)):
+            run = []
+            for p, values in listed[start:]:
+                fit = [v for v in values if not run or run[-1][1] < v <= run[-1][1] + 3]
+                if not fit:
+                    break
+                run.append((p, fit[0]))
+            best = run if len(run) > len(best) else best
+        want += [(f"w{w}", p, v) for p, v in best] if len(best) >= 5 else []
+    assert rows(structure.page_chain(spark.createDataFrame(data, "work string, page long, value long")), "work", "page", "value") == sorted(want, key=repr)
+
+
+def test_hygiene_by_hand(spark):
+    """Cases of each rule: a semicolon ends a block here, a bracket closes one, abbreviations are no halves; code, tables and verse are passed over."""
+    md = "\n\n".join([
+        "# Title", "One clause; and another;", "It is done]", "See Smith et al., vol.", "It goes to the", "and goes on without", "Capital", "```\nthe the\n```", "| a | a |\n|---|---|", "> short line\n> another one", "重复重复的 word 和 left-over（gloss here） EPUB NATO ibid。", 'Odd " mark “open,', "Uses `the the` code.",
+    ])
+    units = spark.createDataFrame([("u", "chapter", md), ("v", "index", "the the")], "unit string, kind string, md string")
+    got = {(r["block"], r["code"], r["detail"]) for r in hygiene.scan(units).collect()}
+    assert got == {
+        (4, "cross_page_fragment", ""), (5, "half_sentence", ""), (6, "half_sentence", ""), (10, "duplicate_word", "重复*1"), (10, "primitive_word", "word"), (10, "primitive_word", "left-over"),
+        (11, "half_sentence", ""), (11, "tail_loss", ""), (11, "quote_tail_dropped", ""), (11, "unbalanced_quote", "“” 1 0"), (11, "unbalanced_quote", '"" 1 0'),
+    }
+    assert all(len(r["block_sha256"]) == 64 and r["context"] for r in hygiene.scan(units).collect())
+
+
+def test_word_counts_by_script(spark):
+    df = spark.createDataFrame([("abc 123 déjà", 3), ("한국어 字かな", 6), ("سلام ݐ", 2), ("", 0), ("12 34", 0)], "s string, n int")
+    assert all(r["n"] == r["c"] for r in df.select("n", t.word_count(F.col("s")).alias("c")).collect())
+
+
+def gate_case(spark, **tables):
+    schemas = {
+        "rows": "unit string, pos long, seq long, src string, tgt string, note_id string", "units": "unit string, kind string, source_md string, target_md string", "glossary": "ord long, source string, aliases array<string>, target string, status string",
+        "exemptions": "unit string, source string, seq long, note_id string, text_sha256 string, reason string", "styles": "unit string, ord long, pattern string, reason string", "registered": "unit string, number long, ref string",
+    }
+    frames = {k: spark.createDataFrame(tables.get(k, []), schema) for k, schema in schemas.items()}
+    found = checks.unit_flags(**frames, source_language="de", target_language="zh-CN")
+    return sorted((r["unit"], r["seq"], r["check"], r["blocking"], r["detail"]) for r in found.na.fill(-1, ["seq"]).collect())
+
+
+def test_the_gate_by_hand(spark):
+    """Headings in code don't count, tables may have an escaped pipe, and a bibliography may stay as it is."""
+    long = "Ein langer Satz, der noch lange nicht zu Ende ist und immer weiter geht, bis er endlich doch noch aufhört und steht."
+    got = gate_case(
+        spark,
+        rows=[("a", 1, 1, long, "短。", None), ("a", 2, 2, "Same words stay as they were here", "Same words  stay as they were here", None), ("b", 1, 1, "Same words stay as they were here", "Same words stay as they were here", None), ("c", 1, 1, "Die Zunft tagt und tagt hier.", "协会开会，协会很忙，是的。", None)],
+        units=[("a", "chapter", f"# T\n\n{long}\n\nSame words stay as they were here\n\n```\n# code\n```", "# T\n\n## Extra"), ("b", "bibliography", None, None), ("c", "chapter", None, None), ("d", "chapter", "# Only", "# Nur"), ("e", "chapter", "# Only\n\ntext", "# Nur")],
+        glossary=[(1, "Zunft", None, "行会", "confirmed")],
+        styles=[("c", 1, "", "whole unit")],
+    )
+    assert got == [
+        ("a", -1, "fidelity", False, "block 3"), ("a", -1, "heading", True, "1:1/1:1,2:1"), ("a", 1, "length", False, "too_short"), ("a", 1, "length_review", True, "1"), ("a", 2, "language", True, ""), ("b", 1, "bibliography_identical", False, ""),
+        ("c", 1, "terminology", True, "Zunft 行会"), ("e", -1, "align", True, "empty"), ("e", -1, "fidelity", False, "block 1"),
+    ]
+    docs = spark.createDataFrame([("a", "|a \\| z|b|\n|:---|---:|\n|1|2|\n\n|x|\n|---|\n", "|a|b|\n|---|---|\n|1|2|\n\n|x|\n|---|\n|y|\n"), ("b", "|a|\n|---|\n", "")], "unit string, source_md string, target_md string")
+    assert rows(gate.table_shapes(docs), "unit", "place", "src", "tgt") == [("a", 2, "2x1", "3x1"), ("b", 0, "1", "0")]

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 SF = entry.SMOKE
 OVER_TABLES = [
     "align_pairs", "length_gate", "sentence_counts", "unit_facts", "fidelity_forward", "fidelity_reverse", "doc_drift", "block_spans", "partition_ledger", "page_breaks", "chunk_pack", "hygiene_tails", "terms_in_texts", "html_links", "html_residue", "duplicate_units",
-    "pricing_summary", "local_suppliers", "customers_without_orders", "returned_orders", "top_customers", "nation_sets", "user_sessions", "event_windows", "census_rollup",
+    "pricing_summary", "local_suppliers", "customers_without_urgent_orders", "returned_orders", "top_customers", "nation_sets", "user_sessions", "event_windows", "census_rollup",
 ]
 
 

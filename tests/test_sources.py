@@ -43,8 +43,8 @@ def test_text_units(spark):
 
 
 def test_merged_batches(spark):
-    parts = spark.createDataFrame([(1, 1, 2, "a"), (1, 2, 2, "b"), (2, 1, 3, "c")], "batch long, page long, n_pages long, text string")
-    assert sorted((r["page"], r["text"]) for r in readers.merged_batches(parts).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    parts = spark.createDataFrame([("w", 1, 1, 2, "a"), ("w", 1, 2, 2, "b"), ("w", 2, 1, 3, "c"), ("v", 2, 1, 9, "d"), ("v", 1, 1, 4, "e")], "work string, batch long, page long, n_pages long, text string")
+    assert sorted((r["work"], r["page"], r["text"]) for r in readers.merged_batches(parts).collect()) == [("v", 1, "e"), ("v", 5, "d"), ("w", 1, "a"), ("w", 2, "b"), ("w", 3, "c")]
 
 
 def test_spine(spark):
