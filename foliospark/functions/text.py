@@ -193,12 +193,21 @@ def titles_match(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & ((a == b) | (short & (F.contains(a, b) | F.contains(b, a))))
 
 
+# Captions that are file names, numbers, or stand for a caption still to be written.
+CAPTION_FILE = r"(?i)\.(?:png|jpe?g|gif|svg|tiff?|bmp|webp)$"
+CAPTION_SLUG = r"^[A-Za-z0-9._\-]*\d[A-Za-z0-9._\-]*$"
+CAPTION_NUMBER = r"^\d+(?:[.\-]\d+)*\.?$"
+CAPTION_BLANK = r"(?i)^(?:image|img|figure|fig|picture|photo|graphic|icon|illustration|插图|图片|圖片|图像|圖像|图|未命名|待补|待定|todo|tbd|n/?a|xxx+)\.?$"
+
+
 def caption_is_filename(x: Column) -> Column:
-    return stripped(x).rlike(r"(?i)^[\w-]+\.(?:png|jpe?g|gif|bmp|webp|svg|tiff?)$")
+    """One word that ends in an image's extension, or an ASCII name with a digit that isn't a plain number."""
+    x = stripped(x)
+    return (x != "") & ~F.contains(x, F.lit(" ")) & ~x.rlike(CAPTION_NUMBER) & (x.rlike(CAPTION_FILE) | x.rlike(CAPTION_SLUG))
 
 
 def caption_is_placeholder(x: Column) -> Column:
-    return F.lower(stripped(x)).isin("image", "img", "figure", "picture", "photo", "untitled", "图", "图片", "插图")
+    return stripped(x).rlike(CAPTION_BLANK)
 
 
 def range_end(ref: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.functions import markup, udfs
 from foliospark.functions import text as t
 
 # Fixed forms of page numbers.
@@ -246,3 +247,42 @@ def registered_notes(refs: DataFrame, anchors: DataFrame, asides: DataFrame, not
         .when(F.col("a_file").isNull(), "aside_missing").when((F.col("back_file") != F.col("file")) | (F.col("back_ref") != F.col("ref_id")), "backlink_missing")
     )
     return r.select("ref_id", code.alias("code")).where("code is not null")
+
+
+# Fixed forms of references to media: placeholders, markup and Markdown, in this order.
+MEDIA_FORMS = (r'original-image-src="([^"]+)"', r"(?i)<(?:img|image)\b[^>]*?\b(?:src|href)=[\"']([^\"']+)[\"']", r"!\[[^\]]*\]\(([^()]+)\)")
+
+
+def media_refs(units: DataFrame) -> DataFrame:
+    """unit, place, ref: references to media in the text of units (unit, md) outside code, form by form in order."""
+    text = markup.without_inline_code(F.array_join(F.transform(F.filter(udfs.chunks(F.col("md")), lambda c: c["kind"] != "code"), lambda c: c["chunk"]), "\n"))
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(form), F.lit(1)) for form in MEDIA_FORMS])
+    return units.select("unit", F.posexplode(found).alias("at", "ref")).select("unit", F.col("at").cast("long").alias("place"), "ref")
+
+
+def media_kept(source: DataFrame, target: DataFrame) -> DataFrame:
+    """unit, code, ref: media that the target has fewer times than the source (lost), and units whose common media stand in another order (order, ref null). Both: unit, place, ref."""
+    counted = lambda x, name: x.groupBy("unit", "ref").agg(F.count("*").alias(name))
+    lost = counted(source, "a").join(counted(target, "b"), ["unit", "ref"], "left").where("a > coalesce(b, 0)").select("unit", F.lit("lost").alias("code"), "ref")
+    both = source.select("unit", "ref").distinct().join(target.select("unit", "ref").distinct(), ["unit", "ref"])
+    lined = lambda x, name: x.join(both, ["unit", "ref"], "left_semi").groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "ref"))), lambda s: s["ref"]).alias(name))
+    moved = lined(source, "a").join(lined(target, "b"), "unit").where("a <> b").select("unit", F.lit("order"), F.lit(None).cast("string"))
+    return lost.union(moved)
+
+
+def applied_edits(files: DataFrame, plan: DataFrame) -> DataFrame:
+    """work, path, content, status of a plan's edits (work, path, old_sha256, after) on files (work, path, content): a work's edits are made together or not at all.
+
+    applied: every edited file still has the content that the plan was made for; already_applied: every one has the new
+    content; refused: any other state, and the files stay as they are. Running a plan twice changes nothing."""
+    digest = lambda c: F.sha2(F.coalesce(F.col(c), F.lit("")).cast("binary"), 256)
+    edits = plan.join(files, ["work", "path"], "left")
+    states = edits.groupBy("work").agg(
+        F.bool_and(F.col("content").isNotNull() & (digest("content") == F.col("old_sha256"))).alias("fresh"), F.bool_and(F.col("content").eqNullSafe(F.col("after"))).alias("done"),
+        (F.count("*") != F.countDistinct("path")).alias("twice"),
+    )
+    status = F.when(F.col("twice"), "refused").when(F.col("done"), "already_applied").when(F.col("fresh"), "applied").otherwise("refused")
+    told = states.select("work", status.alias("status"))
+    new = plan.select("work", "path", "after").dropDuplicates(["work", "path"])
+    out = files.join(told, "work", "left").join(new, ["work", "path"], "left")
+    return out.select("work", "path", F.when((F.col("status") == "applied") & F.col("after").isNotNull(), F.col("after")).otherwise(F.col("content")).alias("content"), F.coalesce("status", F.lit("untouched")).alias("status"))

@@ -133,10 +133,9 @@ def cell_marks(pages: DataFrame) -> DataFrame:
 
 
 def mixed_stops(paragraphs: DataFrame, most: int = 100) -> DataFrame:
-    """work, unit, ord, mark: full stops of one script after letters of the other, of each work the first ``most`` in order: the length of its report."""
-    found = F.regexp_extract_all("text", F.lit(r"([一-鿿]\.(?!\d|\.)|[A-Za-z]。)"), F.lit(1))
-    each = paragraphs.select("work", "unit", "ord", F.posexplode(found).alias("at", "mark"))
-    n = F.row_number().over(Window.partitionBy("work").orderBy("unit", "ord", "at"))
+    """work, unit, ord, mark: the first place of each paragraph where a full stop of one script follows one of the other, of each work the first ``most`` in order: the length of its report."""
+    each = paragraphs.select("work", "unit", "ord", F.regexp_extract("text", r"(。\s*\.|\.\s*。)", 1).alias("mark")).where("mark <> ''")
+    n = F.row_number().over(Window.partitionBy("work").orderBy("unit", "ord"))
     return each.withColumn("n", n).where(F.col("n") <= most).select("work", "unit", "ord", "mark")
 
 

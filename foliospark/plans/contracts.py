@@ -182,13 +182,12 @@ def cell_marks(spark, d):
     return p.cell_marks(table(spark, "page_id long, html string", (1, "<table><tr><td> ## Cell</td><td># b</td></tr></table>"), (2, "<td>plain</td><p># no</p>")))
 
 
-STOPS = Literal("stops", "work string, unit string, ord long, text string", ("w", "a", 1, "中文. 和 word。"), ("w", "a", 2, "3.14 中文.5 ok."))
-STOPS.also("SELECT concat('s', source), 'u', doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, '.', '。') ELSE replace(text, 'e.', '中.') END FROM {documents} WHERE doc_id % 8 < 2")
+STOPS = Literal("stops", "work string, unit string, ord long, text string", ("w", "a", 1, "中文。. 和 word. 。"), ("w", "a", 2, "3.14 中文.5 ok."), ("w", "a", 3, "end. \n。"))
+STOPS.also("SELECT concat('s', source), 'u', doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, 'e.', '。 .') ELSE replace(text, 's.', '.。') END FROM {documents}")
 
 
-@query(with_tables(STOPS) + r""", cut AS (SELECT *, unnest(range(2, length(text) + 1)) AS i FROM stops WHERE contains(text, '.') OR contains(text, '。')),
-found AS (SELECT work, unit, ord, i, substr(text, i - 1, 2) AS mark FROM cut WHERE (substr(text, i, 1) = '.' AND regexp_matches(substr(text, i - 1, 1), '[一-鿿]') AND NOT regexp_matches(substr(text, i + 1, 1), '[0-9.]')) OR (substr(text, i, 1) = '。' AND regexp_matches(substr(text, i - 1, 1), '[A-Za-z]')))
-SELECT work, unit, ord, mark FROM (SELECT *, row_number() OVER (PARTITION BY work ORDER BY unit, ord, i) AS n FROM found) WHERE n <= 100""")
+@query(with_tables(STOPS) + r""", found AS (SELECT work, unit, ord, regexp_extract(text, '。\s*\.|\.\s*。') AS mark FROM stops WHERE regexp_matches(text, '。\s*\.|\.\s*。'))
+SELECT work, unit, ord, mark FROM (SELECT *, row_number() OVER (PARTITION BY work ORDER BY unit, ord) AS n FROM found) WHERE n <= 100""")
 def mixed_stops(spark, d):
     return p.mixed_stops(STOPS.frame(spark, d))
 

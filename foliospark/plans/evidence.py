@@ -245,3 +245,38 @@ R_ASIDES = Literal("r_asides", "note_id string, file string, back_file string, b
 def registered_notes(spark, d):
     notes = spark.createDataFrame([("n1",), ("n2",), ("n3",), ("n4",)], "note_id string")
     return e.registered_notes(R_REFS.frame(spark), R_ANCHORS.frame(spark), R_ASIDES.frame(spark), notes)
+
+
+MD = Literal("media_md", "unit string, side string, md string", ("h", "s", "[x]{original-image-src=\"a.png\"} ![x](b.png) `![n](no.png)`\n```\n![n](no.png)\n```\n<img src=\"c.png\">"), ("h", "t", "![x](b.png) [x]{original-image-src=\"a.png\"}"), ("g", "s", "![x](b.png) ![x](d.png)"), ("g", "t", "![x](d.png) ![x](b.png)"))
+MD.also("SELECT concat('u', doc_id), side, concat(substr(text, 1, 40), ' ![x](m', doc_id % 7, '.png)', CASE WHEN doc_id % 3 = 0 AND side = 't' THEN '' ELSE concat(' ![](n', doc_id % 5, '.png) ') END, CASE WHEN doc_id % 4 = 0 THEN '<img alt=\"\" src=\"h.png\">' ELSE '' END) FROM {documents} CROSS JOIN (SELECT 's' AS side UNION ALL SELECT 't') m")
+#: Code is in the literal rows alone; it is cut out by its marks.
+MEDIA_SQL = r"""bare AS (SELECT unit, side, regexp_replace(regexp_replace(md, '(?s)```.*?```', '', 'g'), '`[^`\n]*`', '', 'g') AS md FROM media_md),
+refs AS (SELECT unit, side, list_concat(list_concat(regexp_extract_all(md, 'original-image-src="([^"]+)"', 1), regexp_extract_all(md, '<img[^>]*src="([^"]+)"', 1)), regexp_extract_all(md, '!\[[^\]]*\]\(([^()]+)\)', 1)) AS l FROM bare),
+media AS (SELECT unit, side, unnest(range(0, len(l))) AS place, unnest(l) AS ref FROM refs)"""
+
+
+@query(with_tables(MD) + ", " + MEDIA_SQL + " SELECT unit || '/' || side AS unit, place, ref FROM media")
+def media_references(spark, d):
+    return e.media_refs(MD.frame(spark, d).select(F.concat_ws("/", "unit", "side").alias("unit"), "md"))
+
+
+@query(with_tables(MD) + ", " + MEDIA_SQL + """, c AS (SELECT unit, ref, count_if(side = 's') AS a, count_if(side = 't') AS b FROM media GROUP BY ALL),
+k AS (SELECT m.unit, side, list(m.ref ORDER BY place) AS l FROM media m JOIN c ON c.unit = m.unit AND c.ref = m.ref AND a > 0 AND b > 0 GROUP BY ALL)
+SELECT unit, 'lost' AS code, ref FROM c WHERE a > b UNION ALL SELECT x.unit, 'order', NULL FROM k x JOIN k y ON x.unit = y.unit AND x.side = 's' AND y.side = 't' WHERE x.l <> y.l""")
+def media_kept(spark, d):
+    both = MD.frame(spark, d)
+    return e.media_kept(*[e.media_refs(both.where(F.col("side") == side).select("unit", "md")) for side in "st"])
+
+
+EDITS = Literal("edit_files", "work string, path string, content string", ("h", "a", "one"), ("h", "b", "two"))
+EDITS.also("SELECT concat('w', CAST(floor(doc_id / 4) AS BIGINT)), concat('f', doc_id), CASE WHEN doc_id % 11 = 0 THEN concat('new ', doc_id) ELSE concat('old ', doc_id % 50) END FROM {documents}")
+PLAN = Literal("edit_plan", "work string, path string, old_content string, after string", ("h", "a", "one", "1"), ("h", "c", "x", "y"))
+PLAN.also("SELECT concat('w', CAST(floor(doc_id / 4) AS BIGINT)), concat('f', doc_id), concat('old ', doc_id % 50), concat('new ', doc_id) FROM {documents} WHERE doc_id % 4 < 2 AND doc_id % 16 < 12")
+
+
+@query(with_tables(EDITS, PLAN) + """, j AS (SELECT p.work, count_if(content IS NULL OR sha256(content) <> sha256(old_content)) AS stale, count_if(content IS DISTINCT FROM after) AS undone FROM edit_plan p LEFT JOIN edit_files f ON f.work = p.work AND f.path = p.path GROUP BY 1),
+s AS (SELECT work, CASE WHEN undone = 0 THEN 'already_applied' WHEN stale = 0 THEN 'applied' ELSE 'refused' END AS status FROM j)
+SELECT f.work, f.path, CASE WHEN status = 'applied' AND after IS NOT NULL THEN after ELSE content END AS content, coalesce(status, 'untouched') AS status FROM edit_files f LEFT JOIN s ON s.work = f.work LEFT JOIN edit_plan p ON p.work = f.work AND p.path = f.path""")
+def edit_plans(spark, d):
+    plan = PLAN.frame(spark, d).select("work", "path", F.sha2(F.col("old_content").cast("binary"), 256).alias("old_sha256"), "after")
+    return e.applied_edits(EDITS.frame(spark, d), plan)

@@ -8,9 +8,10 @@ import zipfile
 from pyspark.sql import functions as F
 
 from foliospark.functions.udfs import image_size, nfkc
-from foliospark.operators import package as p, toc
+from foliospark.operators import audit as a, package as p, toc
 from foliospark.plans.registry import Literal, query, with_tables
 from foliospark.session import read
+from foliospark.sources.adapters import PACKAGES, package_members
 from foliospark.sources.archive import members
 
 
@@ -74,6 +75,55 @@ def package_rules(spark, d):
     return p.member_findings(MEMBERS.frame(spark), MEMBER_REFS.frame(spark))
 
 
+AUDIT = PACKAGES + r""", first AS (SELECT work, arg_min(path, ord) AS path, arg_min(stored, ord) AS stored, arg_min(body, ord) AS body FROM package_members GROUP BY work),
+held AS (SELECT DISTINCT work, path FROM package_members WHERE work IN (SELECT work FROM package_members WHERE path = 'META-INF/container.xml')),
+docs AS (SELECT m.work, path, body AS html, path LIKE '%nav.xhtml' AS nav FROM package_members m WHERE path LIKE '%.xhtml' AND work IN (SELECT work FROM held)),
+named AS (SELECT work, regexp_extract(body, 'full-path="([^"]+)"', 1) AS opf FROM package_members WHERE path = 'META-INF/container.xml'),
+files AS (SELECT n.work, opf, body AS xml FROM named n JOIN package_members m ON m.work = n.work AND m.path = n.opf),
+items AS (SELECT work, opf, regexp_extract(tag, ' id="([^"]*)"', 1) AS id, regexp_extract(tag, ' href="([^"]*)"', 1) AS href FROM (SELECT work, opf, unnest(regexp_extract_all(xml, '<item [^>]*>')) AS tag FROM files)),
+spine AS (SELECT s.work, s.id, 'OEBPS/' || href AS path FROM (SELECT work, unnest(regexp_extract_all(xml, '<itemref idref="([^"]*)"', 1)) AS id FROM files) s LEFT JOIN items i ON i.work = s.work AND i.id = s.id),
+entries AS (SELECT DISTINCT work, 'OEBPS/' || unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS path FROM docs WHERE nav),
+links AS (SELECT work, path, unnest(regexp_extract_all(html, 'href="#([^"]+)"', 1)) AS id FROM docs), ids AS (SELECT DISTINCT work, path, unnest(regexp_extract_all(html, '\bid="([^"]+)"', 1)) AS id FROM docs),
+tags AS (SELECT work, path, unnest(range(0, len(l))) AS pos, unnest(l) AS tag FROM (SELECT work, path, regexp_extract_all(html, '(?i)<img\b[^>]*>') AS l FROM docs)),
+images AS (SELECT *, trim(regexp_extract(tag, '\balt="([^"]*)"', 1)) AS alt, regexp_extract(tag, '\bsrc="([^"]*)"', 1) AS src FROM tags),
+plain AS (SELECT *, regexp_replace(regexp_replace(html, '(?is)<pre\b[^>]*>.*?</pre\s*>', '', 'g'), '(?is)<code\b[^>]*>.*?</code\s*>', '', 'g') AS prose FROM docs WHERE NOT nav),
+texts AS (SELECT *, regexp_replace(prose, '<[^>]+>', '', 'g') AS bare, regexp_extract_all(html, '(?i)<h([1-6])\b', 1) AS levels, list_transform(regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS ps FROM plain),
+jumps AS (SELECT work, path, min_by(levels[i] || '>' || levels[i + 1], i) AS detail FROM (SELECT work, path, levels, unnest(range(1, len(levels))) AS i FROM texts) WHERE CAST(levels[i + 1] AS INT) > CAST(levels[i] AS INT) + 1 GROUP BY ALL),
+marked AS (SELECT work, path, unnest(list_concat(ps, list_transform(regexp_extract_all(regexp_replace(prose, '(?is)<aside\b[^>]*>.*?</aside>', '', 'g'), '(?is)<li\b[^>]*>(.*?)</li>', 1), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))))) AS text FROM texts),
+strong AS (SELECT work, count(*) AS n FROM (SELECT DISTINCT * FROM marked) WHERE regexp_matches(text, '^((?:[-*+]|\d{1,3}[.)])\s+)?\[\d{1,4}\]\s+\S') GROUP BY work),
+counted AS (SELECT work, path, unnest(range(1, len(ps) + 1)) AS pos, unnest(ps) AS text FROM texts), numbered AS (SELECT *, CAST(regexp_extract(text, '^\s*(\d{1,4})[.、]\s+\S', 1) AS INT) AS n FROM counted WHERE regexp_matches(text, '^\s*\d{1,4}[.、]\s+\S')),
+weak AS (SELECT work, sum(c) AS n FROM (SELECT work, path, pos - n AS run, min(n) AS f, count(*) AS c FROM numbered GROUP BY ALL) WHERE f = 1 AND c >= 2 AND work NOT IN (SELECT work FROM strong) GROUP BY work),
+css AS (SELECT work, path, regexp_replace(body, '(?s)/\*.*?\*/', '', 'g') AS css FROM package_members WHERE path = 'OEBPS/style.css' AND work IN (SELECT work FROM held)),
+asides AS (SELECT work, path, regexp_extract(a, 'id="([^"]+)"', 1) AS note, regexp_extract(a, 'epub:type="backlink"[^>]*href="#([^"]+)"', 1) AS back FROM (SELECT work, path, unnest(regexp_extract_all(html, '(?s)<aside[^>]*epub:type="footnote".*?</aside>')) AS a FROM docs))
+SELECT work, 'E_MIMETYPE_FIRST' AS code, path, '' AS detail FROM first WHERE path <> 'mimetype' UNION ALL SELECT work, 'E_MIMETYPE_STORED', path, '' FROM first WHERE path = 'mimetype' AND NOT stored UNION ALL SELECT work, 'E_MIMETYPE_CONTENT', path, '' FROM first WHERE path = 'mimetype' AND body <> 'application/epub+zip'
+UNION ALL SELECT work, 'E_ZIP_DUPLICATE', path, count(*)::VARCHAR FROM package_members GROUP BY work, path HAVING count(*) > 1 UNION ALL SELECT work, 'E_NO_CONTAINER', 'META-INF/container.xml', '' FROM first WHERE work NOT IN (SELECT work FROM held)
+UNION ALL SELECT work, 'E_CONTAINER_OPF', 'META-INF/container.xml', '' FROM named WHERE opf = '' UNION ALL SELECT work, 'E_OPF_MISSING', opf, '' FROM named n WHERE opf <> '' AND NOT EXISTS (SELECT 1 FROM held h WHERE h.work = n.work AND h.path = n.opf)
+UNION ALL SELECT work, 'E_SPINE_REF', NULL, id FROM spine WHERE path IS NULL UNION ALL SELECT work, 'E_MANIFEST_HREF', opf, href FROM items i WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.work = i.work AND h.path = 'OEBPS/' || i.href)
+UNION ALL SELECT work, 'E_NAV_HREF', 'OEBPS/nav.xhtml', substr(path, 7) FROM entries e WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.work = e.work AND h.path = e.path) UNION ALL SELECT work, 'E_NCX_HREF', path, 'lost.xhtml' FROM package_members WHERE path = 'OEBPS/toc.ncx' AND contains(body, 'lost.xhtml') AND work IN (SELECT work FROM held)
+UNION ALL SELECT DISTINCT work, 'E_TOC_COVERAGE', path, 'not listed' FROM spine s WHERE path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.work = s.work AND e.path = s.path) UNION ALL SELECT work, 'E_TOC_COVERAGE', path, 'not in the spine' FROM entries e WHERE NOT EXISTS (SELECT 1 FROM spine s WHERE s.work = e.work AND s.path = e.path)
+UNION ALL SELECT work, 'E_COVER_META', opf, CASE WHEN contains(xml, 'properties="cover-image"') THEN 'meta missing' ELSE 'property missing' END FROM files WHERE contains(xml, 'properties="cover-image"') <> contains(xml, '<meta name="cover"') UNION ALL SELECT work, 'E_COVER_META', opf, 'unknown who' FROM files WHERE contains(xml, 'properties="cover-image"') AND contains(xml, 'content="who"')
+UNION ALL SELECT work, 'W_META_INCOMPLETE', opf, 'dc:date,dc:publisher,dc:rights' FROM files WHERE NOT contains(xml, '<dc:rights>')
+UNION ALL SELECT work, 'E_THEME_FONT', path, 'family' FROM css WHERE regexp_matches(css, 'font-family\s*:[^;}]*["'']') UNION ALL SELECT work, 'E_THEME_FONT', path, 'size' FROM css WHERE contains(css, 'font-size:') UNION ALL SELECT work, 'E_THEME_COLOR', path, 'color' FROM css WHERE regexp_matches(css, '(^|[^-\w])color\s*:') UNION ALL SELECT work, 'E_THEME_EXTERNAL', path, 'external' FROM css WHERE contains(css, '@import')
+UNION ALL SELECT work, 'E_IMG_REMOTE', path, src FROM images WHERE starts_with(src, 'http') UNION ALL SELECT work, 'E_IMG_SRC', path, src FROM images WHERE src = 'gone.png' UNION ALL SELECT work, 'W_IMG_NO_ALT', path, pos::VARCHAR FROM images WHERE alt = '' UNION ALL SELECT work, 'W_IMG_FORMAT', path, src FROM images WHERE src LIKE '%.webp'
+UNION ALL SELECT work, 'W_IMAGE_DUPLICATE', min('OEBPS/' || src), count(*)::VARCHAR FROM images WHERE src LIKE 'img/%' GROUP BY work HAVING count(*) > 1 UNION ALL SELECT work, 'E_CAPTION_PLACEHOLDER', path, alt FROM images WHERE alt = 'image' UNION ALL SELECT work, 'E_CAPTION_FILENAME', path, alt FROM images WHERE alt LIKE '%.jpg'
+UNION ALL SELECT work, 'W_NO_LANG', path, '' FROM texts WHERE NOT contains(html, 'lang=') UNION ALL SELECT work, 'W_H1_COUNT', path, len(regexp_extract_all(html, '(?i)<h1\b'))::VARCHAR FROM texts WHERE len(regexp_extract_all(html, '(?i)<h1\b')) <> 1 UNION ALL SELECT work, 'E_UNSAFE_URL', path, '' FROM texts WHERE regexp_matches(html, '(?i)href="\s*(javascript|data):')
+UNION ALL SELECT work, 'E_HEADING_SKIP', path, detail FROM jumps UNION ALL SELECT work, 'E_RESIDUE', path, 'comment' FROM texts WHERE contains(html, '<!--')
+UNION ALL SELECT work, 'W_RESIDUE', path, detail FROM (SELECT work, path, CASE WHEN contains(prose, '![') THEN '![' WHEN regexp_matches(prose, '(^|[^*])\*\*([^*]|$)') THEN '**' WHEN contains(prose, ':::') THEN ':::' WHEN contains(prose, '{.') THEN '{.' WHEN contains(prose, '[^') THEN '[^' WHEN regexp_matches(prose, '\\[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]') THEN '\'
+  WHEN regexp_matches(prose, '&lt;/?[a-zA-Z][\w:.-]*(\s[^<>]*)?&gt;') THEN '&lt;/' WHEN regexp_matches(prose, '\{\s*=\s*html\s*\}') THEN '{=html}' WHEN regexp_matches(prose, '<p[^>]*>\s*#{1,6}\s+\S') THEN 'heading' WHEN contains(prose, '[]') THEN 'span' END AS detail FROM texts) WHERE detail IS NOT NULL
+UNION ALL SELECT work, 'W_RESIDUE', path, CASE WHEN regexp_matches(bare, '(^|[^$])\$\$([^$]|$)') THEN '$$' ELSE '$' END FROM texts WHERE regexp_matches(bare, '(^|[^$])\$\$([^$]|$)') OR regexp_matches(bare, '(?m)^[ \t]*\$[ \t]*$')
+UNION ALL SELECT work, 'W_CELL_ATX', path, '## Cell' FROM texts WHERE contains(html, '<td>## Cell</td>') UNION ALL SELECT work, 'W_CJK_SPACED', path, '' FROM texts WHERE contains(html, '<p>中 文 字 字 中</p>')
+UNION ALL SELECT work, 'W_PARA_UNCLOSED', path, right(list_filter(ps, lambda x: length(x) >= 20 AND regexp_matches(right(x, 1), '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}，、,]'))[1], 1) FROM texts WHERE len(list_filter(ps, lambda x: length(x) >= 20 AND regexp_matches(right(x, 1), '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}，、,]'))) > 0
+UNION ALL SELECT work, 'W_NOTE_IN_PHRASE', path, '' FROM texts WHERE contains(html, '和 12 字') UNION ALL SELECT work, 'W_PUNCT_MIXED', path, regexp_replace(regexp_extract(bare, '。\s*\.|\.\s*。'), '\s+', '', 'g') FROM texts WHERE regexp_matches(bare, '。\s*\.|\.\s*。')
+UNION ALL SELECT work, 'E_ANCHOR', path, id FROM links l WHERE NOT EXISTS (SELECT 1 FROM ids i WHERE i.work = l.work AND i.path = l.path AND i.id = l.id) UNION ALL SELECT work, 'E_FN_BACKLINK', path, note FROM asides a WHERE back = '' OR NOT EXISTS (SELECT 1 FROM ids i WHERE i.work = a.work AND i.path = a.path AND i.id = a.back)
+UNION ALL SELECT work, 'E_FOOTNOTES_NOT_SEMANTIC', NULL, n::VARCHAR FROM strong UNION ALL SELECT work, 'W_FOOTNOTES_AMBIGUOUS', NULL, n::VARCHAR FROM weak"""
+
+
+@query(f"WITH {AUDIT}")
+def package_audit(spark, d):
+    """All rules over packages made of pages, but for the markup's own form, which SQL can't tell."""
+    return a.audit(package_members(spark, d)).where("code <> 'E_XHTML_XML'")
+
+
 def sample_package() -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as t
+from foliospark.functions import udfs
 from foliospark.operators import align
 from foliospark.plans.registry import Literal, query, with_tables
 from foliospark.session import read
+from foliospark.sources import sinks
 from foliospark.sources.adapters import ALIGNED, LINES, UNITS, aligned, lines, units
 
 STRIP = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
@@ -184,7 +186,7 @@ STRINGS = Literal(
   CAST(len(regexp_extract_all(s, '\{\w+:\d+\}')) AS BIGINT) AS markers, CAST(len(regexp_extract_all(s, '\[\^[^\]\s]+\]')) AS BIGINT) AS note_marks,
   CAST(len(regexp_extract_all(s, '(?m)^\s*\[\^[^\]\s]+\]:')) AS BIGINT) AS note_definitions, CAST(len(regexp_extract_all(s, '[∀-⋿Α-ω℀-⅏=+<>±×÷√]')) AS BIGINT) AS math_chars,
   CAST(CASE WHEN s = '98-9' THEN 99 END AS BIGINT) AS range_end,
-  regexp_matches(s, '(?i)^[\w-]+\.(?:png|jpe?g|gif|bmp|webp|svg|tiff?)$') AS file_caption, lower(s) IN ('image', 'img', 'figure', 'picture', 'photo', 'untitled', '图', '图片', '插图') AS placeholder_caption,
+  trim(s) <> '' AND NOT contains(trim(s), ' ') AND NOT regexp_full_match(trim(s), '\d+([.-]\d+)*\.?') AND (regexp_matches(lower(trim(s)), '\.(png|jpg|jpeg|gif|svg|tif|tiff|bmp|webp)$') OR (regexp_full_match(trim(s), '[A-Za-z0-9._-]+') AND regexp_matches(s, '[0-9]'))) AS file_caption, regexp_full_match(lower(trim(s)), '(image|img|figure|fig|picture|photo|graphic|icon|illustration|插图|图片|圖片|图像|圖像|图|未命名|待补|待定|todo|tbd|na|n/a|xxx+)\.?') AS placeholder_caption,
   array_to_string(list_reverse(string_split_regex(regexp_replace(s, '^\s+|\s+$', '', 'g'), '\s+')), ' ') AS reversed,
   regexp_replace(lower(s), '[^\p{L}\p{N}]+', '', 'g') AS title_key
 FROM strings""")
@@ -285,3 +287,16 @@ SELECT t.unit, t.block, coalesce(n_source, 0) AS n_source, CASE WHEN NOT ok THEN
 def align_proposal(spark, d):
     both = SIDE_SPANS.frame(spark, d)
     return align.proposal(both.where("side = 's'").drop("side"), both.where("side = 't'").drop("side"))
+
+
+@query(rf"""WITH {UNITS}, b AS (SELECT unit, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\n+|\n+$', '', 'g')), lambda x: {STRIP.format('x')} <> '') AS l FROM units WHERE NOT regexp_matches(text, '(?m)^ {{0,3}}(```|~~~)|^#{{1,6}}[ \t]'))
+SELECT unit, unnest(range(1, len(l) + 1)) AS block, sha256(unnest(l)) AS digest FROM b""")
+def rendered_blocks(spark, d):
+    """Blocks as they are rendered, of the documents without fences and headings; those are worked by hand in the tests."""
+    own = units(spark, d).where(~F.col("text").rlike(r"(?m)^ {0,3}(```|~~~)|^#{1,6}[ \t]"))
+    return own.select("unit", F.posexplode(udfs.render_blocks(F.col("text"))).alias("at", "b")).select("unit", (F.col("at") + 1).cast("long").alias("block"), F.sha2(F.col("b").cast("binary"), 256).alias("digest"))
+
+
+@query(f"WITH {FACTS} SELECT work, '# ' || work || chr(10) || chr(10) || '- units: ' || count(*) || ', chars: ' || sum(chars)::BIGINT || ', words: ' || sum(words)::BIGINT || ', sentences: ' || sum(sentences)::BIGINT || chr(10) || chr(10) || '| unit | chars | words | paragraphs | sentences |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg('| ' || unit || ' | ' || chars || ' | ' || words || ' | ' || paragraphs || ' | ' || sentences || ' |', chr(10) ORDER BY unit) || chr(10) AS md FROM facts GROUP BY work")
+def facts_report(spark, d):
+    return sinks.facts_report(facts(spark, d))

@@ -92,3 +92,37 @@ exemptions AS (SELECT ord AS unit, source, CASE WHEN ord % 30 <> 3 THEN 1 END AS
   FROM glossary JOIN rows_ ON unit = ord AND pos = 1 UNION ALL SELECT ord, source, NULL, 'n1', NULL, 'note' FROM glossary WHERE ord % 60 = 13),
 styles AS (SELECT unit, CASE unit % 4 WHEN 0 THEN 'the' ELSE '' END AS pattern, CASE unit % 4 WHEN 0 THEN 'style' ELSE 'whole' END AS reason FROM docs WHERE unit % 4 < 2),
 registered AS (SELECT unit, 45 AS number, CASE WHEN unit % 2 = 0 THEN 'n1' END AS ref FROM docs UNION ALL SELECT unit, 12, NULL FROM docs)"""
+
+
+def package_sql(pages: str, joined) -> str:
+    """Packages made of pages, with faults put in by number, in SQL that both engines read alike; ``joined(x, by)`` joins strings in order."""
+    extra = """CASE page_id % 12 WHEN 0 THEN '<img src="img/a.png" alt="">' WHEN 1 THEN '<img src="img/b.webp" alt="image"><img src="gone.png" alt="x y">' WHEN 2 THEN '<!-- note --><h2>a</h2><h4>b</h4>'
+    WHEN 3 THEN '<p>text with **bold** left</p>' WHEN 4 THEN '<a href="#nowhere">x</a><a href="javascript:x()">y</a>' WHEN 5 THEN '<table><tr><td>## Cell</td></tr></table>' WHEN 6 THEN '<aside epub:type="footnote" id="f1">note</aside><p>[1] a note here</p>'
+    WHEN 7 THEN '<aside epub:type="footnote" id="f2"><a epub:type="backlink" href="#b2">b</a></aside><p>中 文 字 字 中</p>' WHEN 8 THEN '<p>1. one note</p><p>2. two note</p>' WHEN 9 THEN '<img src="https://x.org/i.png" alt="scan_001.jpg"><p>共 3 人 和 12 字</p>'
+    WHEN 10 THEN '<p>$$x$$ and 。.</p>' ELSE '' END"""
+    return f"""made AS (SELECT page_id, CAST(page_id % 40 AS BIGINT) AS w, concat('c', page_id, '.xhtml') AS name, concat(html, {extra}) AS html FROM {pages} WHERE html IS NOT NULL),
+listed AS (SELECT w, {joined("concat('<item id=\"i', page_id, '\" href=\"', name, '\"/>')", "page_id")} AS items, {joined("concat('<itemref idref=\"i', page_id, '\"/>')", "page_id")} AS refs,
+  {joined("CASE WHEN page_id % 9 = 0 THEN '' ELSE concat('<li><a href=\"', name, '\">x</a></li>') END", "page_id")} AS entries, {joined("concat('<content src=\"', name, '#a\"/>')", "page_id")} AS points FROM made GROUP BY w),
+package_members AS (
+  SELECT concat('p', w) AS work, 1 AS ord, CASE WHEN w % 13 = 5 THEN 'first' ELSE 'mimetype' END AS path, w % 3 <> 0 AS stored, CASE WHEN w % 7 = 2 THEN 'text/plain' ELSE 'application/epub+zip' END AS body FROM listed
+  UNION ALL SELECT concat('p', w), 2, 'META-INF/container.xml', false, CASE WHEN w % 10 = 8 THEN '<rootfile/>' WHEN w % 10 = 6 THEN '<rootfile full-path="OEBPS/none.opf"/>' ELSE '<rootfile full-path="OEBPS/p.opf"/>' END FROM listed WHERE w % 10 <> 7
+  UNION ALL SELECT concat('p', w), 3, 'OEBPS/p.opf', false, concat('<package>', CASE WHEN w % 4 = 0 THEN '<dc:creator>A</dc:creator><dc:date>1</dc:date><dc:publisher>P</dc:publisher><dc:rights>R</dc:rights>' ELSE '<dc:creator>A</dc:creator><dc:date> </dc:date>' END,
+    CASE w % 6 WHEN 0 THEN '<meta name="cover" content="img"/>' WHEN 1 THEN '<meta name="cover" content="who"/>' WHEN 2 THEN '' ELSE '<meta name="cover" content="img"/>' END, '<manifest><item id="nav" href="nav.xhtml"/><item id="img" href="img/a.png"', CASE WHEN w % 6 = 0 OR w % 6 = 5 THEN '' ELSE ' properties="cover-image"' END, '/>',
+    items, CASE WHEN w % 5 = 1 THEN '<item id="g" href="gone.xhtml"/>' ELSE '' END, '</manifest><spine>', refs, CASE WHEN w % 5 = 2 THEN '<itemref idref="zz"/>' ELSE '' END, '</spine></package>') FROM listed
+  UNION ALL SELECT concat('p', w), 4, 'OEBPS/nav.xhtml', false, concat('<html lang="x"><nav epub:type="toc"><ol>', entries, CASE WHEN w % 5 = 3 THEN '<li><a href="ghost.xhtml">g</a></li>' ELSE '' END, '</ol></nav></html>') FROM listed
+  UNION ALL SELECT concat('p', w), 5, 'OEBPS/toc.ncx', false, concat(points, CASE WHEN w % 5 = 4 THEN '<content src="lost.xhtml"/>' ELSE '' END) FROM listed
+  UNION ALL SELECT concat('p', w), 6, 'OEBPS/style.css', false, CASE w % 5 WHEN 0 THEN 'p{{color:red}}' WHEN 1 THEN 'p{{font-family: "Foo"; font-size:2em}}' WHEN 2 THEN '/* color: x */p{{margin:0}}' WHEN 3 THEN '@import "x";' ELSE 'p{{font-family: serif; background-color: x}}' END FROM listed
+  UNION ALL SELECT concat('p', w), 7, 'OEBPS/img/a.png', false, 'same bytes' FROM listed UNION ALL SELECT concat('p', w), 8, 'OEBPS/img/b.webp', false, 'same bytes' FROM listed
+  UNION ALL SELECT concat('p', w), 9, 'OEBPS/style.css', false, '' FROM listed WHERE w % 11 = 0
+  UNION ALL SELECT concat('p', w), 10 + page_id, concat('OEBPS/', name), false, html FROM made)"""
+
+
+def package_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """work, ord, path, stored, size, body of the packages."""
+    read(spark, sf_dir, "pages").createOrReplaceTempView("pages_of_packages")
+    joined = lambda x, by: f"array_join(transform(array_sort(collect_list(struct({by} AS k, {x} AS x))), s -> s.x), '')"
+    members = spark.sql(f"WITH {package_sql('pages_of_packages', joined)} SELECT * FROM package_members")
+    return members.select("work", F.col("ord").cast("long").alias("ord"), "path", "stored", F.octet_length("body").cast("long").alias("size"), F.encode("body", "UTF-8").alias("body"))
+
+
+PACKAGES = package_sql("pages", lambda x, by: f"string_agg({x}, '' ORDER BY {by})")
