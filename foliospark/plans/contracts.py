@@ -37,10 +37,15 @@ def insert_rows(spark, d):
     return c.insert_rows(table(spark, "path string, value string", ("a", '{"id":"fig-1","type":"fig","source":{"page":3}}'), ("b", "broken"), ("c", '{"id":"tab-1","type":"table"}'), ("d", None)))
 
 
-@query(listed("expected", "work string, n_units long, done long, state string", ("a", 2, 2, "reviewed"), ("b", 0, 0, "empty"), ("c", 1, 1, "built"), ("d", 1, 0, "open"), ("e", 1, 0, "unsupported")))
+WORKS = Literal("works", "work string, schema_version long", ("a", 1), ("b", 1), ("c", 1), ("d", 1), ("e", 2)).also("SELECT concat('c', c_custkey), 1 + c_custkey % 10 % 9 % 2 FROM {customer}")
+STATES = Literal("unit_states", "work string, unit string, status string", ("a", "1", "reviewed"), ("a", "2", "built"), ("c", "1", "built"), ("d", "1", "aligned"), ("e", "1", "pending"))
+STATES.also("SELECT concat('c', o_custkey), concat('u', o_orderkey), CASE WHEN o_custkey % 4 = 0 THEN 'built' WHEN o_custkey % 4 = 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'reviewed' ELSE 'audited' END WHEN o_orderkey % 3 = 0 THEN 'translated' ELSE 'aligned' END FROM {orders} WHERE o_custkey % 5 <> 0")
+
+
+@query(with_tables(WORKS, STATES) + """, s AS (SELECT work, count(*) AS n, count_if(status IN ('reviewed', 'audited', 'built')) AS done, count_if(status = 'built') AS built FROM unit_states GROUP BY work)
+SELECT w.work, coalesce(n, 0) AS n_units, coalesce(done, 0) AS done, CASE WHEN schema_version <> 1 THEN 'unsupported' WHEN n IS NULL THEN 'empty' WHEN built = n THEN 'built' WHEN done = n THEN 'reviewed' ELSE 'open' END AS state FROM works w LEFT JOIN s ON s.work = w.work""")
 def work_states(spark, d):
-    works = table(spark, "work string, schema_version long", ("a", 1), ("b", 1), ("c", 1), ("d", 1), ("e", 2))
-    return c.work_states(works, table(spark, "work string, unit string, status string", ("a", "1", "reviewed"), ("a", "2", "built"), ("c", "1", "built"), ("d", "1", "aligned"), ("e", "1", "pending")))
+    return c.work_states(WORKS.frame(spark, d), STATES.frame(spark, d))
 
 
 UNIT_DIGESTS = Literal("unit_digests", "work string, unit string, digest string", ("a", "1", "x"), ("a", "2", "y"), ("a", "3", "z")).also(
@@ -69,14 +74,15 @@ def note_registration(spark, d):
     return c.note_registration(REG_NOTES.frame(spark, d), REG_REFS.frame(spark, d))
 
 
-@query(with_tables(REG_REFS) + " SELECT unit, string_agg(DISTINCT note_id, ',' ORDER BY note_id) AS notes FROM reg_refs WHERE work = 'a' GROUP BY unit")
+@query(with_tables(REG_REFS) + " SELECT unit, string_agg(DISTINCT note_id, ',' ORDER BY note_id) AS notes FROM reg_refs GROUP BY unit")
 def required_notes(spark, d):
-    return c.required_notes(REG_REFS.frame(spark, d).where("work = 'a'"))
+    return c.required_notes(REG_REFS.frame(spark, d))
 
 
-@query(listed("expected", "unit string, numbers string", ("u1", "1,12"), ("u2", "1")))
+@query(with_tables(REG_NOTES, REG_REFS) + ", j AS (SELECT DISTINCT r.unit, CAST(source_label AS BIGINT) AS n FROM reg_refs r JOIN reg_notes n ON n.note_id = r.note_id AND n.work = r.work WHERE regexp_full_match(source_label, '[0-9]+')) SELECT unit, string_agg(n, ',' ORDER BY n) AS numbers FROM j GROUP BY unit")
 def registered_numbers(spark, d):
-    return p.registered_numbers(REG_REFS.frame(spark, d).where("work = 'a'").drop("work"), REG_NOTES.frame(spark, d).where("work = 'a'").drop("work"))
+    keyed = lambda x: x.withColumn("note_id", F.concat_ws("/", "work", "note_id")).drop("work")
+    return p.registered_numbers(keyed(REG_REFS.frame(spark, d)), keyed(REG_NOTES.frame(spark, d)))
 
 
 @query(listed("expected", "entity string, code string", ("n2", "disposition"), ("n2", "reason_missing"), ("n3", "contradiction")))
@@ -84,20 +90,29 @@ def disposition_violations(spark, d):
     return c.disposition_violations(table(spark, "note_id string, disposition string, reason string, signals string", ("n1", "kept", "name", "identical"), ("n2", "odd", "", ""), ("n3", "translated", "done", "missing_target")))
 
 
-@query("""SELECT * FROM (VALUES ('a', 'fail'), ('b', 'manual'), ('c', 'pass'), ('d', 'unknown')) v("check", status)""")
+RESULTS = Literal("check_results", "item string, result string", ("a", "pass"), ("a", "fail"), ("a", "manual"), ("b", "pass"), ("b", "manual"), ("c", "pass"), ("d", "none"))
+RESULTS.also("SELECT concat('k', CAST(floor(doc_id / 6) AS BIGINT)), CASE WHEN doc_id % 31 = 0 THEN 'fail' WHEN doc_id % 17 = 0 THEN 'manual' WHEN doc_id % 5 < 2 THEN 'pass' ELSE 'none' END FROM {documents}")
+
+
+@query(with_tables(RESULTS) + """ SELECT item AS "check", CASE min(CASE result WHEN 'fail' THEN 1 WHEN 'manual' THEN 2 WHEN 'pass' THEN 3 ELSE 4 END) WHEN 1 THEN 'fail' WHEN 2 THEN 'manual' WHEN 3 THEN 'pass' ELSE 'unknown' END AS status FROM check_results GROUP BY item""")
 def quality_ledger(spark, d):
-    return c.quality_ledger(table(spark, "check string, result string", ("a", "pass"), ("a", "fail"), ("a", "manual"), ("b", "pass"), ("b", "manual"), ("c", "pass"), ("d", "none")))
+    return c.quality_ledger(RESULTS.frame(spark, d).withColumnRenamed("item", "check"))
 
 
-@query("SELECT * FROM (VALUES ('x', sha256('a:' || sha256('1') || chr(10) || 'b/c:' || sha256('2'))), ('y', sha256('a:' || sha256('')))) v(folder, digest)")
+@query("SELECT source AS folder, sha256(string_agg('f' || doc_id || ':' || sha256(coalesce(text, '')), chr(10) ORDER BY 'f' || doc_id)) AS digest FROM documents GROUP BY source")
 def folder_digests(spark, d):
-    return c.folder_digests(table(spark, "folder string, path string, content binary", ("x", "b/c", bytearray(b"2")), ("x", "a", bytearray(b"1")), ("y", "a", bytearray(b""))))
+    """Documents as the files of their source's folder."""
+    files = read(spark, d, "documents").select(F.col("source").alias("folder"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return c.folder_digests(files)
+
+
+PLACES = Literal("note_places", "note_id string, page long, x0 double, y0 double", ("n1", 1, 10.0, 20.0), ("n2", 2, 5.5, 5.0), ("n3", 2, 50.0, 5.0), ("n4", 9, 1.0, 1.0)).also("SELECT concat('o', o_orderkey), o_custkey % 90 + 100, CAST(o_orderkey % 23 AS DOUBLE), CAST(o_custkey % 7 AS DOUBLE) FROM {orders} WHERE o_orderkey % 9 = 0 AND o_orderkey < 9000")
+STARTS = Literal("block_starts", "page long, block long, x0 double, y0 double", (1, 1, 10.0, 60.0), (1, 2, 11.0, 19.0), (2, 1, 5.0, 5.0)).also("SELECT o_custkey % 90 + 100, o_orderkey, CAST(o_orderkey % 29 AS DOUBLE), CAST(o_custkey % 11 AS DOUBLE) FROM {orders} WHERE o_orderkey % 4 = 0 AND o_orderkey < 9000")
 
 
-@query(listed("expected", "note_id string, page long, block long", ("n1", 1, 2), ("n2", 2, 1)))
+@query(with_tables(PLACES, STARTS) + " SELECT note_id, n.page, block FROM note_places n JOIN block_starts b ON b.page = n.page AND abs(n.x0 - b.x0) <= 2 AND abs(n.y0 - b.y0) <= 2")
 def source_evidence(spark, d):
-    notes = table(spark, "note_id string, page long, x0 double, y0 double", ("n1", 1, 10.0, 20.0), ("n2", 2, 5.5, 5.0), ("n3", 2, 50.0, 5.0), ("n4", 9, 1.0, 1.0))
-    return p.source_evidence(notes, table(spark, "page long, block long, x0 double, y0 double", (1, 1, 10.0, 60.0), (1, 2, 11.0, 19.0), (2, 1, 5.0, 5.0)))
+    return p.source_evidence(PLACES.frame(spark, d), STARTS.frame(spark, d))
 
 
 @query(listed("expected", "label string, page long, line long", ("Guilds", 9, 2), ("moot halls", 9, 3), ("Guilds", 10, 1)))
@@ -106,15 +121,23 @@ def index_page_lines(spark, d):
     return p.index_page_lines(table(spark, "label string", ("Guilds",), ("moot halls",)), page_lines)
 
 
-@query(listed("expected", "work string, unit string, level long, status string, line long", ("w", "u1", 1, "exact", 1), ("w", "u2", 1, "ambiguous", None), ("w", "u3", 2, "none", None)))
+MODEL_UNITS = Literal("model_units", "work string, unit string, level long, title string", ("w", "u1", 1, "One!"), ("w", "u2", 1, "Two"), ("w", "u3", 2, "Three")).also("SELECT concat('z', p_size % 9), concat('p', p_partkey), 1 + p_partkey % 3, concat(p_name, ' ', p_partkey % 40) FROM {part}")
+MODEL_LINES = Literal("model_lines", "work string, line long, label string", ("w", 1, "one"), ("w", 2, "two"), ("w", 3, "TWO"), ("v", 1, "three")).also("SELECT concat('z', p_size % 9), 100 + p_partkey, concat(upper(p_name), ' - ', p_partkey % 40, '.') FROM {part} WHERE p_partkey % 3 = 0")
+
+
+@query(with_tables(MODEL_UNITS, MODEL_LINES) + r""", k AS (SELECT work, lower(regexp_replace(label, '[^\p{L}\p{N}]+', '', 'g')) AS k, count(*) AS n, min(line) AS line FROM model_lines GROUP BY ALL)
+SELECT u.work, u.unit, u.level, CASE WHEN n = 1 THEN 'exact' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS status, CASE WHEN n = 1 THEN k.line END AS line FROM model_units u LEFT JOIN k ON k.work = u.work AND k.k = lower(regexp_replace(u.title, '[^\p{L}\p{N}]+', '', 'g'))""")
 def contents_model(spark, d):
-    units = table(spark, "work string, unit string, level long, title string", ("w", "u1", 1, "One!"), ("w", "u2", 1, "Two"), ("w", "u3", 2, "Three"))
-    return p.contents_model(units, table(spark, "work string, line long, label string", ("w", 1, "one"), ("w", 2, "two"), ("w", 3, "TWO"), ("v", 1, "three")))
+    return p.contents_model(MODEL_UNITS.frame(spark, d), MODEL_LINES.frame(spark, d))
+
 
+SOURCES = Literal("source_files", "path string, unit string, ord long", ("OEBPS/one.xhtml", "u1", 1), ("x/one.html", "u3", 3), ("two", "u2", 2))
+SOURCES.also("SELECT concat(p_brand, '/t/', replace(p_name, ' ', '-'), CASE WHEN p_size % 2 = 0 THEN '.xhtml' ELSE '.v2.md' END), concat('p', p_partkey), 100 + p_partkey FROM {part}")
 
-@query(listed("expected", "stem string, unit string", ("one", "u1"), ("two", "u2")))
+
+@query(with_tables(SOURCES) + r""" SELECT regexp_replace(regexp_replace(path, '^.*/', ''), '\.[^.]*$', '') AS stem, arg_min(unit, ord) AS unit FROM source_files GROUP BY 1""")
 def stem_units(spark, d):
-    return p.stem_units(table(spark, "path string, unit string, ord long", ("OEBPS/one.xhtml", "u1", 1), ("x/one.html", "u3", 3), ("two", "u2", 2)))
+    return p.stem_units(SOURCES.frame(spark, d))
 
 
 @query(listed("expected", "unit string, place long, href string, target string", ("u1", 0, "two.xhtml#a", "u2.xhtml#a"), ("u1", 1, "one.xhtml#b", "#b"), ("u1", 2, "#c", "#c"), ("u1", 4, "gone.xhtml", None), ("u1", 5, "x/two.html", "u2.xhtml")))
@@ -192,9 +215,13 @@ def mixed_stops(spark, d):
     return p.mixed_stops(STOPS.frame(spark, d))
 
 
-@query(listed("expected", "work string, units string", ("a", "u1,u3")))
+KINDS = Literal("kinds_of_units", "work string, unit string, ord long, kind string", ("a", "u3", 3, "toc"), ("a", "u1", 1, "toc"), ("a", "u2", 2, "chapter"), ("b", "u1", 1, "toc"))
+KINDS.also("SELECT concat('d', CAST(floor(doc_id / 12) AS BIGINT)), concat('u', doc_id), (doc_id * 7) % 101, CASE WHEN (doc_id * 31) % 9 = 0 THEN 'toc' ELSE 'chapter' END FROM {documents}")
+
+
+@query(with_tables(KINDS) + " SELECT work, string_agg(unit, ',' ORDER BY ord, unit) AS units FROM kinds_of_units WHERE kind = 'toc' GROUP BY work HAVING count(*) > 1")
 def contents_units(spark, d):
-    return p.lists_of_units(table(spark, "work string, unit string, ord long, kind string", ("a", "u3", 3, "toc"), ("a", "u1", 1, "toc"), ("a", "u2", 2, "chapter"), ("b", "u1", 1, "toc")))
+    return p.lists_of_units(KINDS.frame(spark, d))
 
 
 @query(f"WITH {LINES}, l AS (SELECT unit, count(*) AS n, count_if(length(text) <= 80) AS n_short, count_if(regexp_matches(text, '(?i)^\\s*(?:chapter|part|book)\\s+(?:\\d+|[ivxlc]+)\\b')) AS n_chapters FROM lines GROUP BY unit) SELECT * FROM l")

@@ -61,12 +61,14 @@ def tree_blocks(spark, d):
     return x.select("id", F.posexplode(docs.ast_blocks(F.col("tree"))).alias("place", "b")).select("id", F.col("place").cast("long").alias("place"), "b.kind", "b.level", "b.text")
 
 
-HREFS = Literal("hrefs", "id long, document string, href string, want string", (1, "OEBPS/a.xhtml", "b.xhtml#x", "OEBPS/b.xhtml"), (2, "OEBPS/t/a.xhtml", "../i/p%20q.png", "OEBPS/i/p q.png"), (3, "a.xhtml", "../x", None), (4, "a.xhtml", "http://x/y", None), (5, "a.xhtml", "#top", None), (6, "a.xhtml", "/abs", None))
+HREFS = Literal("hrefs", "id long, document string, href string, want string", (1, "OEBPS/a.xhtml", "b.xhtml#x", "OEBPS/b.xhtml"), (2, "OEBPS/t/a.xhtml", "../i/p%20q.png", "OEBPS/i/p q.png"), (3, "a.xhtml", "../x", None), (4, "a.xhtml", "http://x/y", None), (5, "a.xhtml", "#top", None), (6, "a.xhtml", "/abs", None)).also(
+    "SELECT 100 + p_partkey, concat('OEBPS/t/', p_size, '.xhtml'), CASE WHEN p_size % 3 = 0 THEN concat('../i/', p_partkey, '.png') ELSE concat('c', p_partkey, '.xhtml#a') END, CASE WHEN p_size % 3 = 0 THEN concat('OEBPS/i/', p_partkey, '.png') ELSE concat('OEBPS/t/c', p_partkey, '.xhtml') END FROM {part}"
+)
 
 
 @query(with_tables(HREFS) + " SELECT id, want AS member FROM hrefs")
 def member_paths(spark, d):
-    return HREFS.frame(spark).select("id", docs.resolved_member(F.col("document"), F.col("href")).alias("member"))
+    return HREFS.frame(spark, d).select("id", docs.resolved_member(F.col("document"), F.col("href")).alias("member"))
 
 
 CATALOG = Literal("catalog", "item string, kind string, status string, unit string, note string", ("a", "text", "included", "u1", ""), ("b", "odd", "included", "", ""), ("c", "image", "excluded", None, " "), ("d", "text", "included", "u9", ""), ("e", "toc", None, None, "n"), ("f", "note", "absent", None, "lost"))
@@ -80,47 +82,57 @@ def catalog_violations(spark, d):
 LABELS = Literal(
     "md_labels", "id long, s string, want string",
     (1, "**Bold** and *it* of `code`", "Bold and it of code"), (2, "[text](x.md) ![alt](y.png)", "text alt"), (3, "Head {#id} [^1]", "Head"), (4, "a \\* b <i>c</i>", "a * b c"), (5, "snake_case_word", "snake_case_word"), (6, "", ""),
+).also(
+    "SELECT 100 + p_partkey, concat('**', p_name, '** and *', p_type, '* of [', p_brand, '](x', p_size, '.md) `c', p_size, '`'), concat(p_name, ' and ', p_type, ' of ', p_brand, ' c', p_size) FROM {part}"
 )
 
 
 @query(with_tables(LABELS) + " SELECT id, want AS label FROM md_labels")
 def plain_labels(spark, d):
-    return LABELS.frame(spark).select("id", markup.plain_label(F.col("s")).alias("label"))
+    return LABELS.frame(spark, d).select("id", markup.plain_label(F.col("s")).alias("label"))
 
 
-RESIDUE = Literal("md_residue", "id long, s string, want string", (1, "::: note\ntext\n:::\nmore", "text\nmore"), (2, "[span]{.x} y{#z}", "span y"), (3, "a\n\n\n\nb", "a\n\nb"), (4, "x <!-- fingerprint: {\"v\":1} --> y <!-- other -->", "x <!-- fingerprint: {\"v\":1} --> y <!-- other -->"))
+RESIDUE = Literal("md_residue", "id long, s string, want string", (1, "::: note\ntext\n:::\nmore", "text\nmore"), (2, "[span]{.x} y{#z}", "span y"), (3, "a\n\n\n\nb", "a\n\nb"), (4, "x <!-- fingerprint: {\"v\":1} --> y <!-- other -->", "x <!-- fingerprint: {\"v\":1} --> y <!-- other -->")).also(
+    "SELECT 100 + p_partkey, concat('::: box', chr(10), p_name, chr(10), ':::', chr(10), '[', p_type, ']', chr(123), '.k', chr(125)), concat(p_name, chr(10), p_type) FROM {part}"
+)
 
 
 @query(with_tables(RESIDUE) + " SELECT id, want AS clean, CASE id WHEN 4 THEN 'x  y <!-- other -->' ELSE s END AS unstamped FROM md_residue")
 def residue_cleaning(spark, d):
-    return RESIDUE.frame(spark).select("id", markup.without_residue(F.col("s")).alias("clean"), markup.own_comments_removed(F.col("s")).alias("unstamped"))
+    return RESIDUE.frame(spark, d).select("id", markup.without_residue(F.col("s")).alias("clean"), markup.own_comments_removed(F.col("s")).alias("unstamped"))
 
 
-CORRECTED = Literal("corrected_rows", "id long, src string, note string, want string", (1, "The IDG met", "kept", "corrected:IDG>IDF;kept"), (2, "The IDG met", None, "corrected:IDG>IDF"), (3, "fine", "kept", "kept"), (4, "fine", None, None))
+CORRECTED = Literal("corrected_rows", "id long, src string, note string, want string", (1, "The IDG met", "kept", "corrected:IDG>IDF;kept"), (2, "The IDG met", None, "corrected:IDG>IDF"), (3, "fine", "kept", "kept"), (4, "fine", None, None)).also(
+    "SELECT 100 + p_partkey, CASE WHEN p_size % 2 = 0 THEN concat('The IDG of ', p_name) ELSE p_name END, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_type END, CASE WHEN p_size % 2 = 0 THEN CASE WHEN p_size % 3 = 0 THEN 'corrected:IDG>IDF' ELSE concat('corrected:IDG>IDF;', p_type) END ELSE CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_type END END FROM {part}"
+)
 
 
 @query(with_tables(CORRECTED) + " SELECT id, want AS note FROM corrected_rows")
 def correction_notes(spark, d):
-    return CORRECTED.frame(spark).select("id", markup.with_correction_note(F.col("note"), t.corrections_in(F.col("src"))).alias("note"))
+    return CORRECTED.frame(spark, d).select("id", markup.with_correction_note(F.col("note"), t.corrections_in(F.col("src"))).alias("note"))
 
 
-MDS = Literal("mds", "id long, md string", (1, "# A\n\n## B"), (2, "# A\ntext"), (3, ""), (4, None), (5, "    # code"), (6, "## Only {fig:1}\n[^1]: note  text[^2]\nbody {fig:2}"))
+MDS = Literal("mds", "id long, md string", (1, "# A\n\n## B"), (2, "# A\ntext"), (3, ""), (4, None), (5, "    # code"), (6, "## Only {fig:1}\n[^1]: note  text[^2]\nbody {fig:2}")).also(
+    "SELECT 100 + p_partkey, concat('## ', p_name, chr(10), CASE WHEN p_size % 2 = 0 THEN concat(chr(10), '# ', p_type) ELSE concat('[^1]: ', p_type, ' and ', p_brand) END) FROM {part}"
+)
 
 
 @query(with_tables(MDS) + r""", x AS (SELECT id, coalesce(md, '') AS md FROM mds), l AS (SELECT id, list_filter(string_split(md, chr(10)), lambda v: trim(v) <> '') AS ls FROM x)
 SELECT x.id, len(ls) > 0 AND len(list_filter(ls, lambda v: NOT regexp_matches(v, '^#{1,6}[ \t]+\S'))) = 0 AS heading_only, regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '(?m)^#{1,6}[ \t]+.*$', '', 'g'), '(?m)^\[\^[^\]]+\]:\s*', '', 'g'), '\[\^[^\]]+\]|\{\w+:\d+\}', '', 'g'), '\s+', '', 'g') AS drift FROM x JOIN l USING (id)""")
 def markdown_predicates(spark, d):
-    return MDS.frame(spark).select("id", markup.heading_only(F.col("md")).alias("heading_only"), markup.drift_key(t.text_of("md")).alias("drift"))
+    return MDS.frame(spark, d).select("id", markup.heading_only(F.col("md")).alias("heading_only"), markup.drift_key(t.text_of("md")).alias("drift"))
 
 
-RTL = Literal("rtl_texts", "id long, s string, ratio double", (1, "שלום abc", 0.571429), (2, "abc", 0.0), (3, "", 0.0), (4, "سلام", 1.0), (5, "123 !", 0.0))
+RTL = Literal("rtl_texts", "id long, s string, ratio double", (1, "שלום abc", 0.571429), (2, "abc", 0.0), (3, "", 0.0), (4, "سلام", 1.0), (5, "123 !", 0.0)).also(
+    "SELECT 100 + p_partkey, concat('שלום ', substr('abcdefghij', 1, CAST(1 + p_size % 9 AS INT))), round(CAST(4 AS DOUBLE) / (5 + p_size % 9), 6) FROM {part}"
+)
 
 
 @query(with_tables(RTL) + " SELECT id, ratio, ratio AS approximate, CASE WHEN ratio >= 0.5 THEN array_to_string(list_reverse(string_split(s, ' ')), ' ') ELSE s END AS ordered FROM rtl_texts")
 def right_to_left(spark, d):
     s = F.col("s")
     exact = rtl_ratio(s)
-    return RTL.frame(spark).select("id", F.round(exact, 6).alias("ratio"), F.round(t.rtl_share(s), 6).alias("approximate"), F.when(t.rtl_share(s) >= 0.5, t.reversed_words(t.without_bidi(s))).otherwise(t.without_bidi(s)).alias("ordered"))
+    return RTL.frame(spark, d).select("id", F.round(exact, 6).alias("ratio"), F.round(t.rtl_share(s), 6).alias("approximate"), F.when(t.rtl_share(s) >= 0.5, t.reversed_words(t.without_bidi(s))).otherwise(t.without_bidi(s)).alias("ordered"))
 
 
 @query("""WITH s AS (SELECT source AS work, len(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ɏͰ-ϿЀ-ԯ]')) AS ltr, len(regexp_extract_all(coalesce(text, ''), '[֐-ࣿיִ-﷿ﹰ-﻿]')) AS rtl FROM documents) SELECT work, sum(rtl) * 2 > sum(rtl + ltr) AS rtl FROM s GROUP BY work""")
@@ -138,13 +150,15 @@ def formula_blocks(spark, d):
     return FORMULAS.frame(spark).select("id", markup.is_formula(F.col("s"), F.col("x1") - F.col("x0"), F.col("x0"), F.col("x1"), F.lit(600.0)).alias("formula"))
 
 
-CODE = Literal("code_spans", "id long, s string, want string, stem string", (1, "a `b` c", "a  c", "a-b-c"), (2, "a ``b ` c`` d", "a  d", "a-b-c-d"), (3, "open ` only", "open ` only", "open-only"), (4, "`x``y`", "", "x-y"), (5, "ch01", "ch01", "ch01"))
+CODE = Literal("code_spans", "id long, s string, want string, stem string", (1, "a `b` c", "a  c", "a-b-c"), (2, "a ``b ` c`` d", "a  d", "a-b-c-d"), (3, "open ` only", "open ` only", "open-only"), (4, "`x``y`", "", "x-y"), (5, "ch01", "ch01", "ch01")).also(
+    "SELECT 100 + p_partkey, concat(p_name, ' ``', p_type, ' ` ', p_size, '`` x'), concat(p_name, '  x'), concat(replace(p_name, ' ', '-'), '-', p_type, '-', p_size, '-x') FROM {part}"
+)
 
 
 @query(with_tables(CODE) + " SELECT id, want AS prose, stem FROM code_spans")
 def inline_code(spark, d):
     """Worked by hand: a run only closes with one of its own length."""
-    return CODE.frame(spark).select("id", markup.without_inline_code(F.col("s")).alias("prose"), markup.file_stem(F.col("s")).alias("stem"))
+    return CODE.frame(spark, d).select("id", markup.without_inline_code(F.col("s")).alias("prose"), markup.file_stem(F.col("s")).alias("stem"))
 
 
 @query("SELECT work, '{\"work\":\"' || work || '\",\"reason\":\"' || reason || '\",\"released\":' || (reason = 'ok') || '}' AS report FROM (" + "SELECT * FROM (VALUES ('w00', 'ok'), ('w01', 'terminology_open')) v(work, reason))")

@@ -169,21 +169,29 @@ def candidate_bindings(spark, d):
     return e.bound_candidates(CANDS.frame(spark), CAND_REFS.frame(spark), spark.createDataFrame([("n1",)], "note_id string"), CAND_PLACES.frame(spark))
 
 
-HEAD_LINES = Literal("head_lines", "unit string, line long, text string", ("u", 1, "# One"), ("u", 2, "## **Two**"), ("u", 3, "text"), ("u", 4, "## {#x}"), ("u", 5, "### Three {#own}"), ("u", 6, "## Four"))
+HEAD_LINES = Literal("head_lines", "unit string, line long, text string", ("u", 1, "# One"), ("u", 2, "## **Two**"), ("u", 3, "text"), ("u", 4, "## {#x}"), ("u", 5, "### Three {#own}"), ("u", 6, "## Four")).also(
+    "SELECT concat('p', p_partkey % 50), p_partkey, concat(CASE p_partkey % 5 WHEN 0 THEN '# ' WHEN 1 THEN '## ' WHEN 2 THEN '### ' WHEN 3 THEN '##  ' ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN '**' ELSE '' END, p_name, CASE WHEN p_partkey % 3 = 0 THEN '**' ELSE '' END, CASE WHEN p_partkey % 7 = 0 THEN concat(' ', chr(123), '#x', p_partkey, chr(125)) ELSE '' END) FROM {part}"
+)
 
 
-@query(listed("expected", "unit string, level long, title string, anchor string", ("u", 2, "Two", "u-h1"), ("u", 3, "Three", "own"), ("u", 2, "Four", "u-h4")))
+@query(with_tables(HEAD_LINES) + r""", h AS (SELECT unit, line, length(regexp_extract(text, '^(#{2,6})[ \t]+\S', 1)) AS level, text FROM head_lines WHERE regexp_matches(text, '^#{2,6}[ \t]+\S')), n AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY line) AS n, regexp_extract(text, '\{#([^}\s]+)\}\s*$', 1) AS own FROM h),
+k AS (SELECT *, regexp_replace(trim(regexp_replace(regexp_replace(text, '^#+[ \t]+', ''), '\{#[^}]*\}\s*$', '')), '[*_`]+', '', 'g') AS title FROM n) SELECT unit, level, title, CASE WHEN own <> '' THEN own ELSE unit || '-h' || n END AS anchor FROM k WHERE title <> ''""")
 def subheading_anchors(spark, d):
-    return e.anchors_of(HEAD_LINES.frame(spark))
+    return e.anchors_of(HEAD_LINES.frame(spark, d))
 
 
-IMPORTED = Literal("import_units", "unit string, n_rows long, changed boolean", ("a", 3, True), ("b", 0, True), ("c", 2, True), ("d", 2, False), ("e", 1, True))
-IMPORT_FINDINGS = Literal("import_findings", 'unit string, check string, blocking boolean, reverse boolean', ("a", "marker", True, None), ("a", "length", False, None), ("c", "fidelity", True, True), ("c", "terminology", True, None), ("e", "fidelity", True, False), ("d", "length", True, None))
+IMPORTED = Literal("import_units", "unit string, n_rows long, changed boolean", ("a", 3, True), ("b", 0, True), ("c", 2, True), ("d", 2, False), ("e", 1, True)).also(
+    "SELECT concat('d', doc_id), doc_id % 5, doc_id % 4 <> 0 FROM {documents}"
+)
+IMPORT_FINDINGS = Literal("import_findings", 'unit string, check string, blocking boolean, reverse boolean', ("a", "marker", True, None), ("a", "length", False, None), ("c", "fidelity", True, True), ("c", "terminology", True, None), ("e", "fidelity", True, False), ("d", "length", True, None)).also(
+    "SELECT concat('d', doc_id - doc_id % 2), CASE doc_id % 5 WHEN 0 THEN 'language' WHEN 1 THEN 'fidelity' WHEN 2 THEN 'terminology' WHEN 3 THEN 'length' ELSE 'length_review' END, doc_id % 3 <> 0, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 2 = 0 END FROM {documents}"
+)
 
 
-@query(listed("expected", "unit string, outcome string, errors long, warnings long", ("a", "imported", 0, 2), ("b", "pending", 0, 0), ("c", "failed", 1, 1), ("d", "skipped", 1, 0), ("e", "imported", 0, 1)))
+@query(with_tables(IMPORTED, IMPORT_FINDINGS).replace("check", '"check"').replace('""check""', '"check"') + """, f AS (SELECT unit, count_if(hard) AS errors, count_if(NOT hard) AS warnings FROM (SELECT unit, blocking AND ("check" IN ('language', 'length', 'length_review') OR ("check" = 'fidelity' AND coalesce(reverse, false))) AS hard FROM import_findings) GROUP BY unit)
+SELECT u.unit, CASE WHEN n_rows = 0 THEN 'pending' WHEN NOT changed THEN 'skipped' WHEN coalesce(errors, 0) > 0 THEN 'failed' ELSE 'imported' END AS outcome, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings FROM import_units u LEFT JOIN f USING (unit)""")
 def import_admission(spark, d):
-    return e.admission(IMPORTED.frame(spark), IMPORT_FINDINGS.frame(spark))
+    return e.admission(IMPORTED.frame(spark, d), IMPORT_FINDINGS.frame(spark, d))
 
 
 FOUND = Literal("found_findings", "unit string, block long, code string, digest string", ("a", 1, "x", "d1"), ("a", None, "y", "d2"), ("a", 2, "x", "d3"), ("b", 1, "z", "d4")).also(
@@ -205,12 +213,14 @@ def inputs_digest(spark, d):
     return e.inputs_digest(units(spark, d).select("work", F.col("unit").alias("ord"), F.col("unit").cast("string").alias("unit"), "text"))
 
 
-IMAGES = Literal("images", "work string, page long, type string, x0 double, y0 double, x1 double, y1 double", ("a", 1, "image", 0.0, 0.0, 10.0, 10.0), ("a", 1, "text", 0.0, 0.0, 99.0, 99.0), ("a", 2, "image", 0.0, 0.0, 20.0, 10.0), ("a", 3, "image", 0.0, 0.0, 5.0, 5.0), ("a", 3, "image", 0.0, 0.0, 1.0, 1.0), ("a", 9, "image", 0.0, 0.0, 50.0, 50.0))
+IMAGES = Literal("images", "work string, page long, type string, x0 double, y0 double, x1 double, y1 double", ("a", 1, "image", 0.0, 0.0, 10.0, 10.0), ("a", 1, "text", 0.0, 0.0, 99.0, 99.0), ("a", 2, "image", 0.0, 0.0, 20.0, 10.0), ("a", 3, "image", 0.0, 0.0, 5.0, 5.0), ("a", 3, "image", 0.0, 0.0, 1.0, 1.0), ("a", 9, "image", 0.0, 0.0, 50.0, 50.0)).also(
+    "SELECT concat('c', o_custkey % 60), o_orderkey % 6, CASE WHEN o_orderkey % 4 = 0 THEN 'text' ELSE 'image' END, CAST(o_orderkey % 7 AS DOUBLE), 0.0, CAST(10 + o_orderkey % 97 AS DOUBLE), CAST(5 + o_custkey % 31 AS DOUBLE) FROM {orders} WHERE o_orderkey < 4000"
+)
 
 
-@query(listed("expected", "work string, page long, area double", ("a", 2, 200.0), ("a", 1, 100.0), ("a", 3, 25.0)))
+@query(with_tables(IMAGES) + ", r AS (SELECT work, page, (x1 - x0) * (y1 - y0) AS area FROM images WHERE page <= 3 AND type = 'image') SELECT work, page, area FROM (SELECT *, row_number() OVER (PARTITION BY work ORDER BY area DESC, page) AS n FROM r) WHERE n <= 3")
 def cover_candidates(spark, d):
-    return e.covers(IMAGES.frame(spark))
+    return e.covers(IMAGES.frame(spark, d))
 
 
 @query("""WITH p AS (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM documents), s AS (SELECT source, n, coalesce(text, '') AS text FROM p WHERE n <= 500 OR doc_id % 5 = 0)
@@ -219,14 +229,22 @@ def sampled_pages(spark, d):
     return e.sampled_pages(read(spark, d, "documents").select(F.col("source").alias("work"), F.col("doc_id").alias("page"), F.coalesce("text", F.lit("")).alias("text")))
 
 
-P_UNITS = Literal("p_units", "work string, unit string, place long", ("w", "a", 1), ("w", "b", 2), ("w", "c", 3), ("w", "d", 4))
-P_SPINE = Literal("p_spine", "work string, unit string, place long", ("w", "a", 1), ("w", "c", 2), ("w", "b", 3), ("w", "x", 4))
-P_NAV = Literal("p_nav", "work string, unit string, place long", ("w", "a", 1), ("w", "b", 2), ("w", "y", 3))
+P_UNITS = Literal("p_units", "work string, unit string, place long", ("w", "a", 1), ("w", "b", 2), ("w", "c", 3), ("w", "d", 4)).also(
+    "SELECT concat('s', source), concat('u', doc_id), doc_id FROM {documents} WHERE doc_id % 9 <> 0"
+)
+P_SPINE = Literal("p_spine", "work string, unit string, place long", ("w", "a", 1), ("w", "c", 2), ("w", "b", 3), ("w", "x", 4)).also(
+    "SELECT concat('s', source), concat('u', doc_id), CASE WHEN doc_id % 13 = 0 THEN doc_id - 90 ELSE doc_id END FROM {documents} WHERE doc_id % 7 <> 0"
+)
+P_NAV = Literal("p_nav", "work string, unit string, place long", ("w", "a", 1), ("w", "b", 2), ("w", "y", 3)).also(
+    "SELECT concat('s', source), concat('u', doc_id), doc_id FROM {documents} WHERE doc_id % 5 <> 0"
+)
 
 
-@query(listed("expected", "work string, unit string, code string", ("w", "c", "unit_order"), ("w", "c", "nav_missing"), ("w", "d", "unit_missing"), ("w", "d", "nav_missing"), ("w", "x", "spine_unknown"), ("w", "y", "nav_dangling")))
+@query(with_tables(P_UNITS, P_SPINE, P_NAV) + """, j AS (SELECT u.work, u.unit, u.place AS u, s.place AS s, max(s.place) OVER (PARTITION BY u.work ORDER BY u.place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM p_units u LEFT JOIN p_spine s USING (work, unit))
+SELECT work, unit, 'unit_missing' AS code FROM j WHERE s IS NULL UNION ALL SELECT work, unit, 'unit_order' FROM j WHERE high > s UNION ALL SELECT work, unit, 'spine_unknown' FROM p_spine s WHERE NOT EXISTS (SELECT 1 FROM p_units u WHERE u.work = s.work AND u.unit = s.unit)
+UNION ALL SELECT work, unit, 'nav_missing' FROM p_units u WHERE NOT EXISTS (SELECT 1 FROM p_nav n WHERE n.work = u.work AND n.unit = u.unit) UNION ALL SELECT work, unit, 'nav_dangling' FROM p_nav n WHERE NOT EXISTS (SELECT 1 FROM p_spine s WHERE s.work = n.work AND s.unit = n.unit)""")
 def provenance(spark, d):
-    return e.provenance(P_UNITS.frame(spark), P_SPINE.frame(spark), P_NAV.frame(spark))
+    return e.provenance(P_UNITS.frame(spark, d), P_SPINE.frame(spark, d), P_NAV.frame(spark, d))
 
 
 @query(f"""WITH {LINES}, k AS (SELECT work, unit % 2 AS side, {NOSPACE.format('text')} AS norm FROM lines), a AS (SELECT work, norm, count(*) AS a FROM k WHERE side = 0 GROUP BY ALL), b AS (SELECT work, norm, count(*) AS b FROM k WHERE side = 1 GROUP BY ALL)
@@ -236,15 +254,24 @@ def lines_lost(spark, d):
     return e.multiset_difference(x.where("unit % 2 = 0"), x.where("unit % 2 = 1"), ["work", "norm"])
 
 
-R_REFS = Literal("r_refs", "ref_id string, note_id string", ("r1", "n1"), ("r2", "n2"), ("r3", "n9"), ("r4", "n1"), ("r5", "n3"), ("r6", "n4"))
-R_ANCHORS = Literal("r_anchors", "ref_id string, file string, href_file string, fragment string", ("r1", "c1", "c1", "fn-n1"), ("r2", "c1", "c1", "fn-n1"), ("r3", "c1", "c1", "fn-n9"), ("r5", "c1", "c2", "fn-n3"), ("r6", "c2", "c2", "fn-n4"))
-R_ASIDES = Literal("r_asides", "note_id string, file string, back_file string, back_ref string", ("n1", "c1", "c1", "r1"), ("n3", "c1", "c1", "r5"), ("n4", "c2", "c2", "r5"))
+R_NOTES = Literal("r_notes", "note_id string", ("n1",), ("n2",), ("n3",), ("n4",)).also(
+    "SELECT concat('m', doc_id) FROM {documents} WHERE doc_id % 10 <> 0"
+)
+R_REFS = Literal("r_refs", "ref_id string, note_id string", ("r1", "n1"), ("r2", "n2"), ("r3", "n9"), ("r4", "n1"), ("r5", "n3"), ("r6", "n4")).also(
+    "SELECT concat('q', doc_id), concat('m', doc_id) FROM {documents}"
+)
+R_ANCHORS = Literal("r_anchors", "ref_id string, file string, href_file string, fragment string", ("r1", "c1", "c1", "fn-n1"), ("r2", "c1", "c1", "fn-n1"), ("r3", "c1", "c1", "fn-n9"), ("r5", "c1", "c2", "fn-n3"), ("r6", "c2", "c2", "fn-n4")).also(
+    "SELECT concat('q', doc_id), concat('c', doc_id % 4), concat('c', (doc_id + CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END) % 4), CASE WHEN doc_id % 8 = 0 THEN 'other' ELSE concat('fn-m', doc_id) END FROM {documents} WHERE doc_id % 9 <> 0"
+)
+R_ASIDES = Literal("r_asides", "note_id string, file string, back_file string, back_ref string", ("n1", "c1", "c1", "r1"), ("n3", "c1", "c1", "r5"), ("n4", "c2", "c2", "r5")).also(
+    "SELECT concat('m', doc_id), concat('c', doc_id % 4), concat('c', doc_id % 4), CASE WHEN doc_id % 11 = 0 THEN 'q0' ELSE concat('q', doc_id) END FROM {documents} WHERE doc_id % 7 <> 0"
+)
 
 
-@query(listed("expected", "ref_id string, code string", ("r2", "href_wrong"), ("r3", "note_unknown"), ("r4", "anchor_missing"), ("r5", "aside_missing"), ("r6", "backlink_missing")))
+@query(with_tables(R_REFS, R_ANCHORS, R_ASIDES, R_NOTES) + """, j AS (SELECT r.ref_id, r.note_id, k.note_id IS NULL AS unknown, a.file, a.href_file, a.fragment, s.note_id IS NULL AS no_aside, s.back_file, s.back_ref FROM r_refs r LEFT JOIN r_notes k ON k.note_id = r.note_id LEFT JOIN r_anchors a ON a.ref_id = r.ref_id LEFT JOIN r_asides s ON s.note_id = r.note_id AND s.file = a.href_file)
+SELECT * FROM (SELECT ref_id, CASE WHEN unknown THEN 'note_unknown' WHEN file IS NULL THEN 'anchor_missing' WHEN fragment <> 'fn-' || note_id THEN 'href_wrong' WHEN no_aside THEN 'aside_missing' WHEN back_file <> file OR back_ref <> ref_id THEN 'backlink_missing' END AS code FROM j) WHERE code IS NOT NULL""")
 def registered_notes(spark, d):
-    notes = spark.createDataFrame([("n1",), ("n2",), ("n3",), ("n4",)], "note_id string")
-    return e.registered_notes(R_REFS.frame(spark), R_ANCHORS.frame(spark), R_ASIDES.frame(spark), notes)
+    return e.registered_notes(R_REFS.frame(spark, d), R_ANCHORS.frame(spark, d), R_ASIDES.frame(spark, d), R_NOTES.frame(spark, d))
 
 
 MD = Literal("media_md", "unit string, side string, md string", ("h", "s", "[x]{original-image-src=\"a.png\"} ![x](b.png) `![n](no.png)`\n```\n![n](no.png)\n```\n<img src=\"c.png\">"), ("h", "t", "![x](b.png) [x]{original-image-src=\"a.png\"}"), ("g", "s", "![x](b.png) ![x](d.png)"), ("g", "t", "![x](d.png) ![x](b.png)"))

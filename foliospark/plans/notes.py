@@ -78,22 +78,21 @@ def note_review(spark, d):
 CAND_LINES = Literal(
     "cand_lines", "unit string, line long, text string",
     ("u1", 1, "It ended.12 Then more."), ("u1", 2, "See [^a] and [^ref-000001]."), ("u1", 3, "[^a]: the definition"), ("u1", 4, "241 Kubik, a long note text"), ("u1", 5, "12 short"), ("u1", 6, "It ended.12 Then more."), ("u2", 1, "p.66 only a page, 46% of it.46%"), ("u2", 2, "Ratio 3.14 and (X)14 here"),
+).also(
+    "SELECT concat('p', p_partkey), p_size, CASE p_partkey % 4 WHEN 0 THEN concat(p_name, ' ended.', 10 + p_partkey % 80, ' Then more.') WHEN 1 THEN concat(10 + p_partkey % 80, ' ', p_name, ' goes on') WHEN 2 THEN concat('[^', p_type, ']: see ', p_name) ELSE concat(p_name, ' (x)', 10 + p_partkey % 80) END FROM {part}"
 )
 CANDS = Literal(
     "expected_candidates", "unit string, line long, kind string, label string, head string, nth long",
     ("u1", 1, "marker", "12", "It ended.12 Then more.", 0), ("u1", 2, "pandoc_ref", "a", "See [^a] and [^ref-000001].", 0), ("u1", 3, "pandoc_ref", "a", "[^a]: the definition", 0), ("u1", 3, "definition", "a", "[^a]: the definition", 0),
     ("u1", 4, "numbered_paragraph", "241", "241 Kubik, a long note text", 0), ("u1", 6, "marker", "12", "It ended.12 Then more.", 1), ("u2", 2, "marker", "14", "Ratio 3.14 and (X)14 here", 0),
+).also(
+    "SELECT concat('p', p_partkey), p_size, 'marker', concat('', 10 + p_partkey % 80), CASE WHEN p_partkey % 4 = 0 THEN concat(p_name, ' ended.', 10 + p_partkey % 80, ' Then more.') ELSE concat(p_name, ' (x)', 10 + p_partkey % 80) END, 0 FROM {part} WHERE p_partkey % 4 IN (0, 3) UNION ALL SELECT concat('p', p_partkey), p_size, 'numbered_paragraph', concat('', 10 + p_partkey % 80), concat(10 + p_partkey % 80, ' ', p_name, ' goes on'), 0 FROM {part} WHERE p_partkey % 4 = 1 UNION ALL SELECT concat('p', p_partkey), p_size, 'pandoc_ref', p_type, concat('[^', p_type, ']: see ', p_name), 0 FROM {part} WHERE p_partkey % 4 = 2 UNION ALL SELECT concat('p', p_partkey), p_size, 'definition', p_type, concat('[^', p_type, ']: see ', p_name), 0 FROM {part} WHERE p_partkey % 4 = 2"
 )
 
 
 @query(with_tables(CANDS) + " SELECT 'c-' || substr(sha1(concat_ws('|', unit, kind, label, head, nth)), 1, 10) AS candidate_id, unit, line, kind, label FROM expected_candidates")
 def note_candidates(spark, d):
-    return n.candidates(CAND_LINES.frame(spark))
-
-
-@query(f"""WITH {LINES}, c AS (SELECT unit, line, text, regexp_extract_all(text, '^(\\d{{1,3}})\\s+\\S.{{7,}}$', 1) AS l FROM lines) SELECT unit, line, 'numbered_paragraph' AS kind, l[1] AS label FROM c WHERE len(l) > 0""")
-def note_candidates_documents(spark, d):
-    return n.candidates(lines(spark, d)).where("kind = 'numbered_paragraph'").select("unit", "line", "kind", "label")
+    return n.candidates(CAND_LINES.frame(spark, d))
 
 
 NUM_NOTES = Literal("num_notes", "note_id string, scope_id string, source_label string", ("n1", "s1", "2"), ("n2", "s1", "*"), ("n3", "s1", "a"), ("n4", "s1", "1"), ("n5", "s2", "†"), ("n6", "s2", "0"), ("n7", "s1", "‡"))
@@ -110,11 +109,13 @@ NOTE_TEXTS = Literal(
     "note_texts", "id long, text string, toc boolean, n_refs long, numbers string",
     (1, "End.1 More (стр.66) and 3.14.", False, 1, "1"), (2, "正文。12 下一句。3 月 后", False, 1, "12"), (3, "Chapter one ........ 12", False, 0, ""), (4, "He hesitated ...1", False, 1, "1"), (5, "He hesitated ...1", True, 0, ""), (6, "list。1. item", False, 0, ""), (7, "note [240] and 〔7〕 and [007]", False, 0, "7,240"),
     (8, "said it,\" 23 (X)14 here", False, 0, "14"), (9, "World War II.5", True, 0, ""), (10, "World War II.5", False, 1, "5"), (11, "", False, 0, ""), (12, "46%。46%的", False, 0, ""),
+).also(
+    "SELECT 100 + p_partkey, concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' ended.' WHEN 1 THEN ' said”' WHEN 2 THEN ' see fig.' ELSE ' of ' END, 10 + p_partkey % 80), false, CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END, CASE WHEN p_partkey % 4 < 2 THEN concat('', 10 + p_partkey % 80) ELSE '' END FROM {part}"
 )
 
 
 @query(with_tables(NOTE_TEXTS) + " SELECT id, n_refs, numbers FROM note_texts")
 def footnote_numbers(spark, d):
     """Worked by hand; see the rules in the functions."""
-    x = NOTE_TEXTS.frame(spark)
+    x = NOTE_TEXTS.frame(spark, d)
     return x.select("id", count_sentence_notes(F.col("text"), F.col("toc")).alias("n_refs"), F.array_join(find_note_numbers(F.col("text"), F.col("toc")).cast("array<string>"), ",").alias("numbers"))
