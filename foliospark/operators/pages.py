@@ -9,18 +9,18 @@ from foliospark.functions import text as t
 
 
 def source_evidence(notes: DataFrame, blocks: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """note_id, page, block: registered places (note_id, page, x0, y0) and the blocks of that page that start there, within a tolerance. The page is the key; the box is a condition."""
-    b = blocks.select("page", "block", F.col("x0").alias("bx"), F.col("y0").alias("by"))
+    """work, note_id, page, block: registered places (work, note_id, page, x0, y0) and the blocks of that page that start there, within a tolerance. The page is the key; the box is a condition."""
+    b = blocks.select("work", "page", "block", F.col("x0").alias("bx"), F.col("y0").alias("by"))
     near = (F.abs(F.col("x0") - F.col("bx")) <= tolerance) & (F.abs(F.col("y0") - F.col("by")) <= tolerance)
-    return notes.join(b, "page").where(near).select("note_id", "page", "block")
+    return notes.join(b, ["work", "page"]).where(near).select("work", "note_id", "page", "block")
 
 
 def index_page_lines(entries: DataFrame, lines: DataFrame) -> DataFrame:
-    """label, page, line: index entries found again on index pages; a page is one when its head says so or most of its lines end in numbers."""
-    w = Window.partitionBy("page")
+    """work, label, page, line: index entries found again on index pages; a page is one when its head says so or most of its lines end in numbers."""
+    w = Window.partitionBy("work", "page")
     l = lines.withColumn("dense", F.avg(F.col("text").rlike(r",?\s*\d{1,4}\s*$").cast("double")).over(w)).withColumn("titled", F.max(((F.col("line") == 1) & F.lower(F.trim("text")).isin("index", "索引")).cast("int")).over(w))
     l = l.where("dense > 0.5 or titled = 1").withColumn("key", t.title_key(F.regexp_replace("text", r"[,\s\d–-]+$", "")))
-    return entries.withColumn("key", t.title_key(F.col("label"))).join(l.select("key", "page", "line"), "key").select("label", "page", "line")
+    return entries.withColumn("key", t.title_key(F.col("label"))).join(l.select("work", "key", "page", "line"), ["work", "key"]).select("work", "label", "page", "line")
 
 
 def contents_model(units: DataFrame, printed: DataFrame) -> DataFrame:
@@ -61,17 +61,17 @@ def ordered_containment(blocks: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def size_profile(segments: DataFrame) -> DataFrame:
-    """page, median_size, usual_size: the median of the sizes, and the size of most characters, the smaller of two."""
-    s = segments.where("size > 0")
-    mode = s.groupBy("page", "size").agg(F.sum(F.char_length("text")).alias("chars")).groupBy("page").agg(F.max_by("size", F.struct(F.col("chars"), -F.col("size"))).alias("usual_size"))
-    return s.groupBy("page").agg(F.median("size").alias("median_size")).join(mode, "page")
+    """work, page, median_size, usual_size: the median of the sizes, and the size of most characters, the smaller of two."""
+    s, key = segments.where("size > 0"), ["work", "page"]
+    mode = s.groupBy(*key, "size").agg(F.sum(F.char_length("text")).alias("chars")).groupBy(*key).agg(F.max_by("size", F.struct(F.col("chars"), -F.col("size"))).alias("usual_size"))
+    return s.groupBy(*key).agg(F.median("size").alias("median_size")).join(mode, key)
 
 
 def chapter_headings(segments: DataFrame) -> DataFrame:
-    """page, line: short lines that open a chapter by word, or by a size of 1.3 times the page's median."""
-    s = segments.join(size_profile(segments).select("page", "median_size"), "page")
+    """work, page, line: short lines that open a chapter by word, or by a size of 1.3 times the page's median."""
+    s = segments.join(size_profile(segments).select("work", "page", "median_size"), ["work", "page"])
     word = F.col("text").rlike(r"(?i)^\s*(?:chapter|part|book)\s+(?:\d+|[ivxlc]+)\b|^\s*第[一二三四五六七八九十百\d]+[章回部]")
-    return s.where((F.char_length("text") <= 80) & (word | (F.col("size") >= F.col("median_size") * 1.3))).select("page", "line")
+    return s.where((F.char_length("text") <= 80) & (word | (F.col("size") >= F.col("median_size") * 1.3))).select("work", "page", "line")
 
 
 def is_verse(block: Column) -> Column:

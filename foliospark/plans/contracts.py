@@ -106,19 +106,24 @@ def folder_digests(spark, d):
     return c.folder_digests(files)
 
 
-PLACES = Literal("note_places", "note_id string, page long, x0 double, y0 double", ("n1", 1, 10.0, 20.0), ("n2", 2, 5.5, 5.0), ("n3", 2, 50.0, 5.0), ("n4", 9, 1.0, 1.0)).also("SELECT concat('o', o_orderkey), o_custkey % 90 + 100, CAST(o_orderkey % 23 AS DOUBLE), CAST(o_custkey % 7 AS DOUBLE) FROM {orders} WHERE o_orderkey % 9 = 0 AND o_orderkey < 9000")
-STARTS = Literal("block_starts", "page long, block long, x0 double, y0 double", (1, 1, 10.0, 60.0), (1, 2, 11.0, 19.0), (2, 1, 5.0, 5.0)).also("SELECT o_custkey % 90 + 100, o_orderkey, CAST(o_orderkey % 29 AS DOUBLE), CAST(o_custkey % 11 AS DOUBLE) FROM {orders} WHERE o_orderkey % 4 = 0 AND o_orderkey < 9000")
+PLACES = Literal("note_places", "work string, note_id string, page long, x0 double, y0 double", ("w", "n1", 1, 10.0, 20.0), ("w", "n2", 2, 5.5, 5.0), ("w", "n3", 2, 50.0, 5.0), ("v", "n4", 1, 10.0, 20.0)).also("SELECT concat('k', o_custkey % 2), concat('o', o_orderkey), o_custkey % 90 + 100, CAST(o_orderkey % 23 AS DOUBLE), CAST(o_custkey % 7 AS DOUBLE) FROM {orders} WHERE o_orderkey % 9 = 0 AND o_orderkey < 9000")
+STARTS = Literal("block_starts", "work string, page long, block long, x0 double, y0 double", ("w", 1, 1, 10.0, 60.0), ("w", 1, 2, 11.0, 19.0), ("w", 2, 1, 5.0, 5.0)).also("SELECT concat('k', o_orderkey % 2), o_custkey % 90 + 100, o_orderkey, CAST(o_orderkey % 29 AS DOUBLE), CAST(o_custkey % 11 AS DOUBLE) FROM {orders} WHERE o_orderkey % 4 = 0 AND o_orderkey < 9000")
 
 
-@query(with_tables(PLACES, STARTS) + " SELECT note_id, n.page, block FROM note_places n JOIN block_starts b ON b.page = n.page AND abs(n.x0 - b.x0) <= 2 AND abs(n.y0 - b.y0) <= 2")
+@query(with_tables(PLACES, STARTS) + " SELECT n.work, note_id, n.page, block FROM note_places n JOIN block_starts b ON b.work = n.work AND b.page = n.page AND abs(n.x0 - b.x0) <= 2 AND abs(n.y0 - b.y0) <= 2")
 def source_evidence(spark, d):
     return p.source_evidence(PLACES.frame(spark, d), STARTS.frame(spark, d))
 
 
-@query(listed("expected", "label string, page long, line long", ("Guilds", 9, 2), ("moot halls", 9, 3), ("Guilds", 10, 1)))
+INDEXED = Literal("index_labels", "work string, label string", ("w", "Guilds"), ("w", "moot halls"), ("v", "Guilds")).also("SELECT DISTINCT concat('z', p_size % 5), p_name FROM {part} WHERE p_size % 3 = 0")
+PAGE_LINES = Literal("page_lines_of", "work string, page long, line long, text string", *[("w", *x) for x in ((9, 1, "Index"), (9, 2, "guilds, 12, 14"), (9, 3, "moot halls 7"), (9, 4, "see also"), (10, 1, "Guilds 3"), (10, 2, "towns 4"), (5, 1, "Guilds are many"), (5, 2, "and so on 5"))])
+PAGE_LINES.also("SELECT concat('z', p_size % 5), CAST(floor(p_partkey / 40) AS BIGINT), p_partkey, concat(p_name, CASE WHEN p_partkey % 7 < 4 THEN concat(', ', p_partkey % 300) ELSE '' END) FROM {part}")
+
+
+@query(with_tables(INDEXED, PAGE_LINES) + r""", d AS (SELECT *, avg(CASE WHEN regexp_matches(text, ',?\s*\d{1,4}\s*$') THEN 1.0 ELSE 0.0 END) OVER p AS dense, bool_or(line = 1 AND lower(trim(text)) IN ('index', '索引')) OVER p AS titled FROM page_lines_of WINDOW p AS (PARTITION BY work, page)),
+k AS (SELECT *, lower(regexp_replace(regexp_replace(text, '[,\s\d–-]+$', ''), '[^\p{L}\p{N}]+', '', 'g')) AS key FROM d WHERE dense > 0.5 OR titled) SELECT i.work, label, page, line FROM index_labels i JOIN k ON k.work = i.work AND k.key = lower(regexp_replace(label, '[^\p{L}\p{N}]+', '', 'g'))""")
 def index_page_lines(spark, d):
-    page_lines = table(spark, "page long, line long, text string", (9, 1, "Index"), (9, 2, "guilds, 12, 14"), (9, 3, "moot halls 7"), (9, 4, "see also"), (10, 1, "Guilds 3"), (10, 2, "towns 4"), (5, 1, "Guilds are many"), (5, 2, "and so on 5"))
-    return p.index_page_lines(table(spark, "label string", ("Guilds",), ("moot halls",)), page_lines)
+    return p.index_page_lines(INDEXED.frame(spark, d), PAGE_LINES.frame(spark, d))
 
 
 MODEL_UNITS = Literal("model_units", "work string, unit string, level long, title string", ("w", "u1", 1, "One!"), ("w", "u2", 1, "Two"), ("w", "u3", 2, "Three")).also("SELECT concat('z', p_size % 9), concat('p', p_partkey), 1 + p_partkey % 3, concat(p_name, ' ', p_partkey % 40) FROM {part}")
@@ -152,17 +157,21 @@ def ordered_containment(spark, d):
     return p.ordered_containment(blocks, table(spark, "unit string, text string", ("a", "one  two\nthree"), ("b", "x y")))
 
 
-SIZED = Literal("sized", "page long, line long, text string, size double", (1, 1, "A Great Heading", 20.0), (1, 2, "body text of the page that is long", 10.0), (1, 3, "more of it, longer than the heading", 10.0), (1, 4, "Chapter 7", 10.0), (2, 1, "ab", 8.0), (2, 2, "cd", 9.0), (2, 3, "none", 0.0)).also(
-    "SELECT o_orderkey % 200 + 10, o_orderkey, substr(o_orderpriority, 1, 8), CAST(8 + o_custkey % 5 AS DOUBLE) FROM {orders} WHERE o_orderkey < 8000"
+SIZED = Literal("sized", "work string, page long, line long, text string, size double", ("w", 1, 1, "A Great Heading", 20.0), ("w", 1, 2, "body text of the page that is long", 10.0), ("w", 1, 3, "more of it, longer than the heading", 10.0), ("w", 1, 4, "Chapter 7", 10.0), ("w", 2, 1, "ab", 8.0), ("w", 2, 2, "cd", 9.0), ("w", 2, 3, "none", 0.0)).also(
+    "SELECT concat('c', o_custkey % 3), o_orderkey % 100, o_orderkey, CASE WHEN o_orderkey % 31 = 0 THEN concat('Chapter ', o_orderkey) ELSE substr(o_orderpriority, 1, 8) END, CAST(8 + o_custkey % 5 AS DOUBLE) FROM {orders} WHERE o_orderkey < 8000"
 )
 
 
-@query(with_tables(SIZED) + ", u AS (SELECT page, size, sum(length(text)) AS c FROM sized WHERE size > 0 GROUP BY ALL) SELECT page, (SELECT median(size) FROM sized s WHERE s.page = u.page AND size > 0) AS median_size, arg_max(size, (c, -size)) AS usual_size FROM u GROUP BY page")
+SIZES = """u AS (SELECT work, page, size, sum(length(text)) AS c FROM sized WHERE size > 0 GROUP BY ALL), usual AS (SELECT work, page, arg_max(size, (c, -size)) AS usual_size FROM u GROUP BY ALL),
+middle AS (SELECT work, page, median(size) AS median_size FROM sized WHERE size > 0 GROUP BY ALL), sizes AS (SELECT * FROM middle JOIN usual USING (work, page))"""
+
+
+@query(with_tables(SIZED) + ", " + SIZES + " SELECT work, page, median_size, usual_size FROM sizes")
 def size_profile(spark, d):
     return p.size_profile(SIZED.frame(spark, d))
 
 
-@query(listed("expected", "page long, line long", (1, 1), (1, 4)))
+@query(with_tables(SIZED) + ", " + SIZES + r""" SELECT s.work, s.page, line FROM sized s JOIN sizes z ON z.work = s.work AND z.page = s.page WHERE length(text) <= 80 AND (size >= 1.3 * median_size OR regexp_matches(text, '(?i)^\s*(chapter|part|book)\s+(\d+|[ivxlc]+)\b'))""")
 def chapter_headings(spark, d):
     return p.chapter_headings(SIZED.frame(spark, d))
 
