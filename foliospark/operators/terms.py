@@ -36,12 +36,16 @@ def forms(target: Column) -> Column:
 def terms_in_texts(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     """id, ord, source for texts (id, text) and entries (ord, source, aliases) that occur in them by source or alias.
 
-    A theta join made an equi-join: a term can only occur where its first word does, so words and first words meet on
-    equality and only those pairs run the pattern. Ideographs are words one by one."""
+    A theta join made an equi-join: a term can only occur where each of its words does, so the words of texts meet one word
+    of each term on equality and only those pairs run the pattern. The word is the term's longest, which is the rarest as a
+    rule; ideographs are words one by one, and of a term that holds any, which matches inside longer words too, it is the
+    first of these."""
     names = F.explode(F.concat(F.array("source"), F.coalesce("aliases", F.array().cast("array<string>"))))
     wanted = glossary.select("ord", "source", names.alias("name")).select("ord", "source", normal("name").alias("name")).where("name <> ''")
-    first = F.regexp_extract(F.col("name"), f"({WORD})", 1)
-    wanted = wanted.withColumn("word", F.when(first == "", F.substr("name", F.lit(1), F.lit(1))).otherwise(first)).withColumn("pattern", pattern(F.col("name")))
+    parts = F.regexp_extract_all("name", F.lit(f"({WORD})"), F.lit(1))
+    longest = F.array_max(F.transform(parts, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+    han = F.regexp_extract("name", f"([{IDEOGRAPHS}])", 1)
+    wanted = wanted.withColumn("word", F.when(han != "", han).otherwise(F.coalesce(longest, F.substr("name", F.lit(1), F.lit(1))))).withColumn("pattern", pattern(F.col("name")))
     body = texts.select("id", normal("text").alias("body"))
     words = F.array_distinct(F.regexp_extract_all(F.col("body"), F.lit(f"({WORD})"), F.lit(1)))
     # texts stay out of the first join, which the words multiply

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as t
 from foliospark.functions.udfs import content_blocks, image_dimensions, index_line, markdown_chunks, note_numbers, tables_of
-from foliospark.operators import align, checks, evidence, gate, hygiene, ledger, pages, structure, toc
+from foliospark.operators import align, checks, evidence, gate, hygiene, ledger, pages, structure, terms, toc
 from foliospark.streaming import events
 
 
@@ -164,6 +164,12 @@ def test_empty_inputs(spark):
     assert toc.index_entries(spark.createDataFrame([], "unit string, line long, text string")).count() == 0
 
 
+def test_terms_are_keyed_by_any_of_their_words(spark):
+    texts = spark.createDataFrame([(1, "The very old guild hall of Brest–Litovsk"), (2, "an old hall"), (3, "在xNATO军事"), (4, "the x-ray"), (5, "")], "id long, text string")
+    names = spark.createDataFrame([(1, "old guild hall"), (2, "Brest–Litovsk"), (3, "NATO军"), (4, "hall"), (5, "x-ray"), (6, "ray"), (7, "–")], "ord long, source string").withColumn("aliases", F.lit(None).cast("array<string>"))
+    assert rows(terms.terms_in_texts(texts, names), "id", "ord") == [(1, 1), (1, 2), (1, 4), (2, 4), (3, 3), (4, 5)]
+
+
 def test_one_unit_of_many_blocks(spark):
     """Block mapping sorts a unit and doesn't pair its blocks with its sentences."""
     n = 100_000
@@ -212,7 +218,7 @@ def test_pages_of_two_works_do_not_meet(spark):
     small[3] = ("a", 2, 1, "and so goes on over here to its end.", 8.0, 700.0, 710.0)
     blocks = spark.createDataFrame(small, "work string, page long, block long, text string, size double, y0 double, y1 double")
     assert rows(evidence.continued_notes(blocks), "work", "page", "block", "from_page") == [("a", 2, 1, 1)]
-    stops = spark.createDataFrame([(w, "u", i, "中." * 60) for w in "ab" for i in range(3)], "work string, unit string, ord long, text string")
+    stops = spark.createDataFrame([(w, "u", i, "中。." * 3) for w in "ab" for i in range(130)], "work string, unit string, ord long, text string")
     assert {(r["work"], r["count"]) for r in pages.mixed_stops(stops).groupBy("work").count().collect()} == {("a", 100), ("b", 100)}
 
 
