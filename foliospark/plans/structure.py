@@ -9,6 +9,7 @@ from foliospark.operators import structure as s
 from foliospark.plans.registry import Literal, query, with_tables
 from foliospark.plans.text import NOSPACE
 from foliospark.session import read
+from foliospark.sources import readers, sinks
 from foliospark.sources.adapters import LINES, lines
 
 TOC = Literal(
@@ -193,3 +194,17 @@ PARAGRAPHS = Literal("numbered", "unit string, ord long, n long", ("a", 1, 1), (
 z AS (SELECT *, sum(s) OVER (PARTITION BY unit ORDER BY ord) AS run FROM y) SELECT unit, ord, n FROM (SELECT *, min(n) OVER w AS f, count(*) OVER w AS c FROM z WINDOW w AS (PARTITION BY unit, run)) WHERE f = 1 AND c >= 2""")
 def numbered_runs(spark, d):
     return s.numbered_runs(PARAGRAPHS.frame(spark, d))
+
+
+PARTS = Literal("batch_items", "work string, batch long, page long, n_pages long, item long", ("w", 1, 1, 2, 1), ("w", 1, 2, 2, 2), ("w", 2, 1, 3, 3), ("v", 2, 1, 9, 4), ("v", 1, 1, 4, 5))
+PARTS.also("SELECT concat('c', o_custkey % 40), o_orderkey % 7, 1 + o_orderkey % 30, 31 + o_orderkey % 7, o_orderkey + 100 FROM {orders}")
+
+
+@query(with_tables(PARTS) + ", s AS (SELECT work, batch, max(n_pages) AS n FROM batch_items GROUP BY ALL) SELECT work, batch, page + coalesce((SELECT sum(n) FROM s WHERE s.work = b.work AND s.batch < b.batch), 0)::BIGINT AS page, item FROM batch_items b")
+def merged_batches(spark, d):
+    return readers.merged_batches(PARTS.frame(spark, d)).select("work", "batch", "page", "item")
+
+
+@query("SELECT '| n_nationkey | n_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS md FROM nation")
+def report_table(spark, d):
+    return sinks.markdown_table(read(spark, d, "nation"), ["n_nationkey", "n_name"], ["n_nationkey"])

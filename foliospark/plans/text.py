@@ -300,3 +300,30 @@ def rendered_blocks(spark, d):
 @query(f"WITH {FACTS} SELECT work, '# ' || work || chr(10) || chr(10) || '- units: ' || count(*) || ', chars: ' || sum(chars)::BIGINT || ', words: ' || sum(words)::BIGINT || ', sentences: ' || sum(sentences)::BIGINT || chr(10) || chr(10) || '| unit | chars | words | paragraphs | sentences |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg('| ' || unit || ' | ' || chars || ' | ' || words || ' | ' || paragraphs || ' | ' || sentences || ' |', chr(10) ORDER BY unit) || chr(10) AS md FROM facts GROUP BY work")
 def facts_report(spark, d):
     return sinks.facts_report(facts(spark, d))
+
+
+FENCED = Literal("fenced", "id long, a string, b string, c string", (1, "alpha", "beta", "gamma"))
+FENCED.also("SELECT 100 + p_partkey, concat(p_name, ' one'), concat(p_type, ' ', p_size), concat('see ', p_name) FROM {part}")
+
+
+@query(with_tables(FENCED) + " SELECT id, 0 AS place, 'text' AS kind, a AS chunk FROM fenced UNION ALL SELECT id, 1, CASE WHEN id % 2 = 0 THEN 'raw' ELSE 'code' END, CASE WHEN id % 2 = 0 THEN '~~~~ {=html}' ELSE '```' END || chr(10) || b || chr(10) || CASE WHEN id % 2 = 0 THEN '~~~' || chr(10) || '~~~~' ELSE '```' END FROM fenced UNION ALL SELECT id, 2, 'text', c FROM fenced")
+def markdown_chunks(spark, d):
+    """Texts built around a fence: code, or raw markup with a shorter fence inside."""
+    even = F.col("id") % 2 == 0
+    opens, closes = F.when(even, "~~~~ {=html}").otherwise("```"), F.when(even, "~~~\n~~~~").otherwise("```")
+    x = FENCED.frame(spark, d).select("id", F.concat_ws("\n", "a", opens, "b", closes, "c").alias("md"))
+    return x.select("id", F.posexplode(udfs.chunks(F.col("md"))).alias("place", "x")).select("id", "place", "x.kind", "x.chunk")
+
+
+@query(with_tables(FENCED) + " SELECT id, 0 AS place, 'text' AS kind, a AS block FROM fenced UNION ALL SELECT id, 1, 'text', c FROM fenced UNION ALL SELECT id, 2, 'code', '```' || chr(10) || b || chr(10) || chr(10) || c || chr(10) || '```' FROM fenced UNION ALL SELECT id, 3, 'text', b || chr(10) || a FROM fenced")
+def content_blocks(spark, d):
+    """Headings and lone comments part blocks and are none; a fence is a block with its blank lines."""
+    lines = F.concat_ws("\n", F.lit("# Head"), "a", F.lit("## Next"), F.lit(""), "c", F.lit("\n<!-- a comment\nof two lines -->\n"), F.lit("```"), "b", F.lit(""), "c", F.lit("```"), "b", "a")
+    x = FENCED.frame(spark, d).select("id", lines.alias("md"))
+    return x.select("id", F.posexplode(udfs.blocks(F.col("md"))).alias("place", "x")).select("id", "place", "x.kind", "x.block")
+
+
+@query("SELECT p_partkey AS id, '| ' || p_partkey || ' | ' || p_name || '\\|' || p_brand || ' |  | ' || p_type || ' |' AS line FROM part")
+def markdown_rows(spark, d):
+    cells = F.array(F.col("p_partkey").cast("string"), F.concat_ws("|", "p_name", "p_brand"), F.lit(None).cast("string"), F.col("p_type"))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), t.markdown_row(cells).alias("line"))
