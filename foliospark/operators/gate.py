@@ -68,7 +68,7 @@ def union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-#: Reasons in the order in which the first that holds is given; ``ok`` when none does.
+#: Reasons in the order in which the first that holds is given; ``ok`` when none does.
 RELEASE = (
     ("terminology_open", "terminology_open > 0"),
     ("glossary_conflict_open", "conflicts_open > 0"),
