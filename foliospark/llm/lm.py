@@ -391,6 +391,7 @@ def lm_scores(docs: DataFrame, *, doc_id="doc_id", text="text", modulus=7, held_
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text.
 
     A null text is the empty text: one token, its end. Without training rows the counts are 0, so a token's base is that of
-    an empty vocabulary and every byte costs 1/256. Repeated rows and null ids are rows of their own (a null id trains)."""
+    an empty vocabulary and every byte costs 1/256. Repeated rows and null ids are rows of their own (a null id trains).
+    An empty table gives no rows; texts are read whole, a few MB at a time; columns that clash with names used here are ignored."""
     out = id_bucket(F.col(doc_id), modulus) == held_out
     return score(docs, out, fit(docs, ~out, text=text, **options), doc_id=doc_id, text=text)

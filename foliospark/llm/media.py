@@ -199,7 +199,10 @@ def interleaved_pages(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataF
 
 
 def media_columns(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
-    """Each document's payload figures, by way of its page's reference. Equal texts have equal values; repeated rows and null ids stay rows of their own."""
+    """Each document's payload figures, by way of its page's reference. Equal texts have equal values; repeated rows and null ids stay rows of their own.
+
+    A null text is the empty one, whose payload is 64 zero bytes; an empty table gives no rows; texts are stored whole,
+    however long; columns that clash with names used here are ignored."""
     # written, so that the join has a plain shuffle on either side and a digest with very many references can be split
     figures = written(media_figures(store_media(docs, doc_id=doc_id, text=text)), "media-figures")
     pages = sequences(interleaved_pages(docs, doc_id=doc_id, text=text))

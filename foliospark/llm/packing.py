@@ -161,7 +161,7 @@ def pack(docs: DataFrame, *, doc_id="doc_id", text="text", path: str | None = No
     """The pieces of every document: which ids (start, length, crc32 of the little-endian ids), and where they lie.
 
     A null or empty text is the separator alone. Rows with the same doc_id, or a null one, are separate documents whose
-    pieces bear that id. An empty table has no pieces. Every sequence has a power of two as its length, so none is padded.
+    pieces bear that id. An empty table has no pieces, texts are cut whole, however long, and columns that clash with names used here are ignored. Every sequence has a power of two as its length, so none is padded.
     """
     path = path or vocabulary()
 

@@ -105,7 +105,7 @@ def digest_rows(docs: DataFrame, **options) -> DataFrame:
 
 
 def redacted(docs: DataFrame, *, text="text", n_chars="n_chars", mask="[SECRET]", path: str | None = None, ratio=2.1, known=()) -> DataFrame:
-    """The same rows and columns, each span (overlapping ones as one) replaced by ``mask``; n_chars follows. A null text stays null."""
+    """The same rows and columns, each span (overlapping ones as one) replaced by ``mask``; n_chars follows. A null text stays null; an empty table stays empty."""
     options, columns = _options(path, ratio, known), docs.columns
 
     def run(batches):
