@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from functools import reduce
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -45,15 +46,24 @@ def found(df: DataFrame, code: str | Column, path="path", detail="") -> DataFram
     return df.select("work", code.alias("code"), F.col(path).alias("path") if isinstance(path, str) else path.alias("path"), detail.cast("string").alias("detail"))
 
 
-def resolved(base: Column, href: Column) -> Column:
+def member_of(base: str | None, href: str | None) -> str | None:
     """The member that a reference of a member means: without query and fragment, decoded, dots folded."""
-    bare = F.regexp_replace(href, r"[?#].*$", "")
-    bare = F.when(bare.rlike("%[0-9A-Fa-f]{2}"), F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))).otherwise(bare)
-    folder = F.regexp_extract(base, r"^(.*/)?[^/]*$", 1)
-    parts = F.split(F.when(bare.startswith("/"), F.substr(bare, F.lit(2))).otherwise(F.concat(folder, bare)), "/")
-    start = F.array().cast("array<string>")
-    step = lambda a, x: F.when(x.isin("", "."), a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.lit(0), F.size(a) - 1))).otherwise(F.concat(a, F.array(x)))
-    return F.array_join(F.aggregate(parts, start, step), "/")
+    if base is None or href is None:
+        return None
+    bare = unquote(re.split("[?#]", href, maxsplit=1)[0])
+    folder = "" if bare.startswith("/") else base.rpartition("/")[0]
+    parts: list[str] = []
+    for part in [*folder.split("/"), *bare.split("/")]:
+        if part == "..":
+            parts = parts[:-1]
+        elif part not in ("", "."):
+            parts.append(part)
+    return "/".join(parts)
+
+
+@F.arrow_udf(T.StringType())
+def resolved(base: pa.Array, href: pa.Array) -> pa.Array:
+    return pa.array(map(member_of, base.to_pylist(), href.to_pylist()), pa.string())
 
 
 @F.arrow_udf(T.BooleanType())
