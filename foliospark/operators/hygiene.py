@@ -40,7 +40,7 @@ CLOSERS = "”』」》）)]\""
 ABBREVIATED = r"(?i)\b(?:e\.g|i\.e|etc|vs|cf|fig|no|vol|pp|ed|trans|approx|ca)\.$"
 TAIL = r"(?i)(?:[，,、—–-]|(?:和|与|及|或|而|但是|以及|the|and|of|to|in|for))\s*$"
 PAIRS = (("“", "”"), ("『", "』"), ("「", "」"), ("（", "）"), ("(", ")"), ("《", "》"))
-LATIN_IN_PROSE = ("ibid", "idem", "passim", "op", "cit", "vol", "pp", "ed", "trans", "approx", "epub", "html", "http", "https", "isbn", "doi", "pdf", "url", "www", "auto", "epublizer")
+LATIN_IN_PROSE = ("ibid", "idem", "passim", "op", "cit", "vol", "pp", "ed", "trans", "approx", "epub", "html", "http", "https", "isbn", "doi", "pdf", "url", "www")
 SKIPPED_KINDS = ("bibliography", "index", "glossary", "toc")
 
 
