@@ -1,18 +1,22 @@
 """HTML main-text extraction from standard-library parser events.
 
-Events are read in one stream. A line is a block's text with the container it stands in, the tags it holds and the part of
-the page that its markup names: the article, boilerplate, or neither. Every line has a text-to-tag ratio: its characters
-over its tags plus one. The logarithms are smoothed with a Gaussian over the lines of the page, and two clusters of the
-smoothed values (a one-dimensional 2-means, so the threshold is the page's own) part content from the rest. What markup
-names only shifts a line against that threshold: article and main elements by ``FOR``, menus, headers, footers, asides,
-and elements whose class or id says advert, notice, comment and the like by ``AGAINST``. A class or id and a form count
-only where they hold no article, main or h1 element and less than half of the page's text.
-
-Content regions are then the containers that content fills: the innermost container with nearly all content characters,
-article and main elements that are mostly content, and containers whose own text mostly is. Inside a region every line
-that isn't boilerplate stays, short ones too; elsewhere the lines above the threshold stay. Work is linear in the page:
-containers are numbered after their parents, so weights are summed in one pass backwards and regions passed down in one
-pass forwards.
+1. Lines. Events are read in one stream. A line is a block's text with the container it stands in, the tags it holds and
+   what markup says of it: the article, boilerplate, or neither.
+2. Ratio. Every line has a text-to-tag ratio: its characters over its tags plus one. The logarithms are smoothed with a
+   Gaussian over the lines of the page.
+3. Clusters. Two clusters of the smoothed values (a one-dimensional 2-means, so the threshold between them is the page's
+   own) part content from the rest. Markup moves a line's value against that threshold, in parts of the distance of the
+   clusters and by no more than the page's ratios lie apart: article and main elements raise it by ``FOR`` of it, menus, headers, footers, asides, and elements
+   whose class or id says advert, notice, comment and the like lower it by ``AGAINST`` of it. So text that is much denser
+   than the page's content outweighs what its markup says, and where all lines are alike markup says nothing. A class or
+   id and a form count only where they hold no article, main or h1 element and less than half of the page's text.
+4. Regions. Containers that content fills are content regions: the innermost one with nearly all content characters,
+   article and main elements that are mostly content, and other containers whose own text mostly is and makes up ``FILLED``
+   of the page's. Lines elsewhere go. In a region lines stay that fall below the threshold only for being short; those that
+   markup calls boilerplate must pass it everywhere.
+
+Work is linear in the page: containers are numbered after their parents, so weights are summed in one pass backwards and
+regions passed down in one pass forwards.
 """
 
 from __future__ import annotations
@@ -40,12 +44,14 @@ CONTAINERS = frozenset("article main section div td body nav footer aside header
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar tablist".split())
 MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|widget|footer|masthead|site-?header|related|recommended|share|sharing|social|comments?|disqus|respond|reply|replies|tags|pagination|pager|toolbar)(?:$|[\s_-])", re.IGNORECASE)
-#: By how much (in logarithms of the ratio) markup shifts a line against the threshold.
-FOR, AGAINST = 2.0, 12.0
+#: By which part of the distance between the page's two clusters markup shifts a line against the threshold.
+FOR, AGAINST = 1.0, 1.4
+#: The part of the page's content that a container outside the main ones must hold by itself to be a region too.
+FILLED = 0.05
 
 
 class Lines(HTMLParser):
-    """Collects (pieces of text, tags, container, shift) for every block, in page order; pieces and tags with the doubtful element they lie in."""
+    """Collects (pieces of text, tags, container, in the article, aside) for every block, in page order; pieces and tags with the doubtful element they lie in."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -70,8 +76,8 @@ class Lines(HTMLParser):
             self.lines.append((self.words, self.tags, self.container, self.inside, self.aside))
         self.words, self.tags = [], []
 
-    def visible(self) -> list[tuple[str, int, int, float]]:
-        """(text, tags, container, shift) of the lines; what lies in a doubtful element that counts as boilerplate is a line of its own."""
+    def visible(self) -> list[tuple[str, int, int, int]]:
+        """(text, tags, container, sign) of the lines, the sign 1 in the article, -1 in what counts as boilerplate, else 0; what lies in a doubtful element that counts as boilerplate is a line of its own."""
         total = self.chars[:]
         for i in range(len(total) - 1, 0, -1):
             total[self.doubts[i]] += total[i]
@@ -84,7 +90,7 @@ class Lines(HTMLParser):
             for bad in kinds:
                 text = " ".join("".join(x for x, doubt in words if gone[doubt] == bad).split())
                 if text:
-                    out.append((text, sum(gone[doubt] == bad for doubt in tags), container, -AGAINST if bad or aside else FOR if inside else 0.0))
+                    out.append((text, sum(gone[doubt] == bad for doubt in tags), container, -1 if bad or aside else int(inside)))
         return out
 
     def names_aside(self, tag, attrs) -> bool:
@@ -194,24 +200,25 @@ def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(values, kernel)[reach:-reach] / weight
 
 
-def threshold(values: np.ndarray) -> float:
-    """Between the two clusters of the values; their smallest where they are one cluster."""
+def clusters(values: np.ndarray) -> tuple[float, float]:
+    """The threshold between the two clusters of the values, and how far these lie apart; the smallest value and the values' own range where they are one cluster."""
     low, high = float(values.min()), float(values.max())
+    one = low, high - low
     if high - low < math.log(2):
-        return low
+        return one
     for _ in range(50):
         cut = (low + high) / 2
         a, b = values[values < cut], values[values >= cut]
         if not len(a) or not len(b):
-            return low
+            return one
         if (low, high) == (new := (float(a.mean()), float(b.mean()))):
             break
         low, high = new
-    return (low + high) / 2
+    return (low + high) / 2, high - low
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, int, int, float]], list[int], list[str]]:
-    """(text, tags, container, shift) of each line, the containers' parents and their names."""
+def lines_of(html: str) -> tuple[list[tuple[str, int, int, int]], list[int], list[str]]:
+    """(text, tags, container, sign) of each line, the containers' parents and their names."""
     parser = Lines()
     parser.feed(html)
     parser.close()
@@ -226,13 +233,15 @@ def main_text(html: str | None, *, sigma=1.0) -> str:
     if not lines:
         return ""
     sizes = np.array([len(text) for text, *_ in lines], float)
-    shift = np.array([x for *_, x in lines])
+    sign = np.array([x for *_, x in lines])
     ratio = smoothed(np.log(sizes / (1 + np.array([tags for _, tags, *_ in lines], float)) + 1), sigma)
-    content = ratio + shift >= threshold(ratio)
+    threshold, apart = clusters(ratio)
+    shift = np.minimum(apart * np.array([0.0, FOR, AGAINST]), ratio.max() - ratio.min()) * (0, 1, -1)
+    content = ratio + shift[sign] >= threshold
     # characters of each container by itself and with what it holds: all that may be content, and content
     own, own_good = np.zeros(len(parents)), np.zeros(len(parents))
     at = np.array([container for _, _, container, _ in lines])
-    np.add.at(own, at, sizes * (shift > -AGAINST))
+    np.add.at(own, at, sizes * (content | (sign >= 0)))
     np.add.at(own_good, at, sizes * content)
     every, good = own.tolist(), own_good.tolist()
     for i in range(len(parents) - 1, 0, -1):
@@ -248,8 +257,8 @@ def main_text(html: str | None, *, sigma=1.0) -> str:
         region[whole] = True
     for i in range(1, len(parents)):
         region[i] = region[i] or region[parents[i]]
-    mostly = 2 * own_good >= own
-    return " ".join(text for (text, _, container, x), kept in zip(lines, content) if kept or x > -AGAINST and (region[container] or own_good[container] and mostly[container]))
+    filled = (2 * own_good >= own) & (own_good >= FILLED * good[0]) & (own_good > 0)
+    return " ".join(text for (text, _, container, x), kept in zip(lines, content) if (kept or x >= 0) and (region[container] or filled[container]))
 
 
 def extract(pages: DataFrame, *, page_id="page_id", url="url", html="html", sigma=1.0) -> DataFrame:

@@ -1,8 +1,8 @@
 """Importance resampling towards a target distribution, by hashed n-grams.
 
-1. Position table. Words are exploded with their positions, a row each; a window over a document's positions leads the
-   following words in, so that a row holds the word and the n-grams that begin with it. That exchange is the only one
-   that carries words; a document's rows lie together from then on, in a table of bucket numbers.
+1. Position table. Documents are dealt out whole, by bytes; then words are exploded with their positions, a row each, and a
+   window over a document's positions leads the following words in, without another exchange. A row holds the word and
+   the n-grams that begin with it, and goes into a table as their bucket numbers.
 2. Counts. A feature's bucket is a checksum of its bytes. Both corpora are counted by bucket, pre-aggregated before the
    exchange, so that a very common word is a few rows a task.
 3. Gains. A bucket's gain is the scaled logarithm of its smoothed frequency in the target against that in the corpus. A
@@ -26,6 +26,8 @@ from foliospark.llm.common import written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes of text whose words are sorted in one task.
+TASK_BYTES = 24 << 20
 #: Copies of a row that are numbered at a time.
 SPAN = 4096
 
@@ -36,21 +38,25 @@ def words_of(text: Column) -> Column:
 
 
 def positions(docs: DataFrame, orders: int, buckets: int) -> DataFrame:
-    """row, doc_id and found, the buckets of the n-grams of each order that begin at a word, shortest first. A text without words has one row that holds none.
+    """row, doc_id and a column for each order: the bucket of the n-gram that begins at a word, null where the text ends before it does. A text without words has one row without buckets.
 
     ``docs``: doc_id, text. Rows are numbered where they are read, so that repeated ones stay apart."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
-    rows = rows.select("row", "doc_id", F.posexplode_outer("words").alias("pos", "word"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(size // TASK_BYTES + 1, docs.sparkSession.sparkContext.defaultParallelism)
+    # whole documents are dealt out, which moves a text once; their words then lie where the window wants them
+    rows = rows.repartition(tasks, "row").select("row", "doc_id", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "word"))
     place = Window.partitionBy("row").orderBy("pos")
-    for k in range(1, orders):
-        rows = rows.withColumn(f"next{k}", F.lead("word", k).over(place))
-    grams = [reduce(lambda a, b: F.concat(a, F.lit(" "), b), [F.col("word"), *[F.col(f"next{j}") for j in range(1, k + 1)]]) for k in range(orders)]
-    return rows.select("row", "doc_id", F.array_compact(F.array(*[(F.crc32(g.cast("binary")) % buckets).cast("int") for g in grams])).alias("found"))
+    for k in range(2, orders + 1):
+        rows = rows.withColumn(f"word{k}", F.lead("word", k - 1).over(place))
+    grams = [reduce(lambda a, b: F.concat(a, F.lit(" "), b), [F.col("word"), *[F.col(f"word{j}") for j in range(2, k + 1)]]) for k in range(1, orders + 1)]
+    return rows.select("row", "doc_id", *[(F.crc32(g.cast("binary")) % buckets).cast("int").alias(f"gram{k + 1}") for k, g in enumerate(grams)])
 
 
-def counted(table: DataFrame, name: str) -> DataFrame:
-    """bucket and ``name``, its features in ``table``."""
-    return table.select(F.explode("found").alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
+def counted(table: DataFrame, orders: int, name: str) -> DataFrame:
+    """bucket and ``name``, its features in ``table``; each order is counted by itself, over its own column."""
+    each = [table.select(F.col(f"gram{k}").alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n")) for k in range(1, orders + 1)]
+    return reduce(DataFrame.union, each).groupBy("bucket").agg(F.sum("n").alias(name))
 
 
 def gains(corpus: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
@@ -73,12 +79,13 @@ def scores(docs: DataFrame, target: DataFrame, *, orders=2, buckets=10_000, seed
     """doc_id, n_words, n_features, weight and score of every row; ``weight`` is the floored mean gain of its features, 0 where there are none."""
     corpus = written(positions(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")), orders, buckets), "positions")
     aim = positions(target.select(F.lit(None).cast("long").alias("doc_id"), target[target_text].alias("text")), orders, buckets)
-    gain = F.broadcast(gains(counted(corpus, "s"), counted(aim, "t"), buckets))
-    # a row of the table is a word, or the one row of a text without words, which must stay
-    feature = corpus.select("row", "doc_id", F.posexplode_outer("found").alias("order", "bucket"))
-    sums = feature.join(gain, "bucket", "left").groupBy("row", "doc_id").agg(
-        F.count(F.when(F.col("order") == 0, 1)).alias("n_words"), F.count("bucket").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).alias("total")
-    )
+    gain = gains(counted(corpus, orders, "s"), counted(aim, orders, "t"), buckets)
+    gain = F.broadcast(written(gain, "gains"))  # a row a bucket
+    for k in range(1, orders + 1):
+        corpus = corpus.join(gain.select(F.col("bucket").alias(f"gram{k}"), F.col("gain").alias(f"gain{k}")), f"gram{k}", "left")
+    features = [F.count(f"gram{k}") for k in range(1, orders + 1)]
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.sum(f"gain{k}"), F.lit(0)) for k in range(1, orders + 1)])
+    sums = corpus.groupBy("row", "doc_id").agg(features[0].alias("n_words"), reduce(lambda a, b: a + b, features).alias("n_features"), total.alias("total"))
     n = F.greatest("n_features", F.lit(1))
     weight = ((F.col("total") - F.pmod("total", n)) / n).cast("long")
     return sums.select("doc_id", "n_words", "n_features", weight.alias("weight"), (weight + noise(F.col("doc_id"), seed)).alias("score"))

@@ -223,9 +223,11 @@ def digest_rows(docs: DataFrame, **options) -> DataFrame:
     def line(of):
         return F.array_join(F.transform(of, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    def number(kind):
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter("found", lambda x: x["kind"].isin(*BASE))
-    return found.select("doc_id", *counts, F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("found")).alias("spans"), F.transform("found", lambda x: x["score"]).alias("scores"))
+    return found.select("doc_id", *map(number, BASE), F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("found")).alias("spans"), F.transform("found", lambda x: x["score"]).alias("scores"))
 
 
 def masked(docs: DataFrame, *, text="text", n_chars="n_chars", mask="[{}]", **options) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.llm import pii
 
@@ -75,6 +76,8 @@ def test_long_texts_take_linear_time():
 
 
 def test_table(spark, docs, empty):
+    private = [(700 + i, f"see me@x{i}.org, 10.0.0.{i}, 4111 1111 1111 1111 and +1 (743) 555-38{i:02d} " * (i % 3)) for i in range(20)]
+    docs = docs.select("doc_id", "text", "source").union(spark.createDataFrame(private, "doc_id long, text string").withColumn("source", F.lit("kind")))
     rows = pii.digest_rows(docs).collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert len(rows) == docs.count() and pii.digest_rows(empty).count() == 0 and pii.digest_rows(empty).columns == pii.digest_rows(docs).columns
