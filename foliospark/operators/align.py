@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,50 +110,3 @@ def contained(parts: DataFrame, wholes: DataFrame, key: str) -> DataFrame:
 def in_order(column: str, *by: str) -> Column:
     """The strings of a group joined in the order of other columns."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, column))), lambda x: x[column]), "")
-
-
-PROBE, PROBE_BITS = 24, 24  # bytes of a passage that are hashed at most; bits of a hash that are tested first
-
-
-def window_hashes(data: bytes, size: int) -> np.ndarray:
-    """A 64-bit hash of every window of ``size`` bytes."""
-    n = len(data) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    eight = np.ndarray((len(data) + 1,), ">u8", data + bytes(8), strides=(1,))
-    factor, h = np.uint64(0x9E3779B97F4A7C15), np.zeros(n, np.uint64)
-    if size < 8:
-        h = (eight[:n] >> np.uint64(8 * (8 - size))).astype(np.uint64) * factor
-    else:
-        for at in (*range(0, size - 8, 8), size - 8):
-            h = (h ^ eight[at : at + n].astype(np.uint64)) * factor
-            h ^= h >> np.uint64(29)
-    return (h * factor).view(np.int64)
-
-
-def probes(batches):
-    """(item_id, passage, size, probe): the hash of each passage's first bytes."""
-    for b in batches:
-        starts = [x.as_py().encode()[:PROBE] for x in b.column(1)]
-        found = [int(window_hashes(x, len(x))[0]) if x else 0 for x in starts]
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(list(map(len, starts)), pa.int32()), pa.array(found, pa.int64())], names=["item_id", "passage", "size", "probe"])
-
-
-def windows_held(batches, wanted: dict):
-    """(doc_id, whole, size, probe) of the documents' windows whose leading bits are wanted, once a document."""
-    tables = {}
-    for size, bits in wanted.items():
-        tables[size] = np.zeros(1 << PROBE_BITS, bool)
-        tables[size][bits] = True
-    for b in batches:
-        at, sizes, hashes = [], [], []
-        for i, text in enumerate(b.column(1)):
-            data = text.as_py().encode()
-            for size, table in tables.items():
-                h = window_hashes(data, size)
-                h = np.unique(h[table[h.view(np.uint64) >> np.uint64(64 - PROBE_BITS)]])
-                at += [i] * len(h)
-                sizes += [size] * len(h)
-                hashes += h.tolist()
-        rows = b.take(pa.array(at, pa.int64()))
-        yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1), pa.array(sizes, pa.int32()), pa.array(hashes, pa.int64())], names=["doc_id", "whole", "size", "probe"])

@@ -80,23 +80,23 @@ def row_findings(rows: DataFrame, units: DataFrame, styles: DataFrame, *, same_l
 def term_findings(rows: DataFrame, glossary: DataFrame, exemptions: DataFrame) -> DataFrame:
     """terminology, terminology_exempt and terminology_exempt_stale of every missing target.
 
-    An exemption without a place frees its unit. Else those that name the row, or no row, and the source's own digest, or
+    A row is known by its unit and pos, since a seq may repeat. None of a missing target's forms occurs, so that all
+    occurrences of its source need an exemption. An exemption without a place frees its unit. Else those that name the row, or no row, and the source's own digest, or
     none, free an occurrence each; one with another digest is stale."""
-    numbered = rows.select("unit", "seq", "note_id", t.text_of("src").alias("src"), t.text_of("tgt").alias("tgt")).withColumn("id", F.struct("unit", "seq"))
-    hits = terms.missing_targets(numbered.select("id", "src", "tgt"), glossary).join(numbered, "id")
+    hits = terms.with_missing_targets(rows.select("unit", "pos", "seq", "note_id", t.text_of("src").alias("src"), t.text_of("tgt").alias("tgt")), glossary)
     digest = F.sha2(udfs.nfkc("src").cast("binary"), 256)
-    hits = hits.select("unit", "seq", "note_id", "source", "expected", digest.alias("digest"), terms.occurrences(terms.normal("src"), terms.normal("source")).alias("n"), terms.occurrences(terms.normal("tgt"), terms.normal("expected")).alias("kept"))
+    hits = hits.where(F.size("missing") > 0).select("unit", "pos", "seq", "note_id", digest.alias("digest"), F.explode("missing").alias("m")).select("*", "m.*").drop("m")
     free = exemptions.select(F.col("unit").alias("e_unit"), F.col("source").alias("e_source"), F.col("seq").alias("e_seq"), F.col("note_id").alias("e_note"), F.col("text_sha256").alias("e_digest"), "reason")
     free = free.withColumn("whole", F.col("e_seq").isNull() & F.col("e_note").isNull() & F.col("e_digest").isNull())
     place = (F.col("unit") == F.col("e_unit")) & (F.col("source") == F.col("e_source")) & (F.col("e_seq").isNull() | (F.col("e_seq") == F.col("seq"))) & (F.col("e_note").isNull() | F.col("e_note").eqNullSafe(F.col("note_id")))
     stale = ~F.col("whole") & F.coalesce(F.col("e_digest") != F.col("digest"), F.lit(False))
     there = F.col("e_unit").isNotNull()
-    keys = ["unit", "seq", "source", "expected", "n", "kept"]
+    keys = ["unit", "pos", "seq", "source", "expected", "n"]
     told = hits.join(free, place, "left").groupBy(*keys).agg(
         F.coalesce(F.bool_or("whole"), F.lit(False)).alias("whole"), F.count_if(there & ~F.col("whole") & ~stale).alias("matched"), F.count_if(there & stale).alias("stale"),
         F.coalesce(F.min("reason"), F.lit("")).alias("reason"),
     )
-    missing = F.greatest(F.lit(0), F.col("n") - F.col("kept") - F.least("matched", "n"))
+    missing = F.col("n") - F.least("matched", "n")
     freed = F.col("whole") | ((F.col("matched") > 0) & (missing == 0))
     first = finding(F.when(freed, "terminology_exempt").otherwise("terminology"), ~freed, F.concat_ws(" ", "source", "expected", F.when(F.col("matched") > 0, missing.cast("string"))))
     also = F.when((F.col("stale") > 0) & ~F.col("whole"), finding(F.lit("terminology_exempt_stale"), F.lit(False), F.concat_ws(" ", "source", "expected")))

@@ -89,8 +89,9 @@ def convergence(rounds: DataFrame, *, clean=2, fixes=2) -> DataFrame:
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     df = rounds.withColumn("n", F.row_number().over(order)).withColumn("bad", F.sum(F.col("has_issues").cast("int")).over(upto))
     df = df.withColumn("streak", F.sum((~F.col("has_issues")).cast("int")).over(Window.partitionBy("work", "bad").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)))
-    seen = F.collect_list(F.when(F.col("has_issues"), F.coalesce("summary", F.lit("")))).over(upto)
-    df = df.withColumn("seen", seen).withColumn("cycle", (F.col("bad") >= 3) & (F.try_element_at("seen", F.lit(-1)) == F.try_element_at("seen", F.lit(-3))))
+    # rounds with issues among themselves: the one before the last looks back over two
+    summary = F.coalesce("summary", F.lit(""))
+    df = df.withColumn("cycle", F.col("has_issues") & F.coalesce(F.lag(summary, 2).over(Window.partitionBy("work", "has_issues").orderBy("round")) == summary, F.lit(False)))
     ends = F.when(F.col("cycle"), "no_progress").when(F.col("streak") >= clean, "clean_confirmed").when(F.col("unresolved") & ~F.col("has_issues"), "unresolved_fixes").when(F.col("n") >= (fixes + 1) * clean, "max_rounds")
     df = df.withColumn("termination", ends)
     first = df.groupBy("work").agg(F.min(F.when(F.col("termination").isNotNull(), F.struct("round", "termination"))).alias("end"), F.max("round").alias("last"))

@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliospark.functions import text as t
+from foliospark.functions.udfs import cell_mark
 
 
 def source_evidence(notes: DataFrame, blocks: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """work, note_id, page, block: registered places (work, note_id, page, x0, y0) and the blocks of that page that start there, within a tolerance. The page is the key; the box is a condition."""
-    b = blocks.select("work", "page", "block", F.col("x0").alias("bx"), F.col("y0").alias("by"))
+    """work, note_id, page, block: registered places (work, note_id, page, x0, y0) and the blocks of that page that start there, within a tolerance.
+
+    A grid join: blocks lie in cells as wide as the tolerance, and a place looks into its own cell and the eight around it,
+    so that a page with very many blocks isn't paired with itself."""
+    cell = lambda x: F.floor(F.col(x) / tolerance)
+    b = blocks.select("work", "page", "block", F.col("x0").alias("bx"), F.col("y0").alias("by"), cell("x0").alias("cx"), cell("y0").alias("cy"))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    looks = notes.select("work", "note_id", "page", "x0", "y0", F.explode(steps).alias("s")).withColumn("cx", cell("x0") + F.col("s.i")).withColumn("cy", cell("y0") + F.col("s.j"))
     near = (F.abs(F.col("x0") - F.col("bx")) <= tolerance) & (F.abs(F.col("y0") - F.col("by")) <= tolerance)
-    return notes.join(b, ["work", "page"]).where(near).select("work", "note_id", "page", "block")
+    return looks.join(b, ["work", "page", "cx", "cy"]).where(near).select("work", "note_id", "page", "block")
 
 
 def index_page_lines(entries: DataFrame, lines: DataFrame) -> DataFrame:
@@ -37,27 +49,72 @@ def registered_numbers(refs: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def stem_units(sources: DataFrame) -> DataFrame:
-    """stem, unit: the first unit of each source file's stem."""
-    return sources.withColumn("stem", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)).groupBy("stem").agg(F.min_by("unit", "ord").alias("unit"))
+    """work, stem, unit: the first unit of each stem of a work's source files."""
+    return sources.withColumn("stem", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)).groupBy("work", "stem").agg(F.min_by("unit", "ord").alias("unit"))
 
 
 def rewritten_links(texts: DataFrame, units: DataFrame) -> DataFrame:
-    """unit, place, href, target: internal links of texts, to the file of the unit that the linked file became, anchors kept; a link within its own unit is the anchor alone. Unknown files have no target."""
+    """work, unit, place, href, target: internal links of texts, to the file of the unit that the linked file became, anchors kept; a link within its own unit is the anchor alone. Unknown files have no target."""
     links = F.regexp_extract_all("text", F.lit(r"\]\(([^)\s]+)\)"), F.lit(1))
-    each = texts.select("unit", F.posexplode(links).alias("place", "href")).where(~F.col("href").rlike("^(?:[a-z][a-z0-9+.-]*:|//)"))
+    each = texts.select("work", "unit", F.posexplode(links).alias("place", "href")).where(~F.col("href").rlike("^(?:[a-z][a-z0-9+.-]*:|//)"))
     each = each.withColumn("stem", F.regexp_extract("href", r"([^/#]+?)(?:\.[^./#]*)?(?:#.*)?$", 1)).withColumn("anchor", F.regexp_extract("href", r"(#.*)$", 1))
     own = F.col("href").startswith("#")
-    j = each.join(units.select("stem", F.col("unit").alias("to")), "stem", "left")
+    j = each.join(units.select("work", "stem", F.col("unit").alias("to")), ["work", "stem"], "left")
     target = F.when(own | (F.col("to") == F.col("unit")), F.when(F.col("anchor") != "", F.col("anchor")).otherwise(F.concat("to", F.lit(".xhtml")))).when(F.col("to").isNotNull(), F.concat("to", F.lit(".xhtml"), "anchor"))
-    return j.select("unit", F.col("place").cast("long").alias("place"), "href", target.alias("target"))
-
-
-def ordered_containment(blocks: DataFrame, texts: DataFrame) -> DataFrame:
-    """unit, n_blocks, n_found, in_order: blocks of a tree looked for in a unit's text; in order when their places rise."""
-    b = blocks.join(texts.select("unit", t.without_blanks(F.col("text")).alias("whole")), "unit").withColumn("at", F.instr("whole", t.without_blanks(F.col("body"))))
-    order = Window.partitionBy("unit").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumn("high", F.max(F.when(F.col("at") > 0, F.col("at"))).over(order))
-    return b.groupBy("unit").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("at") > 0).alias("n_found"), (F.count_if((F.col("at") > 0) & (F.col("at") < F.col("high"))) == 0).alias("in_order"))
+    return j.select("work", "unit", F.col("place").cast("long").alias("place"), "href", target.alias("target"))
+
+
+WORD = re.compile(r"\w+")
+#: Missing blocks that a report names.
+NAMED = 20
+
+
+def consumed(needles: list[str], haystack: str) -> list[bool]:
+    """Which texts are an ordered subsequence of the haystack's words, each after the words that the ones before it used up.
+
+    A text takes the next occurrence of each of its words, by binary search in the places of that word; one that isn't
+    found uses nothing up. Texts without words are found."""
+    places: dict[str, list[int]] = {}
+    for at, word in enumerate(WORD.findall(haystack)):
+        places.setdefault(word, []).append(at)
+    cursor, found = 0, []
+    for needle in needles:
+        at = cursor
+        for word in WORD.findall(needle):
+            there = places.get(word, ())
+            i = bisect.bisect_left(there, at)
+            if i == len(there):
+                break
+            at = there[i] + 1
+        else:
+            cursor = at
+            found.append(True)
+            continue
+        found.append(False)
+    return found
+
+
+def compared_blocks(blocks: DataFrame, texts: DataFrame, keys: tuple[str, ...] = ("unit",)) -> DataFrame:
+    """For each document (``keys``): headings, paragraphs, missing_count and missing, the first places (ord) of blocks whose words its text doesn't hold in order.
+
+    ``blocks``: keys, ord, kind, body of a tree; ``texts``: keys, ord, text of the parts, in whose order they are read. Markup
+    between words doesn't matter; a block that comes twice needs its words twice. A document without texts misses all
+    blocks with words; one without blocks has no row. A task holds one document at a time."""
+    schema = ", ".join([*(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys), "headings long, paragraphs long, missing_count long, missing array<bigint>"])
+
+    def compare(key, left, right):
+        tree = left.select(["ord", "kind", "body"]).sort_by("ord").to_pylist()
+        if not tree:
+            return pa.table({f.name: pa.array([], f.type) for f in shape})
+        whole = "\n".join(x or "" for x in right.sort_by("ord").column("text").to_pylist())
+        tree = [x for x in tree if x["kind"] in ("heading", "paragraph", "code")]
+        lost = [x["ord"] for x, ok in zip(tree, consumed([x["body"] or "" for x in tree], whole)) if not ok]
+        count = lambda kind: sum(x["kind"] == kind for x in tree)
+        row = [*(k.as_py() for k in key), count("heading"), count("paragraph"), len(lost), lost[:NAMED]]
+        return pa.table({f.name: pa.array([v], f.type) for f, v in zip(shape, row)})
+
+    shape = to_arrow_schema(blocks.sparkSession.createDataFrame([], schema).schema)
+    return blocks.select(*keys, "ord", "kind", "body").groupBy(*keys).cogroup(texts.select(*keys, "ord", "text").groupBy(*keys)).applyInArrow(compare, schema)
 
 
 def size_profile(segments: DataFrame) -> DataFrame:
@@ -128,8 +185,7 @@ def package_facts(members: DataFrame) -> DataFrame:
 
 def cell_marks(pages: DataFrame) -> DataFrame:
     """page_id, mark: heading marks left in table cells, the first of each page."""
-    found = F.regexp_extract("html", r"(?is)<t[dh]\b[^>]*>\s*(#{1,6}\s[^<]{0,40})", 1)
-    return pages.select("page_id", F.trim(found).alias("mark")).where("mark <> ''")
+    return pages.select("page_id", cell_mark("html").alias("mark")).where("mark is not null")
 
 
 def mixed_stops(paragraphs: DataFrame, most: int = 100) -> DataFrame:

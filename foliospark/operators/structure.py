@@ -29,6 +29,22 @@ def toc_depths(entries: DataFrame) -> DataFrame:
     return df.select(*entries.columns, depth.cast("long").alias("depth"), F.when(parent >= 0, parent).alias("parent"))
 
 
+def toc_tree(entries: DataFrame) -> DataFrame:
+    """work and tree: the entries (work, ord, level, label) nested as JSON, ``[{"label": ..., "children": [...]}, ...]``, as a VARIANT.
+
+    Nested from the deepest level upwards, a step a level: the texts of one parent's children are joined in their order
+    and become part of the parent's own."""
+    nodes = toc_depths(entries.select("work", "ord", "level", "label")).select("work", "ord", "depth", "parent", "label")
+    made = nodes.where("1 = 0").select("work", "ord", "depth", "parent", F.lit("").alias("text"))
+    for depth in range(len(LEVELS), 0, -1):
+        inner = made.groupBy("work", F.col("parent").alias("ord")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), ",").alias("inner"))
+        label = F.regexp_extract(F.to_json(F.struct(F.coalesce("label", F.lit("")).alias("label"))), r"(?s)^\{(.*)\}$", 1)
+        text = F.concat(F.lit("{"), label, F.lit(',"children":['), F.coalesce("inner", F.lit("")), F.lit("]}"))
+        made = nodes.where(F.col("depth") == depth).join(inner, ["work", "ord"], "left").select("work", "ord", "depth", "parent", text.alias("text"))
+    tops = made.groupBy("work").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), ",").alias("text"))
+    return tops.select("work", F.parse_json(F.concat(F.lit("["), "text", F.lit("]"))).alias("tree"))
+
+
 #: Words of a title, the region and the kind they stand for; the first hit in this order counts. Fixed values.
 TITLE_KINDS = (
     (("封面", "cover"), "cover", "cover"),

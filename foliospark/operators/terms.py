@@ -6,66 +6,62 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.udfs import nfkc
-
-IDEOGRAPHS = "㐀-䶿一-鿿぀-ヿ가-힯"
-WORD = rf"(?U)[{IDEOGRAPHS}]|[\w&&[^{IDEOGRAPHS}]]+"
-#: Marks that join words: a term next to one is part of a longer term. Two long dashes in a row don't join.
-JOINERS = r"\-‐‑‒–—―−"
-
+from foliospark.operators.finder import finder
 
 def normal(x) -> Column:
     x = F.col(x) if isinstance(x, str) else x
     return F.trim(nfkc(F.coalesce(x, F.lit(""))))
 
 
-def pattern(term: Column) -> Column:
-    """Of a term as a whole word; terms with ideographs match anywhere."""
-    quoted = F.concat(F.lit(r"\Q"), term, F.lit(r"\E"))
-    edge = rf"[\w{JOINERS}]"
-    left = rf"(?U)(?:(?<=[{IDEOGRAPHS}])|(?<=——)|(?<!{edge}))"
-    right = rf"(?:(?=[{IDEOGRAPHS}])|(?=——)|(?!{edge}))"
-    return F.when(term.rlike(f"[{IDEOGRAPHS}]"), quoted).otherwise(F.concat(F.lit(left), quoted, F.lit(right)))
-
-
 def forms(target: Column) -> Column:
     """A target and, where it ends in a particle, itself without it."""
     cut = F.substr(target, F.lit(1), F.char_length(target) - 1)
     return F.when((F.char_length(target) > 1) & F.right(target, F.lit(1)).isin("的", "地", "得"), F.array(target, cut)).otherwise(F.array(target))
 
 
-def terms_in_texts(texts: DataFrame, glossary: DataFrame) -> DataFrame:
-    """id, ord, source for texts (id, text) and entries (ord, source, aliases) that occur in them by source or alias.
-
-    A theta join made an equi-join: a term can only occur where each of its words does, so the words of texts meet one word
-    of each term on equality and only those pairs run the pattern. The word is the term's longest, which is the rarest as a
-    rule; ideographs are words one by one, and of a term that holds any, which matches inside longer words too, it is the
-    first of these."""
-    names = F.explode(F.concat(F.array("source"), F.coalesce("aliases", F.array().cast("array<string>"))))
-    wanted = glossary.select("ord", "source", names.alias("name")).select("ord", "source", normal("name").alias("name")).where("name <> ''")
-    parts = F.regexp_extract_all("name", F.lit(f"({WORD})"), F.lit(1))
-    longest = F.array_max(F.transform(parts, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
-    han = F.regexp_extract("name", f"([{IDEOGRAPHS}])", 1)
-    wanted = wanted.withColumn("word", F.when(han != "", han).otherwise(F.coalesce(longest, F.substr("name", F.lit(1), F.lit(1))))).withColumn("pattern", pattern(F.col("name")))
-    body = texts.select("id", normal("text").alias("body"))
-    words = F.array_distinct(F.regexp_extract_all(F.col("body"), F.lit(f"({WORD})"), F.lit(1)))
-    # texts stay out of the first join, which the words multiply
-    near = body.select("id", F.explode(words).alias("word")).join(wanted, "word").select("id", "ord", "source", "pattern")
-    return body.join(near, "id").where(F.expr("body rlike pattern")).select("id", "ord", "source").distinct()
-
-
-def missing_targets(rows: DataFrame, glossary: DataFrame) -> DataFrame:
-    """id, source, expected: a term of the source side whose target, in no accepted form, is on the target side. Of entries of one source the first that has a target and occurs counts, whatever its status."""
-    entries = glossary.where("coalesce(trim(target), '') <> ''")
-    hits = terms_in_texts(rows.select("id", F.col("src").alias("text")), entries)
-    first = hits.withColumn("n", F.row_number().over(Window.partitionBy("id", "source").orderBy("ord"))).where("n = 1").select("id", "ord", "source")
-    sides = rows.select("id", normal("tgt").alias("tgt")).where("tgt <> ''")
-    need = first.join(entries.select("ord", "target"), "ord").join(sides, "id")
-    found = F.exists(F.transform(forms(normal("target")), lambda f: f), lambda f: F.regexp_like(F.col("tgt"), pattern(f)))
-    return need.where(~found).select("id", "source", F.col("target").alias("expected"))
+ENTRY = ("ord", "source", "target", "goals", "main")
+
+
+def named(glossary: DataFrame) -> DataFrame:
+    """name, entries: every source and alias with the entries it stands for: ord, source, target, goals (the target's accepted forms), main (is it the source itself?)."""
+    by = lambda a, main: F.struct(a.alias("name"), F.lit(main).alias("main"))
+    names = F.explode(F.concat(F.array(by(F.col("source"), True)), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: by(a, False))))
+    every = glossary.select("ord", "source", "target", forms(normal("target")).alias("goals"), names.alias("n"))
+    every = every.select(normal("n.name").alias("name"), "ord", "source", "target", "goals", F.col("n.main").alias("main")).where("name <> ''")
+    return every.groupBy("name").agg(F.collect_set(F.struct(*ENTRY)).alias("entries"))
 
 
-def occurrences(text: Column, term: Column) -> Column:
-    return F.regexp_count(text, pattern(term)).cast("long")
+def found_entries(found: Column) -> Column:
+    """What a finder of ``named`` found, as an array of the entries, each with n, how often its name occurs."""
+    return F.flatten(F.transform(found, lambda x: F.transform(x["entries"], lambda e: F.struct(*[e[c].alias(c) for c in ENTRY], x["n"].alias("n")))))
+
+
+def terms_in_texts(texts: DataFrame, glossary: DataFrame, **options) -> DataFrame:
+    """id, ord, source for texts (id, text) and entries (ord, source, aliases) that occur in them by source or alias, once each."""
+    find = finder(named(glossary.withColumn("target", F.lit(""))), **options)
+    met = F.array_distinct(F.transform(found_entries(find(F.col("text"))), lambda e: F.struct(e["ord"].alias("ord"), e["source"].alias("source"))))
+    return texts.select("id", F.explode(met).alias("e")).select("id", "e.ord", "e.source").distinct()
+
+
+def with_missing_targets(rows: DataFrame, glossary: DataFrame, **options) -> DataFrame:
+    """Adds ``missing`` to rows (src, tgt and anything else): structs source, expected, n of the terms of the source side whose target, in no accepted form, is on the target side; n is how often the source itself occurs.
+
+    Of entries of one source the first that has a target and occurs counts, whatever its status. Rows with an empty side miss nothing."""
+    entries = glossary.where("coalesce(trim(target), '') <> ''")
+    sources = finder(named(entries), **options)
+    there = finder(entries.select(F.explode(forms(normal("target"))).alias("name")).distinct().select("name", F.lit(0).alias("entries")), **options)
+    df = rows.select("*", found_entries(sources(F.col("src"))).alias("__met"), F.transform(there(F.col("tgt")), lambda x: x["name"]).alias("__kept"), (normal("tgt") != "").alias("__said"))
+    met = F.col("__met")
+    first = F.filter(met, lambda x: ~F.exists(met, lambda y: (y["source"] == x["source"]) & (y["ord"] < x["ord"])))
+    lost = F.filter(first, lambda x: F.col("__said") & ~F.arrays_overlap(x["goals"], F.col("__kept")))
+    often = lambda x: F.coalesce(F.array_max(F.transform(F.filter(met, lambda y: (y["source"] == x["source"]) & (y["ord"] == x["ord"]) & y["main"]), lambda y: y["n"])), F.lit(0).cast("long"))
+    told = F.array_distinct(F.transform(lost, lambda x: F.struct(x["source"].alias("source"), x["target"].alias("expected"), often(x).alias("n"))))
+    return df.withColumn("missing", told).drop("__met", "__kept", "__said")
+
+
+def missing_targets(rows: DataFrame, glossary: DataFrame, **options) -> DataFrame:
+    """id, source, expected of the missing targets of rows (id, src, tgt); see ``with_missing_targets``."""
+    return with_missing_targets(rows.select("id", "src", "tgt"), glossary, **options).select("id", F.explode("missing").alias("m")).select("id", "m.source", "m.expected")
 
 
 def exempted(hits: DataFrame, exemptions: DataFrame) -> DataFrame:

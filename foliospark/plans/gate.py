@@ -21,10 +21,10 @@ WHOLE_WORD = "len(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_-]+'))"
 #: The thirteen checks from their rules. The tables hold no code, no abbreviation and no measure before a number, so notes are plain patterns here.
 FINDINGS = GATE + f""", measured AS (SELECT r.*, u.kind, u.source_md, u.target_md, coalesce(u.kind IN ('toc', 'index'), false) AS listed, length({STRIP.format('src')}) AS n, length({STRIP.format('tgt')}) AS m_, {LETTERS.format('src')} AS spoken, {LETTERS.format('tgt')} AS kept,
   {_nospace('src')} AS a, {_nospace('tgt')} AS b, {_nospace('u.source_md')} AS doc, st.reason AS style, st.pattern FROM rows_ r JOIN gate_units u USING (unit) LEFT JOIN styles st ON st.unit = r.unit AND regexp_matches(r.src, st.pattern)),
-words AS (SELECT DISTINCT unit, seq, unnest(regexp_extract_all(src, '[\\p{{L}}\\p{{N}}_-]+')) AS source FROM rows_ WHERE tgt <> ''),
-hits AS (SELECT w.unit, w.seq, w.source, arg_min(g.target, g.ord) AS expected FROM words w JOIN glossary g USING (source) GROUP BY ALL),
-counted AS (SELECT h.*, r.note_id, sha256(nfc_normalize(r.src)) AS digest, len(list_filter(regexp_extract_all(r.src, '[\\p{{L}}\\p{{N}}_-]+'), lambda x: x = h.source)) AS n, len(list_filter(regexp_extract_all(r.tgt, '[\\p{{L}}\\p{{N}}_-]+'), lambda x: x = h.expected)) AS kept FROM hits h JOIN rows_ r ON r.unit = h.unit AND r.seq = h.seq),
-told AS (SELECT c.unit, c.seq, c.source, c.expected, c.n, c.kept, count_if(e.reason = 'whole') AS whole, count_if(e.reason IN ('placed', 'note', 'stale') AND (e.digest IS NULL OR e.digest = c.digest)) AS matched, count_if(e.digest <> c.digest) AS stale
+words AS (SELECT DISTINCT unit, pos, seq, unnest(regexp_extract_all(src, '[\\p{{L}}\\p{{N}}_-]+')) AS source FROM rows_ WHERE tgt <> ''),
+hits AS (SELECT w.unit, w.pos, w.seq, w.source, arg_min(g.target, g.ord) AS expected FROM words w JOIN glossary g USING (source) GROUP BY ALL),
+counted AS (SELECT h.*, r.note_id, sha256(nfc_normalize(r.src)) AS digest, len(list_filter(regexp_extract_all(r.src, '[\\p{{L}}\\p{{N}}_-]+'), lambda x: x = h.source)) AS n, len(list_filter(regexp_extract_all(r.tgt, '[\\p{{L}}\\p{{N}}_-]+'), lambda x: x = h.expected)) AS kept FROM hits h JOIN rows_ r ON r.unit = h.unit AND r.pos = h.pos),
+told AS (SELECT c.unit, c.pos, c.seq, c.source, c.expected, c.n, c.kept, count_if(e.reason = 'whole') AS whole, count_if(e.reason IN ('placed', 'note', 'stale') AND (e.digest IS NULL OR e.digest = c.digest)) AS matched, count_if(e.digest <> c.digest) AS stale
   FROM counted c LEFT JOIN exemptions e ON e.unit = c.unit AND e.source = c.source AND (e.seq IS NULL OR e.seq = c.seq) AND (e.note_id IS NULL OR e.note_id = c.note_id) WHERE c.kept = 0 GROUP BY ALL),
 per AS (SELECT unit, any_value(listed) AS listed, any_value(source_md) AS source_md, any_value(target_md) AS target_md, list(seq ORDER BY pos) AS seqs, count(*) AS n, bool_or(n = 0) AS no_src, bool_or(m_ = 0) AS no_tgt,
   sum(len(regexp_extract_all(src, '\\{{\\w+:\\d+\\}}'))) AS m_src, sum(len(regexp_extract_all(tgt, '\\{{\\w+:\\d+\\}}'))) AS m_tgt, sum(len({SENTENCE_NOTES.format('src')}) + len(regexp_extract_all(src, '\\[\\^[^\\]]+\\]'))) AS n_src, sum(len({SENTENCE_NOTES.format('tgt')}) + len(regexp_extract_all(tgt, '\\[\\^[^\\]]+\\]'))) AS n_tgt,

@@ -85,6 +85,8 @@ class Literal:
             for t in TABLES:
                 select = select.replace(f"{{{t}}}", t)
             more = f" UNION ALL SELECT {casts} FROM ({select}) AS w({names})"
+            if not self.rows:
+                return f"{self.name} AS (SELECT {casts} FROM ({select}) AS w({names}))"
         return f"{self.name} AS (SELECT {casts} FROM (VALUES {rows}) AS v({names}){more})"
 
 

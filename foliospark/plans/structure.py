@@ -30,6 +30,19 @@ def toc_depth(spark, d):
     return s.toc_depths(TOC.frame(spark, d))
 
 
+#: Nested text by its brackets: an entry opens at its place and closes before the next entry that isn't deeper, the deepest first.
+TREE_SQL = TOC_SQL + """), ends AS (SELECT a.work, a.ord, a.title, a.depth, coalesce((SELECT min(b.ord) FROM placed b WHERE b.work = a.work AND b.ord > a.ord AND b.depth <= a.depth), 1000000000000) AS stop FROM placed a),
+marks AS (SELECT work, ord AS spot, 1 AS kind, 0 AS sub, '{"children":[' AS mark FROM placed UNION ALL SELECT work, stop, 0, -depth, '],"label":' || CAST(to_json(coalesce(title, '')) AS VARCHAR) || '}' FROM ends)
+SELECT work, '[' || replace(string_agg(mark, '' ORDER BY spot, kind, sub), '}{', '},{') || ']' AS tree FROM marks GROUP BY work"""
+
+
+@query(TREE_SQL.replace("SELECT up.work, up.ord, level, title, nav,", ", placed AS (SELECT up.work, up.ord, level, title, nav,", 1))
+def toc_nested(spark, d):
+    """The contents of every work as nested JSON."""
+    tree = s.toc_tree(TOC.frame(spark, d).withColumnRenamed("title", "label"))
+    return tree.select("work", F.to_json("tree").alias("tree"))
+
+
 @query(f"SELECT work, ord, title, depth FROM ({TOC_SQL}) WHERE nav AND depth <= 3")
 def nav_projection(spark, d):
     return s.toc_depths(TOC.frame(spark, d)).where("nav and depth <= 3").select("work", "ord", "title", "depth")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as t
 from foliospark.functions import udfs
-from foliospark.operators import align
+from foliospark.operators import align, passages
 from foliospark.plans.registry import Literal, query, with_tables
 from foliospark.session import read
 from foliospark.sources import sinks
@@ -203,23 +203,12 @@ def text_functions(spark, d):
 @query(f"""WITH p AS (SELECT item_id, {NOSPACE.format("coalesce(text, '')")} AS body FROM benchmark), w AS (SELECT doc_id, {NOSPACE.format("coalesce(text, '')")} AS whole FROM documents)
 SELECT item_id, count(doc_id) AS n_documents, min(doc_id) AS first_document FROM p LEFT JOIN w ON contains(whole, body) GROUP BY item_id""")
 def fidelity_forward(spark, d):
-    """Passages and the documents that hold them, white space apart.
-
-    The plan is an equi-join, not a nested loop: the hash of a passage's first bytes (all of a short one) is looked for among
-    the windows of as many bytes of each document, by a table of bits first, of one size for any number of passages; only
-    the pairs that meet are compared as texts. The empty passage lies in every document."""
-    p = read(spark, d, "benchmark").select("item_id", t.without_blanks(t.text_of("text")).alias("passage"))
-    docs = read(spark, d, "documents").select("doc_id", t.without_blanks(t.text_of("text")).alias("whole"))
-    p = p.mapInArrow(align.probes, "item_id long, passage string, size int, probe long")
-    bits = F.shiftrightunsigned("probe", 64 - align.PROBE_BITS).alias("bit")
-    wanted: dict = {}
-    for size, bit in p.where("size > 0").select("size", bits).distinct().collect():
-        wanted.setdefault(size, []).append(bit)
-    shared = spark.sparkContext.broadcast(wanted)
-    held = docs.mapInArrow(lambda batches: align.windows_held(batches, shared.value), "doc_id long, whole string, size int, probe long")
-    found = held.join(p.where("size > 0"), ["size", "probe"]).where(F.contains("whole", "passage")).groupBy("item_id").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("first"))
+    """Passages and the documents that hold them, white space apart: ``passages`` finds them by their rarest windows. The empty passage lies in every document."""
+    p = read(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), t.without_blanks(t.text_of("text")).alias("passage"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), t.without_blanks(t.text_of("text")).alias("whole"))
+    found = passages.held_passages(p, docs).groupBy("item_id").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("first"))
     every, first = docs.agg(F.count("doc_id"), F.min("doc_id")).first()
-    empty = p.where("size = 0").groupBy("item_id").agg((F.count("*") * every).alias("n"), F.lit(first).cast("long").alias("first"))
+    empty = p.where("passage = ''").groupBy("item_id").agg((F.count("*") * every).alias("n"), F.lit(first).cast("long").alias("first"))
     found = found.unionByName(empty).groupBy("item_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     items = p.select("item_id").distinct().join(found.withColumnRenamed("item_id", "found_id"), F.col("item_id").eqNullSafe(F.col("found_id")), "left")
     return items.select("item_id", F.coalesce("n", F.lit(0)).alias("n_documents"), F.col("first").alias("first_document"))

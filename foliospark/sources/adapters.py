@@ -40,7 +40,7 @@ def gate_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     m, s, g = F.col("m"), F.col("s"), F.col("t")
     src = F.when(m == 2, F.concat(s, F.lit(" {fig:1}"))).when(m == 3, F.concat(s, F.lit(" Ended.12"))).when(m == 4, F.concat(s, F.lit(" Ended.13"))).when(m == 6, F.concat(s, F.lit(" (x)45"))).when(m == 9, F.concat(s, F.lit(" [^n1]"))).when(m == 10, "").otherwise(s)
     tgt = F.when(m == 0, s).when(m == 1, "").when(m == 4, F.concat(g, F.lit(" Ended.13"))).when(m == 5, "ok").when(m == 8, F.concat_ws(" ", g, g, g, g)).when((m == 9) & (F.col("unit") % 2 == 0), F.concat(g, F.lit(" [^n1]"))).otherwise(g)
-    seq = F.when((m == 7) & (F.col("unit") % 3 == 0), F.col("seq") + 100).otherwise(F.col("seq"))
+    seq = F.when((m == 7) & (F.col("unit") % 3 == 0), F.col("seq") + 100).when((F.col("seq") == 2) & (F.col("unit") % 20 == 3), 1).otherwise(F.col("seq"))
     full = base.select("unit", F.col("seq").alias("pos"), seq.alias("seq"), src.alias("src"), tgt.alias("tgt"), F.concat(F.lit("n"), F.col("seq").cast("string")).alias("note_id"), "m", "s")
     rows = full.select("unit", "pos", "seq", "src", "tgt", "note_id")
 
@@ -77,7 +77,7 @@ aligned AS (SELECT conv_id AS unit, row_number() OVER (PARTITION BY conv_id ORDE
             FROM turns WHERE role = 'user' AND next_role = 'assistant')"""
 
 GATE = ALIGNED + """, base AS (SELECT unit, seq AS pos, src AS s, tgt AS t, (unit * 7 + seq * 3) % 13 AS m FROM aligned),
-rows_ AS (SELECT unit, pos, CASE WHEN m = 7 AND unit % 3 = 0 THEN pos + 100 ELSE pos END AS seq, m, s, 'n' || pos AS note_id,
+rows_ AS (SELECT unit, pos, CASE WHEN m = 7 AND unit % 3 = 0 THEN pos + 100 WHEN pos = 2 AND unit % 20 = 3 THEN 1 ELSE pos END AS seq, m, s, 'n' || pos AS note_id,
   CASE m WHEN 2 THEN s || ' {fig:1}' WHEN 3 THEN s || ' Ended.12' WHEN 4 THEN s || ' Ended.13' WHEN 6 THEN s || ' (x)45' WHEN 9 THEN s || ' [^n1]' WHEN 10 THEN '' ELSE s END AS src,
   CASE WHEN m = 0 THEN s WHEN m = 1 THEN '' WHEN m = 4 THEN t || ' Ended.13' WHEN m = 5 THEN 'ok' WHEN m = 8 THEN t || ' ' || t || ' ' || t || ' ' || t WHEN m = 9 AND unit % 2 = 0 THEN t || ' [^n1]' ELSE t END AS tgt FROM base),
 docs AS (SELECT unit, coalesce(string_agg(src, chr(10) || chr(10) ORDER BY pos) FILTER (m <> 11), '') AS a, string_agg(tgt, chr(10) || chr(10) ORDER BY pos) AS b FROM rows_ GROUP BY unit),

@@ -1,6 +1,7 @@
 """The audit of packages on a package that breaks every rule, and the rules of styles, edits and sinks."""
 
 import io
+import re
 import zipfile
 
 import pytest
@@ -12,7 +13,7 @@ from foliospark.sources import archive, sinks
 OPF = """<package><metadata><dc:creator>A</dc:creator><meta name="cover" content="who"/></metadata><manifest><item id="nav" href="nav.xhtml"/><item id="c1" href="c1.xhtml"/><item id="c2" href="t/c%202.xhtml"/>
 <item id="gone" href="gone.xhtml"/><item id="i" href="i.png" properties="cover-image"/></manifest><spine><itemref idref="c1"/><itemref idref="c2"/><itemref idref="zz"/></spine><a href="data:x"/></package>"""
 NAV = '<html><body><nav epub:type="toc"><a href="c1.xhtml#a">1</a><a href="lost.xhtml">2</a></nav></body></html>'
-C1 = """<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><h2>a</h2><h4>b</h4><!-- c --><p>x **bold**</p><p>价格 $$ 5</p><table><tr><td>### C</td><td><code># no</code></td></tr></table>
+C1 = """<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><h2>a</h2><h4>b</h4><!-- c --><p>x **bold**</p><p>价格 $$ 5</p><table><tr><td>&#35;## C</td><td><code># no</code></td></tr></table>
 <p>中 文 断 开 的</p><p>这是一个没有结束的段落它一直写下去直到最后也没有标点</p><p>文字 12 文字</p><p>完。 .</p><p>[3] a marked note</p><img src="i.png"/><img src="i.png" alt="image"/><img src="w.webp" alt="IMG_01"/><img src="no.png" alt="fine words"/>
 <img src="https://x/y.png" alt="far away"/><figure><img src="wide.png" alt="a wide one"/><figcaption>scan.jpg</figcaption></figure><a href="#none">n</a><a href="javascript:x">j</a><aside epub:type="footnote" id="f1">note</aside>
 <aside epub:type="footnote" id="f2"><a epub:type="backlink" href="#r2">b</a></aside><section epub:type="endnotes"><p>LONG</p><p>9. one alone</p></section></body></html>""".replace("LONG", "1. first note " + "word " * 250 + "2. second note")
@@ -71,6 +72,7 @@ def test_collected_notes_of_known_units(spark):
     html = "<html><body>" + "<p>1. a 2. b 3. c 4. d 5. e</p>" * 2 + "<pre>1. a 2. b</pre></body></html>"
     docs = spark.createDataFrame([("w", "n.xhtml", html), ("w", "m.xhtml", "<html><open></html>")], "work string, path string, html string")
     contexts = spark.createDataFrame([("w", "n.xhtml", "notes", 10), ("w", "m.xhtml", "notes", 10)], "work string, path string, kind string, n_source long")
+    docs = docs.select("work", "path", audit.regions_of("html").alias("regions"))
     assert [tuple(r) for r in audit.collected_notes(docs, contexts).collect()] == [("w", "W_COLLECTED_NOTES_UNSEGMENTED", "n.xhtml", "1,2")]
     assert audit.collected_notes(docs).count() == 0
 
@@ -82,6 +84,14 @@ def test_styles_of_works(spark, css, want):
     assert spark.createDataFrame([(css,)], "css string").select(audit.style_violation(F.col("css"))).first()[0] == want
 
 
+def test_bodies_are_read_once(spark):
+    members = spark.createDataFrame([("w", 1, "mimetype", True, 1, bytearray(b"x"))], "work string, ord long, path string, stored boolean, size long, body binary")
+    findings = audit.audit(members)
+    plan = findings._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"\bbody#", plan) and "ExistingRDD" not in plan and 5 < plan.count("Scan parquet") <= 50
+    assert findings.inputFiles() and all("audit-events" in x for x in findings.inputFiles())
+
+
 def test_edits_are_made_together(spark):
     files = spark.createDataFrame([("a", "x", "1"), ("a", "y", "2"), ("b", "x", "1"), ("b", "y", "changed"), ("c", "x", "new")], "work string, path string, content string")
     plan = spark.createDataFrame([(w, p, c, "new") for w, p, c in (("a", "x", "1"), ("b", "x", "1"), ("b", "y", "2"), ("c", "x", "1"))], "work string, path string, old string, after string").select("work", "path", F.sha2("old", 256).alias("old_sha256"), "after")

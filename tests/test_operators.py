@@ -1,13 +1,16 @@
 """Operators against short plain models on random inputs, and against hand-worked cases."""
 
+import json
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as t
-from foliospark.functions.udfs import content_blocks, image_dimensions, index_line, markdown_chunks, note_numbers, tables_of
-from foliospark.operators import align, checks, evidence, gate, hygiene, ledger, pages, structure, terms, toc
+from foliospark.functions.udfs import content_blocks, image_dimensions, index_line, markdown_chunks, nfkc, note_numbers, tables_of
+from foliospark.operators import align, checks, evidence, gate, hygiene, ledger, pages, passages, structure, terms, toc
 from foliospark.streaming import events
 
 
@@ -161,7 +164,7 @@ def test_text_columns(spark):
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "unit string, seq long, src string, tgt string")
     assert align.length_findings(none).count() == 0
-    assert toc.index_entries(spark.createDataFrame([], "unit string, line long, text string")).count() == 0
+    assert toc.index_entries(spark.createDataFrame([], "work string, unit string, line long, text string")).count() == 0
 
 
 def test_terms_are_keyed_by_any_of_their_words(spark):
@@ -289,3 +292,128 @@ def test_the_gate_by_hand(spark):
     ]
     docs = spark.createDataFrame([("a", "|a \\| z|b|\n|:---|---:|\n|1|2|\n\n|x|\n|---|\n", "|a|b|\n|---|---|\n|1|2|\n\n|x|\n|---|\n|y|\n"), ("b", "|a|\n|---|\n", "")], "unit string, source_md string, target_md string")
     assert rows(gate.table_shapes(docs), "unit", "place", "src", "tgt") == [("a", 2, "2x1", "3x1"), ("b", 0, "1", "0")]
+
+
+def plain_pattern(term):
+    if re.search("[㐀-䶿一-鿿぀-ヿ가-힯]", term):
+        return re.escape(term)
+    edge, han = r"[\w\-‐‑‒–—―−]", "[㐀-䶿一-鿿぀-ヿ가-힯]"
+    return rf"(?:(?<={han})|(?<=——)|(?<!{edge})){re.escape(term)}(?:(?={han})|(?=——)|(?!{edge}))"
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 22, 60])
+def test_the_automaton_finds_what_every_pair_finds(spark, shard_bytes):
+    """Against each term's own pattern on each text, with one shard and with many."""
+    r = random.Random(4)
+    pieces = ["guild", "guild hall", "hall", "Hall", "ＮＡＴＯ", "NATO", "北约", "约", "哈哈", "-", "–", "——", " ", " ", ",", "x", "9", "_", "é", "", "a.b", "(", "\\E"]
+    make = lambda k: "".join(r.choice(pieces) for _ in range(r.randrange(1, k)))
+    names = [(i, make(4), [make(3) for _ in range(i % 3)] if i % 4 else None, make(3) if i % 5 else "") for i in range(60)]
+    texts = [(i, make(12), make(9)) for i in range(200)] + [(900, None, None), (901, "", "x"), (902, "  NATO\n", "")]
+    g = spark.createDataFrame(names, "ord long, source string, aliases array<string>, target string")
+    df = spark.createDataFrame(texts, "id long, src string, tgt string").repartition(3)
+    plain = lambda x: unicodedata.normalize("NFKC", (x or "").strip())
+    holds = lambda term, text: bool(plain(term)) and bool(re.search(plain_pattern(plain(term)), plain(text)))
+    got = {tuple(x) for x in terms.terms_in_texts(df.select("id", F.col("src").alias("text")), g, shard_bytes=shard_bytes).collect()}
+    assert got == {(i, o, s) for i, src, _ in texts for o, s, al, _ in names if any(holds(n, src) for n in [s, *(al or [])])} and len(got) > 100
+    want = set()
+    for i, src, tgt in texts:
+        seen = set()
+        for o, s, al, target in names:
+            if s in seen or not target.strip() or not plain(tgt) or not any(holds(n, src) for n in [s, *(al or [])]):
+                continue
+            seen.add(s)
+            goal = plain(target)
+            if not any(holds(f, tgt) for f in [goal, *([goal[:-1]] if len(goal) > 1 and goal[-1] in "的地得" else [])]):
+                want.add((i, s, target, len(re.findall(plain_pattern(plain(s)), plain(src))) if plain(s) else 0))
+    told = terms.with_missing_targets(df, g, shard_bytes=shard_bytes).select("id", F.explode("missing").alias("m")).select("id", "m.*")
+    assert {tuple(x) for x in told.collect()} == want and len(want) > 30
+
+
+def test_rows_that_share_a_seq_are_rows_of_their_own(spark):
+    """The first row is translated rightly, the second lacks the term: one finding, not none and not two."""
+    rows_ = spark.createDataFrame([("u", 1, 1, "moon", "Mond", None), ("u", 2, 1, "the moon", "nichts", None), ("u", 3, 1, "no term", "kein", None)], "unit string, pos long, seq long, src string, tgt string, note_id string")
+    g = spark.createDataFrame([(1, "moon", [], "Mond", "seed")], "ord long, source string, aliases array<string>, target string, status string")
+    none = spark.createDataFrame([], "unit string, source string, seq long, note_id string, text_sha256 string, reason string")
+    assert [tuple(x) for x in checks.term_findings(rows_, g, none).collect()] == [("u", 1, "terminology", True, "moon Mond")]
+
+
+def test_blocks_are_consumed_in_order(spark):
+    """A block that comes twice needs its words twice; markup between words doesn't matter; one that isn't there uses nothing up."""
+    tree = [("u", i, "paragraph" if i else "heading", x) for i, x in enumerate(["A", "B", "A", "gone word", "tail **of** it", "***", None])] + [("v", 1, "figure", "x"), ("w", 1, "paragraph", "x")]
+    blocks = spark.createDataFrame(tree, "unit string, ord long, kind string, body string")
+    texts = spark.createDataFrame([("u", 2, "*A* gone tail _of_ it"), ("u", 1, "A B"), ("v", 1, "x")], "unit string, ord long, text string")
+    got = {r["unit"]: (r["headings"], r["paragraphs"], r["missing_count"], r["missing"]) for r in pages.compared_blocks(blocks, texts).collect()}
+    assert got == {"u": (1, 6, 2, [3, 4]), "v": (0, 0, 0, []), "w": (0, 1, 1, [1])}
+    assert pages.consumed(["A", "B", "A"], "A B") == [True, True, False] and pages.consumed([], "") == []
+
+
+def test_consumption_against_a_plain_search():
+    r = random.Random(8)
+    for _ in range(300):
+        words = [r.choice("abcde") for _ in range(r.randrange(0, 30))]
+        needles = [" ".join(r.choice("abcdef") for _ in range(r.randrange(0, 5))) for _ in range(6)]
+        want, cursor = [], 0
+        for needle in needles:
+            at = cursor
+            for w in needle.split():
+                while at < len(words) and words[at] != w:
+                    at += 1
+                at += 1
+            want.append(at <= len(words))
+            cursor = at if at <= len(words) else cursor
+        assert pages.consumed(needles, " ".join(words)) == want
+
+
+def test_titles_held_by_one_another_against_all_pairs(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randrange(1, 9)))
+    titles, labels = [(f"w{i % 3}", word() + " " * (i % 2) + word()) for i in range(150)], [(f"w{i % 3}", word()) for i in range(40)]
+    got = sorted(tuple(x) for x in toc.missing_titles(spark.createDataFrame(titles, "work string, title string"), spark.createDataFrame(labels, "work string, label string")).collect())
+    key = lambda x: x.replace(" ", "")
+    near = lambda a, b: a == b or min(len(a), len(b)) >= 4 and (a in b or b in a)
+    assert got == sorted((w, x) for w, x in titles if not any(v == w and near(key(x), key(y)) for v, y in labels)) and got
+
+
+def test_places_on_a_grid_against_all_pairs(spark):
+    r = random.Random(3)
+    place = lambda: (r.uniform(-9, 9), r.uniform(-9, 9))
+    notes, blocks = [("w", f"n{i}", i % 2, *place()) for i in range(60)], [("w", i % 2, f"b{i}", *place()) for i in range(120)]
+    notes.append(("w", "edge", 0, 2.0, -2.0))
+    blocks.append(("w", 0, "edge", 4.0, -4.0))
+    got = sorted(tuple(x) for x in pages.source_evidence(spark.createDataFrame(notes, "work string, note_id string, page long, x0 double, y0 double"), spark.createDataFrame(blocks, "work string, page long, block string, x0 double, y0 double")).collect())
+    assert got == sorted((w, n, p, b) for w, n, p, x, y in notes for v, q, b, s, t_ in blocks if p == q and abs(x - s) <= 2 and abs(y - t_) <= 2) and ("w", "edge", 0, "edge") in got
+
+
+def test_works_keep_their_links_and_index_pages_apart(spark):
+    sources = spark.createDataFrame([("a", "x/one.html", "u1", 1), ("b", "y/one.html", "u2", 1)], "work string, path string, unit string, ord long")
+    texts = spark.createDataFrame([("b", "u3", "[x](one.html#s)"), ("c", "u4", "[x](one.html#s)")], "work string, unit string, text string")
+    assert rows(pages.rewritten_links(texts, pages.stem_units(sources)), "work", "target") == [("b", "u2.xhtml#s"), ("c", None)]
+    lines_ = spark.createDataFrame([("a", "i", 1, "guild, 3"), ("b", "i", 1, "guild, 3")], "work string, unit string, line long, text string")
+    assert rows(toc.index_orphans(toc.index_entries(lines_), spark.createDataFrame([("b", 3)], "work string, page long")), "work", "page") == [("a", 3)]
+
+
+def test_contents_nest(spark):
+    entries = spark.createDataFrame([("w", 1, 1, "a"), ("w", 2, 3, 'b"q'), ("w", 3, 2, "c"), ("w", 4, 1, None), ("v", 5, 6, "z")], "work string, ord long, level long, label string")
+    got = {r["work"]: json.loads(r["tree"]) for r in structure.toc_tree(entries).select("work", F.to_json("tree").alias("tree")).collect()}
+    leaf = lambda x: {"label": x, "children": []}
+    assert got == {"w": [{"label": "a", "children": [leaf('b"q'), leaf("c")]}, leaf("")], "v": [leaf("z")]}
+
+
+def test_passages_by_their_rarest_windows(spark):
+    """Passages that begin alike, short ones, ones that hold others, repeated documents; against all pairs."""
+    r = random.Random(6)
+    head = "the same first line of every passage "
+    texts = ["".join(r.choice("abc d漢é") for _ in range(r.randrange(0, 400))) for _ in range(60)]
+    texts += [head * 3, head + texts[3], None, "", texts[5], texts[5], "x" * 500]
+    wanted = [head + t_[:40] for t_ in texts[:10] if t_] + [t_[10:80] for t_ in texts[:30] if t_] + ["a", "漢", "x" * 40, head, "nowhere at all in any of the texts here", texts[5]]
+    docs = spark.createDataFrame([(None if i == 2 else i % 50, t_) for i, t_ in enumerate(texts)], "doc_id long, whole string").repartition(3)
+    items = spark.createDataFrame(list(enumerate(wanted)), "item_id long, passage string")
+    got = sorted((tuple(x) for x in passages.held_passages(items, docs, bits=12).collect()), key=repr)
+    want = sorted(((None if i == 2 else i % 50, k) for i, t_ in enumerate(texts) for k, w in enumerate(wanted) if t_ and w and w in t_), key=repr)
+    assert got == want and len(got) > 150
+    assert passages.held_passages(items.where("1 = 0"), docs).count() == 0 and passages.held_passages(items, docs.where("1 = 0"), bits=12).count() == 0
+
+
+def test_normal_forms_are_composed(spark):
+    df = spark.createDataFrame([("é",), ("é",), ("ﬁ Ａ ㍿",), (None,)], "s string")
+    assert [r[0] for r in df.select(nfkc("s")).collect()] == ["é", "é", "fi A 株式会社", None]
