@@ -10,50 +10,15 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.session import SESSION, clean, shared_dir, written  # noqa: F401
 from foliospark.session import read as table  # noqa: F401
 
 
-#: This process's own folder inside the shared one.
-SESSION = f"foliospark-{uuid.uuid4().hex}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session. Where it is unset a local session gets a temporary one, removed at the end; a cluster must name one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: set it to a folder that driver and executors share")
-        own = tempfile.mkdtemp(prefix="foliospark-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = "file://" + own
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, and a lost executor costs no more than the reading of a file."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{SESSION}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clean(spark: SparkSession) -> None:
-    """Deletes the tables that this process has written. Results that read them must have been used or written before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{SESSION}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def id_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -313,12 +313,13 @@ def one_of_each(docs: DataFrame, *, doc_id="doc_id", text="text", **options) ->
     documents of their own; of rows equal in id and text one stays."""
     found = placed(docs, doc_id=doc_id, text=text, **options)
     best = found.where("part is not null").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("one"), F.count("*").alias("c"))
-    chosen = written(best.select(F.col("one.doc_id").alias("__id"), F.col("one.mark").alias("__mark"), F.col("c").alias("__rows")), "jaccard-kept")
+    chosen = best.select(F.col("one.doc_id").alias("id"), F.col("one.mark").alias("mark"), F.col("c").alias("rows"))
     wordless = found.where("part is null").select("doc_id", "mark", F.lit(0).cast("long")).distinct()
     keys = small(written(chosen.union(wordless), "jaccard-keys"))
-    rows = docs.withColumn("__its_mark", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.join(keys, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__its_mark") == F.col("__mark")))
+    # the row is one column, so that whatever its columns are called doesn't meet the names used here
+    whole = docs.select(F.struct(*docs.columns).alias("row"), docs[doc_id].cast("long").alias("its_id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("its_mark"))
+    kept = whole.join(keys, F.col("its_id").eqNullSafe(F.col("id")) & (F.col("its_mark") == F.col("mark")))
     # the rows of a chosen document may repeat only where its component has more rows than one
-    alone = rows.where("__rows <= 1").select(*docs.columns)
-    many = rows.where("__rows > 1").dropDuplicates(["__id", "__mark"]).select(*docs.columns)
-    return alone.union(many)
+    alone = kept.where("rows <= 1").select("row")
+    many = kept.where("rows > 1").dropDuplicates(["its_id", "its_mark"]).select("row")
+    return alone.union(many).select("row.*")

@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import written
+from foliospark.llm.common import slices, written
 
 BLOCK = 64
+#: Digests that a task remembers so as not to store a text twice.
+SEEN = 500_000
 RATE = 8000
 ITEM = "array<struct<position:int, kind:string, text:string, digest:string, caption:string>>"
 FIGURES = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -68,22 +70,25 @@ def feature_of(samples: bytes) -> str:
 
 
 def store_media(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
-    """digest, n_bytes and media, written to the shared folder: a row for each distinct text of each partition; a null text is empty."""
+    """digest, n_bytes and media, written to the shared folder: a row for each distinct text of each partition, as far as the last ``SEEN`` digests tell; a null text is empty."""
 
     def run(batches):
         seen: set[bytes] = set()
-        for batch in batches:
-            digests, sizes, media = [], [], []
-            for value in batch.column(0):
-                raw = (value.as_py() or "").encode()
-                payload = payload_of(raw)
-                key = hashlib.sha256(struct.pack("<Q", len(raw)) + payload).digest()
-                if key not in seen:
-                    seen.add(key)
-                    digests.append(key.hex())
-                    sizes.append(len(raw))
-                    media.append(to_media(payload))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["digest", "n_bytes", "media"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                digests, sizes, media = [], [], []
+                for value in batch.column(0):
+                    raw = (value.as_py() or "").encode()
+                    payload = payload_of(raw)
+                    key = hashlib.sha256(struct.pack("<Q", len(raw)) + payload).digest()
+                    if key not in seen:
+                        if len(seen) == SEEN:  # what comes again is stored again, and its figures are made one later
+                            seen.clear()
+                        seen.add(key)
+                        digests.append(key.hex())
+                        sizes.append(len(raw))
+                        media.append(to_media(payload))
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["digest", "n_bytes", "media"])
 
     return written(docs.select(docs[text].alias("text")).mapInArrow(run, "digest string, n_bytes long, media binary"), "media")
 

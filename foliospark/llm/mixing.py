@@ -105,7 +105,7 @@ def dealt(sized: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def select_blocks(sized: DataFrame, sources: DataFrame, quotas: DataFrame) -> DataFrame:
-    """Adds source_size, target and taken to rows of key, size, spread."""
+    """Adds source_size, target and taken to rows of key, size, spread; the key goes."""
     rows = dealt(sized, sources).drop("block", "all_blocks", "blocks", "n_shards").join(quotas, ["key", "shard"])
     order = Window.partitionBy("key", "shard").orderBy("spread", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("to", F.sum("size").over(order)).withColumn("from", F.col("to") - F.col("size"))
@@ -117,7 +117,7 @@ def select_blocks(sized: DataFrame, sources: DataFrame, quotas: DataFrame) -> Da
         return F.greatest(F.lit(0).cast("long"), F.least(F.col("to"), b) - F.greatest(F.col("from"), a))
 
     run = overlap(F.col("run_start"), F.col("run_end")) + overlap(F.lit(0).cast("long"), F.col("run_end") - F.col("shard_size"))
-    return rows.withColumn("taken", F.col("passes") * F.col("size") + run).drop("shard", "shard_size", "quota", "run_start", "run_end", "passes", "to", "from", "key", "spread")
+    return rows.withColumn("taken", F.col("passes") * F.col("size") + run).drop("shard", "shard_size", "quota", "run_start", "run_end", "passes", "to", "from", "key")
 
 
 def spread_of(doc_id: Column, text: Column, seed: int) -> Column:
@@ -144,12 +144,19 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, mixed: a row appears taken / size times, rounded, so not at all, once or twice. Columns stay."""
-    columns = docs.columns
+    """The documents themselves, mixed: a row appears taken / size times, rounded, so not at all, once or twice. Columns stay, whatever they are called.
+
+    The mix is made of sizes alone; a row's text meets its number of copies once, in a join on the id and its seeded place.
+    Rows equal in id and text share their copies evenly, and what is left over goes to one of them."""
     seed = options.get("seed", 17)
     sized = written(sized_rows(docs, seed=seed), "mix-sizes")
     sources, quotas = plan(sized, **options)
-    whole = docs.select(F.struct(*columns).alias("row"), source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), spread_of(F.col("doc_id"), F.col("text"), seed).alias("spread"))
-    rows = select_blocks(whole, sources, quotas)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
+    rows = select_blocks(sized, sources, quotas)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("long")
+    alike = rows.groupBy(F.col("doc_id").alias("its_id"), F.col("spread").alias("its_place")).agg(F.count("*").alias("rows"), F.sum(times).alias("copies")).where("copies > 0")
+    alike = written(alike, "mix-copies")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].alias("id"), spread_of(docs["doc_id"], docs["text"], seed).alias("place"))
+    here = lambda some: whole.join(some, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("place") == F.col("its_place")))
+    each = here(alike.where("copies >= rows")).select("row", F.floor(F.col("copies") / F.col("rows")).cast("int").alias("n"))
+    rest = here(alike.where("copies % rows > 0")).dropDuplicates(["id", "place"]).select("row", (F.col("copies") % F.col("rows")).cast("int").alias("n"))
+    return each.union(rest).select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

@@ -28,7 +28,6 @@ document's words.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 import ahocorasick

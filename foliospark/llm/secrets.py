@@ -9,7 +9,6 @@ lies wholly in one of those. Positions are code points of the whole text; a null
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import pyarrow as pa
@@ -110,27 +109,31 @@ def redacted(docs: DataFrame, *, text="text", n_chars="n_chars", mask="[SECRET]"
 
     def run(batches):
         encode = encoder(options["path"])
-        for batch in batches:
-            out = []
-            for value in batch.column(batch.schema.get_field_index(text)):
-                value = value.as_py()
-                found = spans(value, encode, ratio=options["ratio"], known=options["known"]) if value else []
-                if found:
-                    parts, at, end = [], 0, -1
-                    for _, a, b in found:
-                        if a >= end:
-                            if end >= 0:
-                                at = end
-                            parts += [value[at:a], mask]
-                            end = b
-                        end = max(end, b)
-                    value = "".join(parts) + value[end:]
-                out.append(value)
-            arrays = [pa.array(out, pa.string()) if c == text else batch.column(i) for i, c in enumerate(batch.schema.names)]
-            if n_chars in columns:
-                sizes = [None if v is None else len(v) for v in out]
-                i = batch.schema.get_field_index(n_chars)
-                arrays[i] = pa.array(sizes, batch.schema.field(i).type)
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+        for whole in batches:
+            for batch in slices(whole, text):
+                yield masked(batch, encode)
+
+    def masked(batch, encode):
+        out = []
+        for value in batch.column(batch.schema.get_field_index(text)):
+            value = value.as_py()
+            found = spans(value, encode, ratio=options["ratio"], known=options["known"]) if value else []
+            if found:
+                parts, at, end = [], 0, -1
+                for _, a, b in found:
+                    if a >= end:
+                        if end >= 0:
+                            at = end
+                        parts += [value[at:a], mask]
+                        end = b
+                    end = max(end, b)
+                value = "".join(parts) + value[end:]
+            out.append(value)
+        arrays = [pa.array(out, pa.string()) if c == text else batch.column(i) for i, c in enumerate(batch.schema.names)]
+        if n_chars in columns:
+            sizes = [None if v is None else len(v) for v in out]
+            i = batch.schema.get_field_index(n_chars)
+            arrays[i] = pa.array(sizes, batch.schema.field(i).type)
+        return pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

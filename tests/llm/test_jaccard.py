@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from foliospark.llm import jaccard
 from foliospark.llm.components import connected
 from foliospark.llm.shingles import shingle_sets
@@ -148,3 +150,14 @@ def test_connected(spark):
             parent[y] = x
     got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in list(parent)}
+
+
+def test_columns_of_any_name_stay(spark):
+    """Names that the operator uses itself, and a null id."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(5, text, "a"), (3, text + " eleven", "b"), (9, "other words altogether in this one here", "c"), (None, text, "d"), (7, None, "e"), (9, "other words altogether in this one here", "f")]
+    names = ["__id", "__mark", "__rows", "__its_mark", "id", "mark", "rows", "row", "its_id", "its_mark", "node", "part"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    out = jaccard.one_of_each(df, size=5, num=80, den=100)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"], r["source"] in "cf", r["its_mark"], r["part"]) for r in out.collect()) == [(3, False, 9, 11), (7, False, 9, 11), (9, True, 9, 11)]

@@ -63,3 +63,19 @@ def test_empty_table_and_documents(docs, empty):
     assert out.columns == docs.columns
     copies = out.groupBy("doc_id", "text").count().agg(F.max("count")).first()[0]
     assert copies <= 4  # the repeated row is there twice
+
+
+def test_rows_that_repeat_share_their_copies(spark):
+    """As many copies of each text come out as the mix of the single rows takes, with columns of any name."""
+    rows = [(1, "a b c d e f g h", "x")] * 7 + [(2, "i j k l", "x")] * 2 + [(i, f"w{i} " * 12, "y") for i in range(10, 40)] + [(None, "n n n n n", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in ("row", "id", "place", "rows", "copies", "n", "its_id", "spread", "key")}).repartition(4)
+    want = {}
+    for r in mix(df).collect():
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + int(r["taken"] / r["size"] + 0.5)
+    out = mixed_documents(df)
+    assert out.columns == df.columns
+    got = {}
+    for r in out.collect():
+        assert r["copies"] == "copies" and r["spread"] == "spread"
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+    assert got == {k: v for k, v in want.items() if v}
