@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.plans import contracts, documents, evidence, gate, hygiene, notes, notes_audit, package, provenance, relational, streams, structure, terms, text  # noqa: F401
+from foliospark.plans import contracts, documents, evidence, gate, hygiene, notes, notes_audit, package, provenance, quality, relational, streams, structure, terms, text  # noqa: F401
 from foliospark.plans.registry import ORACLES, QUERIES
 
 

@@ -15,26 +15,34 @@ def table(spark, schema, *rows):
     return spark.createDataFrame(list(rows), schema)
 
 
-@query(listed("expected", "entity string, code string", ("2", "unit_unknown"), ("2", "kind"), ("3", "unit_missing"), ("3", "evidence_missing"), ("3", "unchanged")))
-def repair_violations(spark, d):
-    repairs = table(spark, "id long, unit string, kind string, before string, after string, evidence string", (1, "u1", "ocr", "a", "b", "seen"), (2, "u9", "odd", "a", "b", "seen"), (3, "", "wrap", "x", "x", " "))
-    return c.repair_violations(repairs, table(spark, "unit string", ("u1",)))
+STYLED = Literal("style_rows", "id long, unit string, pattern string, style string", (1, "u1", "x+", "s1"), (2, "gone", None, "s9")).also("SELECT 10 + p_partkey, concat('u', p_size), CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE p_type END, concat('s', p_partkey % 9) FROM {part}")
+STYLE_UNITS = Literal("style_units", "unit string").also("SELECT DISTINCT concat('u', p_size) FROM {part} WHERE p_size <= 40")
 
 
-@query(listed("expected", "entity string, code string", ("2", "unit_unknown"), ("2", "style_unknown"), ("2", "pattern_missing")))
+@query(with_tables(STYLED, STYLE_UNITS) + """, j AS (SELECT s.*, u.unit IS NOT NULL AS known FROM style_rows s LEFT JOIN style_units u USING (unit))
+SELECT CAST(id AS VARCHAR) AS entity, 'unit_unknown' AS code FROM j WHERE NOT known UNION ALL SELECT CAST(id AS VARCHAR), 'style_unknown' FROM j WHERE style NOT IN ('s0', 's1', 's2', 's3', 's4', 's5', 's6') UNION ALL SELECT CAST(id AS VARCHAR), 'pattern_missing' FROM j WHERE trim(coalesce(pattern, '')) = ''""")
 def style_violations(spark, d):
-    rows = table(spark, "id long, unit string, pattern string, style string", (1, "u1", "x+", "s1"), (2, "u2", None, "s9"))
-    return c.style_violations(rows, table(spark, "unit string", ("u1",)), table(spark, "style string", ("s1",)))
+    return c.style_violations(STYLED.frame(spark, d), STYLE_UNITS.frame(spark, d), table(spark, "style string", *[(f"s{i}",) for i in range(7)]))
 
 
-@query(listed("expected", "entity string, code string", ("b", "policy"), ("c", "evidence_missing"), ("d", "repeated")))
+POLICIES = Literal("policies", "unit string, policy string, evidence string", ("a", "source", None), ("b", "odd", "e"), ("c", "product", ""), ("d", "none", ""), ("d", "none", "")).also(
+    "SELECT concat('u', CASE WHEN p_partkey % 11 = 1 THEN p_partkey - 1 ELSE p_partkey END), CASE p_size % 4 WHEN 0 THEN 'source' WHEN 1 THEN 'product' WHEN 2 THEN 'none' ELSE p_brand END, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN ' ' ELSE p_type END FROM {part}"
+)
+
+
+@query(with_tables(POLICIES) + """ SELECT DISTINCT unit AS entity, 'policy' AS code FROM policies WHERE policy NOT IN ('source', 'product', 'none') UNION ALL SELECT DISTINCT unit, 'evidence_missing' FROM policies WHERE policy = 'product' AND trim(coalesce(evidence, '')) = '' UNION ALL SELECT unit, 'repeated' FROM policies GROUP BY unit HAVING count(*) > 1""")
 def policy_violations(spark, d):
-    return c.policy_violations(table(spark, "unit string, policy string, evidence string", ("a", "source", None), ("b", "odd", "e"), ("c", "product", ""), ("d", "none", ""), ("d", "none", "")))
+    return c.policy_violations(POLICIES.frame(spark, d))
+
+
+INSERT_FILES = Literal("insert_files", "path string, value string", ("b", "broken"), ("d", None)).also(
+    """SELECT concat('f', p_partkey), CASE WHEN p_partkey % 5 = 0 THEN concat('broken ', p_name) ELSE concat(chr(123), '"id":"i-', p_partkey, '","type":"', CASE WHEN p_size % 2 = 0 THEN 'fig' ELSE 'table' END, '"', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat(',"source":', chr(123), '"page":', p_size, chr(125)) END, chr(125)) END FROM {part}"""
+)
 
 
-@query(listed("expected", "id string, type string, page long", ("fig-1", "fig", 3), ("tab-1", "table", None)))
+@query("SELECT 'i-' || p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'fig' ELSE 'table' END AS type, CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_size AS BIGINT) END AS page FROM part WHERE p_partkey % 5 <> 0")
 def insert_rows(spark, d):
-    return c.insert_rows(table(spark, "path string, value string", ("a", '{"id":"fig-1","type":"fig","source":{"page":3}}'), ("b", "broken"), ("c", '{"id":"tab-1","type":"table"}'), ("d", None)))
+    return c.insert_rows(INSERT_FILES.frame(spark, d))
 
 
 WORKS = Literal("works", "work string, schema_version long", ("a", 1), ("b", 1), ("c", 1), ("d", 1), ("e", 2)).also("SELECT concat('c', c_custkey), 1 + c_custkey % 10 % 9 % 2 FROM {customer}")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from foliospark.functions import markup, text as t
 from foliospark.functions.udfs import rtl_ratio
 from foliospark.plans.evidence import listed
+from foliospark.operators.gate import release
+from foliospark.plans.gate import DECIDED, FACTS
 from foliospark.plans.registry import Literal, query, with_tables
 from foliospark.session import read
 from foliospark.sources import documents as docs
@@ -161,10 +163,7 @@ def inline_code(spark, d):
     return CODE.frame(spark, d).select("id", markup.without_inline_code(F.col("s")).alias("prose"), markup.file_stem(F.col("s")).alias("stem"))
 
 
-@query("SELECT work, '{\"work\":\"' || work || '\",\"reason\":\"' || reason || '\",\"released\":' || (reason = 'ok') || '}' AS report FROM (" + "SELECT * FROM (VALUES ('w00', 'ok'), ('w01', 'terminology_open')) v(work, reason))")
+@query(with_tables(FACTS) + DECIDED + """ SELECT work, '{"work":"' || work || '","reason":"' || reason || '","released":' || CASE WHEN reason = 'ok' THEN 'true' ELSE 'false' END || '}' AS report FROM decided""")
 def release_report(spark, d):
-    """The release decision of a work as JSON."""
-    from foliospark.operators.gate import release
-    from foliospark.plans.gate import FACTS
-
-    return release(FACTS.frame(spark).where("work in ('w00', 'w01')")).select("work", F.to_json(F.struct("work", "reason", "released")).alias("report"))
+    """The release decision of each work as JSON."""
+    return release(FACTS.frame(spark, d)).select("work", F.to_json(F.struct("work", "reason", "released")).alias("report"))

@@ -114,30 +114,44 @@ def spine_anchors(spark, d):
     return e.anchored(MARKED.frame(spark, d))
 
 
-PUNCT = Literal("punct", "id long, s string, want string", (1, 'He «said» "yes" and "no', "He 《said》 「yes」 and 「no」"), (2, "wait... \"", "wait… 「」"), (3, "", ""), (4, "plain", "plain"), (5, '""', "「」"))
+PUNCT = Literal("punct", "id long, s string", (1, 'He «said» "yes" and "no'), (2, "wait... \""), (3, ""), (4, "plain"), (5, '""')).also(
+    "SELECT 100 + doc_id, concat('«', substr(text, 1, 20), '»', CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' \"a\"' WHEN 2 THEN ' \"b\" ... \"c' ELSE '\"\"\"' END, substr(text, 21, 30)) FROM {documents}"
+)
 
 
-@query(with_tables(PUNCT) + " SELECT id, want AS normal FROM punct")
+@query(with_tables(PUNCT) + """, p AS (SELECT id, string_split(replace(replace(replace(s, '«', '《'), '»', '》'), '...', '…'), '"') AS p FROM punct)
+SELECT id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i = len(p) THEN CASE WHEN len(p) % 2 = 0 THEN '」' ELSE '' END WHEN i % 2 = 1 THEN '「' ELSE '」' END), '') AS normal FROM p""")
 def target_punctuation(spark, d):
-    return PUNCT.frame(spark).select("id", e.punctuation(F.col("s")).alias("normal"))
+    return PUNCT.frame(spark, d).select("id", e.punctuation(F.col("s")).alias("normal"))
 
 
-NOTE_PAIRS = Literal("note_pairs", "id long, source_md string, target_md string", (1, "A note", ""), (2, "A note", "A  note"), (3, "A note", "一条注"), (4, "A note", "A note 注"), (5, "", ""), (6, "x", "7"), (7, "Abc", "ab注"))
+NOTE_PAIRS = Literal("note_pairs", "id long, source_md string, target_md string", (1, "A note", ""), (2, "A note", "A  note"), (3, "A note", "一条注"), (4, "A note", "A note 注"), (5, "", ""), (6, "x", "7"), (7, "Abc", "ab注")).also(
+    "SELECT 100 + doc_id, substr(text, 1, 12), CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN concat(' ', substr(text, 1, 6), '  ', substr(text, 7, 6)) WHEN 2 THEN concat('注释', doc_id) WHEN 3 THEN concat('abc注', doc_id) WHEN 4 THEN concat('注注注注 ab', doc_id) ELSE concat('note ', doc_id) END FROM {documents}"
+)
 
 
-@query(listed("expected", "id long, signals string", (1, "missing_target"), (2, "identical_to_source,no_target_script"), (3, ""), (4, "low_target_script"), (5, ""), (6, ""), (7, "")))
+@query(with_tables(NOTE_PAIRS) + f""", m AS (SELECT *, length(regexp_replace(target_md, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(target_md, '[^㐀-䶿一-鿿]', '', 'g')) AS han, {NOSPACE.format('source_md')} AS a, {NOSPACE.format('target_md')} AS b FROM note_pairs),
+k AS (SELECT id, [CASE WHEN trim(source_md) <> '' AND trim(target_md) = '' THEN 'missing_target' END, CASE WHEN trim(source_md) <> '' AND a = b THEN 'identical_to_source' END, CASE WHEN latin > 0 AND han = 0 THEN 'no_target_script' END, CASE WHEN han > 0 AND latin >= 3 AND 2 * han < latin + han THEN 'low_target_script' END] AS codes FROM m)
+SELECT id, array_to_string(list_filter(codes, lambda x: x IS NOT NULL), ',') AS signals FROM k""")
 def note_signals(spark, d):
-    return e.target_signals(NOTE_PAIRS.frame(spark), "zh-CN")
+    return e.target_signals(NOTE_PAIRS.frame(spark, d), "zh-CN")
 
 
-MEDIA_REFS = Literal("media_refs", "work string, ref string", ("a", "media/x.png"), ("a", "./media/y.png"), ("a", "old/media/x.png"), ("a", "deep/z.png"), ("a", "gone.png"), ("a", "mapped.png"), ("a", "../up/z.png"))
-FILES = Literal("files", "work string, path string", ("a", "media/x.png"), ("a", "media/y.png"), ("a", "z.png"), ("a", "new/m.png"), ("b", "gone.png"))
-MAPPED = Literal("mapped", "work string, ref string, path string", ("a", "mapped.png", "new/m.png"), ("a", "gone.png", "nowhere.png"))
+MEDIA_REFS = Literal("media_refs", "work string, ref string", ("a", "media/x.png"), ("a", "./media/y.png"), ("a", "old/media/x.png"), ("a", "deep/z.png"), ("a", "gone.png"), ("a", "mapped.png"), ("a", "../up/z.png")).also(
+    "SELECT concat('w', p_partkey % 6), concat(CASE p_partkey % 5 WHEN 0 THEN 'media/' WHEN 1 THEN './media/' WHEN 2 THEN 'old/media/' WHEN 3 THEN 'deep/' ELSE '' END, 'f', p_size, '.png', CASE WHEN p_partkey % 7 = 0 THEN '?v=1' ELSE '' END) FROM {part}"
+)
+FILES = Literal("files", "work string, path string", ("a", "media/x.png"), ("a", "media/y.png"), ("a", "z.png"), ("a", "new/m.png"), ("b", "gone.png")).also(
+    "SELECT DISTINCT concat('w', p_partkey % 6), concat(CASE WHEN p_size % 2 = 0 THEN 'media/' ELSE '' END, 'f', p_size, '.png') FROM {part} WHERE p_partkey % 3 < 2"
+)
+MAPPED = Literal("mapped", "work string, ref string, path string", ("a", "mapped.png", "new/m.png"), ("a", "gone.png", "nowhere.png")).also("SELECT DISTINCT concat('w', p_partkey % 6), concat('deep/f', p_size, '.png'), concat('media/f', p_size + 1, '.png') FROM {part} WHERE p_size % 5 = 0")
 
 
-@query(listed("expected", "work string, ref string, path string, strategy string", ("a", "media/x.png", "media/x.png", "exact"), ("a", "./media/y.png", "media/y.png", "exact"), ("a", "old/media/x.png", "media/x.png", "root"), ("a", "deep/z.png", "z.png", "basename"), ("a", "gone.png", None, "missing"), ("a", "mapped.png", "new/m.png", "mapped"), ("a", "../up/z.png", "z.png", "basename")))
+@query(with_tables(MEDIA_REFS, FILES, MAPPED) + r""", r AS (SELECT DISTINCT work, ref, regexp_replace(regexp_replace(trim(ref), '^(?:\./)+|^/+', ''), '[?#].*$', '') AS clean FROM media_refs),
+tries AS (SELECT work, ref, 1 AS rank, 'exact' AS strategy, clean AS path FROM r UNION ALL SELECT work, ref, 2, 'root', regexp_replace(clean, '^.*media/', 'media/') FROM r UNION ALL SELECT work, ref, 3, 'basename', regexp_extract(clean, '([^/]*)$', 1) FROM r),
+every_ AS (SELECT * FROM tries WHERE NOT contains(path, '../') UNION ALL SELECT work, ref, 0, 'mapped', path FROM mapped), hit AS (SELECT e.*, row_number() OVER (PARTITION BY e.work, ref ORDER BY rank, strategy, e.path) AS n FROM every_ e JOIN (SELECT DISTINCT work, path FROM files) f ON f.work = e.work AND f.path = e.path)
+SELECT r.work, r.ref, h.path, coalesce(h.strategy, 'missing') AS strategy FROM r LEFT JOIN hit h ON h.work = r.work AND h.ref = r.ref AND n = 1""")
 def media_resolution(spark, d):
-    return e.resolved_media(MEDIA_REFS.frame(spark), FILES.frame(spark), MAPPED.frame(spark), basename=True)
+    return e.resolved_media(MEDIA_REFS.frame(spark, d), FILES.frame(spark, d), MAPPED.frame(spark, d), basename=True)
 
 
 STANDING = Literal("standing_errata", "unit string, locator string, reading string, evidence string, status string", ("a", "p1", "old", "e", "confirmed"), ("a", "p2", "old", "e", "proposed"))

@@ -117,14 +117,21 @@ CASES = [{}, {"terminology_open": 2, "structure_open": 1}, {"conflicts_open": 1,
 FACTS = Literal(
     "release_facts", "work string, terminology_open long, conflicts_open long, structure_open long, review_inconsistent long, review_unknown long, review_open long, contract string, confirmed long, patched long, notes_open long, notes_review_open long, audit_ok boolean, catalog_open long, coverage double, provenance_errors long, check_ran boolean, check_code long, check_errors long",
     *[(f"w{i:02d}", *{**BASE, **case}.values()) for i, case in enumerate(CASES)],
+).also(
+    """SELECT concat('d', doc_id), CASE WHEN doc_id % 17 = 1 THEN 1 ELSE 0 END, CASE WHEN doc_id % 19 = 2 THEN 2 ELSE 0 END, CASE WHEN doc_id % 23 = 3 THEN 1 ELSE 0 END, CASE WHEN doc_id % 29 = 4 THEN 1 ELSE 0 END, CASE WHEN doc_id % 31 = 5 THEN 1 ELSE 0 END, CASE WHEN doc_id % 7 = 6 THEN 1 ELSE 0 END,
+    CASE doc_id % 3 WHEN 0 THEN 'v2' WHEN 1 THEN 'legacy' ELSE 'none' END, doc_id % 5 % 2, doc_id % 4, CASE WHEN doc_id % 37 = 1 THEN 1 ELSE 0 END, CASE WHEN doc_id % 41 = 2 THEN 1 ELSE 0 END, doc_id % 13 <> 3, CASE WHEN doc_id % 43 = 4 THEN 1 ELSE 0 END, CASE WHEN doc_id % 11 = 5 THEN 0.5 WHEN doc_id % 11 = 6 THEN NULL ELSE 1.0 END,
+    CASE WHEN doc_id % 47 = 6 THEN 1 ELSE 0 END, doc_id % 9 <> 7, CASE WHEN doc_id % 10 = 8 THEN 1 WHEN doc_id % 10 = 9 THEN NULL ELSE 0 END, CASE WHEN doc_id % 53 = 1 THEN 1 ELSE 0 END FROM {documents}"""
 )
-DECIDED = Literal("expected_release", "work string, reason string", *[(f"w{i:02d}", r) for i, r in enumerate(["ok", "terminology_open", "glossary_conflict_open", "structure_open", "review_inconsistent", "review_unknown", "unresolved_confirmed", "unresolved_confirmed", "ok", "notes_open", "notes_review_open", "audit_failed", "catalog_open", "provenance_incomplete", "ok", "provenance_incomplete", "epubcheck_not_run", "epubcheck_errors", "epubcheck_errors", "epubcheck_errors"])])
+#: The truth table: the first reason from above that holds. The decisions of the literal rows are held in the tests.
+DECIDED = """, decided AS (SELECT work, CASE WHEN terminology_open > 0 THEN 'terminology_open' WHEN conflicts_open > 0 THEN 'glossary_conflict_open' WHEN structure_open > 0 THEN 'structure_open' WHEN review_inconsistent > 0 THEN 'review_inconsistent' WHEN review_unknown > 0 THEN 'review_unknown'
+  WHEN (contract <> 'none' AND review_open > 0) OR (contract = 'none' AND confirmed > patched) THEN 'unresolved_confirmed' WHEN notes_open > 0 THEN 'notes_open' WHEN notes_review_open > 0 THEN 'notes_review_open' WHEN NOT audit_ok THEN 'audit_failed' WHEN catalog_open > 0 THEN 'catalog_open'
+  WHEN provenance_errors > 0 OR coverage < 0.9999 THEN 'provenance_incomplete' WHEN NOT check_ran THEN 'epubcheck_not_run' WHEN check_code IS NULL OR check_code <> 0 OR check_errors > 0 THEN 'epubcheck_errors' ELSE 'ok' END AS reason FROM release_facts)"""
+LITERAL_DECISIONS = ["ok", "terminology_open", "glossary_conflict_open", "structure_open", "review_inconsistent", "review_unknown", "unresolved_confirmed", "unresolved_confirmed", "ok", "notes_open", "notes_review_open", "audit_failed", "catalog_open", "provenance_incomplete", "ok", "provenance_incomplete", "epubcheck_not_run", "epubcheck_errors", "epubcheck_errors", "epubcheck_errors"]
 
 
-@query(with_tables(DECIDED) + " SELECT work, reason, reason = 'ok' AS released FROM expected_release")
+@query(with_tables(FACTS) + DECIDED + " SELECT work, reason, reason = 'ok' AS released FROM decided")
 def release_decision(spark, d):
-    """One row a line of the truth table, worked by hand."""
-    return g.release(FACTS.frame(spark))
+    return g.release(FACTS.frame(spark, d))
 
 
 REVIEWS = Literal(
@@ -168,25 +175,30 @@ ROUNDS = Literal(
     "rounds", "work string, round long, has_issues boolean, summary string, unresolved boolean",
     *[("clean", i, False, None, False) for i in (1, 2, 3)], *[("cycle", i, True, "ABAB"[i - 1], False) for i in (1, 2, 3, 4)], *[("max", i, i % 2 == 1, str(i), False) for i in range(1, 8)],
     ("fix", 1, True, "x", True), ("fix", 2, False, None, True), ("open", 1, True, "x", False), ("open", 2, True, "y", False), ("skip", 1, True, "A", False), ("skip", 2, False, None, False), ("skip", 3, True, "B", False), ("skip", 4, True, "A", False),
-)
-ENDED = Literal("expected_ends", "work string, round long, termination string", ("clean", 2, "clean_confirmed"), ("cycle", 3, "no_progress"), ("max", 6, "max_rounds"), ("fix", 2, "unresolved_fixes"), ("open", 2, ""), ("skip", 4, "no_progress"))
+).also("SELECT concat(source, '-', doc_id % 7), doc_id, (doc_id * 31) % 5 < 3, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat('x', doc_id % 2) END, doc_id % 4 = 0 FROM {documents}")
+ENDED = """, r AS (SELECT *, row_number() OVER w AS n, sum(CASE WHEN has_issues THEN 1 ELSE 0 END) OVER w AS bad FROM rounds WINDOW w AS (PARTITION BY work ORDER BY round)), s AS (SELECT *, sum(CASE WHEN has_issues THEN 0 ELSE 1 END) OVER (PARTITION BY work, bad ORDER BY round) AS streak FROM r),
+b AS (SELECT work, round, lag(coalesce(summary, ''), 2) OVER (PARTITION BY work ORDER BY round) = coalesce(summary, '') AS cycle FROM rounds WHERE has_issues),
+t AS (SELECT s.work, s.round, CASE WHEN coalesce(cycle, false) THEN 'no_progress' WHEN streak >= 2 THEN 'clean_confirmed' WHEN unresolved AND NOT has_issues THEN 'unresolved_fixes' WHEN n >= 6 THEN 'max_rounds' END AS termination FROM s LEFT JOIN b ON b.work = s.work AND b.round = s.round),
+first AS (SELECT work, min(CASE WHEN termination IS NOT NULL THEN round END) AS stop, max(round) AS last FROM t GROUP BY work)"""
 
 
-@query(with_tables(ENDED) + " SELECT * FROM expected_ends")
+@query(with_tables(ROUNDS) + ENDED + " SELECT f.work, coalesce(stop, last) AS round, coalesce(termination, '') AS termination FROM first f LEFT JOIN t ON t.work = f.work AND t.round = f.stop")
 def review_convergence(spark, d):
-    return k.convergence(ROUNDS.frame(spark))
+    return k.convergence(ROUNDS.frame(spark, d))
 
 
 BATCHES = Literal(
     "batches", "batch string, book string, version string, digest string",
     ("b1", "x", "1.2", "d1"), ("b2", "x", "1.10", "d2"), ("b3", "y", "1.0", "d3"), ("b4", "y", "1.0", "d4"), ("b5", "x", "1.2", "d1"), ("b5", "z", "2.0", "d5"), ("b6", "z", "1.9", "d6"), ("b7", "q", None, "d7"), ("b8", "x", "v1.9", "d8"),
-)
-ACTIONS = Literal("expected_actions", "batch string, action string", ("b1", "move"), ("b2", "keep"), ("b3", "blocked"), ("b4", "blocked"), ("b5", "hold"), ("b6", "move"), ("b7", "hold"), ("b8", "move"))
+).also("SELECT concat('p', CAST(floor(p_partkey / 3) AS BIGINT)), concat('k', p_partkey % 90), CASE WHEN p_partkey % 13 = 4 THEN NULL ELSE concat(CASE WHEN p_partkey % 5 = 0 THEN 'v' ELSE '' END, p_partkey % 3, '.', p_size % 14) END, concat('d', p_size % 40) FROM {part}")
+#: Versions have two parts here; longer ones are in the tests.
+ACTIONS = """, x AS (SELECT *, CAST(split_part(regexp_replace(version, '^[vV]', ''), '.', 1) AS INTEGER) * 1000 + CAST(split_part(version, '.', 2) AS INTEGER) AS v FROM batches), y AS (SELECT *, max(v) OVER (PARTITION BY book) AS top FROM x), c AS (SELECT book, version, count(DISTINCT digest) AS n FROM batches WHERE version IS NOT NULL GROUP BY ALL),
+s AS (SELECT batch, bool_or(coalesce(n, 0) > 1) AS clash, bool_or(v IS NULL) AS bare, bool_and(v = top) AS every_, bool_or(v = top) AS some_ FROM y LEFT JOIN c ON c.book = y.book AND c.version = y.version GROUP BY batch)"""
 
 
-@query(with_tables(ACTIONS) + " SELECT * FROM expected_actions")
+@query(with_tables(BATCHES) + ACTIONS + " SELECT batch, CASE WHEN clash THEN 'blocked' WHEN bare THEN 'hold' WHEN every_ THEN 'keep' WHEN some_ THEN 'hold' ELSE 'move' END AS action FROM s")
 def archive_plan(spark, d):
-    return k.archive_plan(BATCHES.frame(spark))
+    return k.archive_plan(BATCHES.frame(spark, d))
 
 
 @query(f"WITH {UNITS}, n AS (SELECT work, unit, {NOSPACE.format('text')} AS body FROM units) SELECT * FROM (SELECT work, unit, count(*) OVER (PARTITION BY work, body) AS n FROM n) WHERE n > 1")

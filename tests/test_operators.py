@@ -417,3 +417,17 @@ def test_passages_by_their_rarest_windows(spark):
 def test_normal_forms_are_composed(spark):
     df = spark.createDataFrame([("é",), ("é",), ("ﬁ Ａ ㍿",), (None,)], "s string")
     assert [r[0] for r in df.select(nfkc("s")).collect()] == ["é", "é", "fi A 株式会社", None]
+
+
+def test_decisions_worked_by_hand(spark):
+    """One row a line of the truth table of releases, the ends of reviews and the plan of an archive."""
+    from foliospark.plans import gate as plans
+
+    decided = {r["work"]: r["reason"] for r in gate.release(plans.FACTS.frame(spark)).collect()}
+    assert [decided[f"w{i:02d}"] for i in range(len(plans.LITERAL_DECISIONS))] == plans.LITERAL_DECISIONS
+    ends = rows(ledger.convergence(plans.ROUNDS.frame(spark)), "work", "round", "termination")
+    assert ends == [("clean", 2, "clean_confirmed"), ("cycle", 3, "no_progress"), ("fix", 2, "unresolved_fixes"), ("max", 6, "max_rounds"), ("open", 2, ""), ("skip", 4, "no_progress")]
+    plan = rows(ledger.archive_plan(plans.BATCHES.frame(spark)), "batch", "action")
+    assert plan == [("b1", "move"), ("b2", "keep"), ("b3", "blocked"), ("b4", "blocked"), ("b5", "hold"), ("b6", "move"), ("b7", "hold"), ("b8", "move")]
+    index = spark.createDataFrame([("w", "i", i, x) for i, x in enumerate(["guilds, 12, 98-9, 104", "- moot 7", "see also halls", "Treaty of 1648, 3", "war, 1914, 1918", "towns 5 6"])], "work string, unit string, line long, text string")
+    assert rows(toc.index_entries(index), "line", "label", "refs") == [(0, "guilds", "12;98-9;104"), (1, "moot", "7"), (2, "see also halls", ""), (3, "Treaty of 1648", "3"), (4, "war, 1914, 1918", ""), (5, "towns", "5;6")]
