@@ -15,6 +15,18 @@ def table(spark, schema, *rows):
     return spark.createDataFrame(list(rows), schema)
 
 
+REPAIRS = Literal("repairs", "id long, unit string, kind string, before string, after string, evidence string", (1, "u1", "ocr", "a", "b", "e"), (2, "", "ocr", "a", "a", " ")).also(
+    "SELECT 10 + p_partkey, CASE WHEN p_partkey % 17 = 3 THEN NULL ELSE concat('u', p_size) END, CASE p_partkey % 4 WHEN 0 THEN 'ocr' WHEN 1 THEN 'wrap' WHEN 2 THEN p_brand ELSE 'order' END, p_name, CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE p_type END, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE 'e' END FROM {part}"
+)
+REPAIR_UNITS = Literal("repair_units", "unit string", ("u1",)).also("SELECT DISTINCT concat('u', p_size) FROM {part} WHERE p_size <= 40 AND p_size > 1")
+
+
+@query(with_tables(REPAIRS, REPAIR_UNITS) + """, j AS (SELECT r.*, u.unit IS NOT NULL AS known, CAST(id AS VARCHAR) AS entity, trim(coalesce(r.unit, '')) = '' AS bare FROM repairs r LEFT JOIN repair_units u ON u.unit = r.unit)
+SELECT entity, 'unit_missing' AS code FROM j WHERE bare UNION ALL SELECT entity, 'unit_unknown' FROM j WHERE NOT bare AND NOT known UNION ALL SELECT entity, 'kind' FROM j WHERE kind IS NULL OR kind NOT IN ('hyphen', 'wrap', 'ocr', 'order', 'duplicate', 'other') UNION ALL SELECT entity, 'evidence_missing' FROM j WHERE trim(coalesce(evidence, '')) = '' UNION ALL SELECT entity, 'unchanged' FROM j WHERE before = after""")
+def repair_violations(spark, d):
+    return c.repair_violations(REPAIRS.frame(spark, d), REPAIR_UNITS.frame(spark, d))
+
+
 STYLED = Literal("style_rows", "id long, unit string, pattern string, style string", (1, "u1", "x+", "s1"), (2, "gone", None, "s9")).also("SELECT 10 + p_partkey, concat('u', p_size), CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE p_type END, concat('s', p_partkey % 9) FROM {part}")
 STYLE_UNITS = Literal("style_units", "unit string").also("SELECT DISTINCT concat('u', p_size) FROM {part} WHERE p_size <= 40")
 
@@ -93,9 +105,14 @@ def registered_numbers(spark, d):
     return p.registered_numbers(keyed(REG_REFS.frame(spark, d)), keyed(REG_NOTES.frame(spark, d)))
 
 
-@query(listed("expected", "entity string, code string", ("n2", "disposition"), ("n2", "reason_missing"), ("n3", "contradiction")))
+ENTRIES = Literal("entries", "note_id string, disposition string, reason string, signals string", ("n1", "kept", "name", "identical"), ("n2", "odd", "", ""), ("n3", "translated", "done", "missing_target")).also(
+    "SELECT concat('m', doc_id), CASE doc_id % 5 WHEN 0 THEN 'translated' WHEN 1 THEN 'kept' WHEN 2 THEN 'retranslate' WHEN 3 THEN NULL ELSE source END, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE 'r' END, CASE WHEN doc_id % 3 = 0 THEN 'identical' ELSE '' END FROM {documents}"
+)
+
+
+@query(with_tables(ENTRIES) + """ SELECT note_id AS entity, 'disposition' AS code FROM entries WHERE coalesce(disposition, '') NOT IN ('translated', 'kept', 'retranslate') UNION ALL SELECT note_id, 'reason_missing' FROM entries WHERE trim(reason) = '' UNION ALL SELECT note_id, 'contradiction' FROM entries WHERE disposition = 'translated' AND trim(signals) <> ''""")
 def disposition_violations(spark, d):
-    return c.disposition_violations(table(spark, "note_id string, disposition string, reason string, signals string", ("n1", "kept", "name", "identical"), ("n2", "odd", "", ""), ("n3", "translated", "done", "missing_target")))
+    return c.disposition_violations(ENTRIES.frame(spark, d))
 
 
 RESULTS = Literal("check_results", "item string, result string", ("a", "pass"), ("a", "fail"), ("a", "manual"), ("b", "pass"), ("b", "manual"), ("c", "pass"), ("d", "none"))

@@ -154,19 +154,27 @@ def media_resolution(spark, d):
     return e.resolved_media(MEDIA_REFS.frame(spark, d), FILES.frame(spark, d), MAPPED.frame(spark, d), basename=True)
 
 
-STANDING = Literal("standing_errata", "unit string, locator string, reading string, evidence string, status string", ("a", "p1", "old", "e", "confirmed"), ("a", "p2", "old", "e", "proposed"))
-BATCH = Literal("batch_errata", "unit string, locator string, reading string, evidence string, status string", ("a", "p1", "new", "e", "proposed"), ("a", "p2", "new", "e", "confirmed"), ("b", "p1", "new", "e", "proposed"))
-BAD = Literal("bad_errata", "unit string, locator string, reading string, evidence string, status string", ("a", "p3", "", "e", "odd"), ("a", "p4", "r", "e", "proposed"), ("a", "p4", "r", "e", "proposed"))
+STANDING = Literal("standing_errata", "unit string, locator string, reading string, evidence string, status string", ("a", "p1", "old", "e", "confirmed"), ("a", "p2", "old", "e", "proposed")).also(
+    "SELECT concat('u', doc_id % 50), concat('p', doc_id), concat('old ', doc_id), 'e', CASE WHEN doc_id % 3 = 0 THEN 'confirmed' ELSE 'proposed' END FROM {documents} WHERE doc_id % 4 <> 1"
+)
+BATCH = Literal("batch_errata", "unit string, locator string, reading string, evidence string, status string", ("a", "p1", "new", "e", "proposed"), ("a", "p2", "new", "e", "confirmed"), ("b", "p1", "new", "e", "proposed")).also(
+    "SELECT concat('u', doc_id % 50), concat('p', doc_id), concat('new ', doc_id), 'e', CASE WHEN doc_id % 5 = 0 THEN 'confirmed' ELSE 'proposed' END FROM {documents} WHERE doc_id % 2 = 0 OR doc_id % 7 = 1"
+)
+BAD = Literal("bad_errata", "unit string, locator string, reading string, evidence string, status string", ("a", "p3", "", "e", "odd"), ("a", "p4", "r", "e", "proposed"), ("a", "p4", "r", "e", "proposed")).also(
+    "SELECT CASE WHEN doc_id % 23 = 5 THEN ' ' ELSE concat('u', CAST(floor(doc_id / 20) AS BIGINT)) END, concat('p', doc_id - CASE WHEN doc_id % 9 = 4 THEN 1 ELSE 0 END), CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE 'r' END, CASE WHEN doc_id % 8 = 3 THEN NULL ELSE 'e' END, CASE doc_id % 10 WHEN 7 THEN 'odd' WHEN 8 THEN NULL ELSE 'proposed' END FROM {documents}"
+)
 
 
-@query(listed("expected", "unit string, locator string, reading string, status string", ("a", "p1", "old", "confirmed"), ("a", "p2", "new", "confirmed"), ("b", "p1", "new", "proposed")))
+@query(with_tables(STANDING, BATCH) + """ SELECT coalesce(n.unit, s.unit) AS unit, coalesce(n.locator, s.locator) AS locator, CASE WHEN n.unit IS NULL OR (s.status = 'confirmed' AND n.status = 'proposed') THEN s.reading ELSE n.reading END AS reading,
+CASE WHEN n.unit IS NULL OR (s.status = 'confirmed' AND n.status = 'proposed') THEN s.status ELSE n.status END AS status FROM standing_errata s FULL JOIN batch_errata n ON n.unit = s.unit AND n.locator = s.locator""")
 def errata_merge(spark, d):
-    return e.errata(STANDING.frame(spark), BATCH.frame(spark))[0].select("unit", "locator", "reading", "status")
+    return e.errata(STANDING.frame(spark, d), BATCH.frame(spark, d))[0].select("unit", "locator", "reading", "status")
 
 
-@query(listed("expected", "unit string, locator string, code string", ("a", "p3", "reading_missing"), ("a", "p3", "status"), ("a", "p4", "repeated")))
+@query(with_tables(BAD) + """, b AS (SELECT *, count(*) OVER (PARTITION BY unit, locator) AS n FROM bad_errata) SELECT DISTINCT unit, locator, code FROM (SELECT unit, locator, 'unit_missing' AS code FROM b WHERE trim(unit) = '' UNION ALL SELECT unit, locator, 'reading_missing' FROM b WHERE trim(reading) = '' UNION ALL SELECT unit, locator, 'evidence_missing' FROM b WHERE trim(coalesce(evidence, '')) = ''
+UNION ALL SELECT unit, locator, 'status' FROM b WHERE status IS NULL OR status NOT IN ('proposed', 'confirmed') UNION ALL SELECT unit, locator, 'repeated' FROM b WHERE n > 1)""")
 def errata_violations(spark, d):
-    return e.errata(STANDING.frame(spark), BAD.frame(spark))[1]
+    return e.errata(STANDING.frame(spark, d), BAD.frame(spark, d))[1]
 
 
 CANDS = Literal(
