@@ -138,19 +138,21 @@ REVIEWS = Literal(
     "reviews", "work string, review string, scope string, units array<string>, parents array<string>, digest string",
     ("w", "r1", "full", [], [], "d1"), ("w", "r2", "units", ["a"], ["r1"], "d1"), ("w", "r3", "full", [], ["r2", "r9"], "d1"), ("w", "r4", "units", ["b"], ["r4"], "d2"), ("w", "r5", "full", [], ["r3", "r6"], "d2"), ("w", "r6", "units", [], [], "d2"),
     ("x", "r1", "full", [], ["r2"], "d1"), ("x", "r2", "full", [], ["r1"], "d1"), ("x", "r3", "full", [], ["r2"], "d1"),
+).also(
+    "SELECT concat('d', CAST(floor(doc_id / 8) AS BIGINT)), concat('r', 1000000 + doc_id), CASE WHEN doc_id % 3 = 0 THEN 'full' ELSE 'units' END, {list}('a'), {list}(concat('r', 1000000 + CASE WHEN doc_id % 29 = 3 THEN doc_id WHEN doc_id % 31 = 4 THEN doc_id + 1 ELSE doc_id - 1 END), concat('r', 1000000 + doc_id - 3)), concat('d', doc_id % 2) FROM {documents}"
 )
 EDGES = ", e AS (SELECT DISTINCT work, review, parent FROM (SELECT work, review, unnest(parents) AS parent FROM reviews) WHERE (work, parent) IN (SELECT (work, review) FROM reviews))"
 
 
 @query(with_tables(REVIEWS).replace("WITH ", "WITH RECURSIVE ", 1) + EDGES + ", up(work, review, ancestor) AS (SELECT work, review, parent FROM e UNION SELECT up.work, up.review, e.parent FROM up JOIN e ON up.work = e.work AND up.ancestor = e.review) SELECT work, review, ancestor FROM up")
 def review_lineage(spark, d):
-    return k.ancestors(REVIEWS.frame(spark))
+    return k.ancestors(REVIEWS.frame(spark, d))
 
 
 @query(with_tables(REVIEWS) + """, p AS (SELECT work, review, unnest(parents) AS parent FROM reviews)
 SELECT * FROM (SELECT p.work, p.review, CASE WHEN parent = p.review THEN 'parent_self' WHEN q.review IS NULL THEN 'parent_missing' WHEN parent > p.review THEN 'parent_not_earlier' END AS code, parent FROM p LEFT JOIN reviews q ON p.work = q.work AND p.parent = q.review) WHERE code IS NOT NULL""")
 def lineage_findings(spark, d):
-    return k.lineage_findings(REVIEWS.frame(spark))
+    return k.lineage_findings(REVIEWS.frame(spark, d))
 
 
 ISSUES = Literal("issues", "work string, review string, issue string, unit string", ("w", "r1", "i1", "a"), ("w", "r1", "i2", "b"), ("w", "r1", "i3", "a"), ("w", "r3", "i4", "b"), ("x", "r1", "i1", "a"))
