@@ -91,7 +91,7 @@ def filter_of(values: DataFrame, bits: int) -> bytes:
         pieces = [np.frombuffer(x, np.uint8) for x in table.column("piece").to_pylist()]
         return pa.table({"at": table.column("at").slice(0, 1), "piece": pa.array([np.bitwise_or.reduce(pieces).tobytes()], pa.binary())})
 
-    pieces = values.repartition(FILTER_TASKS).mapInArrow(make, "at int, piece binary").groupBy("at").applyInArrow(merge, "at int, piece binary")
+    pieces = values.coalesce(FILTER_TASKS).mapInArrow(make, "at int, piece binary").groupBy("at").applyInArrow(merge, "at int, piece binary")
     out = bytearray((1 << bits) // 8)
     for row in pieces.toLocalIterator():  # 2 ** bits bits in all
         out[row["at"] * PIECE : row["at"] * PIECE + len(row["piece"])] = row["piece"]
