@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import text as t
 from foliospark.functions.udfs import content_blocks, image_dimensions, index_line, markdown_chunks, nfkc, note_numbers, tables_of
 from foliospark.operators import align, checks, evidence, gate, hygiene, ledger, pages, passages, structure, terms, toc
+from foliospark.plans import catalogue
 from foliospark.streaming import events
 
 
@@ -347,6 +348,14 @@ def test_blocks_are_consumed_in_order(spark):
     assert pages.consumed(["A", "B", "A"], "A B") == [True, True, False] and pages.consumed([], "") == []
 
 
+def test_blocks_and_texts_of_one_table(spark, tmp_path):
+    """Both sides of the query are selections of one table, whose columns Spark knows by the same ids."""
+    docs = [(u, "s", "\n".join(f"word{i} of {u}" for i in range(1, 5))) for u in (1, 2)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.queries()["ordered_containment"](spark, str(tmp_path))
+    assert rows(got, "unit", "headings", "paragraphs", "missing_count", "missing") == [(1, 1, 3, 1, "3"), (2, 1, 3, 1, "3")]
+
+
 def test_consumption_against_a_plain_search():
     r = random.Random(8)
     for _ in range(300):
