@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import version_key
+from foliospark.session import written
+
+WAY = ["work", "review", "ancestor"]
 
 
 def ancestors(reviews: DataFrame) -> DataFrame:
-    """work, review, ancestor: the closure over known parents, by a recursive query; a cycle ends where it meets itself."""
-    spark = reviews.sparkSession
-    edges = reviews.select("work", "review", F.explode("parents").alias("parent")).join(reviews.select("work", F.col("review").alias("parent")), ["work", "parent"], "left_semi").distinct()
-    edges.createOrReplaceTempView("folio_review_edges")
-    found = spark.sql("""
-        WITH RECURSIVE up(work, review, ancestor, path) AS (
-          SELECT work, review, parent, array(review, parent) FROM folio_review_edges
-          UNION ALL
-          SELECT up.work, up.review, e.parent, array_append(up.path, e.parent) FROM up JOIN folio_review_edges e ON up.work = e.work AND up.ancestor = e.review WHERE NOT array_contains(slice(up.path, 2, 1000000), e.parent))
-        SELECT DISTINCT work, review, ancestor FROM up""")
-    return found
+    """work, review, ancestor: the closure over known parents; a cycle ends where it meets itself.
+
+    A round lengthens all ways found so far by ways of exactly 2, 4, 8 ... steps, so that the rounds are as many as the
+    logarithm of the longest way. A work rests when a round finds nothing new in it. Every round is written out, and
+    meets on work and review, so that a work isn't one group."""
+    known = reviews.select("work", F.col("review").alias("ancestor"))
+    edges = reviews.select("work", "review", F.explode("parents").alias("ancestor")).join(known, ["work", "ancestor"], "left_semi").select(*WAY).distinct()
+    found = leap = written(edges, "lineage")
+    parts = [found]
+    while True:
+        on = leap.select("work", F.col("review").alias("ancestor"), F.col("ancestor").alias("further"))
+        after = lambda ways: ways.join(on, ["work", "ancestor"]).select("work", "review", F.col("further").alias("ancestor")).distinct()  # noqa: B023, E731
+        new = written(after(found).join(found, WAY, "left_anti"), "lineage")
+        if new.isEmpty():
+            return reduce(DataFrame.union, parts)
+        parts.append(new)
+        going = new.select("work").distinct()
+        leap = written(after(leap.join(going, "work", "left_semi")), "lineage")
+        found = written(found.join(going, "work", "left_semi").union(new), "lineage")
 
 
 def lineage_findings(reviews: DataFrame) -> DataFrame:

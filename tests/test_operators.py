@@ -440,3 +440,24 @@ def test_decisions_worked_by_hand(spark):
     assert plan == [("b1", "move"), ("b2", "keep"), ("b3", "blocked"), ("b4", "blocked"), ("b5", "hold"), ("b6", "move"), ("b7", "hold"), ("b8", "move")]
     index = spark.createDataFrame([("w", "i", i, x) for i, x in enumerate(["guilds, 12, 98-9, 104", "- moot 7", "see also halls", "Treaty of 1648, 3", "war, 1914, 1918", "towns 5 6"])], "work string, unit string, line long, text string")
     assert rows(toc.index_entries(index), "line", "label", "refs") == [(0, "guilds", "12;98-9;104"), (1, "moot", "7"), (2, "see also halls", ""), (3, "Treaty of 1648", "3"), (4, "war, 1914, 1918", ""), (5, "towns", "5;6")]
+
+
+def test_long_lineages(spark):
+    """A chain longer than a recursive query's levels, and cycles that end where they meet themselves."""
+    chain = [("long", i, [i - 1]) for i in range(130)]
+    ring = [("ring", i, [(i + 1) % 5, i, 77]) for i in range(5)]
+    r = random.Random(3)
+    wild = [("wild", i, [r.randrange(14) for _ in range(r.randrange(3))]) for i in range(12)]
+    got = ledger.ancestors(spark.createDataFrame(chain + ring + wild, "work string, review long, parents array<long>"))
+    want = set()
+    for work, tree in (("long", chain), ("ring", ring), ("wild", wild)):
+        up = {i: [p for p in parents if 0 <= p < len(tree)] for _, i, parents in tree}
+        for i in up:
+            seen, todo = set(), list(up[i])
+            while todo:
+                if (x := todo.pop()) not in seen:
+                    seen.add(x)
+                    todo += up[x]
+            want |= {(work, i, x) for x in seen}
+    found = [tuple(x) for x in got.collect()]
+    assert len(found) == len(want) and set(found) == want
