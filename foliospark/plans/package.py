@@ -207,9 +207,21 @@ ENTRY_SQL = r"""told AS (SELECT work, unit, line, regexp_replace(text, '^- ', ''
 entries AS (SELECT work, unit, line, regexp_replace(text, '(?:, [0-9]+(?:-[0-9]+)?)+$', '') AS label, array_to_string(regexp_extract_all(regexp_extract(text, '((?:, [0-9]+(?:-[0-9]+)?)+)$', 1), '[0-9]+(?:-[0-9]+)?'), ';') AS refs FROM told)"""
 
 
-@query(with_tables(INDEX) + ", " + ENTRY_SQL + " SELECT *, refs = '' AS unresolved FROM entries")
+#: All lines: the hand cases, those above, and every part's with references and both ends of a range in full.
+INDEX_WHOLE = Literal(
+    "index_lines", "work string, unit string, line long, text string",
+    ("i", "i", 1, "guilds, 12, 98-9, 104"), ("i", "i", 2, "- moot 7"), ("i", "i", 3, "see also halls"), ("i", "i", 4, "Treaty of 1648, 3"), ("i", "i", 5, "# Index"), ("i", "i", 6, "war, 1914, 1918"), ("i", "i", 7, "late, 400"), ("i", "i", 8, ""), ("i", "i", 9, "towns 5 6"),
+).also(
+    INDEX.derived + " UNION ALL SELECT 'v', concat('p', p_size), p_partkey, concat(CASE WHEN p_partkey % 5 = 0 THEN '- ' ELSE '' END, p_name, ', ', 1 + p_partkey % 130, CASE WHEN p_partkey % 3 = 0 THEN concat(', ', 140 + p_size, '-', 141 + p_size) ELSE '' END) FROM {part}"
+)
+#: References at a line's end, parted by commas or blanks; a number of four digits is a year.
+WHOLE_SQL = r"""told AS (SELECT work, unit, line, regexp_replace(text, '^[-*+]\s*', '') AS text FROM index_lines WHERE text <> '' AND NOT starts_with(text, '#')),
+entries AS (SELECT work, unit, line, regexp_replace(text, '(?:[\s,]+[0-9]{1,3}(?:-[0-9]{1,4})?)+$', '') AS label, array_to_string(regexp_extract_all(regexp_extract(text, '((?:[\s,]+[0-9]{1,3}(?:-[0-9]{1,4})?)+)$', 1), '[0-9]+(?:-[0-9]+)?'), ';') AS refs FROM told)"""
+
+
+@query(with_tables(INDEX_WHOLE) + ", " + WHOLE_SQL + " SELECT *, refs = '' AS unresolved FROM entries")
 def index_entries(spark, d):
-    return toc.index_entries(INDEX.frame(spark, d))
+    return toc.index_entries(INDEX_WHOLE.frame(spark, d))
 
 
 #: The pages of three works, of other lengths.

@@ -461,3 +461,10 @@ def test_long_lineages(spark):
             want |= {(work, i, x) for x in seen}
     found = [tuple(x) for x in got.collect()]
     assert len(found) == len(want) and set(found) == want
+
+
+def test_index_entries_hold_the_hand_cases(spark):
+    got = catalogue.queries()["index_entries"](spark, "/root/testdata/sf0.001")
+    want = [(1, "guilds", "12;98-9;104"), (2, "moot", "7"), (3, "see also halls", ""), (4, "Treaty of 1648", "3"), (6, "war, 1914, 1918", ""), (7, "late", "400"), (9, "towns", "5;6")]
+    assert rows(got.where("work = 'i'"), "line", "label", "refs") == want
+    assert got.where("work <> 'i'").count() == 2 * spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
