@@ -25,6 +25,7 @@ from foliospark.functions import text as t
 from foliospark.functions import udfs
 from foliospark.operators.evidence import media_refs
 from foliospark.operators.notes_audit import printed_html, printed_markdown
+from foliospark.session import written
 
 KEY = ["work", "unit"]
 # Fixed forms: definitions and marks of notes, and what of a document isn't its prose.
@@ -104,25 +105,20 @@ def order_findings(expected: DataFrame, spine: DataFrame, generated: DataFrame |
     return [finding(known.join(spine, KEY, "left_anti"), "E_UNIT_MISSING"), finding(strange, "E_UNIT_ORDER", "unknown"), finding(moved(both, ["work"], "unit"), "E_UNIT_ORDER", "moved")]
 
 
-def counted_media(units: DataFrame, md: str) -> DataFrame:
-    """work, unit, ref, place, nth: the media of a unit's Markdown in order, and the how many-th of its name each is."""
-    refs = media_refs(units.select(F.struct(*KEY).alias("unit"), F.col(md).alias("md"))).select("unit.*", "ref", "place")
-    return refs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("place", "ref"))).alias("all")).select(*KEY, F.posexplode(F.transform("all", lambda x: x["ref"])).alias("place", "ref"))
-
-
 def media_findings(expected: DataFrame, docs: DataFrame) -> list[DataFrame]:
     """E_MEDIA_LOST, E_MEDIA_ORDER of targets against sources, E_MEDIA_EPUB_LOST of documents against their Markdown."""
-    times = lambda df, name: df.groupBy(*KEY, "ref").agg(F.count("*").alias(name))
-    translated = expected.where("target_md is not null")
-    src, tgt = counted_media(translated, "source_md"), counted_media(translated, "target_md")
-    a, b = times(src, "n"), times(tgt, "m")
-    lost = a.join(b, [*KEY, "ref"], "left").where("coalesce(m, 0) < n")
+    translated = F.col("target_md").isNotNull()
+    # both sides' Markdown is read once: how often each name comes in it, and where it comes first
+    sides = {"s": F.col("source_md"), "t": F.col("target_md")}
+    each = reduce(DataFrame.union, [expected.where(F.lit(True) if side == "s" else translated).select(F.struct(*KEY, F.lit(side).alias("side"), translated.alias("translated")).alias("unit"), md.alias("md")) for side, md in sides.items()])
+    refs = media_refs(each).select("unit.*", "ref", "place").groupBy(*KEY, "translated", "ref").agg(*[f(F.when(F.col("side") == side, F.col("place"))).alias(name) for side, f, name in (("s", F.count, "n"), ("t", F.count, "m"), ("s", F.min, "a"), ("t", F.min, "b"))])
+    refs = written(refs, "media")
+    lost = refs.where("translated and m < n")
     # media that either side has: the one's order against the other's, by the first place of each name
-    first = lambda df, name: df.groupBy(*KEY, "ref").agg(F.min("place").alias(name))
-    out_of_order = moved(first(src, "a").join(first(tgt, "b"), [*KEY, "ref"]), KEY, "ref")
-    shown = docs.select(*KEY, F.explode(F.regexp_extract_all("html", F.lit(SOURCES), F.lit(1))).alias("ref"))
-    due = times(counted_media(expected, "md"), "n").join(docs.select(*KEY).distinct(), KEY, "left_semi")
-    return [finding(lost, "E_MEDIA_LOST", F.col("ref")), finding(out_of_order, "E_MEDIA_ORDER", F.col("ref")), finding(due.join(times(shown, "m"), [*KEY, "ref"], "left").where("coalesce(m, 0) < n"), "E_MEDIA_EPUB_LOST", F.col("ref"))]
+    out_of_order = moved(refs.where("translated and a is not null and b is not null"), KEY, "ref")
+    shown = docs.select(*KEY, F.explode(F.regexp_extract_all("html", F.lit(SOURCES), F.lit(1))).alias("ref")).groupBy(*KEY, "ref").agg(F.count("*").alias("seen"))
+    due = refs.select(*KEY, "ref", F.when(F.col("translated"), F.col("m")).otherwise(F.col("n")).alias("due")).where("due > 0").join(docs.select(*KEY).distinct(), KEY, "left_semi")
+    return [finding(lost, "E_MEDIA_LOST", F.col("ref")), finding(out_of_order, "E_MEDIA_ORDER", F.col("ref")), finding(due.join(shown, [*KEY, "ref"], "left").where("coalesce(seen, 0) < due"), "E_MEDIA_EPUB_LOST", F.col("ref"))]
 
 
 def text_findings(expected: DataFrame, docs: DataFrame, rows: DataFrame, notes_registered: bool) -> list[DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import provenance as p
 from foliospark.plans.registry import Literal, query, with_tables
+from foliospark.session import written
 
 #: rn counts a work's units; a unit that moves goes before all others, those of a work in falling order, so that the rest is the longest rising run.
 NUMBERED = "(SELECT source AS work, doc_id AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM {documents})"
@@ -50,10 +51,17 @@ findings AS (
   UNION ALL SELECT work, 'W_INSERT_NO_DESC', NULL, id FROM p_inserts WHERE trim(content_desc) = '' UNION ALL SELECT work, 'W_INSERT_NO_LATEX', NULL, id FROM p_inserts WHERE type = 'formula' AND latex = '')"""
 
 
-def documents(spark, d):
+def frame(numbered, table):
+    """A table made from the numbered documents as they were written, where its SQL numbers them anew each time."""
+    spark = numbered.sparkSession
+    made = spark.sql(table.derived.replace(NUMBERED, "{numbered}").replace("{list}", "array"), numbered=numbered).toDF(*[n for n, _ in table.fields])
+    return made.select(*[F.col(f.name).cast(f.dataType) for f in spark.createDataFrame([], table.schema).schema])
+
+
+def documents(numbered):
     """work, unit, html of the units on the spine, as a builder would make them but for the faults."""
     k = F.col("k")
-    u = PLACED.frame(spark, d).where("k % 37 <> 11 and k % 29 <> 3 and k % 19 <> 7")
+    u = numbered.where("k % 37 <> 11 and k % 29 <> 3 and k % 19 <> 7")
     translated = k % 4 != 3
     first = F.when(translated, F.concat(F.lit("<p>Absatz <em>eins</em> zu "), k, F.lit("</p>"))).otherwise(F.concat(F.lit("<p>First paragraph of "), k, F.lit("</p>")))
     note = F.when(translated & (k % 6 == 0), F.concat(F.lit('<a epub:type="noteref" href="#n">1</a> mit Note.'))).otherwise(" endet.")
@@ -67,6 +75,7 @@ def documents(spark, d):
 @query(with_tables(PLACED, UNITS, SPINE, ROWS, DEPTHS, NAV, COVERS, INSERTS) + RULES + " SELECT * FROM findings")
 def provenance_audit(spark, d):
     """Every code over units, spine, documents, rows, contents and inserts of all works."""
-    units, spine, rows, nav, depths, covers = (x.frame(spark, d) for x in (UNITS, SPINE, ROWS, NAV, DEPTHS, COVERS))
-    inserts = INSERTS.frame(spark, d).withColumn("bbox", F.col("bbox").cast("array<double>"))
-    return p.audited_provenance(units, spine, documents(spark, d), rows, nav, depths, covers, inserts)
+    numbered = written(PLACED.frame(spark, d), "numbered")
+    units, spine, rows, nav, depths, covers = (frame(numbered, x) for x in (UNITS, SPINE, ROWS, NAV, DEPTHS, COVERS))
+    inserts = frame(numbered, INSERTS).withColumn("bbox", F.col("bbox").cast("array<double>"))
+    return p.audited_provenance(units, spine, documents(numbered), rows, nav, depths, covers, inserts)

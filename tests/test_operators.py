@@ -468,3 +468,9 @@ def test_index_entries_hold_the_hand_cases(spark):
     want = [(1, "guilds", "12;98-9;104"), (2, "moot", "7"), (3, "see also halls", ""), (4, "Treaty of 1648", "3"), (6, "war, 1914, 1918", ""), (7, "late", "400"), (9, "towns", "5;6")]
     assert rows(got.where("work = 'i'"), "line", "label", "refs") == want
     assert got.where("work <> 'i'").count() == 2 * spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+
+
+def test_provenance_numbers_its_documents_once(spark):
+    """The tables of the audit come from one numbering that is written, not from a window over all documents each."""
+    plan = catalogue.queries()["provenance_audit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "documents.parquet" not in plan
