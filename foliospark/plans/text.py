@@ -241,7 +241,7 @@ spans AS (SELECT unit, block, coalesce(block < bad, true) AS ok, CASE WHEN coale
 
 
 def spans_of_lines(spark, d):
-    blocks = lines(spark, d).select("unit", F.col("line").alias("block"), "text")
+    blocks = units(spark, d).select("unit", F.posexplode(F.split("text", "\n")).alias("at", "text")).select("unit", (F.col("at") + 1).cast("long").alias("block"), "text")
     return align.block_spans(blocks, sentence_split(spark, d).withColumnRenamed("sentence", "tgt"))
 
 
