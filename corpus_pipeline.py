@@ -18,17 +18,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm import jaccard, mixing, packing, secrets, toxicity
 from foliospark.llm.common import SESSION, shared_dir, table
+from foliospark.session import in_small_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return jaccard.one_of_each(docs, size=5, num=80, den=100)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return secrets.redacted(docs)
 
 
@@ -37,6 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return packing.pack(docs)
 
 

@@ -133,6 +133,17 @@ def plausible(pairs: DataFrame, entries: DataFrame, limits: Limits) -> DataFrame
     return written(both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-pairs")
 
 
+def repeated(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that come more than once in ``parts``, ascending, and how often. ``parts`` is emptied; there is one sorted copy besides it."""
+    tokens = np.concatenate([np.zeros(0, np.uint64), *parts])
+    parts.clear()
+    tokens.sort()
+    again = np.zeros(len(tokens) + 1, bool)  # is a token the one before it?
+    np.equal(tokens[1:], tokens[:-1], out=again[1:-1])
+    edges = np.flatnonzero(again[1:] != again[:-1])
+    return tokens[edges[::2]], edges[1::2] - edges[::2] + 1
+
+
 def frequent_tokens(rows: DataFrame, size: int, limits: Limits, least: int, share: int, span: int = 4_000_000) -> np.ndarray:
     """Tokens of the frequent class, ascending: those that repeat within spans of ``span`` tokens, where the repeats come to ``least`` documents and to 1 / ``share`` of all."""
 
@@ -140,8 +151,7 @@ def frequent_tokens(rows: DataFrame, size: int, limits: Limits, least: int, shar
         documents, held, parts = 0, 0, []
 
         def repeats():
-            keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
-            keys, n = keys[n > 1], n[n > 1]
+            keys, n = repeated(parts)
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["token", "n"])
 
         for whole in batches:
@@ -152,7 +162,7 @@ def frequent_tokens(rows: DataFrame, size: int, limits: Limits, least: int, shar
                 held += sum(map(len, sets))
                 if held > span:
                     yield repeats()
-                    held, parts = 0, []
+                    held = 0
         yield repeats()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([documents], pa.int64())], names=["token", "n"])
 
