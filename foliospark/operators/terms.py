@@ -22,12 +22,16 @@ def forms(target: Column) -> Column:
 ENTRY = ("ord", "source", "target", "goals", "main")
 
 
-def named(glossary: DataFrame) -> DataFrame:
-    """name, entries: every source and alias with the entries it stands for: ord, source, target, goals (the target's accepted forms), main (is it the source itself?)."""
+def named(glossary: DataFrame, *, first: bool = False) -> DataFrame:
+    """name, entries: every source and alias with the entries it stands for: ord, source, target, goals (the target's accepted forms), main (is it the source itself?).
+
+    ``first``: of a name's entries of one source those of the smallest ord alone, so that a name holds as many as it has sources, however often the glossary repeats them. The others never count where only a source's first entry that occurs does: wherever one occurs, so does that."""
     by = lambda a, main: F.struct(a.alias("name"), F.lit(main).alias("main"))
     names = F.explode(F.concat(F.array(by(F.col("source"), True)), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: by(a, False))))
     every = glossary.select("ord", "source", "target", forms(normal("target")).alias("goals"), names.alias("n"))
     every = every.select(normal("n.name").alias("name"), "ord", "source", "target", "goals", F.col("n.main").alias("main")).where("name <> ''")
+    if first:
+        every = every.withColumn("place", F.rank().over(Window.partitionBy("name", "source").orderBy("ord"))).where("place = 1").drop("place")
     return every.groupBy("name").agg(F.collect_set(F.struct(*ENTRY)).alias("entries"))
 
 
@@ -48,7 +52,7 @@ def with_missing_targets(rows: DataFrame, glossary: DataFrame, **options) -> Dat
 
     Of entries of one source the first that has a target and occurs counts, whatever its status. Rows with an empty side miss nothing."""
     entries = glossary.where("coalesce(trim(target), '') <> ''")
-    sources = finder(named(entries), **options)
+    sources = finder(named(entries, first=True), **options)
     there = finder(entries.select(F.explode(forms(normal("target"))).alias("name")).distinct().select("name", F.lit(0).alias("entries")), **options)
     df = rows.select("*", found_entries(sources(F.col("src"))).alias("__met"), F.transform(there(F.col("tgt")), lambda x: x["name"]).alias("__kept"), (normal("tgt") != "").alias("__said"))
     met = F.col("__met")
