@@ -231,6 +231,17 @@ def paired_blocks(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lower.drop("blocks", "with"), higher.drop("blocks", "with")
 
 
+def met_buckets(keyed: DataFrame, fits) -> DataFrame:
+    """bucket, node, n and c (the bucket's rows) of the buckets where two nodes meet; two alone must fit by their sizes.
+
+    The keys are most of what the join moves. They are dealt out by bucket once, and both the counts and the join read that
+    one exchange, for which they must name the same columns."""
+    dealt = keyed.repartition("bucket")
+    counts = dealt.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("c"))
+    shared = counts.where((F.col("low") != F.col("high")) & ((F.col("c") > 2) | fits(F.col("least"), F.col("most")))).select("bucket", "c")
+    return dealt.join(shared, "bucket").distinct()
+
+
 def components(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; options as in ``placed``.
 
@@ -274,13 +285,11 @@ def placed(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85, den
     entries = written(rows.select("doc_id", "text", "mark").mapInArrow(index, "doc_id long, mark long, node long, n long, keys array<long>, sketch array<long>, wide binary"), "jaccard-index")
     members = entries.select("doc_id", "mark", "node", "n")
     repeats = members.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count() > 0
-    keyed = entries.where("keys is not null").select("node", "n", F.explode("keys").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("c")).where("low <> high").select("bucket", "c")
-    meeting = written(keyed.join(shared, "bucket").distinct(), "jaccard-buckets")
+    fits = lambda x, y: (den * F.least(x, y) >= num * F.greatest(x, y))
+    meeting = written(met_buckets(entries.where("keys is not null").select("node", "n", F.explode("keys").alias("bucket")), fits), "jaccard-buckets")
 
     most = meeting.groupBy("node").agg(F.sum("c").alias("weight"))
     leaders = meeting.join(most, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node", "n")).alias("one")).select("bucket", F.col("one.node").alias("leader"), F.col("one.n").alias("leader_n"))
-    fits = lambda x, y: (den * F.least(x, y) >= num * F.greatest(x, y))
     led = meeting.join(leaders, "bucket").where((F.col("node") != F.col("leader")) & fits(F.col("n"), F.col("leader_n")))
     stars = written(led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-pairs")
     near = plausible(stars, entries, limits)
@@ -293,7 +302,8 @@ def placed(docs: DataFrame, *, doc_id="doc_id", text="text", size=4, num=85, den
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for part in (F.pmod(F.xxhash64("bucket"), F.lit(16)) == 0, F.lit(True)):
         parts = meeting.where(part).join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("part"))
-        apart = parts.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
+        # the one pair of a bucket of two nodes has been tried with its leader
+        apart = parts.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("nodes")).where("p <> q and nodes > 2").select("bucket")
         parts = written(parts.join(apart, "bucket", "left_semi"), "jaccard-apart")
         parts = written(parts.join(sketches.join(parts.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node"), "jaccard-apart")
         mine, other = paired_blocks(parts)
@@ -322,14 +332,20 @@ def one_of_each(docs: DataFrame, *, doc_id="doc_id", text="text", **options) ->
     Documents without words are in no component, and all their rows stay. Rows that repeat an id with other texts are
     documents of their own; of rows equal in id and text one stays."""
     found = placed(docs, doc_id=doc_id, text=text, **options)
-    best = found.where("part is not null").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("one"), F.count("*").alias("c"))
-    chosen = best.select(F.col("one.doc_id").alias("id"), F.col("one.mark").alias("mark"), F.col("c").alias("rows"))
-    wordless = found.where("part is null").select("doc_id", "mark", F.lit(0).cast("long")).distinct()
-    keys = small(written(chosen.union(wordless), "jaccard-keys"))
+    full = found.where("part is not null")
+    best = full.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("one"), F.count("*").alias("c")).where("c > 1")
+    best = small(written(best.select("part", F.col("one.doc_id").alias("first_id"), F.col("one.mark").alias("first_mark")), "jaccard-first"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
+    several = full.join(best, "part").groupBy(F.col("doc_id").alias("id"), "mark").agg(F.max(chosen).alias("chosen"), F.count("*").alias("rows"))
+    several = written(several, "jaccard-several")
     # the row is one column, so that whatever its columns are called doesn't meet the names used here
     whole = docs.select(F.struct(*docs.columns).alias("row"), docs[doc_id].cast("long").alias("its_id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("its_mark"))
-    kept = whole.join(keys, F.col("its_id").eqNullSafe(F.col("id")) & (F.col("its_mark") == F.col("mark")))
-    # the rows of a chosen document may repeat only where its component has more rows than one
-    alone = kept.where("rows <= 1").select("row")
-    many = kept.where("rows > 1").dropDuplicates(["its_id", "its_mark"]).select("row")
-    return alone.union(many).select("row.*")
+    same = F.col("its_id").eqNullSafe(F.col("id")) & (F.col("its_mark") == F.col("mark"))
+    # the rows that go are looked for, not those that stay: they are few, so that texts needn't be shuffled
+    kept = whole.join(small(several.where("not chosen").select("id", "mark")), same, "left_anti")
+    again = several.where("chosen and rows > 1").select("id", "mark")
+    if again.limit(1).count():
+        again = small(again)
+        once = kept.join(again, same, "left_semi").dropDuplicates(["its_id", "its_mark"])
+        kept = kept.join(again, same, "left_anti").union(once)
+    return kept.select("row.*")

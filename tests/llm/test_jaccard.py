@@ -161,3 +161,62 @@ def test_columns_of_any_name_stay(spark):
     out = jaccard.one_of_each(df, size=5, num=80, den=100)
     assert out.columns == df.columns
     assert sorted((r["doc_id"], r["source"] in "cf", r["its_mark"], r["part"]) for r in out.collect()) == [(3, False, 9, 11), (7, False, 9, 11), (9, True, 9, 11)]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Only what the code itself hints at is broadcast, as on tables that are large."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_not_shuffled_for_those_that_go(spark, monkeypatch, no_broadcast):
+    """More documents stay than may be broadcast; the few that go are looked for, so that no text is shuffled. Where those are many too, the result is the same."""
+    texts = [(i, " ".join(f"v{i}-{j}" for j in range(12))) for i in range(60)]
+    df = spark.createDataFrame(texts + [(100 + i, texts[i][1]) for i in range(5)], "doc_id long, text string").repartition(3)
+    for most, shuffles in ((20, False), (2, True)):
+        monkeypatch.setattr(jaccard, "SMALL", most)
+        kept = jaccard.one_of_each(df, size=5, num=80, den=100)
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(60))
+        assert ("Exchange hashpartitioning" in plan_of(kept)) == shuffles
+
+
+def test_keys_are_dealt_out_once(spark, no_broadcast):
+    """Counts and join read one exchange; buckets of one node go, and of two nodes whose sizes don't fit."""
+    rows = [(1, 10, 1), (1, 10, 1), (2, 10, 2), (3, 10, 2), (4, 10, 3), (5, 90, 3), (4, 10, 4), (5, 90, 4), (6, 12, 4), (3, 10, 2), (7, 5, 5)]
+    keyed = spark.createDataFrame(rows, "node long, n long, bucket long").repartition(3)
+    met = jaccard.met_buckets(keyed, lambda x, y: 100 * F.least(x, y) >= 80 * F.greatest(x, y))
+    got = sorted((r["bucket"], r["node"], r["n"], r["c"]) for r in met.collect())
+    assert got == [(2, 2, 10, 3), (2, 3, 10, 3), (4, 4, 10, 3), (4, 5, 90, 3), (4, 6, 12, 3)]
+    final = plan_of(met).split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") == 1
+    assert sum("Exchange hashpartitioning(bucket" in line and "ReusedExchange" not in line for line in final.splitlines()) == 1
+
+
+def test_buckets_of_two_nodes_are_tried_once(spark, monkeypatch):
+    """Two texts that share keys and don't link have met as leader and member; nothing of them goes into the second search."""
+    seen = {}
+
+    def noted(df, label):
+        seen.setdefault(label, []).append(out := write(df, label))
+        return out
+
+    write = jaccard.written
+    monkeypatch.setattr(jaccard, "written", noted)
+    rnd, rows = random.Random(4), []
+    for i in range(0, 40, 2):
+        words = [f"{i}-{j}" for j in range(60)]
+        other = list(words)
+        for j in rnd.sample(range(60), 3):  # three words in fifteen shingles: too far apart
+            other[j] += "x"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in jaccard.components(df, size=5, num=80, den=100).collect()), key=repr) == brute(rows, 5, 80, 100)
+    assert seen["jaccard-buckets"][0].count() > 0 and not any(x.count() for x in seen["jaccard-apart"])
